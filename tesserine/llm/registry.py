@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tesserine.llm import mixing, preference, secrets
+from tesserine.llm import bpe, mixing, preference, secrets, tokenfile, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3,
     "op4_preference_formatting": preference.op4,
     "op5_source_mixing": mixing.op5,
+    "op7_token_files": tokenfile.op7,
     "op8_secret_scans": secrets.op8,
+    "op10_bpe": bpe.op10,
 }
 
 SQL = {
