@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserine.llm import bpe, mixing, preference, secrets, tokenfile, toxicity
+from tesserine.llm import bpe, jaccard, mixing, preference, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_source_mixing": mixing.op5,
     "op7_token_files": tokenfile.op7,
     "op8_secret_scans": secrets.op8,
+    "op9_jaccard_join": jaccard.op9,
     "op10_bpe": bpe.op10,
 }
 
