@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tesserine.llm import bpe, jaccard, mixing, preference, secrets, tokenfile, toxicity
+from tesserine.llm import bpe, jaccard, mixing, perplexity, preference, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3,
     "op4_preference_formatting": preference.op4,
     "op5_source_mixing": mixing.op5,
+    "op6_quality_rules": perplexity.op6,
     "op7_token_files": tokenfile.op7,
     "op8_secret_scans": secrets.op8,
     "op9_jaccard_join": jaccard.op9,
