@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,24 @@ def word_count(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bitmap(rows: DataFrame, size: int) -> bytes:
+    """rows(slot below size) -> `size` bits, set where a row has the slot. The result has the same size
+    however many rows there are; each of 64 parts is packed where its rows are."""
+    part = size // 64
+
+    def pack(key: tuple, slots: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(part, bool)
+        bits[slots["slot"].to_numpy() // 64] = True
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    packed = rows.distinct().groupBy((F.col("slot") % 64).cast("int").alias("part")).applyInPandas(pack, "part int, bits binary")
+    out = np.zeros((part, 64), bool)
+    for r in packed.collect():
+        out[:, r["part"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:part]
+    return np.packbits(out).tobytes()
+
+
+def bits_of(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)

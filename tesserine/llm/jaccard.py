@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import row_key, settle, table
+from tesserine.llm.common import bitmap, bits_of, row_key, settle, table
 from tesserine.llm.graph import components
 from tesserine.llm.textkit import Words, as_bytes, chunks
 
@@ -73,15 +73,6 @@ def _slot(x: np.ndarray) -> np.ndarray:
     return (x & U64(SLOTS - 1)).astype(np.int64)
 
 
-def _bitmap(rows: DataFrame) -> bytes:
-    """rows(slot) -> SLOTS bits: of fixed size, however many rows there are."""
-    packed = rows.select((F.col("slot") % 4096).cast("int").alias("part"), F.shiftright("slot", 12).alias("place")).groupBy("part").agg(F.collect_set("place").alias("places"))
-    bits = np.zeros(SLOTS, bool)
-    for r in packed.toLocalIterator():
-        bits[np.array(r["places"], np.int64) * 4096 + r["part"]] = True
-    return np.packbits(bits).tobytes()
-
-
 def frequent_slots(docs: DataFrame, size: int) -> bytes:
     """Slots of shingles that stand out in some partition. Only the order of tokens depends on it, so
     counts need not be exact; it must be the same for all sets, so it is taken once."""
@@ -96,7 +87,7 @@ def frequent_slots(docs: DataFrame, size: int) -> bytes:
         if len(found):
             yield pa.RecordBatch.from_arrays([pa.array(found)], names=["slot"])
 
-    return _bitmap(docs.select(F.col("text").cast("string")).mapInArrow(run, "slot long"))
+    return bitmap(docs.select(F.col("text").cast("string")).mapInArrow(run, "slot long"), SLOTS)
 
 
 def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -107,7 +98,7 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     schema = f"doc_id {kind}, k1 long, k2 long, n long, sid binary, v long, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).astype(bool)
+        late = bits_of(frequent.value)
         for batch in batches:
             n: list[int] = []
             sids: list[bytes | None] = []
@@ -129,10 +120,10 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def sets_by_name(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """wanted(v) -> v, sid, n, tokens (binary) of the sets with these short names, made from the texts
     again. A bitmap of fixed size keeps most other sets from being shipped; a join drops the rest."""
-    picked = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select((F.col("v").bitwiseAND(F.lit(SLOTS - 1))).alias("slot"))))
+    picked = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("v").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")), SLOTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(picked.value, np.uint8)).astype(bool)
+        bits = bits_of(picked.value)
         for batch in batches:
             rows = []
             for s in sets_of(batch.column(0), size):

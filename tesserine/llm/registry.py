@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tesserine.llm import bpe, jaccard, mixing, perplexity, preference, secrets, tokenfile, toxicity
+from tesserine.llm import bpe, jaccard, mixing, perplexity, preference, secrets, suffixes, tokenfile, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffixes.op1,
     "op3_toxicity": toxicity.op3,
     "op4_preference_formatting": preference.op4,
     "op5_source_mixing": mixing.op5,
