@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tesserine.llm import bpe, jaccard, mixing, perplexity, preference, secrets, suffixes, tokenfile, toxicity
+from tesserine.llm import bpe, jaccard, mixing, neighbours, perplexity, preference, secrets, suffixes, tokenfile, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1,
+    "op2_hilbert_neighbours": neighbours.op2,
     "op3_toxicity": toxicity.op3,
     "op4_preference_formatting": preference.op4,
     "op5_source_mixing": mixing.op5,
