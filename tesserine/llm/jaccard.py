@@ -26,8 +26,8 @@ from tesserine.llm.textkit import Words, as_bytes, chunks
 U64 = np.uint64
 EXTRA = 4
 RARE = 32
-#: Sets of fewer tokens index pairs of frequent tokens, others single ones.
-LONG = 300
+#: Sets that may miss fewer tokens index pairs of frequent tokens, others single ones.
+LONG = 30
 #: Slots in which frequent shingles are counted, and by which sets are picked: bits of a fixed-size table.
 SLOTS = 1 << 22
 #: Members in a block when a large group is compared, of all and of those not yet linked.
@@ -203,13 +203,14 @@ def rare_pairs(held: DataFrame, percent: int) -> DataFrame:
 
 
 def signatures(held: DataFrame, percent: int) -> DataFrame:
-    """sig, v, n: the frequent class. Sets of up to LONG tokens index pairs of tokens, longer ones single
+    """sig, v, n: the frequent class. Sets that may miss up to LONG tokens index pairs of tokens, longer ones single
     tokens; those near the border both, so partners always index alike. Signatures also hold a band of
     sizes: each set stands in its own and the next one, and partners are one band apart at most."""
+    long = LONG * 100 // (100 - percent) if percent < 100 else 1 << 30
     own = held.filter(F.col("c") > RARE).groupBy("v", "n").agg(F.collect_set("t").alias("ts"))
     each = own.select("v", "n", "ts", F.explode("ts").alias("x"))
-    double = each.filter(F.col("n") * percent < LONG * 100).select("v", "n", "x", F.explode(F.filter("ts", lambda y: y > F.col("x"))).alias("y")).select("v", "n", F.xxhash64(F.lit("pair"), "x", "y").alias("s"))
-    single = each.filter(F.col("n") * 100 >= LONG * percent).select("v", "n", F.xxhash64(F.lit("one"), "x").alias("s"))
+    double = each.filter(F.col("n") * percent < long * 100).select("v", "n", "x", F.explode(F.filter("ts", lambda y: y > F.col("x"))).alias("y")).select("v", "n", F.xxhash64(F.lit("pair"), "x", "y").alias("s"))
+    single = each.filter(F.col("n") * 100 >= long * percent).select("v", "n", F.xxhash64(F.lit("one"), "x").alias("s"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))))
     return double.union(single).select("v", "n", "s", F.explode(F.array(band, band + 1)).alias("band")).select("v", "n", F.xxhash64("s", "band").alias("sig"))
 

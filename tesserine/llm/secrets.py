@@ -96,13 +96,16 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
 
 
 def redact(docs: DataFrame, mark: str = "<secret>", **options) -> DataFrame:
-    """docs with each live credential's value replaced by `mark`; examples stay. Same columns, all rows."""
+    """docs with each live credential's value replaced by `mark`; examples stay. Same columns
+    (n_chars follows the text), all rows."""
     found = scan(docs, **options).filter(F.size("live") > 0).select("_k1", "_k2", F.array_distinct(F.transform("live", lambda s: s["value"])).alias("_values")).dropDuplicates(["_k1", "_k2"])
     k1, k2 = row_key("doc_id", "text")
     joined = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(found, ["_k1", "_k2"], "left")
     # the longest first: a value may hold another
     ordered = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
     text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
     return joined.withColumn("text", text).select(*docs.columns)
 
 

@@ -10,6 +10,7 @@ system, and a task that is lost is run again without leaving half a file.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +34,7 @@ PERCENTILE = 0.9
 #: and entries of the table of known words before it starts anew.
 SHARD = 1 << 20
 TEXT = 4 << 20
-KNOWN = 400_000
-BITS_AT_ONCE = 1 << 24
+KNOWN = 300_000
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -70,10 +71,9 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     put(every, 5, n_over.astype("<u2").view(np.uint8).reshape(count, 2))
     for w in np.unique(width).tolist():
         if w:
-            all_rows = np.flatnonzero(width == w)
-            for rows in np.array_split(all_rows, -(-len(all_rows) * block * w // BITS_AT_ONCE) or 1):
-                each = ((rest[rows][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(rows), block * w)
-                put(rows, 7, np.packbits(each, axis=1, bitorder="little"))
+            rows = np.flatnonzero(width == w)
+            low_bits = np.ascontiguousarray((rest[rows] & ((1 << w) - 1)).T.astype(np.uint64))
+            put(rows, 7, _pack_columns(low_bits, w))
     row, place = np.nonzero(over)
     nth = np.arange(len(row)) - np.concatenate(([0], np.cumsum(n_over)))[row]
     tail = starts[row] + 7 + (width[row] * block + 7) // 8
@@ -82,6 +82,34 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     return head + out.tobytes()
 
 
+def _pack_columns(values: np.ndarray, w: int) -> np.ndarray:
+    """values: block x rows, each below 2**w -> rows x bytes, the low bit of the first value first. Value i
+    of every row begins at the same bit, so each takes one or two shifts for all rows."""
+    block, rows = values.shape
+    words = np.zeros((w * block // 64 + 1, rows), np.uint64)
+    for i in range(block):
+        word, shift = divmod(i * w, 64)
+        words[word] |= values[i] << np.uint64(shift)
+        if shift + w > 64:
+            words[word + 1] |= values[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8).reshape(rows, -1)[:, : (w * block + 7) // 8]
+
+
+def _unpack_columns(data: np.ndarray, w: int, block: int) -> np.ndarray:
+    """rows x bytes -> block x rows."""
+    rows = len(data)
+    padded = np.zeros((rows, 8 * (w * block // 64 + 2)), np.uint8)
+    padded[:, : data.shape[1]] = data
+    words = np.ascontiguousarray(padded.view("<u8").T)
+    out = np.zeros((block, rows), np.uint64)
+    for i in range(block):
+        word, shift = divmod(i * w, 64)
+        out[i] = words[word] >> np.uint64(shift)
+        if shift + w > 64:
+            out[i] |= words[word + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << w) - 1)).astype(np.int64)
+
+
 def unpack(shard: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
     """The ids from start up to stop; only the blocks that hold them are read."""
     if shard[:4] != MAGIC:
@@ -106,10 +134,8 @@ def unpack(shard: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
     grid = np.zeros((last - first, block), np.int64)
     for w in np.unique(width).tolist():
         if w:
-            all_rows = np.flatnonzero(width == w)
-            for rows in np.array_split(all_rows, -(-len(all_rows) * block * w // BITS_AT_ONCE) or 1):
-                bits = np.unpackbits(take(rows, 7, (w * block + 7) // 8), axis=1, bitorder="little")[:, : block * w]
-                grid[rows] = bits.reshape(len(rows), block, w) @ (1 << np.arange(w, dtype=np.int64))
+            rows = np.flatnonzero(width == w)
+            grid[rows] = _unpack_columns(take(rows, 7, (w * block + 7) // 8), w, block).T
     row = np.repeat(every, n_over)
     nth = np.arange(len(row)) - np.concatenate(([0], np.cumsum(n_over)))[row]
     tail = at[row] + 7 + (width[row] * block + 7) // 8
@@ -120,10 +146,17 @@ def unpack(shard: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
 
 
 class WordEncoder:
-    """The tokenizers library over words between white space (the vocabulary's own splitting never
-    crosses it); a word that came before is looked up."""
+    """The tokenizers library over the different words of many texts.
+
+    What stands between white space is looked up; what is new is cut with the vocabulary's own pattern,
+    so that each word is a pre-token, and words that are new are handed over together, with spaces between, and the ids are dealt back by the ids that end a word. Where a
+    text has characters outside the Latin blocks (whose case and composition the normalizer may change
+    in context), or a special token, the library gets the whole text.
+    """
 
-    _space = re.compile(r"[ \t\n\r]+")
+    _other = regex.compile("[^\\x00-\u012f\u0131-\u024f]")
+    _space = re.compile("[ \\t\\n\\r]+")
+    END = "</w>"
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
@@ -131,19 +164,45 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"]["pretokenizers"] if spec["pre_tokenizer"]["type"] == "Sequence" else [spec["pre_tokenizer"]]
+        self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split"))
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
         self.end = end_id.to_bytes(4, "little")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by word
+        self.chunks: dict[str, bytes] = {}  # by what stands between white space
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        ids = self._whole([" ".join(words)])[0]
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) == len(words) and cuts[-1] == len(ids):
+            raw = ids.tobytes()
+            self.known.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+        else:  # a word gave no end or several: each by itself
+            self.known.update(zip(words, (x.tobytes() for x in self._whole(words)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        cut = [self._space.split(t) for t in texts]
-        new = list({w: None for words in cut for w in words if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, done, strict=True))
-        return [b"".join([self.known[w] for w in words]) + self.end for words in cut]
+        for table_ in (self.known, self.chunks):
+            if len(table_) > KNOWN:
+                table_.clear()
+        plain = [not self._other.search(t) and not any(s in t for s in self.special) for t in texts]
+        cut = [self._space.split(t.lower()) if ok else None for t, ok in zip(texts, plain, strict=True)]
+        chunks_, known = self.chunks, self.known
+        new = list({c: None for row in cut if row for c in row if c not in chunks_})
+        words = [self.pattern.findall(c) for c in new]
+        unknown = list({w: None for row in words for w in row if w not in known})
+        for i in range(0, len(unknown), 4096):
+            self._learn(unknown[i : i + 4096])
+        chunks_.update(zip(new, [known[row[0]] if len(row) == 1 else b"".join([known[w] for w in row]) for row in words], strict=True))
+        whole = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
+        return [(next(whole).tobytes() if row is None else b"".join([chunks_[c] for c in row])) + self.end for row in cut]
 
 
 _loaded: dict[tuple[str, int], WordEncoder] = {}
