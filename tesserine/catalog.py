@@ -1,4 +1,332 @@
-"""All queries and their DuckDB SQL."""
+"""All queries of the expression and event-state operators, and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserine.functions.numbers import number_text, whole_text
+from tesserine.operators import equations as eq
+from tesserine.operators import five_state as five
+from tesserine.operators import kinematics as kin
+from tesserine.operators import seven_state as seven
+from tesserine.plans import derived as d
+from tesserine.schema import FIVE_BUTTONS, FIVE_STATES, SEVEN_STATES
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- equations ----
+
+_OPERANDS = """
+ops AS (SELECT *, CAST(l_quantity AS BIGINT) AS a, (['+','-','*','/','%','//','^'])[l_linenumber] AS sign, CAST(round(l_discount * 100) AS BIGINT) AS b FROM lineitem)"""
+_DOCS = _OPERANDS + """,
+docs AS (
+  SELECT l_orderkey AS doc_id, string_agg(a || ' ' || sign || ' ' || b, ', ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)
+         || CASE WHEN any_value(o_orderstatus) = 'P' THEN ' 1 +' ELSE '' END AS raw
+  FROM ops JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey),
+toks AS (SELECT doc_id, list_filter(regexp_split_to_array(raw, '[,\\s\\p{Z}]+'), lambda t: t <> '') AS tokens FROM docs),
+chunks AS (SELECT doc_id, i AS eq_idx, tokens[3 * i + 1 : 3 * i + 3] AS c FROM toks, unnest(range(0, CAST(ceil(len(tokens) / 3.0) AS BIGINT))) AS u(i)),
+parsed AS (
+  SELECT doc_id, CAST(eq_idx AS INTEGER) AS eq_idx, c,
+    CASE WHEN len(c) <> 3 THEN 'MalformedEquation' WHEN NOT regexp_matches(c[1], '^[0-9]+$') THEN 'InvalidOperand'
+         WHEN c[2] NOT IN ('+','-','*','/','%','//') THEN 'InvalidOperator' WHEN NOT regexp_matches(c[3], '^[0-9]+$') THEN 'InvalidOperand' END AS err_kind,
+    CASE WHEN len(c) <> 3 THEN 'expected 3 tokens but got ' || len(c) || ': ''' || array_to_string(c, ' ') || ''''
+         WHEN NOT regexp_matches(c[1], '^[0-9]+$') THEN '''' || c[1] || ''' is not a valid number'
+         WHEN c[2] NOT IN ('+','-','*','/','%','//') THEN '''' || c[2] || ''' is not a recognized operator'
+         WHEN NOT regexp_matches(c[3], '^[0-9]+$') THEN '''' || c[3] || ''' is not a valid number' END AS err_msg
+  FROM chunks)"""
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, len(tokens)::INTEGER AS n_tokens, array_to_string(tokens, '|') AS tokens FROM toks")
+def calc_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eq.tokenize(d.documents(spark, sf_dir)).select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, eq_idx, len(c)::INTEGER AS arity, array_to_string(c, ' ') AS chunk FROM parsed")
+def calc_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = eq.chunk(eq.tokenize(d.documents(spark, sf_dir)))
+    return out.select("doc_id", "eq_idx", F.size("chunk").alias("arity"), F.array_join("chunk", " ").alias("chunk"))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eq.parse(eq.chunk(eq.tokenize(d.documents(spark, sf_dir))))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, eq_idx, c[1]::DOUBLE AS lhs, c[2] AS op, c[3]::DOUBLE AS rhs FROM parsed WHERE err_kind IS NULL")
+def calc_parse_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).filter("err_kind IS NULL").select("doc_id", "eq_idx", "lhs", "op", "rhs")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, eq_idx, err_kind, err_msg, 'error: ' || err_msg AS label FROM parsed WHERE err_kind IS NOT NULL")
+def calc_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).filter("err_kind IS NOT NULL").select("doc_id", "eq_idx", "err_kind", "err_msg", F.concat(F.lit("error: "), "err_msg").alias("label"))
+
+
+_VALUE = {
+    "+": "a::DOUBLE + b", "-": "a::DOUBLE - b", "*": "a::DOUBLE * b", "/": "CASE WHEN b <> 0 THEN a::DOUBLE / b END",
+    "%": "CASE WHEN b <> 0 THEN a::DOUBLE % b::DOUBLE END", "//": "CASE WHEN b <> 0 THEN floor(a::DOUBLE / b) END",
+}
+
+
+def _arithmetic(name: str, sign: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = d.operands(spark, sf_dir).filter(F.col("sign") == sign)
+        out = eq.evaluate_columns(rows, F.col("a"), F.col("sign"), F.col("b"))
+        return out.select("l_orderkey", "lhs", "rhs", "result", "err_kind")
+
+    run.__name__ = name
+    zero = "CASE WHEN b = 0 THEN 'DivisionByZero' END" if sign in ("/", "%", "//") else "NULL::VARCHAR"
+    query(f"WITH {_OPERANDS} SELECT l_orderkey, a::DOUBLE AS lhs, b::DOUBLE AS rhs, {_VALUE[sign]} AS result, {zero} AS err_kind FROM ops WHERE sign = '{sign}'")(run)
+
+
+for _name, _sign in (("calc_add", "+"), ("calc_sub", "-"), ("calc_mul", "*"), ("calc_div", "/"), ("calc_mod", "%"), ("calc_floordiv", "//")):
+    _arithmetic(_name, _sign)
+
+
+@query(f"WITH {_OPERANDS} SELECT sign AS op, count(*) AS n FROM ops WHERE sign IN ('/','%','//') AND b = 0 GROUP BY sign")
+def calc_div_by_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = d.operands(spark, sf_dir)
+    return eq.evaluate_columns(rows, F.col("a"), F.col("sign"), F.col("b")).filter("err_kind = 'DivisionByZero'").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NO_FRACTION = "err_kind IS NOT NULL OR c[2] <> '/'"
+
+
+@query(f"""WITH {_DOCS}, vals AS (
+  SELECT *, c[1]::BIGINT AS a, c[2] AS sign, c[3]::BIGINT AS b FROM parsed WHERE err_kind IS NULL AND c[2] <> '/')
+SELECT doc_id, eq_idx, 'error: ' || err_msg || ' = error: ' || err_msg AS line FROM parsed WHERE err_kind IS NOT NULL
+UNION ALL
+SELECT doc_id, eq_idx, a || ' ' || sign || ' ' || b || ' = ' || CASE WHEN sign IN ('%','//') AND b = 0 THEN 'error: division by zero'
+  WHEN sign = '+' THEN (a + b)::VARCHAR WHEN sign = '-' THEN (a - b)::VARCHAR WHEN sign = '*' THEN (a * b)::VARCHAR
+  WHEN sign = '%' THEN (a % b)::VARCHAR ELSE floor(a::DOUBLE / b)::BIGINT::VARCHAR END AS line FROM vals""")
+def calc_pipeline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all equations but divisions (whose results have fractions: calc_result_display)."""
+    rows = eq.evaluate(_parsed(spark, sf_dir)).filter("err_stage = 'parse' OR op <> '/'")
+    return eq.render(rows, whole_text).select("doc_id", "eq_idx", "line")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, count(*) AS n_equations, bool_or(err_kind IS NULL) AS any_valid FROM parsed GROUP BY doc_id")
+def calc_document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eq.gate(d.documents(spark, sf_dir))
+
+
+@query()
+def calc_result_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of equations over prices and taxes: text of fractions."""
+    rows = d.operands(spark, sf_dir).filter("sign <> '^'")
+    out = eq.evaluate_columns(rows, F.col("l_extendedprice"), F.col("sign"), F.col("l_tax"))
+    return eq.render(out, number_text).select("l_orderkey", "l_linenumber", "line")
+
+
+# ---- five-state machine ----
+
+_FIVE_EVENTS = """
+presses AS (
+  SELECT user_id AS device_id, ts, event_id AS seq,
+    CASE event_type WHEN 'signup' THEN 'test' WHEN 'view' THEN 'enable' WHEN 'click' THEN 'ready' WHEN 'purchase' THEN 'launch'
+         WHEN 'error' THEN CASE WHEN value >= 50 THEN 'cu_cancel' ELSE 'lpu_cancel' END END AS button FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts, seq)::INTEGER AS step FROM presses)"""
+_FIVE_NEXT = """CASE WHEN n.button = 'test' AND {s} = 'IDLE' THEN 'CIRCUIT_TESTED' WHEN n.button = 'enable' AND {s} = 'CIRCUIT_TESTED' THEN 'ENABLED'
+    WHEN n.button = 'ready' AND {s} = 'ENABLED' THEN 'READY' WHEN n.button = 'launch' AND {s} = 'READY' THEN 'LAUNCHED'
+    WHEN n.button = 'lpu_cancel' THEN 'IDLE' WHEN n.button = 'cu_cancel' AND {s} IN ('ENABLED', 'READY') THEN 'IDLE' ELSE {s} END"""
+_FIVE = _FIVE_EVENTS + f""",
+path(device_id, ts, seq, step, button, state, next_state) AS (
+  SELECT device_id, ts, seq, step, button, 'IDLE', {_FIVE_NEXT.format(s="'IDLE'")} FROM numbered n WHERE step = 1
+  UNION ALL
+  SELECT n.device_id, n.ts, n.seq, n.step, n.button, p.next_state, {_FIVE_NEXT.format(s="p.next_state")}
+  FROM path p JOIN numbered n ON n.device_id = p.device_id AND n.step = p.step + 1)"""
+
+
+def _five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return five.trajectory(d.presses(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_FIVE} SELECT device_id, max(step)::BIGINT AS n_events, arg_max(next_state, step) AS state FROM path GROUP BY device_id")
+def five_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return five.final_state(d.presses(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_FIVE} SELECT device_id, ts, seq, step, button, state, next_state FROM path")
+def five_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _five(spark, sf_dir)
+
+
+@query("""WITH s(state) AS (VALUES ('IDLE'), ('CIRCUIT_TESTED'), ('ENABLED'), ('READY'), ('LAUNCHED')), n(button) AS (VALUES ('test'), ('enable'), ('ready'), ('launch'), ('lpu_cancel'), ('cu_cancel'))
+SELECT s.state, n.button, """ + _FIVE_NEXT.format(s="s.state") + " AS next_state FROM s, n")
+def five_transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([(s, b) for s in FIVE_STATES for b in FIVE_BUTTONS], "state string, button string")
+    return pairs.select("state", "button", five.step(F.col("state"), F.col("button")).alias("next_state"))
+
+
+@query(f"""WITH RECURSIVE {_FIVE} SELECT device_id, step, next_state <> 'IDLE' AS lpu_green, next_state IN ('ENABLED', 'READY', 'LAUNCHED') AS lpu_red,
+  next_state IN ('READY', 'LAUNCHED') AS cu_red, next_state = 'LAUNCHED' AS cu_green FROM path""")
+def five_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _five(spark, sf_dir).select("device_id", "step", *five.lights(F.col("next_state")))
+
+
+@query(f"""WITH RECURSIVE {_FIVE} SELECT device_id, step, next_state = 'IDLE' AS can_test, next_state = 'CIRCUIT_TESTED' AS can_enable, next_state = 'ENABLED' AS can_ready,
+  next_state = 'READY' AS can_launch, next_state <> 'IDLE' AS can_lpu_cancel, next_state IN ('ENABLED', 'READY') AS can_cu_cancel FROM path""")
+def five_buttons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _five(spark, sf_dir).select("device_id", "step", *five.buttons(F.col("next_state")))
+
+
+@query(f"WITH RECURSIVE {_FIVE} SELECT device_id, step, 'STATE:  ' || next_state AS label FROM path")
+def five_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _five(spark, sf_dir).select("device_id", "step", five.label(F.col("next_state")).alias("label"))
+
+
+def _texts(texts: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+
+
+_FIVE_LOG = "CASE button " + " ".join(f"WHEN '{b}' THEN {_texts(m)}" for b, m in five.MESSAGES.items()) + " END"
+
+
+@query(f"""WITH RECURSIVE {_FIVE}, rows AS (SELECT *, {_FIVE_LOG} AS msgs FROM path WHERE state <> next_state)
+SELECT device_id, ts, seq, i::INTEGER - 1 AS log_seq, msgs[i] AS msg, '[' || strftime(ts, '%H:%M:%S') || '] ' || msgs[i] AS line FROM rows, unnest(range(1, len(msgs) + 1)) AS u(i)""")
+def five_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return five.event_log(_five(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_FIVE} SELECT state, next_state, count(*) AS n FROM path WHERE state <> next_state GROUP BY ALL")
+def five_transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed transitions; those that aren't declared would be left by the anti join of the test."""
+    return _five(spark, sf_dir).filter("state <> next_state").groupBy("state", "next_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def five_timed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events on one device, with delays: races of acknowledgements."""
+    return five.timed(d.presses(spark, sf_dir, one_device=True))
+
+
+# ---- seven-state machine ----
+
+_SEVEN_NEXT = {
+    "state": """CASE WHEN n.input = 'test' AND {s} = 'IDLE' AND {g} THEN CASE WHEN {c} THEN 'TEST_PASS' ELSE 'IDLE' END
+      WHEN n.input = 'enable' AND {s} = 'TEST_PASS' THEN 'ENABLED' WHEN n.input = 'ready' AND {s} = 'ENABLED' THEN 'READY'
+      WHEN n.input = 'launch' AND {s} = 'READY' THEN 'LAUNCHED' WHEN n.input IN ('lp_cancel', 'cu_cancel') AND {s} IN ('TEST_PASS', 'ENABLED', 'READY') THEN 'IDLE'
+      WHEN n.input = 'full_reset' THEN 'IDLE' ELSE {s} END""",
+    "igniter": """CASE WHEN n.input = 'igniter' AND {s} = 'IDLE' THEN NOT {g} WHEN n.input = 'full_reset' THEN false
+      WHEN n.input IN ('lp_cancel', 'cu_cancel') AND {s} IN ('TEST_PASS', 'ENABLED', 'READY') THEN false ELSE {g} END""",
+    "circuit": """CASE WHEN n.input = 'circuit' THEN n.arg WHEN n.input = 'full_reset' THEN true
+      WHEN n.input IN ('lp_cancel', 'cu_cancel') AND {s} IN ('TEST_PASS', 'ENABLED', 'READY') THEN true ELSE {c} END""",
+}
+_FIRST = {"s": "'IDLE'", "g": "false", "c": "true"}
+_LATER = {"s": "p.next_state", "g": "p.next_igniter", "c": "p.next_circuit"}
+_SEVEN = f"""
+inputs AS (
+  SELECT user_id AS device_id, ts, event_id AS seq, CASE event_type
+      WHEN 'signup' THEN CASE WHEN event_id % 8 < 5 THEN 'test' ELSE 'igniter' END WHEN 'view' THEN CASE WHEN event_id % 8 < 6 THEN 'enable' ELSE 'igniter' END
+      WHEN 'click' THEN 'ready' WHEN 'purchase' THEN 'launch'
+      WHEN 'error' THEN (['lp_cancel','cu_cancel','circuit','circuit','igniter','igniter','circuit','full_reset'])[event_id % 8 + 1] END AS input,
+    CASE WHEN event_type = 'error' AND event_id % 8 IN (2, 3, 6) THEN event_id % 8 <> 2 END AS arg FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts, seq)::INTEGER AS step FROM inputs),
+path(device_id, ts, seq, step, input, arg, state, igniter, circuit, next_state, next_igniter, next_circuit) AS (
+  SELECT device_id, ts, seq, step, input, arg, 'IDLE', false, true, {", ".join(x.format(**_FIRST) for x in _SEVEN_NEXT.values())} FROM numbered n WHERE step = 1
+  UNION ALL
+  SELECT n.device_id, n.ts, n.seq, n.step, n.input, n.arg, p.next_state, p.next_igniter, p.next_circuit, {", ".join(x.format(**_LATER) for x in _SEVEN_NEXT.values())}
+  FROM path p JOIN numbered n ON n.device_id = p.device_id AND n.step = p.step + 1)"""
+
+
+def _seven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seven.trajectory(d.inputs(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_SEVEN} SELECT device_id, count(*) AS n_events, arg_max(next_state, step) AS state, arg_max(next_igniter, step) AS igniter, arg_max(next_circuit, step) AS circuit FROM path GROUP BY device_id")
+def seven_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seven.final_state(_seven(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_SEVEN} SELECT * REPLACE (arg::VARCHAR AS arg) FROM path")
+def seven_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seven(spark, sf_dir).withColumn("arg", F.col("arg").cast("string"))
+
+
+_SEVEN_LOG = "CASE " + " ".join(
+    f"WHEN input = '{name}' AND ({condition}) THEN [" + ", ".join(f"{{'level': '{a}', 'msg': '{b}'}}" for a, b in texts) + "]" for name, condition, texts in seven.LOG_RULES
+) + " END"
+_LEVELS = "CASE level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in seven.LEVEL_COLOR.items()) + f" ELSE '{seven.LEVEL_COLOR['INFO']}' END"
+
+
+@query(f"""WITH RECURSIVE {_SEVEN}, rows AS (SELECT *, {_SEVEN_LOG} AS msgs FROM path),
+log AS (SELECT device_id, ts, seq, i::INTEGER - 1 AS log_seq, msgs[i].level AS level, msgs[i].msg AS msg FROM rows, unnest(range(1, len(msgs) + 1)) AS u(i))
+SELECT *, {_LEVELS} AS color FROM log""")
+def seven_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seven.event_log(_seven(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_SEVEN} SELECT device_id, step, next_state = 'IDLE' AS can_igniter, next_state = 'IDLE' AND next_igniter AS can_test, next_state = 'TEST_PASS' AS can_enable,
+  next_state = 'ENABLED' AS can_ready, next_state = 'READY' AS can_launch, next_state IN ('TESTING', 'TEST_PASS', 'ENABLED', 'READY') AS can_lp_cancel,
+  next_state IN ('TESTING', 'TEST_PASS', 'ENABLED', 'READY') AS can_cu_cancel FROM path""")
+def seven_buttons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seven(spark, sf_dir).select("device_id", "step", *seven.buttons(F.col("next_state"), F.col("next_igniter")))
+
+
+_BANNERS = ", ".join(f"('{s}', '{seven.DISPLAY[s]}', '{b[0]}', '{b[1]}', '{b[2]}')" for s, b in seven.BANNER.items())
+
+
+@query(f"""WITH RECURSIVE {_SEVEN}, dim(state, shown, bg, fg, hint) AS (VALUES {_BANNERS})
+SELECT device_id, step, coalesce(bg, '{seven.DEFAULT_BANNER[0]}') AS bg, coalesce(fg, '{seven.DEFAULT_BANNER[1]}') AS fg, coalesce('STATE: ' || upper(shown) || '   —   ' || hint, next_state) AS text
+FROM path LEFT JOIN dim ON dim.state = next_state""")
+def seven_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seven(spark, sf_dir).select("device_id", "step", *seven.banner(F.col("next_state")))
+
+
+@query(f"""WITH RECURSIVE {_SEVEN}, rows AS (SELECT unnest({_SEVEN_LOG}) AS r FROM path), log AS (SELECT r.level AS level FROM rows)
+SELECT level, {_LEVELS} AS color, count(*) AS n FROM log GROUP BY ALL""")
+def seven_log_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seven.event_log(_seven(spark, sf_dir)).groupBy("level", "color").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s(state, k) AS (VALUES ('IDLE', 0), ('TESTING', 1), ('TEST_PASS', 2), ('ENABLED', 3), ('READY', 4), ('LAUNCHING', 5), ('LAUNCHED', 6)), g(igniter) AS (VALUES (true), (false))
+SELECT state, igniter, CASE WHEN NOT igniter OR state = 'LAUNCHED' THEN NULL WHEN k BETWEEN 2 AND 5 THEN '#00ff44' ELSE '#ffdd00' END AS wire, k = 5 AS flame,
+  k >= 2 AS lpu_green, k >= 3 AS lpu_red, k >= 4 AS cu_red, k >= 6 AS cu_green FROM s, g""")
+def seven_wire_flame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([(s, g) for s in SEVEN_STATES for g in (True, False)], "state string, igniter boolean")
+    state, igniter = F.col("state"), F.col("igniter")
+    return pairs.select(state, igniter, seven.wire(state, igniter).alias("wire"), seven.flame(state).alias("flame"), *seven.lights(state))
+
+
+@query()
+def seven_timed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seven.timed(d.inputs(spark, sf_dir))
+
+
+# ---- motion ----
+
+_FRAMES = """
+frames(frame, vel, y) AS (SELECT 1, 0.0::DOUBLE + 0.4::DOUBLE, 220.0::DOUBLE - (0.0::DOUBLE + 0.4::DOUBLE)
+  UNION ALL SELECT frame + 1, vel + 0.4::DOUBLE, y - (vel + 0.4::DOUBLE) FROM frames WHERE y >= -150)"""
+
+
+@query(f"""WITH RECURSIVE {_FIVE}, {_FRAMES},
+edges AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY step) AS end_ts FROM path WHERE (state = 'LAUNCHED') <> (next_state = 'LAUNCHED')),
+starts AS (SELECT device_id, (row_number() OVER (PARTITION BY device_id ORDER BY step))::INTEGER AS launch_id, ts, end_ts FROM edges WHERE next_state = 'LAUNCHED')
+SELECT device_id, launch_id, frame, frame * 40 AS t_ms, vel, y, y >= -150 AS flame_on, true AS launched
+FROM starts, frames WHERE end_ts IS NULL OR frame * 40 <= epoch_ms(end_ts) - epoch_ms(ts)""")
+def kin_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kin.motion(kin.launches(_five(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {_FRAMES} SELECT frame, frame * 40 AS t_ms, vel, y FROM frames WHERE y < -150")
+def kin_stop_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = spark.range(1).select(F.element_at(kin.frames(), -1).alias("f"))
+    return last.select("f.frame", (F.col("f.frame") * kin.FRAME_MS).alias("t_ms"), "f.vel", "f.y")
+
+
+@query("SELECT event_id, strftime(ts, '%H:%M:%S') AS clock FROM events")
+def log_time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "HH:mm:ss").alias("clock"))
