@@ -33,6 +33,8 @@ LENGTH, GRAM = 200, 48
 SLOTS = 1 << 25
 #: Bytes of one text whose windows are taken at a time, and the most segments of an anchor that one task orders.
 PIECE, GROUP = 4 << 20, 1024
+#: Segments that are put in order together, on average.
+LOT = 2000
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -173,22 +175,34 @@ def factor_arrays(keys: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _suffix_groups(rows: pd.DataFrame) -> pd.DataFrame:
-    """All windows of the segments of one anchor: flags (1 earlier copy exists, 2 later) by runs of windows."""
-    out = []
+    """All windows of the segments of some anchors: runs of windows with their flags (1: an earlier copy
+    exists, 2: a later one). Equal windows have equal anchors, so one order serves all of them."""
     rows = rows.sort_values(["k1", "k2", "p"], ignore_index=True)
-    count = (rows["p"].to_numpy() % 256 + 1).astype(np.int64)
-    views = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(b, np.uint8), LENGTH) for b in rows["bytes"]]
+    place = rows["p"].to_numpy()
+    count = (place % 256 + 1).astype(np.int64)
+    data = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
+    base = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
     owner = np.repeat(np.arange(len(rows)), count)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    earlier, later = factor_arrays(np.concatenate(views), np.arange(len(owner)))
-    flags = earlier * 1 + later * 2
+    start = base[owner] + within
+    # windows whose hash occurs once have no copy here; the others are put in suffix order
+    hashes = Rolling(data).of(start, start + LENGTH)
+    order = np.argsort(hashes)
+    alike = hashes[order][1:] == hashes[order][:-1]
+    twice = np.zeros(len(start), bool)
+    twice[order[1:][alike]] = True
+    twice[order[:-1][alike]] = True
+    flags = np.zeros(len(start), np.int32)
+    at = np.flatnonzero(twice)
+    if len(at):
+        earlier, later = factor_arrays(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[start[at]], at)
+        flags[at] = earlier * 1 + later * 2
     edge = np.flatnonzero(np.concatenate(([True], (flags[1:] != flags[:-1]) | (owner[1:] != owner[:-1]))))
     size = np.diff(np.concatenate((edge, [len(flags)])))
     hit = flags[edge] > 0
-    at = owner[edge[hit]]
-    first = rows["p"].to_numpy()[at] // 256 + within[edge[hit]]
-    out = {"k1": rows["k1"].to_numpy()[at], "k2": rows["k2"].to_numpy()[at], "p": first * 256 + size[hit] - 1, "flags": flags[edge[hit]].astype(np.int32), "seg": rows["p"].to_numpy()[at]}
-    return pd.DataFrame(out)
+    row = owner[edge[hit]]
+    first = place[row] // 256 + within[edge[hit]]
+    return pd.DataFrame({"k1": rows["k1"].to_numpy()[row], "k2": rows["k2"].to_numpy()[row], "p": first * 256 + size[hit] - 1, "flags": flags[edge[hit]], "seg": place[row]})
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +234,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     pool = settle(kinds.join(anchors, "anchor").select("anchor", "kinds", "least.k1", "least.k2", "least.p"), "suffix-pool")
     pool = settle(_contexts(docs, pool), "suffix-contexts")
     part = "k1 long, k2 long, p long, flags int, seg long"
-    small = pool.filter(F.col("kinds") <= GROUP).select("anchor", "k1", "k2", "p", "bytes").groupBy("anchor").applyInPandas(_suffix_groups, part)
+    few = pool.filter(F.col("kinds") <= GROUP)
+    lots = max(1, few.count() // LOT)
+    small = few.select(F.pmod(F.xxhash64("anchor"), F.lit(lots)).alias("lot"), "k1", "k2", "p", "bytes").groupBy("lot").applyInPandas(_suffix_groups, part)
     each = pool.filter(F.col("kinds") > GROUP).select("k1", "k2", "p", "bytes").mapInArrow(_window_hashes, "k1 long, k2 long, seg long, w long, w1 long, w2 long")
     each = settle(each, "suffix-windows")
     spot = F.struct("k1", "k2", "w")
