@@ -2,10 +2,11 @@
 
 Documents with equal shingle sets are one vertex. A set's tokens (its shingles' hashes) are ordered,
 those that a first pass finds to be frequent last; of a set that may miss d tokens in a partner, the
-first d + EXTRA are its prefix, so partners share at least EXTRA tokens of their prefixes. A token that
-few prefixes hold (RARE) is indexed by itself; the others by pairs of tokens (long sets: singly, which
-finds more). A pair of partners then shares two rare-class tokens at least EXTRA - 1 times, or a
-signature of the frequent class. Candidates are verified on whole sets.
+first d + extra(d) are its prefix, so partners share at least that many tokens of their prefixes (the
+smaller set's number). A token that few prefixes hold (RARE) is indexed by itself; the others by pairs
+of tokens (long sets: singly, which finds more). Partners then share all but one of these tokens in the
+rare class, or a signature of the frequent class. Candidates are verified on whole sets: those of a
+small cluster together, those of a large one by pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from tesserine.llm.graph import components
 from tesserine.llm.textkit import Words, as_bytes, chunks
 
 U64 = np.uint64
-EXTRA = 4
 RARE = 32
+#: Sets whose candidates connect them are verified together up to this number.
+CLUSTER = 256
+#: Bytes of a token's hash that are shipped for verification.
+TOKEN = 6
 #: Sets that may miss fewer tokens index pairs of frequent tokens, others single ones.
 LONG = 30
 #: Slots in which frequent shingles are counted, and by which sets are picked: bits of a fixed-size table.
@@ -34,6 +38,12 @@ SLOTS = 1 << 22
 BLOCK, MINOR = 256, 2048
 
 
+def extra(misses: int) -> int:
+    """How many tokens a prefix is longer than the misses: the more, the fewer sets that share but a
+    passage become candidates."""
+    return 4 + misses // 6
+
+
 def prefix_of(tokens: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
     """The first tokens of a set in the common order: those that aren't late, by value, then the others.
 
@@ -43,7 +53,8 @@ def prefix_of(tokens: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
     n = len(tokens)
     if n * (100 - percent) < percent:
         return tokens[:0]
-    take = n - (percent * n + 99) // 100 + EXTRA
+    misses = n - (percent * n + 99) // 100
+    take = misses + extra(misses)
     prefix = tokens[~late][:take]
     return prefix if len(prefix) == take else np.concatenate((prefix, tokens[late][: take - len(prefix)]))
 
@@ -118,8 +129,8 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def sets_by_name(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted(v) -> v, sid, n, tokens (binary) of the sets with these short names, made from the texts
-    again. A bitmap of fixed size keeps most other sets from being shipped; a join drops the rest."""
+    """wanted(v, ...) -> v, sid, tokens (binary), ... of the sets with these short names, made from the
+    texts again. A bitmap of fixed size keeps most other sets from being shipped; the join drops the rest."""
     picked = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("v").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")), SLOTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,20 +138,30 @@ def sets_by_name(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             rows = []
             for s in sets_of(batch.column(0), size):
-                raw = s.tobytes()
-                sid = xxhash.xxh3_128_digest(raw)
+                sid = xxhash.xxh3_128_digest(s.tobytes())
                 v = short_name(sid)
                 if len(s) and bits[v & (SLOTS - 1)]:
-                    rows.append((v, sid, len(s), raw))
+                    rows.append((v, sid, pack_tokens(s)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["v", "sid", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["v", "sid", "tokens"])
+
+    made = docs.select(F.col("text").cast("string")).mapInArrow(run, "v long, sid binary, tokens binary")
+    return made.join(wanted, "v").dropDuplicates(["v", "sid"])
+
+
+def pack_tokens(s: np.ndarray) -> bytes:
+    """The high bytes of sorted hashes: two of a pair's many tokens agree by chance once in 2**48."""
+    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN :]).tobytes()
+
 
-    made = docs.select(F.col("text").cast("string")).mapInArrow(run, "v long, sid binary, n long, tokens binary")
-    return settle(made.join(wanted, "v", "left_semi").dropDuplicates(["sid"]), "jaccard-sets")
+def unpack_tokens(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // TOKEN, 8), np.uint8)
+    out[:, 8 - TOKEN :] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN)
+    return out.view("<u8")[:, 0]
 
 
 def _links(left: bytes, right: bytes, percent: int) -> bool:
-    a, b = np.frombuffer(left, U64), np.frombuffer(right, U64)
+    a, b = unpack_tokens(left), unpack_tokens(right)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -158,6 +179,49 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("sa", "sb", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+class Postings:
+    """For each token of some sets the sets that hold it."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        tokens = [unpack_tokens(t) for t in packed]
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        flat = np.concatenate(tokens) if tokens else np.zeros(0, U64)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(tokens)), self.size)[order]
+
+    def partners(self, packed: bytes, percent: int) -> list[int]:
+        own = unpack_tokens(packed)
+        lo, hi = np.searchsorted(self.flat, own), np.searchsorted(self.flat, own, "right")
+        n = hi - lo
+        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.bincount(self.owner[places], minlength=len(self.size))
+        return np.flatnonzero(100 * both >= percent * (self.size + len(own) - both)).tolist()
+
+
+def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(g, sid, tokens), of bounded clusters g: links (a, b) that connect what is connected."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sid, packed = rows["sid"].tolist(), rows["tokens"].tolist()
+        index, root, out = Postings(packed), list(range(len(sid))), []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, t in enumerate(packed):
+            for j in index.partners(t, percent):
+                a, b = top(i), top(j)
+                if a != b:
+                    root[a] = b
+                    out.append((sid[i], sid[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return sets.groupBy("g").applyInPandas(run, "a binary, b binary")
+
+
 def compare_groups(members: DataFrame, percent: int) -> DataFrame:
     """members(g, sid, tokens, minor, root): each minor member of a group against all its members, in
     blocks of bounded size -> links(a, b) that join different roots, one for each member and root in a block."""
@@ -173,19 +237,11 @@ def compare_groups(members: DataFrame, percent: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[bytes, bytes]] = []
         there = rows[~rows["asks"]]
-        tokens = [np.frombuffer(t, U64) for t in there["tokens"]]
-        size = np.array([len(t) for t in tokens], np.int64)
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, U64)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(tokens)), size)[order]
+        index = Postings(there["tokens"].tolist())
         sid, root = there["sid"].to_numpy(), there["root"].to_numpy()
         for r in rows[rows["asks"]].itertuples():
-            own = np.frombuffer(r.tokens, U64)
-            lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
-            places = np.repeat(lo, hi - lo) + np.arange(int((hi - lo).sum())) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-            both = np.bincount(owner[places], minlength=len(tokens))
             seen = {r.root}
-            for i in np.flatnonzero(100 * both >= percent * (size + len(own) - both)).tolist():
+            for i in index.partners(r.tokens, percent):
                 if root[i] not in seen:
                     seen.add(root[i])
                     out.append((r.sid, sid[i]))
@@ -195,11 +251,14 @@ def compare_groups(members: DataFrame, percent: int) -> DataFrame:
 
 
 def rare_pairs(held: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share EXTRA - 1 rare tokens of their prefixes; lists have RARE members at most."""
+    """Pairs (a, b) of sets that share all but one of extra() rare tokens of their prefixes; lists have RARE
+    members at most."""
     lists = held.filter(F.col("c") <= RARE).groupBy("t").agg(F.collect_list(F.struct("n", "v")).alias("m"))
     first = lists.select("m", F.explode("m").alias("x"))
     pairs = first.select("x", F.explode(F.filter("m", lambda y: (y > F.col("x")) & (F.col("x.n") * 100 >= y["n"] * percent))).alias("y"))
-    return pairs.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= EXTRA - 1).select("a", "b")
+    misses = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
+    counted = pairs.groupBy(F.col("x.v").alias("a"), F.col("x.n").alias("n"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    return counted.filter(F.col("shared") >= 3 + F.floor(misses / 6)).select("a", "b")
 
 
 def signatures(held: DataFrame, percent: int) -> DataFrame:
@@ -230,13 +289,22 @@ def find_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     stars = settle(marked.join(centres, "sig").filter("v <> centre.v").select(F.col("centre.v").alias("a"), F.col("v").alias("b"), F.col("centre.n").alias("na"), "n").distinct(), "jaccard-stars")
     close = F.least("na", "n") * 100 >= F.greatest("na", "n") * percent
     pairs = settle(rare_pairs(held, percent).union(stars.filter(close).select("a", "b")), "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).distinct()
-    sets = sets_by_name(docs, wanted, size)
-    links = settle(verify(pairs.distinct(), sets, percent), "jaccard-links")
+    edges = pairs.union(stars.select("a", "b"))
+    clusters = components(edges, "jaccard-clusters").select(F.col("node").alias("v"), F.col("root").alias("g"))
+    sizes = clusters.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    sized = settle(clusters.join(sizes, "g"), "jaccard-sized")
+    links = settle(link_clusters(sets_by_name(docs, sized.filter(F.col("m") <= CLUSTER).select("v", "g"), size), percent), "jaccard-links")
+    large = sized.filter(F.col("m") > CLUSTER).select("v")
+    if large.isEmpty():
+        return links
+    sets = settle(sets_by_name(docs, large, size), "jaccard-sets")
+    more = settle(verify(pairs.join(large.select(F.col("v").alias("a")), "a", "left_semi").select("a", "b").distinct(), sets, percent), "jaccard-more")
+    links = links.union(more)
+    stars = stars.join(large.select(F.col("v").alias("a")), "a", "left_semi")
     if stars.isEmpty():
         return links
     groups = components(stars.select("a", "b"), "jaccard-groups").select(F.col("node").alias("v"), F.col("root").alias("g"))
-    near = components(links, "jaccard-near").select(F.col("node").alias("sid"), "root")
+    near = components(more, "jaccard-near").select(F.col("node").alias("sid"), "root")
     slim = sets.select("v", "sid").join(groups, "v").join(near, "sid", "left").select("g", "sid", F.coalesce("root", "sid").alias("root"))
     slim = settle(slim, "jaccard-members")
     top = slim.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
