@@ -7,6 +7,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the grammar of number literals (sign, infinities, nan in any case, digits, exponent).
 NUMBER = r"^[+-]?(?:(?i:inf|infinity|nan)|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\z"
@@ -21,7 +22,7 @@ def parse_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), F.coalesce(special, text.try_cast("double")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fraction_text(values: pd.Series) -> pd.Series:
     def plain(x: float | None) -> str | None:
         if x is None:
