@@ -148,9 +148,9 @@ def unpack(shard: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
 class WordEncoder:
     """The tokenizers library over the different words of many texts.
 
-    What stands between white space is looked up; what is new is cut with the vocabulary's own pattern,
-    so that each word is a pre-token, and words that are new are handed over together, with spaces between, and the ids are dealt back by the ids that end a word. Where a
-    text has characters outside the Latin blocks (whose case and composition the normalizer may change
+    What stands between white space is looked up. What is new is cut with the vocabulary's own pattern,
+    so that each word is a pre-token; words that are new are handed over together, with spaces between,
+    and the ids are dealt back by those that end a word. Where a text has characters outside the Latin blocks (whose case and composition the normalizer may change
     in context), or a special token, the library gets the whole text.
     """
 

@@ -132,6 +132,8 @@ def fit_label_model(fires: np.ndarray, n: np.ndarray, labelled: np.ndarray, star
     total = max(float(n.sum() + labelled.sum()), 1.0)
     p = start.copy()
     model = LabelModel(0.5, np.full((2, fires.shape[1]), 0.5), np.ones(fires.shape[1]))
+    if not len(fires):
+        return model
     for _ in range(rounds):
         bad, good = n * p + labelled[:, 1], n * (1 - p) + labelled[:, 0]
         prior = float(np.clip(bad.sum() / total, 1e-4, 0.5))
