@@ -197,23 +197,64 @@ def _suffix_groups(rows: pd.DataFrame) -> pd.DataFrame:
     if len(at):
         earlier, later = factor_arrays(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[start[at]], at)
         flags[at] = earlier * 1 + later * 2
+    k1, k2, p, flags = _runs(rows["k1"].to_numpy(), rows["k2"].to_numpy(), (place // 256)[owner] + within, owner, flags)
+    return pd.DataFrame({"k1": k1, "k2": k2, "p": p, "flags": flags})
+
+
+WINDOW = "lot int, packed binary, k1 long, k2 long, p long, flags int"
+
+
+def _runs(k1: np.ndarray, k2: np.ndarray, at: np.ndarray, owner: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows for the flagged windows, those that follow one another in a segment as one."""
     edge = np.flatnonzero(np.concatenate(([True], (flags[1:] != flags[:-1]) | (owner[1:] != owner[:-1]))))
     size = np.diff(np.concatenate((edge, [len(flags)])))
     hit = flags[edge] > 0
-    row = owner[edge[hit]]
-    first = place[row] // 256 + within[edge[hit]]
-    return pd.DataFrame({"k1": rows["k1"].to_numpy()[row], "k2": rows["k2"].to_numpy()[row], "p": first * 256 + size[hit] - 1, "flags": flags[edge[hit]], "seg": place[row]})
+    row, first = owner[edge[hit]], at[edge[hit]]
+    return k1[row], k2[row], first * 256 + size[hit] - 1, flags[edge[hit]]
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of segments under very frequent anchors, named by 128 bits of its bytes."""
-    for batch in batches:
-        k1, k2, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        for i, raw in enumerate(batch.column(3).to_pylist()):
-            n = int(p[i]) % 256 + 1
-            names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[j : j + LENGTH]) for j in range(n)]), np.int64).reshape(-1, 2)
-            cols = [np.full(n, k1[i]), np.full(n, k2[i]), np.full(n, p[i]), p[i] // 256 + np.arange(n), np.ascontiguousarray(names[:, 0]), np.ascontiguousarray(names[:, 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "seg", "w", "w1", "w2"])
+def _ends_of_classes(lots: int):
+    """The windows of segments under very frequent anchors, named by 128 bits of their bytes. Of equal ones
+    in a batch all but the first and the last have an earlier and a later copy; only these two go on, packed
+    by lots of names, so a window that very many texts hold costs each batch two entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            texts = batch.column(3).to_pylist()
+            count = p % 256 + 1
+            owner = np.repeat(np.arange(len(p)), count)
+            at = (p // 256)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t[j : j + LENGTH]) for t, n in zip(texts, count.tolist(), strict=True) for j in range(n)]), np.int64).reshape(-1, 2)
+            order = np.lexsort((at, k2[owner], k1[owner], names[:, 1], names[:, 0]))
+            new = np.concatenate(([True], (names[order][1:] != names[order][:-1]).any(axis=1))) if len(order) else np.zeros(0, bool)
+            first, last = np.zeros(len(order), bool), np.zeros(len(order), bool)
+            first[order[new]] = True
+            last[order[np.concatenate((new[1:], [True])) if len(order) else new]] = True
+            a, b, runs, flags = _runs(k1, k2, at, owner, np.where(first | last, 0, 3))
+            none = pa.nulls(len(a), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), -1, np.int32)), none, pa.array(a), pa.array(b), pa.array(runs), pa.array(flags.astype(np.int32))], names=["lot", "packed", "k1", "k2", "p", "flags"])
+            ends = np.flatnonzero(first | last)
+            rows = np.stack([names[ends, 0], names[ends, 1], k1[owner[ends]], k2[owner[ends]], at[ends]], axis=1)
+            lot = (rows[:, 0].astype(U64) % U64(lots)).astype(np.int32)
+            held = np.unique(lot)
+            packed = [rows[lot == x].tobytes() for x in held.tolist()]
+            empty = [pa.nulls(len(held), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(packed, pa.binary()), *empty], names=["lot", "packed", "k1", "k2", "p", "flags"])
+
+    return run
+
+
+def _classes_of_lot(rows: pd.DataFrame) -> pd.DataFrame:
+    """Which of a lot's windows have earlier and later copies."""
+    w = np.frombuffer(b"".join(rows["packed"]), np.int64).reshape(-1, 5)
+    w = w[np.lexsort((w[:, 4], w[:, 3], w[:, 2], w[:, 1], w[:, 0]))]
+    full = (w[1:, :2] == w[:-1, :2]).all(axis=1)
+    flags = np.zeros(len(w), np.int32)
+    flags[1:][full] += 1
+    flags[:-1][full] += 2
+    hit = flags > 0
+    return pd.DataFrame({"k1": w[hit, 2], "k2": w[hit, 3], "p": w[hit, 4] * 256, "flags": flags[hit]})
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -233,16 +274,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     pool = settle(kinds.join(anchors, "anchor").select("anchor", "kinds", "least.k1", "least.k2", "least.p"), "suffix-pool")
     pool = settle(_contexts(docs, pool), "suffix-contexts")
-    part = "k1 long, k2 long, p long, flags int, seg long"
+    part = "k1 long, k2 long, p long, flags int"
     few = pool.filter(F.col("kinds") <= GROUP)
     lots = max(1, few.count() // LOT)
     small = few.select(F.pmod(F.xxhash64("anchor"), F.lit(lots)).alias("lot"), "k1", "k2", "p", "bytes").groupBy("lot").applyInPandas(_suffix_groups, part)
-    each = pool.filter(F.col("kinds") > GROUP).select("k1", "k2", "p", "bytes").mapInArrow(_window_hashes, "k1 long, k2 long, seg long, w long, w1 long, w2 long")
-    each = settle(each, "suffix-windows")
-    spot = F.struct("k1", "k2", "w")
-    classes = each.groupBy("w1", "w2").agg(F.min(spot).alias("least"), F.max(spot).alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    large = each.join(classes, ["w1", "w2"]).select("k1", "k2", (F.col("w") * 256).alias("p"), flags(spot == F.col("least"), spot == F.col("last")).cast("int").alias("flags"), "seg")
-    return whole.union(small.union(large).select("k1", "k2", "p", "flags"))
+    many = pool.filter(F.col("kinds") > GROUP).select("k1", "k2", "p", "bytes")
+    each = settle(many.mapInArrow(_ends_of_classes(max(1, many.count() // LOT)), WINDOW), "suffix-windows")
+    inner = each.filter("lot < 0").select("k1", "k2", "p", "flags")
+    ends = each.filter("lot >= 0").select("lot", "packed").groupBy("lot").applyInPandas(_classes_of_lot, part)
+    return whole.union(small).union(inner).union(ends)
 
 
 def _text_key(docs: DataFrame) -> tuple[Column, Column]:
