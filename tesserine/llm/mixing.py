@@ -51,6 +51,15 @@ def ticket(doc_id: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
 
 
+def _cut(rows: DataFrame, bucket: str) -> DataFrame:
+    """rows(_s, _need, _base, words, bucket): of each source the bucket in which _base and the words up to
+    it reach _need (_cut), and what comes before (_before)."""
+    run = Window.partitionBy("_s").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    reached = rows.withColumn("_upto", F.col("_base") + F.sum("words").over(run)).withColumn("_low", F.col("_upto") - F.col("words"))
+    at = reached.filter((F.col("_upto") >= F.col("_need")) & (F.col("_low") < F.col("_need")))
+    return at.groupBy("_s", "_need").agg(F.min(bucket).alias("_cut"), F.min_by("_low", bucket).alias("_before"))
+
+
 def repetitions(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget_share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", doc_id: str = "doc_id"
 ) -> DataFrame:
@@ -72,15 +81,12 @@ def repetitions(
     plan = water_fill(weigh(sources, weights), budget_share, max_epochs)
     plan = plan.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     plan = plan.withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size"))
-    run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = (
-        buckets.withColumn("_upto", F.sum("words").over(run))
-        .withColumnRenamed("source", "_s")
-        .join(plan.select(F.col("source").alias("_p"), "_need"), F.col("_s").eqNullSafe(F.col("_p")))
-        .filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("words") < F.col("_need")))
-        .groupBy("_s")
-        .agg(F.min("_bucket").alias("_cut"), F.min_by(F.col("_upto") - F.col("words"), "_bucket").alias("_before"))
-    )
+    need = plan.select(F.col("source").alias("_p"), "_need")
+    # where each source's words end: first among 256 coarse buckets, then among the 256 within that one
+    coarse = buckets.groupBy(F.col("source").alias("_s"), F.substring("_bucket", 1, BUCKET_DIGITS // 2).alias("_part")).agg(F.sum("words").alias("words"))
+    coarse = _cut(coarse.join(need, F.col("_s").eqNullSafe(F.col("_p"))).withColumn("_base", F.lit(0).cast("long")), "_part").select("_s", "_need", F.col("_cut").alias("_part"), F.col("_before").alias("_base"))
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.substring("_bucket", 1, BUCKET_DIGITS // 2) == F.col("_part"))
+    ends = _cut(buckets.join(coarse, same), "_bucket").select("_s", "_cut", "_before")
     plan = settle(
         plan.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left")
         .select(F.col("source").alias("_source"), "source_size", "target", "_whole", "_need", "_cut", "_before"),
