@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,10 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the table that reads it: lineage ends here,
-    so a lost executor costs a reread and not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    so a lost executor costs a reread and not a recomputation. What was shuffled for it isn't needed any
+    more; Spark removes such files when the driver collects its garbage, so that is asked for."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.settled_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(*cols: str) -> tuple[Column, Column]:

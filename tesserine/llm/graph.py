@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import settle
+from tesserine.llm.common import release, settle
+
+
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
@@ -17,6 +21,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     gathered by node. The rounds' tables go to the shared folder.
     """
     now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    mark = _digest(now)
     for i in range(1, rounds + 1):
         # large star: a node's larger neighbours go to the smallest of its neighbours and itself
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,10 +31,10 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         new = settle(small, f"{name}-{i}")
-        digest = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        done = digest(new) == digest(now)
+        was, mark = mark, _digest(new)
+        release(now)
         now = new
-        if done:
+        if mark == was:
             break
     else:
         raise RuntimeError("the components didn't settle")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import bitmap, bits_of, row_key, settle, table
+from tesserine.llm.common import bitmap, bits_of, release, row_key, settle, table
 from tesserine.llm.graph import components
 from tesserine.llm.textkit import Words, as_bytes, chunks
 
@@ -289,6 +289,7 @@ def find_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     stars = settle(marked.join(centres, "sig").filter("v <> centre.v").select(F.col("centre.v").alias("a"), F.col("v").alias("b"), F.col("centre.n").alias("na"), "n").distinct(), "jaccard-stars")
     close = F.least("na", "n") * 100 >= F.greatest("na", "n") * percent
     pairs = settle(rare_pairs(held, percent).union(stars.filter(close).select("a", "b")), "jaccard-pairs")
+    release(held)
     edges = pairs.union(stars.select("a", "b"))
     clusters = components(edges, "jaccard-clusters").select(F.col("node").alias("v"), F.col("root").alias("g"))
     sizes = clusters.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
@@ -298,7 +299,15 @@ def find_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     if large.isEmpty():
         return links
     sets = settle(sets_by_name(docs, large, size), "jaccard-sets")
-    more = settle(verify(pairs.join(large.select(F.col("v").alias("a")), "a", "left_semi").select("a", "b").distinct(), sets, percent), "jaccard-more")
+    # first one partner of each set; then only the candidates that these links leave in different components
+    inside = settle(pairs.join(large.select(F.col("v").alias("a")), "a", "left_semi").select("a", "b").distinct(), "jaccard-inside")
+    first = inside.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    more = settle(verify(first, sets, percent), "jaccard-more")
+    near = components(more, "jaccard-first").select(F.col("node").alias("sid"), "root")
+    named = sets.select("v", "sid").join(near, "sid", "left").groupBy("v").agg(F.min(F.coalesce("root", "sid")).alias("root"), F.count(F.lit(1)).alias("m"))
+    side = lambda v, r: named.select(F.col("v").alias(v), F.when(F.col("m") == 1, F.col("root")).alias(r))
+    apart = inside.join(side("a", "ra"), "a").join(side("b", "rb"), "b").filter("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")
+    more = settle(more.union(verify(apart.join(first, ["a", "b"], "left_anti"), sets, percent)), "jaccard-more")
     links = links.union(more)
     stars = stars.join(large.select(F.col("v").alias("a")), "a", "left_semi")
     if stars.isEmpty():
@@ -324,7 +333,11 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     base = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
     rows = sketch(base, size, percent)
     classes = settle(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("v").alias("v"), F.first("prefix").alias("prefix")), "jaccard-classes")
-    links = find_links(base, classes, size, percent)
+    fat, rows = rows, settle(rows.drop("prefix", "v"), "jaccard-rows")
+    release(fat)
+    links = settle(find_links(base, classes.select("v", "n", "prefix"), size, percent), "jaccard-all-links")
+    fat, classes = classes, settle(classes.select("sid", "least"), "jaccard-least")
+    release(fat)
     near = components(links, "jaccard-components")
     final = classes.select("sid", "least").join(near.select(F.col("node").alias("sid"), "root"), "sid", "left")
     final = final.withColumn("root", F.coalesce("root", "sid"))
