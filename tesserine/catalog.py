@@ -163,6 +163,15 @@ def five_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _five(spark, sf_dir)
 
 
+_ONE_DEVICE = _FIVE.replace("user_id AS device_id", "0::BIGINT AS device_id")
+
+
+@query(f"WITH RECURSIVE {_ONE_DEVICE} SELECT device_id, ts, seq, step, button, state, next_state FROM path")
+def five_hot_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events on one device, its days side by side."""
+    return five.trajectory(d.presses(spark, sf_dir, one_device=True), block="1 day")
+
+
 @query("""WITH s(state) AS (VALUES ('IDLE'), ('CIRCUIT_TESTED'), ('ENABLED'), ('READY'), ('LAUNCHED')), n(button) AS (VALUES ('test'), ('enable'), ('ready'), ('launch'), ('lpu_cancel'), ('cu_cancel'))
 SELECT s.state, n.button, """ + _FIVE_NEXT.format(s="s.state") + " AS next_state FROM s, n")
 def five_transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

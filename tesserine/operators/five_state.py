@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.schema import DELAYS_FIVE_MS, FIVE_STATES, FIVE_TRAJECTORY
+from tesserine.operators import scan
+from tesserine.schema import DELAYS_FIVE_MS, FIVE_STATES
 
 # Button -> (states in which it acts, state that follows), acknowledgements included.
 MOVES = {
@@ -53,19 +54,11 @@ def final_state(events: DataFrame) -> DataFrame:
     return folded.select("device_id", F.size("p").cast("long").alias("n_events"), F.aggregate("p", F.lit("IDLE"), lambda s, e: step(s, e["button"])).alias("state"))
 
 
-def trajectory(events: DataFrame) -> DataFrame:
-    """One row an event: step, state before and after. Linear in a device's events."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-        before, after, state = [], [], "IDLE"
-        for button in rows["button"]:
-            before.append(state)
-            state = move(state, button)
-            after.append(state)
-        return rows.assign(step=range(1, len(rows) + 1), state=before, next_state=after)[["device_id", "ts", "seq", "step", "button", "state", "next_state"]]
-
-    return events.select("device_id", "ts", "seq", "button").groupBy("device_id").applyInPandas(run, FIVE_TRAJECTORY)
+def trajectory(events: DataFrame, block: str | None = None) -> DataFrame:
+    """One row an event: step, state before and after. With `block` (a span of time) a device's blocks are
+    worked on side by side, for devices with very many events."""
+    out = scan.trajectory(events, FIVE_STATES, "IDLE", move, ["button"], block)
+    return out.withColumnsRenamed({"_before": "state", "_after": "next_state"})
 
 
 def acts() -> Column:

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.schema import DELAYS_SEVEN_MS, SEVEN_TRAJECTORY
+from tesserine.operators import scan
+from tesserine.schema import DELAYS_SEVEN_MS, SEVEN_STATES
 
 # Display texts, banners (background, foreground, hint), log and lamp colours.
 DISPLAY = {"IDLE": "Idle", "TESTING": "Testing Circuit", "TEST_PASS": "Test Passed", "ENABLED": "Launch Pad Enabled", "READY": "Ready to Launch", "LAUNCHING": "Launching", "LAUNCHED": "Launched!"}
@@ -99,22 +100,27 @@ def resolve(now: Now, name: str) -> Now:
     return now
 
 
-def trajectory(events: DataFrame) -> DataFrame:
-    """events(device_id, ts, seq, input, arg) -> one row an event with the state before and after; results
-    follow their press at once (sync mode)."""
+def _code(now: Now) -> str:
+    return f"{now[0]}/{now[1]:d}/{now[2]:d}"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-        now, before, after = ("IDLE", False, True), [], []
-        for name, arg in zip(rows["input"], rows["arg"], strict=True):
-            before.append(now)
-            now = resolve(press(now, name, arg), name)
-            after.append(now)
-        flat = pd.DataFrame([(*b, *a) for b, a in zip(before, after, strict=True)], columns=["state", "igniter", "circuit", "next_state", "next_igniter", "next_circuit"])
-        out = pd.concat([rows, flat], axis=1).assign(step=range(1, len(rows) + 1))
-        return out[[f.split(" ")[0] for f in SEVEN_TRAJECTORY.split(", ")]]
-
-    return events.select("device_id", "ts", "seq", "input", "arg").groupBy("device_id").applyInPandas(run, SEVEN_TRAJECTORY)
+
+CONFIGURATIONS = tuple(_code((s, g, c)) for s in SEVEN_STATES for g in (False, True) for c in (False, True))
+_DECODED = {_code((s, g, c)): (s, g, c) for s in SEVEN_STATES for g in (False, True) for c in (False, True)}
+
+
+def step(code: str, name: str, arg: bool | None) -> str:
+    """Press and result at once (sync mode), on coded configurations."""
+    return _code(resolve(press(_DECODED[code], name, arg), name))
+
+
+def trajectory(events: DataFrame, block: str | None = None) -> DataFrame:
+    """events(device_id, ts, seq, input, arg) -> one row an event with the state before and after; results
+    follow their press at once (sync mode). With `block` a device's blocks are worked on side by side."""
+    out = scan.trajectory(events, CONFIGURATIONS, _code(("IDLE", False, True)), step, ["input", "arg"], block)
+    for prefix, code in (("", "_before"), ("next_", "_after")):
+        part = F.split(code, "/")
+        out = out.withColumn(f"{prefix}state", part[0]).withColumn(f"{prefix}igniter", part[1] == "1").withColumn(f"{prefix}circuit", part[2] == "1")
+    return out.drop("_before", "_after")
 
 
 def timed(events: DataFrame) -> DataFrame:

@@ -12,5 +12,3 @@ DELAYS_FIVE_MS = {"test": 600, "ready": 400, "launch": 500}
 DELAYS_SEVEN_MS = {"test": 1400, "launch": 2200}
 
 BUTTON_EVENTS = T.StructType([T.StructField("device_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()), T.StructField("button", T.StringType())])
-FIVE_TRAJECTORY = "device_id long, ts timestamp_ntz, seq long, step int, button string, state string, next_state string"
-SEVEN_TRAJECTORY = "device_id long, ts timestamp_ntz, seq long, step int, input string, arg boolean, state string, igniter boolean, circuit boolean, next_state string, next_igniter boolean, next_circuit boolean"
