@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserine.llm.bpe import byte_names
 from tesserine.llm.common import partitions, settle, table
 from tesserine.llm.textkit import chunks
 
@@ -34,7 +35,7 @@ PERCENTILE = 0.9
 #: and entries of the table of known words before it starts anew.
 SHARD = 1 << 20
 TEXT = 4 << 20
-KNOWN = 300_000
+KNOWN = 600_000
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -53,7 +54,8 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     low = grid.min(axis=1) if count else np.zeros(0, np.int64)
     rest = grid - low[:, None]
     bits = bit_length(rest)
-    width = np.sort(bits, axis=1)[:, max(0, math.ceil(block * percentile) - 1)] if count else low
+    place = max(0, math.ceil(block * percentile) - 1)
+    width = np.partition(bits, place, axis=1)[:, place] if count else low
     over = bits > width[:, None]
     n_over = over.sum(axis=1)
     size = 7 + (width * block + 7) // 8 + 6 * n_over
@@ -160,6 +162,7 @@ class WordEncoder:
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -167,7 +170,14 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = spec["pre_tokenizer"]["pretokenizers"] if spec["pre_tokenizer"]["type"] == "Sequence" else [spec["pre_tokenizer"]]
-        self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split"))
+        self.pattern = self._plain(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split"))
+        # words are pre-tokens in the byte alphabet already: the same model without what comes before it
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.normalizer = None
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        self.names = {b: c for b, c in byte_names().items() if b != 0x20}
         self.special = [t["content"] for t in spec["added_tokens"]]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -176,11 +186,20 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}  # by word
         self.chunks: dict[str, bytes] = {}  # by what stands between white space
 
+    @staticmethod
+    def _plain(pattern: str) -> re.Pattern:
+        """The pattern for the Latin blocks, with their letters, numbers and white space spelled out."""
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            found = regex.compile(name)
+            pattern = pattern.replace(name, "".join(re.escape(chr(c)) for c in range(0x250) if found.match(chr(c))))
+        return re.compile(pattern)
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        ids = self._whole([" ".join(words)])[0]
+        text = " ".join(words).encode().decode("latin-1").translate(self.names)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(cuts) == len(words) and cuts[-1] == len(ids):
             raw = ids.tobytes()
@@ -196,7 +215,7 @@ class WordEncoder:
         cut = [self._space.split(t.lower()) if ok else None for t, ok in zip(texts, plain, strict=True)]
         chunks_, known = self.chunks, self.known
         new = list({c: None for row in cut if row for c in row if c not in chunks_})
-        words = [self.pattern.findall(c) for c in new]
+        words = [[c] if c.isalpha() else self.pattern.findall(c) for c in new]
         unknown = list({w: None for row in words for w in row if w not in known})
         for i in range(0, len(unknown), 4096):
             self._learn(unknown[i : i + 4096])
