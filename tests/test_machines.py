@@ -115,3 +115,15 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     got = {tuple(map(str, (r["device_id"], r["at"], r["kind"], r["name"], r["state"], r["next_state"]))) for r in spark.sql("SELECT * FROM out WHERE device_id < 9").collect()}
     assert got == want
+
+
+def test_blocks_of_time_give_the_same_rows(spark):
+    rows = [(i * 700_000, FIVE_BUTTONS[(i * 7 + i // 5) % 6]) for i in range(200)]
+    df = events(spark, rows)
+    key = lambda path: sorted(map(tuple, path.select("step", "seq", "state", "next_state").collect()))
+    assert key(five.trajectory(df, block="1 hour")) == key(five.trajectory(df))
+    names = ("igniter", "test", "enable", "ready", "launch", "lp_cancel", "circuit", "full_reset")
+    rows = [(i * 700_000, names[(i * 5 + i // 7) % 8], i % 3 > 0 if (i * 5 + i // 7) % 8 == 6 else None) for i in range(200)]
+    df = events(spark, rows, SEVEN)
+    key = lambda path: sorted(map(tuple, path.select("step", "seq", "state", "igniter", "circuit", "next_state", "next_igniter", "next_circuit").collect()))
+    assert key(seven.trajectory(df, block="1 hour")) == key(seven.trajectory(df))
