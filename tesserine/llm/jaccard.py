@@ -27,7 +27,7 @@ from tesserine.llm.textkit import Words, as_bytes, chunks
 U64 = np.uint64
 RARE = 32
 #: Sets whose candidates connect them are verified together up to this number.
-CLUSTER = 256
+CLUSTER = 128
 #: Bytes of a token's hash that are shipped for verification.
 TOKEN = 6
 #: Sets that may miss fewer tokens index pairs of frequent tokens, others single ones.
@@ -35,7 +35,7 @@ LONG = 30
 #: Slots in which frequent shingles are counted, and by which sets are picked: bits of a fixed-size table.
 SLOTS = 1 << 22
 #: Members in a block when a large group is compared, of all and of those not yet linked.
-BLOCK, MINOR = 256, 2048
+BLOCK, MINOR = 128, 512
 
 
 def extra(misses: int) -> int:
