@@ -35,7 +35,7 @@ LONG = 30
 #: Slots in which frequent shingles are counted, and by which sets are picked: bits of a fixed-size table.
 SLOTS = 1 << 22
 #: Members in a block when a large group is compared, of all and of those not yet linked.
-BLOCK, MINOR = 128, 512
+BLOCK, MINOR = 256, 1024
 
 
 def extra(misses: int) -> int:
@@ -225,14 +225,18 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
 def compare_groups(members: DataFrame, percent: int) -> DataFrame:
     """members(g, sid, tokens, minor, root): each minor member of a group against all its members, in
     blocks of bounded size -> links(a, b) that join different roots, one for each member and root in a block."""
-    sized = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("minor"), 1)).alias("minors"))
+    # partners' sizes differ by one band at most, so a member only asks in its own band and the next ones
+    band = F.floor(F.log((F.octet_length("tokens") / TOKEN).cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
+    there = members.withColumn("band", band)
+    asking = there.filter("minor").select("g", "sid", "tokens", "root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    sized = there.groupBy("g", "band").agg(F.count(F.lit(1)).alias("m")).join(asking.groupBy("g", "band").agg(F.count(F.lit(1)).alias("minors")), ["g", "band"])
     blocks = lambda n, size: F.ceil(F.col(n) / F.lit(size)).cast("int")
-    dealt = members.join(sized.withColumn("nb", blocks("m", BLOCK)).withColumn("nm", blocks("minors", MINOR)), "g")
+    sized = settle(sized.select("g", "band", blocks("m", BLOCK).alias("nb"), blocks("minors", MINOR).alias("nm")), "jaccard-blocks")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
-    cols = ["g", "sid", "tokens", "root"]
-    major = dealt.select(*cols, of("nb").alias("x"), spread("nm").alias("y"), F.lit(False).alias("asks"))
-    minor = dealt.filter("minor").select(*cols, spread("nb").alias("x"), of("nm").alias("y"), F.lit(True).alias("asks"))
+    cols = ["g", "band", "sid", "tokens", "root"]
+    major = there.join(sized, ["g", "band"]).select(*cols, of("nb").alias("x"), spread("nm").alias("y"), F.lit(False).alias("asks"))
+    minor = asking.join(sized, ["g", "band"]).select(*cols, spread("nb").alias("x"), of("nm").alias("y"), F.lit(True).alias("asks"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[bytes, bytes]] = []
@@ -247,7 +251,7 @@ def compare_groups(members: DataFrame, percent: int) -> DataFrame:
                     out.append((r.sid, sid[i]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return major.union(minor).groupBy("g", "x", "y").applyInPandas(run, "a binary, b binary")
+    return major.union(minor).groupBy("g", "band", "x", "y").applyInPandas(run, "a binary, b binary")
 
 
 def rare_pairs(held: DataFrame, percent: int) -> DataFrame:
