@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import settle, table
+from tesserine.llm.common import row_key, settle, table
 
 # Fixed value: insults that the lexicon voters start from.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser")
@@ -74,12 +74,13 @@ def induce_lexicon(docs: DataFrame, labels: DataFrame, seeds: tuple[str, ...] =
 
 
 def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, f (array of double: what the linear classifier sees), votes (bits)."""
+    """doc_id, _k1, _k2 (row key), f (array of double: what the linear classifier sees), votes (bits)."""
+    k1, k2 = row_key("doc_id", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = "|".join(sorted(map(_quoted, lexicon.words), key=len, reverse=True)) or r"\b\B"
     stems = "|".join(sorted(map(_quoted, lexicon.stems), key=len, reverse=True)) or r"\b\B"
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}})((?:{words})(?!\p{{L}})|(?:{stems})\p{{L}}*)"), F.lit(1))
-    seen = docs.select("doc_id", found.alias("hits"), F.greatest(F.length(text), F.lit(1)).alias("chars"), text.rlike(r"!{2,}|\?!|!\?").alias("loud"))
+    seen = docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), found.alias("hits"), F.greatest(F.length(text), F.lit(1)).alias("chars"), text.rlike(r"!{2,}|\?!|!\?").alias("loud"))
     plain = F.array(*map(F.lit, lexicon.words)).cast("array<string>")
     seen = seen.withColumn("w", F.filter("hits", lambda h: F.array_contains(plain, h))).withColumn("s", F.filter("hits", lambda h: ~F.array_contains(plain, h)))
     kinds, stem_kinds = F.size(F.array_distinct("w")), F.size(F.array_distinct("s"))
@@ -91,7 +92,7 @@ def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     votes = sum((F.when(x, F.lit(1 << i)).otherwise(0) for i, x in enumerate([*lists, *patterns])), F.lit(0)).cast("long")
     rate = lambda x: F.log1p(x * 1000.0 / F.greatest(F.col("chars"), F.lit(100)))
     values = [F.log1p(F.size("w")), F.log1p(kinds), rate(F.size("w")), F.log1p(F.size("s")), F.log1p(stem_kinds), rate(F.size("s")), dense, F.size("w") > 0, F.col("loud")]
-    return seen.select("doc_id", F.array(*[v.cast("double") for v in values]).alias("f"), votes.alias("votes"))
+    return seen.select("doc_id", "_k1", "_k2", F.array(*[v.cast("double") for v in values]).alias("f"), votes.alias("votes"))
 
 
 def _equal(word: str, hit: Column) -> Column:
@@ -169,9 +170,9 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int =
     return w, mean, scale
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...), labels(doc_id, toxic) -> doc_id, held_out, score, predicted; one row a
-    row of docs.
+def score_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...), labels(doc_id, toxic) -> doc_id, _k1, _k2 (row key), held_out, score,
+    predicted; one row a row of docs.
 
     Words and the label model's priors are learned from labels of documents that aren't held out; the
     label model also sees the votes on all other documents. Null or empty text scores as a text without
@@ -201,14 +202,20 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for i, s in enumerate(slope.tolist()):
             linear = linear + F.col("f")[i] * F.lit(s)
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))
-    return slim.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return slim.select("doc_id", "_k1", "_k2", held_out(F.col("doc_id")).alias("held_out"), p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """score_rows without the row key."""
+    return score_rows(docs, labels).drop("_k1", "_k2")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that are predicted to be toxic. Repeated rows share one verdict; of rows
-    with equal doc_id and different texts all go if one is toxic."""
-    bad = score(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows that are predicted to be toxic. Repeated rows share one verdict; rows with
+    equal (or null) doc_id and different texts have their own."""
+    bad = score_rows(docs, labels).filter("predicted = 1").select(F.col("_k1").alias("_bad1"), F.col("_k2").alias("_bad2")).distinct()
+    k1, k2 = row_key("doc_id", "text")
+    return docs.join(bad, (k1 == F.col("_bad1")) & (k2 == F.col("_bad2")), "left_anti")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,15 @@ def test_toxicity_on_held_out_labels(spark, hard, empty):
     assert 2 in [r["doc_id"] for r in kept.collect()] and kept.columns == ["doc_id", "text"]
 
 
+def test_toxic_rows_go_alone(spark):
+    """A toxic text takes no clean text of the same, or of no, doc_id with it."""
+    bad, fine = "you idiot, you stupid moron scum", "a fine day on the river"
+    rows = [(None, bad), (None, fine), (7, bad), (7, fine), (8, fine), (None, None), (9, bad), (9, bad)] + [(20 + i, f"{fine} {i}") for i in range(20)]
+    labels = spark.createDataFrame([(9, 1)] + [(20 + i, 0) for i in range(20)], "doc_id long, toxic int")
+    kept = toxicity.reject_toxic(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(r for r in rows if r[1] != bad)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(4)
     y = rng.random(20_000) < 0.2
