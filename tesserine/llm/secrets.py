@@ -14,6 +14,8 @@ HEX = r"[0-9a-f]{16,}"
 VENDOR = r"gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 KINDS = ("assign", "access", "hex", "vendor")
 BASE = KINDS[:3]
+#: A value in more different texts than this is a copied example, however few sources they have.
+MAX_REPOSITORIES = 8
 SPAN = "array<struct<start:int,k:int,end:int,value:string>>"
 
 
@@ -53,35 +55,39 @@ def live_looking(value: Column) -> Column:
     return varied & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("(?i)example|changeme|placeholder|dummy|your_|xxxx")
 
 
-def ownership(found: DataFrame, max_owners: int = 2) -> DataFrame:
+def ownership(found: DataFrame, max_owners: int = 2, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """found(fingerprint, owner, repository, looks) -> one row a fingerprint: n_owners, n_repositories,
-    and verdict: `example` (more than max_owners owners carry it, or it looks like a placeholder) or `live`.
+    and verdict: `live`, or `example` (more than max_owners owners carry it, more than max_repositories
+    repositories hold it, or it looks like a placeholder).
 
-    Rows are first counted by (fingerprint, owner, repository) on the map side, so one string that a
-    third of all documents carry costs each task one row.
+    A repository that several owners have a copy of counts for the first of them only, so copies alone
+    make no owners. Rows are first counted by (fingerprint, repository, owner) on the map side, so one
+    string that a third of all documents carry is merged before it is dealt by fingerprint.
     """
-    seen = found.groupBy("fingerprint", "owner", "repository").agg(F.max("looks").alias("looks"))
-    counted = seen.groupBy("fingerprint").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories"), F.max("looks").alias("looks"))
-    verdict = F.when(F.col("looks") & (F.col("n_owners") <= max_owners), "live").otherwise("example")
-    return counted.withColumn("verdict", verdict)
+    first = found.groupBy("fingerprint", "repository").agg(F.min("owner").alias("owner"), F.max("looks").alias("looks"))
+    each = first.groupBy("fingerprint", "owner").agg(F.count(F.lit(1)).alias("n"), F.max("looks").alias("looks"))
+    counted = each.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"), F.max("looks").alias("looks"))
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    return counted.withColumn("verdict", F.when(F.col("looks") & few, "live").otherwise("example"))
 
 
-def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, max_owners: int = 2, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """docs(doc_id, text, ...) -> one row a document: doc_id, _k1, _k2 (row key), base (spans),
     live (spans whose value belongs to few owners), n_example, added (vendor spans that are live).
 
-    The owner defaults to `source`, the repository to source and language. A value in more owners'
-    documents than max_owners is a copied example. Null owners count as one owner. Repeated rows get
-    equal results; null or empty text has no spans; an empty table gives no rows.
+    The owner defaults to `source`, the repository to the text itself (by 128 bits): copies of a document
+    are one repository. A value in more owners' repositories than max_owners, or in more repositories than
+    max_repositories, is a copied example. Null owners count as one owner. Repeated rows get equal results;
+    null or empty text has no spans; an empty table gives no rows.
     """
     owner = F.col("source") if owner is None else owner
-    repository = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))) if repository is None else repository
+    repository = F.struct(*row_key("text")) if repository is None else repository
     k1, k2 = row_key("doc_id", "text")
     slim = docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), repository.alias("repository"), "text")
     slim = settle(candidates(slim).drop("text"), "secret-spans")
     each = slim.filter((F.size("base") > 0) | (F.size("vendor") > 0)).select("_k1", "_k2", "owner", "repository", F.explode(F.concat("base", "vendor")).alias("s"))
     each = each.withColumn("fingerprint", F.unhex(F.sha2(F.col("s.value"), 256))).withColumn("looks", live_looking(F.col("s.value")))
-    verdicts = ownership(each.select("fingerprint", "owner", "repository", "looks"), max_owners).select("fingerprint", "verdict")
+    verdicts = ownership(each.select("fingerprint", "owner", "repository", "looks"), max_owners, max_repositories).select("fingerprint", "verdict")
     judged = each.join(verdicts, "fingerprint").select("_k1", "_k2", "s", (F.col("verdict") == "live").alias("is_live"))
     # rows that are repeated share a key: a set, so that they don't multiply
     by_row = judged.groupBy("_k1", "_k2").agg(

@@ -313,6 +313,19 @@ def test_ownership_separates_copies_from_live(spark):
     assert text[9] == "here password: <secret> gh <secret>" and text[0] == f"{copied} at 0" and text[10] is None
 
 
+def test_both_counts_decide(spark):
+    """An example in many texts of one source; live keys in one document, and in a document that four sources copy."""
+    example, once, copied = "token = Abcdefgh12345678xyz", "password: Qw9mZ2kLp0vRt7", "api_key = Zk4Tq8Wn1Ls6Vb3"
+    rows = [(i, f"{example} at {i} ghp_{'b2C3' * 8}", "en", "hot") for i in range(40)] + [(50, f"here {once}", "en", "hot")]
+    rows += [(60 + i, f"a note with {copied}", "en", f"s{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert all(not found[i]["live"] and not found[i]["added"] for i in range(40)) and found[0]["n_example"] == 2
+    assert len(found[50]["live"]) == 1 and all(len(found[60 + i]["live"]) == 1 for i in range(4))
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert text[0] == rows[0][1] and text[50] == "here password: <secret>" and text[63] == "a note with api_key = <secret>"
+
+
 # ---- Jaccard join ----
 
 
