@@ -112,11 +112,17 @@ SELECT doc_id, eq_idx, a || ' ' || sign || ' ' || b || ' = ' || CASE WHEN sign I
   WHEN sign = '+' THEN (a + b)::VARCHAR WHEN sign = '-' THEN (a - b)::VARCHAR WHEN sign = '*' THEN (a * b)::VARCHAR
   WHEN sign = '%' THEN (a % b)::VARCHAR ELSE floor(a::DOUBLE / b)::BIGINT::VARCHAR END AS line FROM vals""")
 def calc_pipeline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all equations but divisions (whose results have fractions: calc_result_display)."""
+    """Lines of all equations but divisions (whose results have fractions: calc_all_lines has them)."""
     rows = eq.evaluate(_parsed(spark, sf_dir)).filter("err_stage = 'parse' OR op <> '/'")
     return eq.render(rows, whole_text).select("doc_id", "eq_idx", "line")
 
 
+@query()
+def calc_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run: lines of all equations, divisions and zero divisors included, with the text of fractions."""
+    return eq.run(d.documents(spark, sf_dir)).select("doc_id", "eq_idx", "line")
+
+
 @query(f"WITH {_DOCS} SELECT doc_id, count(*) AS n_equations, bool_or(err_kind IS NULL) AS any_valid FROM parsed GROUP BY doc_id")
 def calc_document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.gate(d.documents(spark, sf_dir))
@@ -211,8 +217,11 @@ def five_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_FIVE} SELECT state, next_state, count(*) AS n FROM path WHERE state <> next_state GROUP BY ALL")
 def five_transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed transitions; those that aren't declared would be left by the anti join of the test."""
-    return _five(spark, sf_dir).filter("state <> next_state").groupBy("state", "next_state").agg(F.count(F.lit(1)).alias("n"))
+    """Observed transitions, counted; one that isn't declared stops the query (see undeclared)."""
+    seen = five.transitions(_five(spark, sf_dir))
+    wrong = five.undeclared(seen).select("state", "next_state", F.lit(True).alias("wrong"))
+    failed = F.raise_error(F.concat(F.lit("undeclared transition: "), "state", F.lit(" to "), "next_state")).cast("long")
+    return seen.join(F.broadcast(wrong), ["state", "next_state"], "left").select("state", "next_state", F.when(F.col("wrong"), failed).otherwise(F.col("n")).alias("n"))
 
 
 @query()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators import scan
-from tesserine.schema import DELAYS_FIVE_MS, FIVE_STATES
+from tesserine.schema import DELAYS_FIVE_MS, FIVE_DECLARED, FIVE_STATES
 
 # Button -> (states in which it acts, state that follows), acknowledgements included.
 MOVES = {
@@ -66,6 +66,18 @@ def acts() -> Column:
     return F.exists(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(s).alias("s")) for b, (froms, _) in MOVES.items() for s in froms]), lambda x: (x["b"] == F.col("button")) & (x["s"] == F.col("state")))
 
 
+def transitions(path: DataFrame) -> DataFrame:
+    """Trajectory -> state, next_state, n: the changes of state, counted."""
+    return path.filter("state <> next_state").groupBy("state", "next_state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def undeclared(seen: DataFrame) -> DataFrame:
+    """The rows of transitions() that the declared adjacency doesn't have."""
+    pairs = [(a, b) for a, to in FIVE_DECLARED.items() for b in to]
+    declared = seen.sparkSession.createDataFrame(pairs, "state string, next_state string")
+    return seen.join(F.broadcast(declared), ["state", "next_state"], "left_anti")
+
+
 def event_log(path: DataFrame) -> DataFrame:
     """Trajectory -> device_id, ts, seq, log_seq, msg, line."""
     texts = F.create_map(*[x for b, m in MESSAGES.items() for x in (F.lit(b), F.array(*map(F.lit, m)))])

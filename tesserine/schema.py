@@ -5,6 +5,8 @@ from pyspark.sql import types as T
 # Operators, states and inputs of the behaviour that is rebuilt here.
 OPERATORS = ("+", "-", "*", "/", "%", "//")
 FIVE_STATES = ("IDLE", "CIRCUIT_TESTED", "ENABLED", "READY", "LAUNCHED")
+# Fixed value: the declared adjacency of the five states.
+FIVE_DECLARED = {"IDLE": ("CIRCUIT_TESTED",), "CIRCUIT_TESTED": ("ENABLED", "IDLE"), "ENABLED": ("READY", "IDLE"), "READY": ("LAUNCHED", "IDLE"), "LAUNCHED": ("IDLE",)}
 FIVE_BUTTONS = ("test", "enable", "ready", "launch", "lpu_cancel", "cu_cancel")
 SEVEN_STATES = ("IDLE", "TESTING", "TEST_PASS", "ENABLED", "READY", "LAUNCHING", "LAUNCHED")
 SEVEN_INPUTS = ("igniter", "test", "enable", "ready", "launch", "lp_cancel", "cu_cancel", "circuit", "full_reset")

@@ -1,14 +1,18 @@
 import math
 import os
+import re
+from decimal import Decimal
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tesserine import sinks
+from tesserine import catalog, sinks
 from tesserine.functions.numbers import number_text, parse_number
 from tesserine.operators import equations as eq
+from tesserine.plans import derived
 from tesserine.sources.inputs import InputError, NoValidEquations, resolve_input
 
 
@@ -44,6 +48,34 @@ def test_lines(spark):
     assert lines(spark, *[c[0] for c in CASES]) == [x for c in CASES for x in c[1]]
 
 
+def shown(x):
+    return str(int(x)) if x == int(x) else format(Decimal(repr(x)), "f")
+
+
+def brute_lines(raw):
+    tokens = [t for t in re.split(r"[,\s]+", raw) if t]
+    for i in range(0, len(tokens), 3):
+        c = tokens[i : i + 3]
+        if len(c) < 3:
+            error = f"error: expected 3 tokens but got {len(c)}: '{' '.join(c)}'"
+        elif c[1] == "^":
+            error = "error: '^' is not a recognized operator"
+        else:
+            a, b = float(c[0]), float(c[2])
+            does = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: math.fmod(a, b), "//": lambda: math.floor(a / b)}
+            value = "error: division by zero" if b == 0 and c[1] in ("/", "%", "//") else shown(does[c[1]]())
+            yield f"{shown(a)} {c[1]} {shown(b)} = {value}"
+            continue
+        yield f"{error} = {error}"
+
+
+def test_all_lines_against_brute_force(spark):
+    docs = derived.documents(spark, SF).collect()
+    want = sorted((r["doc_id"], i, x) for r in docs for i, x in enumerate(brute_lines(r["raw"])))
+    got = sorted(map(tuple, catalog.QUERIES["calc_all_lines"](spark, SF).collect()))
+    assert got == want and any(" / 0 = error" in x for _, _, x in got) and any(" / " in x and "." in x for _, _, x in got)
+
+
 def test_null_text_and_gate(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "foo ^ bar"), (4, "1 + 2 x + y")], "doc_id long, raw string")
     assert {r["doc_id"]: (r["n_equations"], r["any_valid"]) for r in eq.gate(docs).collect()} == {1: (0, False), 2: (0, False), 3: (1, False), 4: (2, True)}

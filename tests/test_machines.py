@@ -2,7 +2,10 @@ import datetime as dt
 import time
 
 import pandas as pd
+import pytest
+from conftest import SF
 
+from tesserine import catalog
 from tesserine.operators import five_state as five
 from tesserine.operators import kinematics as kin
 from tesserine.operators import seven_state as seven
@@ -51,6 +54,18 @@ def test_timer_races(spark):
     assert timed(spark, [(0, "test"), (10, "lpu_cancel")])[-1] == ("ack", "test", "IDLE", "CIRCUIT_TESTED")
 
 
+def test_undeclared_transitions(spark):
+    seen = [("IDLE", "CIRCUIT_TESTED", 3), ("READY", "IDLE", 1), ("IDLE", "LAUNCHED", 2), ("LAUNCHED", "READY", 1)]
+    left = five.undeclared(spark.createDataFrame(seen, "state string, next_state string, n long")).collect()
+    assert sorted(map(tuple, left)) == [("IDLE", "LAUNCHED", 2), ("LAUNCHED", "READY", 1)]
+
+
+def test_transition_check_stops_at_an_undeclared_one(spark, monkeypatch):
+    monkeypatch.setitem(five.FIVE_DECLARED, "IDLE", ())
+    with pytest.raises(Exception, match="undeclared transition: IDLE to CIRCUIT_TESTED"):
+        catalog.five_transition_check(spark, SF).collect()
+
+
 def test_motion(spark):
     rows = [(i * 5000, b) for i, b in enumerate(("test", "enable", "ready", "launch"))]
     frames = kin.motion(kin.launches(five.trajectory(events(spark, rows)))).orderBy("frame").collect()
