@@ -48,15 +48,15 @@ def move(state: str, button: str) -> str:
 
 
 def final_state(events: DataFrame) -> DataFrame:
-    """events(device_id, ts, seq, button) -> device_id, n_events, state. One fold in the JVM."""
-    presses = F.array_sort(F.collect_list(F.struct("ts", "seq", "button")))
-    folded = events.groupBy("device_id").agg(presses.alias("p"))
-    return folded.select("device_id", F.size("p").cast("long").alias("n_events"), F.aggregate("p", F.lit("IDLE"), lambda s, e: step(s, e["button"])).alias("state"))
+    """events(device_id, ts, seq, button) -> device_id, n_events, state. A fold in the JVM; devices with very
+    many events go by blocks."""
+    fold = lambda p: F.aggregate(p, F.lit("IDLE"), lambda s, e: step(s, e["button"]))
+    return scan.final(events, FIVE_STATES, "IDLE", move, ["button"], fold)
 
 
 def trajectory(events: DataFrame, block: str | None = None) -> DataFrame:
-    """One row an event: step, state before and after. With `block` (a span of time) a device's blocks are
-    worked on side by side, for devices with very many events."""
+    """One row an event: step, state before and after. Devices with very many events are worked on in
+    blocks, side by side; with `block` (a span of time) all are."""
     out = scan.trajectory(events, FIVE_STATES, "IDLE", move, ["button"], block)
     return out.withColumnsRenamed({"_before": "state", "_after": "next_state"})
 
@@ -89,15 +89,7 @@ def timed(events: DataFrame) -> DataFrame:
     """One row a press and one an acknowledgement that came due: kind, at, state before and after. Those
     still pending after the last press come at their times."""
     schema = "device_id long, step int, at timestamp_ntz, kind string, name string, state string, next_state string"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"], kind="stable")
-        machine = Timed()
-        out = [r for e in rows.itertuples() for r in machine.press(e.ts, e.button)] + machine.rest()
-        made = pd.DataFrame(out, columns=["at", "kind", "name", "state", "next_state"])
-        return made.assign(device_id=rows["device_id"].iloc[0], step=range(1, len(made) + 1))[["device_id", "step", "at", "kind", "name", "state", "next_state"]]
-
-    return events.select("device_id", "ts", "seq", "button").groupBy("device_id").applyInPandas(run, schema)
+    return scan.timed(events, FIVE_STATES, "IDLE", Timed, ["button"], max(DELAYS_FIVE_MS.values()), schema)
 
 
 class Timed:

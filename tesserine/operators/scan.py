@@ -3,73 +3,168 @@
 What a block of events does to a machine with few states is a map from the state before to the state
 after, and such maps compose. So the blocks of one device are worked on side by side: first each
 block's map, then the state that each block begins with (a fold over the maps, one entry a block),
-then the rows of each block from there. No task holds more of a device than a block.
+then the rows of each block from there. Devices with few events are one block, and need no map.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-def _blocks(events: DataFrame, block: str) -> DataFrame:
-    return events.withColumn("_block", F.window("ts", block)["start"])
-
-
-def block_maps(events: DataFrame, states: Sequence[str], step: Callable[[str, pd.Series], str], cols: Sequence[str], block: str) -> DataFrame:
-    """device_id, _block, n, after (state that follows each of `states`)."""
+from pyspark.sql.window import Window
+
+#: Events of a device, about, that are worked on as one block, and as a step of time between whose ends
+#: a timed device may be cut.
+BLOCK_EVENTS = 20_000
+TIMED_EVENTS = 2_500
+
+
+def _blocks(events: DataFrame, block: str | None, least: int) -> tuple[DataFrame, DataFrame]:
+    """events + _block, and those of them that need a map. With `block` (a span of time) every device is cut
+    by it; without, those with more than `least` events, evenly in time (whole seconds)."""
+    if block:
+        cut = events.withColumn("_block", F.window("ts", block)["start"])
+        return cut, cut
+    second = F.expr("CAST(CAST(ts - TIMESTAMP_NTZ '1970-01-01 00:00:00' AS INTERVAL SECOND) AS BIGINT)")
+    if events.schema["ts"].dataType.simpleString() == "timestamp":
+        second = F.unix_seconds("ts")
+    timed_ = events.withColumn("_second", second)
+    many = timed_.groupBy(F.col("device_id").alias("_device")).agg(F.count(F.lit(1)).alias("_n"), F.min("_second").alias("_lo"), F.max("_second").alias("_hi")).filter(F.col("_n") > least)
+    span = F.greatest((F.col("_hi") - F.col("_lo") + 1) * float(least) / F.col("_n"), F.lit(1.0))
+    joined = timed_.join(F.broadcast(many), F.col("device_id").eqNullSafe(F.col("_device")), "left")
+    cut = joined.withColumn("_block", F.coalesce(F.floor((F.col("_second") - F.col("_lo")) / span), F.lit(0)).cast("long"))
+    slim = lambda d: d.select(*events.columns, "_block")
+    return slim(cut), slim(cut.filter(F.col("_n").isNotNull()))
+
+
+def block_maps(cut: DataFrame, states: Sequence[str], step: Callable[[str, pd.Series], str], cols: Sequence[str]) -> DataFrame:
+    """events + _block -> device_id, _block, n, after: a number of rows and the state that follows for each
+    of `states`."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
         events_ = list(rows.sort_values(["ts", "seq"], kind="stable")[list(cols)].itertuples(index=False, name=None))
         now = list(states)
         for e in events_:
-            now = [step(s, *e) for s in now]
-        return pd.DataFrame({"device_id": [first["device_id"]], "_block": [first["_block"]], "n": [len(rows)], "after": [now]})
+            to = {s: step(s, *e) for s in set(now)}
+            now = [to[s] for s in now]
+        return pd.DataFrame({"device_id": [first["device_id"]], "_block": [first["_block"]], "n": [[len(rows)] * len(now)], "after": [now]})
 
-    kind = _blocks(events, block).schema["_block"].dataType.simpleString()
-    return _blocks(events, block).select("device_id", "ts", "seq", "_block", *cols).groupBy("device_id", "_block").applyInPandas(run, f"device_id long, _block {kind}, n long, after array<string>")
+    kind = cut.schema["_block"].dataType.simpleString()
+    return cut.select("device_id", "ts", "seq", "_block", *cols).groupBy("device_id", "_block").applyInPandas(run, f"device_id long, _block {kind}, n array<long>, after array<string>")
 
 
-def _next(state: Column, after: Column, states: Sequence[str]) -> Column:
-    return F.element_at(after, F.array_position(F.array(*map(F.lit, states)), state).cast("int"))
+def entries(maps: DataFrame, states: Sequence[str], start: str) -> DataFrame:
+    """device_id, _block, entry (state before its first event), before (rows of earlier blocks), n (its
+    rows), exit (state after its last event)."""
+    at = {s: i for i, s in enumerate(states)}
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        now, k, out = start, 0, []
+        for device, place, n, after in rows.sort_values("_block").itertuples(index=False, name=None):
+            i = at[now]
+            out.append((device, place, now, k, int(n[i]), after[i]))
+            now, k = after[i], k + int(n[i])
+        return pd.DataFrame(out, columns=["device_id", "_block", "entry", "before", "n", "exit"])
 
-def entries(maps: DataFrame, states: Sequence[str], start: str) -> DataFrame:
-    """device_id, _block, entry (state before its first event), before (events of earlier blocks)."""
     kind = maps.schema["_block"].dataType.simpleString()
-    row = f"array<struct<_block:{kind},entry:string,before:bigint>>"
-    per = maps.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("_block", "n", "after"))).alias("b"))
-    zero = F.struct(F.lit(start).alias("s"), F.lit(0).cast("long").alias("k"), F.array().cast(row).alias("out"))
+    return maps.select("device_id", "_block", "n", "after").groupBy("device_id").applyInPandas(run, f"device_id long, _block {kind}, entry string, before long, n long, exit string")
 
-    def add(acc: Column, x: Column) -> Column:
-        entry = F.struct(x["_block"].alias("_block"), acc["s"].alias("entry"), acc["k"].alias("before"))
-        return F.struct(_next(acc["s"], x["after"], states).alias("s"), (acc["k"] + x["n"]).alias("k"), F.concat(acc["out"], F.array(entry)).cast(row).alias("out"))
 
-    return per.select("device_id", F.explode(F.aggregate("b", zero, add, lambda acc: acc["out"])).alias("e")).select("device_id", "e.*")
+def _enter(cut: DataFrame, starts: DataFrame, start: str) -> DataFrame:
+    """Adds entry and before to the events of each block."""
+    found = F.broadcast(starts.select(F.col("device_id").alias("_device"), F.col("_block").alias("_at"), "entry", "before"))
+    joined = cut.join(found, F.col("device_id").eqNullSafe(F.col("_device")) & (F.col("_block") == F.col("_at")), "left")
+    return joined.withColumn("entry", F.coalesce("entry", F.lit(start))).withColumn("before", F.coalesce("before", F.lit(0))).drop("_device", "_at")
 
 
 def trajectory(events: DataFrame, states: Sequence[str], start: str, step: Callable[[str, pd.Series], str], cols: Sequence[str], block: str | None = None) -> DataFrame:
-    """device_id, ts, seq, step, cols, _before, _after: one row an event. Without `block` a device is one
-    group, which costs one pass; with it none holds more than a block of a device's time."""
+    """device_id, ts, seq, step, cols, _before, _after: one row an event. No group holds more than a block
+    of a device: a span of time with `block`, else about BLOCK_EVENTS events."""
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = f"device_id long, ts {types['ts']}, seq long, step int, " + ", ".join(f"{c} {types[c]}" for c in cols) + ", _before string, _after string"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-        now, first, before, after = start, 1, [], []
-        if block:
-            now, first = part["entry"].iloc[0], int(part["before"].iloc[0]) + 1
+        now, first, before, after = part["entry"].iloc[0], int(part["before"].iloc[0]) + 1, [], []
         for e in part[list(cols)].itertuples(index=False, name=None):
             before.append(now)
             now = step(now, *e)
             after.append(now)
         return part.assign(step=range(first, first + len(part)), _before=before, _after=after)[["device_id", "ts", "seq", "step", *cols, "_before", "_after"]]
 
-    if not block:
-        return events.select("device_id", "ts", "seq", *cols).groupBy("device_id").applyInPandas(run, schema)
-    starts = entries(block_maps(events, states, step, cols, block), states, start)
-    joined = _blocks(events, block).join(starts, ["device_id", "_block"]).select("device_id", "ts", "seq", "_block", "entry", "before", *cols)
-    return joined.groupBy("device_id", "_block").applyInPandas(run, schema)
+    cut, long = _blocks(events.select("device_id", "ts", "seq", *cols), block, BLOCK_EVENTS)
+    starts = entries(block_maps(long, states, step, cols), states, start)
+    return _enter(cut, starts, start).groupBy("device_id", "_block").applyInPandas(run, schema)
+
+
+def final(events: DataFrame, states: Sequence[str], start: str, step: Callable[[str, pd.Series], str], cols: Sequence[str], fold: Callable[[Column], Column]) -> DataFrame:
+    """device_id, n_events, state. Devices with few events are folded by `fold` (an expression over their
+    sorted events), the others by blocks."""
+    cut, long = _blocks(events.select("device_id", "ts", "seq", *cols), None, BLOCK_EVENTS)
+    whole = entries(block_maps(long, states, step, cols), states, start).groupBy("device_id").agg(F.sum("n").alias("n_events"), F.max_by("exit", "_block").alias("state"))
+    short = cut.join(F.broadcast(whole.select(F.col("device_id").alias("_device"))), F.col("device_id").eqNullSafe(F.col("_device")), "left_anti")
+    lists = short.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", *cols))).alias("p"))
+    return lists.select("device_id", F.size("p").cast("long").alias("n_events"), fold(F.col("p")).alias("state")).unionByName(whole)
+
+
+def timed(events: DataFrame, states: Sequence[str], start: str, machine: Callable[[str], Any], cols: Sequence[str], delay_ms: int, schema: str) -> DataFrame:
+    """Rows of a machine with delays; `schema` begins with device_id, step. A machine has press(ts, *cols) and
+    rest(), which give rows, and `state`.
+
+    A device is cut where no event comes for the longest delay after the last: nothing is pending there, so
+    blocks are maps between states. A longer run without such a gap is read in batches in order, and state
+    and what is pending are carried from one to the next; no task holds more than a batch of it.
+    """
+    cut, long = _blocks(events.select("device_id", "ts", "seq", *cols), None, TIMED_EVENTS)
+    bounds = long.groupBy("device_id", "_block").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    order = Window.partitionBy("device_id").orderBy("_block")
+    quiet = F.col("lo") >= F.lag("hi").over(order) + F.expr(f"INTERVAL '{delay_ms / 1000:.3f}' SECOND")
+    runs = bounds.withColumn("quiet", F.coalesce(quiet, F.lit(False)).cast("long")).withColumn("_run", F.sum("quiet").over(order))
+    runs = F.broadcast(runs.select(F.col("device_id").alias("_device"), F.col("_block").alias("_at"), "_run"))
+    same = F.col("device_id").eqNullSafe(F.col("_device")) & (F.col("_block") == F.col("_at"))
+    merged = lambda d, how: d.join(runs, same, how).withColumn("_block", F.coalesce("_run", F.lit(0)).cast("long")).drop("_device", "_at", "_run")
+    ordered = lambda d: d.repartition("device_id", "_block").sortWithinPartitions("device_id", "_block", "ts", "seq")
+    key = lambda r: (None if pd.isna(r[0]) else int(r[0]), int(r[1]))
+
+    def map_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, n = None, [], []
+
+        def done() -> pd.DataFrame:
+            total = [k + len(m.rest()) for k, m in zip(n, held, strict=True)]
+            return pd.DataFrame({"device_id": pd.array([now[0]], "Int64"), "_block": [now[1]], "n": [total], "after": [[m.state for m in held]]})
+
+        for batch in batches:
+            for r in batch[["device_id", "_block", "ts", *cols]].itertuples(index=False, name=None):
+                if key(r) != now:
+                    if now:
+                        yield done()
+                    now, held, n = key(r), [machine(s) for s in states], [0] * len(states)
+                n = [k + len(m.press(*r[2:])) for k, m in zip(n, held, strict=True)]
+        if now:
+            yield done()
+
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, k = None, None, 0
+        frame = lambda out: pd.DataFrame(out, columns=names).astype({"device_id": "Int64"})
+        for batch in batches:
+            out = []
+            for r in batch[["device_id", "_block", "entry", "before", "ts", *cols]].itertuples(index=False, name=None):
+                if key(r) != now:
+                    if held:
+                        out += [(now[0], k + i, *x) for i, x in enumerate(held.rest(), 1)]
+                    now, held, k = key(r), machine(r[2]), int(r[3])
+                made = held.press(*r[4:])
+                out += [(now[0], k + i, *x) for i, x in enumerate(made, 1)]
+                k += len(made)
+            yield frame(out)
+        if held:
+            yield frame([(now[0], k + i, *x) for i, x in enumerate(held.rest(), 1)])
+
+    maps = ordered(merged(long, "inner")).mapInPandas(map_, "device_id long, _block long, n array<long>, after array<string>")
+    return ordered(_enter(merged(cut, "left"), entries(maps, states, start), start)).mapInPandas(rows, schema)

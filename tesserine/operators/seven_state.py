@@ -126,30 +126,38 @@ def trajectory(events: DataFrame, block: str | None = None) -> DataFrame:
 def timed(events: DataFrame) -> DataFrame:
     """As trajectory, with the delays: rows for presses and for results when they come due."""
     schema = "device_id long, step int, at timestamp_ntz, kind string, name string, state string, next_state string, igniter boolean, circuit boolean"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"], kind="stable")
-        now, pending, out = ("IDLE", False, True), [], []
-
-        def due(ts) -> None:
-            nonlocal now
-            while pending and (ts is None or pending[0][0] <= ts):
-                at, name = pending.pop(0)
-                before, now = now, resolve(now, name)
-                out.append((at, "result", name, before[0], *now))
-
-        for e in rows.itertuples():
-            due(e.ts)
-            before, now = now, press(now, e.input, e.arg)
-            if now[0] != before[0] and e.input in DELAYS_SEVEN_MS:
-                pending.append((e.ts + pd.Timedelta(milliseconds=DELAYS_SEVEN_MS[e.input]), e.input))
-                pending.sort(key=lambda p: p[0])
-            out.append((e.ts, "press", e.input, before[0], *now))
-        due(None)
-        made = pd.DataFrame(out, columns=["at", "kind", "name", "state", "next_state", "igniter", "circuit"])
-        return made.assign(device_id=rows["device_id"].iloc[0], step=range(1, len(made) + 1))[[f.split(" ")[0] for f in schema.split(", ")]]
-
-    return events.select("device_id", "ts", "seq", "input", "arg").groupBy("device_id").applyInPandas(run, schema)
+    return scan.timed(events, CONFIGURATIONS, _code(("IDLE", False, True)), Timed, ["input", "arg"], max(DELAYS_SEVEN_MS.values()), schema)
+
+
+class Timed:
+    """One device: its coded configuration, and the pending results in order."""
+
+    def __init__(self, state: str) -> None:
+        self.now, self.pending = _DECODED[state], []
+
+    @property
+    def state(self) -> str:
+        return _code(self.now)
+
+    def due(self, ts) -> list[tuple]:
+        out = []
+        while self.pending and (ts is None or self.pending[0][0] <= ts):
+            at, name = self.pending.pop(0)
+            before, self.now = self.now, resolve(self.now, name)
+            out.append((at, "result", name, before[0], *self.now))
+        return out
+
+    def rest(self) -> list[tuple]:
+        return self.due(None)
+
+    def press(self, ts, name: str, arg: bool | None) -> list[tuple]:
+        out = self.due(ts)
+        before, self.now = self.now, press(self.now, name, arg)
+        if self.now[0] != before[0] and name in DELAYS_SEVEN_MS:
+            self.pending.append((ts + pd.Timedelta(milliseconds=DELAYS_SEVEN_MS[name]), name))
+            self.pending.sort(key=lambda p: p[0])
+        out.append((ts, "press", name, before[0], *self.now))
+        return out
 
 
 def final_state(path: DataFrame) -> DataFrame:

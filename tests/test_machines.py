@@ -1,13 +1,16 @@
 import datetime as dt
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tesserine import catalog
 from tesserine.operators import five_state as five
 from tesserine.operators import kinematics as kin
+from tesserine.operators import scan
 from tesserine.operators import seven_state as seven
 from tesserine.schema import FIVE_BUTTONS, FIVE_STATES
 from tesserine.streaming.machines import five_state_stream
@@ -142,3 +145,47 @@ def test_blocks_of_time_give_the_same_rows(spark):
     df = events(spark, rows, SEVEN)
     key = lambda path: sorted(map(tuple, path.select("step", "seq", "state", "igniter", "circuit", "next_state", "next_igniter", "next_circuit").collect()))
     assert key(seven.trajectory(df, block="1 hour")) == key(seven.trajectory(df))
+
+
+def many_presses(spark, names, arg=False):
+    """Runs without a gap, gaps, and gaps of just the longest delays, on one device of many events and two of few."""
+    rng, ms, rows = np.random.default_rng(3), 0, []
+    for i in range(900):
+        ms += int(rng.choice([90, 150, 400, 500, 600, 1400, 2200, 9000], p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05]))
+        name = names[int(rng.integers(len(names)))]
+        extra = (bool(rng.integers(2)) if name == "circuit" else None,) if arg else ()
+        rows.append((1 if i % 9 else 2 + i % 2, T0 + dt.timedelta(milliseconds=ms), i, name, *extra))
+    kind = "input string, arg boolean" if arg else "button string"
+    return spark.createDataFrame(rows, f"device_id long, ts timestamp_ntz, seq long, {kind}")
+
+
+def one_fold(df, machine, cols):
+    out = []
+    rows = df.toPandas().astype(object).sort_values(["device_id", "ts", "seq"])
+    for device, g in rows.groupby("device_id"):
+        m = machine()
+        made = [r for e in g[["ts", *cols]].itertuples(index=False, name=None) for r in m.press(*e)] + m.rest()
+        out += [(device, i, *r) for i, r in enumerate(made, 1)]
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("least", [7, 10_000])
+def test_timed_devices_are_cut_at_gaps(spark, monkeypatch, least):
+    monkeypatch.setattr(scan, "TIMED_EVENTS", least)
+    key = lambda out: sorted(str((r["device_id"], r["step"], pd.Timestamp(r["at"]), *r[3:])) for r in out.collect())
+    df = many_presses(spark, FIVE_BUTTONS[:4] * 3 + FIVE_BUTTONS)
+    assert key(five.timed(df)) == one_fold(df, five.Timed, ["button"])
+    df = many_presses(spark, ("igniter", "test", "enable", "ready", "launch") * 3 + ("lp_cancel", "circuit", "full_reset"), arg=True)
+    assert key(seven.timed(df)) == one_fold(df, lambda: seven.Timed("IDLE/0/1"), ["input", "arg"])
+
+
+def test_long_devices_are_folded_in_blocks(spark, monkeypatch):
+    df = many_presses(spark, FIVE_BUTTONS[:4] * 3 + FIVE_BUTTONS)
+    wanted = [sorted(map(tuple, f(df).collect())) for f in (five.trajectory, five.final_state)]
+    monkeypatch.setattr(scan, "BLOCK_EVENTS", 20)
+    cut, _ = scan._blocks(df, None, 20)
+    sizes = [r["count"] for r in cut.groupBy("device_id", "_block").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 100
+    assert [sorted(map(tuple, f(df).collect())) for f in (five.trajectory, five.final_state)] == wanted
+    last = five.trajectory(df).groupBy("device_id").agg(F.count("step"), F.max_by("next_state", "step"))
+    assert sorted(map(tuple, last.collect())) == wanted[1]
