@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -14,17 +13,23 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting by which a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); an own one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); an own one only where that is unset and Spark runs
+    in one process, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("tesserine.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("a cluster needs a shared folder: set spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="tesserine-")
         spark.conf.set("tesserine.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,12 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the table that reads it: lineage ends here,
     so a lost executor costs a reread and not a recomputation. What was shuffled for it isn't needed any
-    more; Spark removes such files when the driver collects its garbage, so that is asked for."""
+    more, so Spark may remove those files when the table is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
@@ -57,6 +65,12 @@ def row_key(*cols: str) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit("tesserine"), *cols)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs -> row (a struct of all columns, so no name can clash), k1, k2. select("row.*") gives docs again."""
+    k1, k2 = row_key("doc_id", "text")
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), k1.alias("k1"), k2.alias("k2"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

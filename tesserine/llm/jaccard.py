@@ -2,40 +2,44 @@
 
 Documents with equal shingle sets are one vertex. A set's tokens (its shingles' hashes) are ordered,
 those that a first pass finds to be frequent last; of a set that may miss d tokens in a partner, the
-first d + extra(d) are its prefix, so partners share at least that many tokens of their prefixes (the
-smaller set's number). A token that few prefixes hold (RARE) is indexed by itself; the others by pairs
-of tokens (long sets: singly, which finds more). Partners then share all but one of these tokens in the
-rare class, or a signature of the frequent class. Candidates are verified on whole sets: those of a
-small cluster together, those of a large one by pairs.
+first d + extra(d) are its prefix, so partners share at least extra(d) tokens of their prefixes (the
+smaller set's number). Tokens that few prefixes hold (RARE) are indexed by themselves, the others by
+pairs: a pair's tokens fall into the same of extra(d) - 2 buckets, so sets that share more frequent
+tokens than there are buckets share a pair, and all other partners share two rare tokens.
+
+Candidates are verified in two steps. A parity sketch (for each slot, whether a set has an odd number
+of tokens in it) differs in at most as many slots as the sets differ in tokens, so a pair whose sketches
+differ in more is no link; sketches are a small part of their sets. Of the pairs that are left, those
+which could still join two components are compared on whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import bitmap, bits_of, release, row_key, settle, table
+from tesserine.llm.common import bitmap, bits_of, keyed, release, row_key, settle, table
 from tesserine.llm.graph import components
 from tesserine.llm.textkit import Words, as_bytes, chunks
 
 U64 = np.uint64
-RARE = 32
-#: Sets whose candidates connect them are verified together up to this number.
-CLUSTER = 128
-#: Bytes of a token's hash that are shipped for verification.
-TOKEN = 6
-#: Sets that may miss fewer tokens index pairs of frequent tokens, others single ones.
-LONG = 30
-#: Slots in which frequent shingles are counted, and by which sets are picked: bits of a fixed-size table.
+#: Prefixes that hold a token which is indexed by itself, at most.
+RARE = 16
+#: Sets that are compared with the same set by one task.
+CHUNK = 256
+#: Slots in which frequent shingles are counted, and by which rows are picked: bits of a fixed-size table.
 SLOTS = 1 << 22
-#: Members in a block when a large group is compared, of all and of those not yet linked.
-BLOCK, MINOR = 256, 1024
+#: Bytes of sketches in a block when a large group is compared, of all members and of those not yet linked.
+BLOCK, MINOR = 8 << 20, 1 << 20
+#: Sizes in a band grow by this power of the ratio that partners' sizes may have.
+BAND = 3
 
 
 def extra(misses: int) -> int:
@@ -59,6 +63,30 @@ def prefix_of(tokens: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
     return prefix if len(prefix) == take else np.concatenate((prefix, tokens[late][: take - len(prefix)]))
 
 
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """One bit a slot; slots are the low bits of a token, their number the power of two from the set's size on
+    (64 at least), so a narrower sketch is the xor of a wider one's halves."""
+    width = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & U64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_apart(na: np.ndarray | int, nb: np.ndarray | int, percent: int):
+    """The most tokens in which linked sets of these sizes differ."""
+    return (100 - percent) * (na + nb) // (100 + percent)
+
+
+def _differ(left: bytes, right: bytes) -> int:
+    """In how many slots two sketches differ, the wider one folded to the narrower one's width."""
+    if len(left) > len(right):
+        left, right = right, left
+    a, b, bits = int.from_bytes(left, "little"), int.from_bytes(right, "little"), 8 * len(right)
+    while bits > 8 * len(left):
+        bits //= 2
+        b = (b >> bits) ^ (b & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
+
+
 def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: `size` words, or all words where there are fewer."""
     data, offsets = as_bytes(texts)
@@ -76,10 +104,6 @@ def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, U64)
 
 
-def short_name(sid: bytes) -> int:
-    return int.from_bytes(sid[:8], "little", signed=True)
-
-
 def _slot(x: np.ndarray) -> np.ndarray:
     return (x & U64(SLOTS - 1)).astype(np.int64)
 
@@ -103,10 +127,10 @@ def frequent_slots(docs: DataFrame, size: int) -> bytes:
 
 def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """docs(doc_id, k1, k2, text) -> doc_id, k1, k2, n, sid (names the set; null if empty),
-    v (a short name: joins by it are settled by sid), prefix."""
+    v (a short name: joins by it are settled by sid), prefix, parity."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, size))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, k1 long, k2 long, n long, sid binary, v long, prefix array<long>"
+    schema = f"doc_id {kind}, k1 long, k2 long, n long, sid binary, v long, prefix array<long>, parity binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = bits_of(frequent.value)
@@ -114,215 +138,236 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
             n: list[int] = []
             sids: list[bytes | None] = []
             short: list[int | None] = []
+            parity: list[bytes | None] = []
             prefixes = [np.zeros(0, U64)]
             for s in sets_of(batch.column(3), size):
                 n.append(len(s))
                 sids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                short.append(short_name(sids[-1]) if len(s) else None)
+                short.append(int.from_bytes(sids[-1][:8], "little", signed=True) if len(s) else None)
                 prefixes.append(prefix_of(s, late[_slot(s)], percent))
+                parity.append(parity_sketch(s) if len(prefixes[-1]) else None)
             ends = np.cumsum([len(x) for x in prefixes])
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
-            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(sids, pa.binary()), pa.array(short, pa.int64()), arrays]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "n", "sid", "v", "prefix"])
+            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(sids, pa.binary()), pa.array(short, pa.int64()), arrays, pa.array(parity, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "n", "sid", "v", "prefix", "parity"])
 
     return settle(docs.select("doc_id", "k1", "k2", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "jaccard-sketch")
 
 
 def sets_by_name(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted(v, ...) -> v, sid, tokens (binary), ... of the sets with these short names, made from the
-    texts again. A bitmap of fixed size keeps most other sets from being shipped; the join drops the rest."""
-    picked = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("v").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")), SLOTS))
+    """wanted(sid, k1, k2, ...) -> wanted with tokens (binary): each set is made again from one text, whose row
+    key is given. A bitmap of fixed size keeps most other texts from being cut; the join drops the rest."""
+    picked = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("k1").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")), SLOTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bits_of(picked.value)
         for batch in batches:
-            rows = []
-            for s in sets_of(batch.column(0), size):
-                sid = xxhash.xxh3_128_digest(s.tobytes())
-                v = short_name(sid)
-                if len(s) and bits[v & (SLOTS - 1)]:
-                    rows.append((v, sid, pack_tokens(s)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["v", "sid", "tokens"])
-
-    made = docs.select(F.col("text").cast("string")).mapInArrow(run, "v long, sid binary, tokens binary")
-    return made.join(wanted, "v").dropDuplicates(["v", "sid"])
+            batch = batch.filter(pa.array(bits[batch.column(0).to_numpy() & (SLOTS - 1)]))
+            tokens = [s.astype("<u8").tobytes() for s in sets_of(batch.column(2), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.large_binary())], names=["k1", "k2", "tokens"])
 
+    made = docs.select("k1", "k2", F.col("text").cast("string")).mapInArrow(run, "k1 long, k2 long, tokens binary")
+    # equal rows make equal sets: one of them is enough
+    return made.join(wanted, ["k1", "k2"]).dropDuplicates([c for c in wanted.columns if c not in ("k1", "k2")])
 
-def pack_tokens(s: np.ndarray) -> bytes:
-    """The high bytes of sorted hashes: two of a pair's many tokens agree by chance once in 2**48."""
-    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN :]).tobytes()
 
+def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int) -> DataFrame:
+    """pairs(a, b) of set ids, keys(sid, k1, k2) -> the pairs that are links.
 
-def unpack_tokens(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // TOKEN, 8), np.uint8)
-    out[:, 8 - TOKEN :] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN)
-    return out.view("<u8")[:, 0]
+    The partners of a set are dealt to chunks, and the set goes to each of its chunks once, so a set's
+    tokens are shipped once for each set that asks for it, not for each pair.
+    """
+    sized = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("nc"))
+    dealt = settle(pairs.join(sized, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("nc")).cast("int").alias("chunk")), "jaccard-dealt")
+    asks = dealt.select(F.col("b").alias("sid"), F.col("a").alias("hub"), "chunk", F.lit(False).alias("is_hub"))
+    hubs = dealt.select(F.col("a").alias("sid"), F.col("a").alias("hub"), "chunk", F.lit(True).alias("is_hub")).distinct()
+    rows = sets_by_name(docs, settle(asks.union(hubs).join(keys, "sid"), "jaccard-roles"), size)
 
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        hub, kept = g[g["is_hub"]].iloc[0], []
+        own = np.frombuffer(hub["tokens"], "<u8")
+        for sid, raw in zip(g["sid"], g["tokens"], strict=True):
+            other = np.frombuffer(raw, "<u8")
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if sid != hub["sid"] and 100 * both >= percent * (len(own) + len(other) - both):
+                kept.append(sid)
+        return pd.DataFrame({"a": [hub["sid"]] * len(kept), "b": kept})
 
-def _links(left: bytes, right: bytes, percent: int) -> bool:
-    a, b = unpack_tokens(left), unpack_tokens(right)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return settle(rows.groupBy("hub", "chunk").applyInPandas(run, "a binary, b binary"), "jaccard-verified")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) of short names -> links(a, b) of set ids."""
+def close(pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b, na, nb, pa, pb) of set ids, sizes and sketches -> those whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_links(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    side = lambda v, s, t: sets.select(F.col("v").alias(v), F.col("sid").alias(s), F.col("tokens").alias(t))
-    joined = pairs.join(side("a", "sa", "ta"), "a").join(side("b", "sb", "tb"), "b").filter("sa <> sb")
-    return joined.select("sa", "sb", "ta", "tb").mapInArrow(run, "a binary, b binary")
-
-
-class Postings:
-    """For each token of some sets the sets that hold it."""
-
-    def __init__(self, packed: list[bytes]) -> None:
-        tokens = [unpack_tokens(t) for t in packed]
-        self.size = np.array([len(t) for t in tokens], np.int64)
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, U64)
-        order = np.argsort(flat, kind="stable")
-        self.flat, self.owner = flat[order], np.repeat(np.arange(len(tokens)), self.size)[order]
-
-    def partners(self, packed: bytes, percent: int) -> list[int]:
-        own = unpack_tokens(packed)
-        lo, hi = np.searchsorted(self.flat, own), np.searchsorted(self.flat, own, "right")
-        n = hi - lo
-        places = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        both = np.bincount(self.owner[places], minlength=len(self.size))
-        return np.flatnonzero(100 * both >= percent * (self.size + len(own) - both)).tolist()
-
-
-def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
-    """sets(g, sid, tokens), of bounded clusters g: links (a, b) that connect what is connected."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sid, packed = rows["sid"].tolist(), rows["tokens"].tolist()
-        index, root, out = Postings(packed), list(range(len(sid))), []
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, t in enumerate(packed):
-            for j in index.partners(t, percent):
-                a, b = top(i), top(j)
-                if a != b:
-                    root[a] = b
-                    out.append((sid[i], sid[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return sets.groupBy("g").applyInPandas(run, "a binary, b binary")
-
-
-def compare_groups(members: DataFrame, percent: int) -> DataFrame:
-    """members(g, sid, tokens, minor, root): each minor member of a group against all its members, in
-    blocks of bounded size -> links(a, b) that join different roots, one for each member and root in a block."""
-    # partners' sizes differ by one band at most, so a member only asks in its own band and the next ones
-    band = F.floor(F.log((F.octet_length("tokens") / TOKEN).cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    there = members.withColumn("band", band)
-    asking = there.filter("minor").select("g", "sid", "tokens", "root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    sized = there.groupBy("g", "band").agg(F.count(F.lit(1)).alias("m")).join(asking.groupBy("g", "band").agg(F.count(F.lit(1)).alias("minors")), ["g", "band"])
-    blocks = lambda n, size: F.ceil(F.col(n) / F.lit(size)).cast("int")
-    sized = settle(sized.select("g", "band", blocks("m", BLOCK).alias("nb"), blocks("minors", MINOR).alias("nm")), "jaccard-blocks")
+            most = most_apart(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+            apart = np.array([_differ(x, y) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a binary, b binary")
+
+
+class Block:
+    """Members of a group by the width of their sketches; those within reach of an asking set are found at once."""
+
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes], roots: np.ndarray) -> None:
+        self.parts: dict[int, tuple] = {}
+        widths = np.array([len(x) for x in sketches])
+        for w in np.unique(widths).tolist():
+            own = np.flatnonzero(widths == w)
+            own = own[np.argsort(sizes[own], kind="stable")]
+            self.parts[w] = own, sizes[own], np.frombuffer(b"".join([sketches[i] for i in own]), "<u8").reshape(len(own), -1), roots[own]
+        self.narrow: dict[int, np.ndarray] = {}
+
+    def partners(self, n: int, raw: bytes, root: bytes, percent: int) -> np.ndarray:
+        """Places of the members of other roots whose sketches allow a link."""
+        found = []
+        for w, (own, sizes, grid, roots) in self.parts.items():
+            lo, hi = np.searchsorted(sizes, -(-n * percent // 100)), np.searchsorted(sizes, n * 100 // percent, "right")
+            if hi <= lo:
+                continue
+            asks = np.frombuffer(raw, "<u8")
+            while len(asks) * 8 > w:
+                asks = asks[: len(asks) // 2] ^ asks[len(asks) // 2 :]
+            there = grid
+            if len(raw) < w:
+                if w not in self.narrow or self.narrow[w].shape[1] != len(asks):
+                    folded = grid
+                    while folded.shape[1] > len(asks):
+                        folded = folded[:, : folded.shape[1] // 2] ^ folded[:, folded.shape[1] // 2 :]
+                    self.narrow[w] = folded
+                there = self.narrow[w]
+            apart = np.bitwise_count(there[lo:hi] ^ asks).sum(axis=1, dtype=np.int64)
+            found.append(own[lo:hi][(apart <= most_apart(sizes[lo:hi], n, percent)) & (roots[lo:hi] != root)])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def compare_groups(members: DataFrame, percent: int, every: bool) -> DataFrame:
+    """members(g, sid, n, parity, minor, root): each minor member of a group against the members of other roots,
+    in blocks of bounded size -> pairs (a, b) whose sketches allow a link: one for each member and root in a
+    block, or every one."""
+    there = members.withColumn("band", band_of(F.col("n"), percent))
+    asking = there.filter("minor").select("g", "sid", "n", "parity", "root", F.explode(near_bands(F.col("n"), percent)).alias("band"))
+    weigh = lambda name, size: F.ceil(F.sum(F.octet_length("parity") + 64) / F.lit(size)).cast("int").alias(name)
+    sized = there.groupBy("g", "band").agg(weigh("nb", BLOCK)).join(asking.groupBy("g", "band").agg(weigh("nm", MINOR)), ["g", "band"])
+    sized = settle(sized, "jaccard-blocks")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
-    cols = ["g", "band", "sid", "tokens", "root"]
+    cols = ["g", "band", "sid", "n", "parity", "root"]
     major = there.join(sized, ["g", "band"]).select(*cols, of("nb").alias("x"), spread("nm").alias("y"), F.lit(False).alias("asks"))
     minor = asking.join(sized, ["g", "band"]).select(*cols, spread("nb").alias("x"), of("nm").alias("y"), F.lit(True).alias("asks"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[bytes, bytes]] = []
         there = rows[~rows["asks"]]
-        index = Postings(there["tokens"].tolist())
         sid, root = there["sid"].to_numpy(), there["root"].to_numpy()
+        block = Block(there["n"].to_numpy(), there["parity"].tolist(), root)
         for r in rows[rows["asks"]].itertuples():
-            seen = {r.root}
-            for i in index.partners(r.tokens, percent):
-                if root[i] not in seen:
+            seen = set()
+            for i in block.partners(r.n, r.parity, r.root, percent).tolist():
+                if every or root[i] not in seen:
                     seen.add(root[i])
-                    out.append((r.sid, sid[i]))
+                    out.append((min(r.sid, sid[i]), max(r.sid, sid[i])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return major.union(minor).groupBy("g", "band", "x", "y").applyInPandas(run, "a binary, b binary")
+    return major.union(minor).groupBy("g", "band", "x", "y").applyInPandas(run, "a binary, b binary").distinct()
+
+
+def band_of(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(BAND * float(np.log(100 / percent)))).cast("int")
+
+
+def near_bands(n: Column, percent: int) -> Column:
+    """The bands in which a set of n tokens can have partners."""
+    return F.array_distinct(F.array(band_of(F.floor(n * percent / 100), percent), band_of(n, percent), band_of(F.ceil(n * 100 / percent), percent)))
 
 
 def rare_pairs(held: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share all but one of extra() rare tokens of their prefixes; lists have RARE
-    members at most."""
+    """Pairs (a, b) of sets that share two rare tokens of their prefixes; lists have RARE members at most."""
     lists = held.filter(F.col("c") <= RARE).groupBy("t").agg(F.collect_list(F.struct("n", "v")).alias("m"))
     first = lists.select("m", F.explode("m").alias("x"))
     pairs = first.select("x", F.explode(F.filter("m", lambda y: (y > F.col("x")) & (F.col("x.n") * 100 >= y["n"] * percent))).alias("y"))
-    misses = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
-    counted = pairs.groupBy(F.col("x.v").alias("a"), F.col("x.n").alias("n"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    return counted.filter(F.col("shared") >= 3 + F.floor(misses / 6)).select("a", "b")
+    counted = pairs.groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    return counted.filter("shared >= 2").select("a", "b")
 
 
 def signatures(held: DataFrame, percent: int) -> DataFrame:
-    """sig, v, n: the frequent class. Sets that may miss up to LONG tokens index pairs of tokens, longer ones single
-    tokens; those near the border both, so partners always index alike. Signatures also hold a band of
-    sizes: each set stands in its own and the next one, and partners are one band apart at most."""
-    long = LONG * 100 // (100 - percent) if percent < 100 else 1 << 30
-    own = held.filter(F.col("c") > RARE).groupBy("v", "n").agg(F.collect_set("t").alias("ts"))
-    each = own.select("v", "n", "ts", F.explode("ts").alias("x"))
-    double = each.filter(F.col("n") * percent < long * 100).select("v", "n", "x", F.explode(F.filter("ts", lambda y: y > F.col("x"))).alias("y")).select("v", "n", F.xxhash64(F.lit("pair"), "x", "y").alias("s"))
-    single = each.filter(F.col("n") * 100 >= long * percent).select("v", "n", F.xxhash64(F.lit("one"), "x").alias("s"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))))
-    return double.union(single).select("v", "n", "s", F.explode(F.array(band, band + 1)).alias("band")).select("v", "n", F.xxhash64("s", "band").alias("sig"))
-
-
-def find_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between set ids, enough for the components to be exact.
-
-    The members of a frequent signature are compared with one of them, its centre. Where that leaves
-    members outside the group's largest component, these are compared with all members of the group
-    that the signatures connect, in blocks; members of that component needn't be compared any more.
-    """
+    """sig, v, n: the frequent class, by pairs of tokens of a bucket. A signature also holds a band of sizes:
+    each set stands in its own, and in the next one where it can have larger partners there."""
+    bands = F.array_distinct(F.array(band_of(F.col("n"), percent), band_of(F.ceil(F.col("n") * 100 / percent), percent)))
+    placed = held.filter(F.col("c") > RARE).select("v", "n", "t", F.explode(bands).alias("band"))
+    # buckets by the smallest size that can stand in the band, so all its members have the same
+    least = F.greatest(F.floor(F.pow(F.lit(100 / percent), F.col("band") * BAND - 1)) - 1, F.lit(0))
+    misses = least - F.ceil(least * percent / 100)
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("t"), F.lit(2) + F.floor(misses / 6)))
+    own = placed.groupBy("v", "n", "band", "bucket").agg(F.sort_array(F.collect_set("t")).alias("ts")).filter(F.size("ts") > 1)
+    each = own.select("v", "n", "band", "ts", F.explode("ts").alias("x"))
+    pairs = each.select("v", "n", "band", "x", F.explode(F.filter("ts", lambda y: y > F.col("x"))).alias("y"))
+    return pairs.select("v", "n", F.xxhash64("x", "y", "band").alias("sig"))
+
+
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """classes(v, n, prefix) -> pairs (a, b) of short names that share what links share, and stars (a, b): the
+    members of each frequent signature with one of them."""
     tokens = classes.select("v", "n", F.explode("prefix").alias("t"))
-    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    counts = settle(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-counts")
     held = settle(tokens.join(counts, "t"), "jaccard-held")
-    marked = signatures(held, percent)
-    centres = marked.groupBy("sig").agg(F.min(F.struct("v", "n")).alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    stars = settle(marked.join(centres, "sig").filter("v <> centre.v").select(F.col("centre.v").alias("a"), F.col("v").alias("b"), F.col("centre.n").alias("na"), "n").distinct(), "jaccard-stars")
-    close = F.least("na", "n") * 100 >= F.greatest("na", "n") * percent
-    pairs = settle(rare_pairs(held, percent).union(stars.filter(close).select("a", "b")), "jaccard-pairs")
+    release(counts)
+    marked = settle(signatures(held, percent), "jaccard-marked")
+    centres = settle(marked.groupBy("sig").agg(F.min(F.struct("v", "n")).alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("sig", "centre"), "jaccard-centres")
+    stars = marked.join(centres, "sig").filter("v <> centre.v").select(F.col("centre.v").alias("a"), F.col("v").alias("b"), F.col("centre.n").alias("na"), F.col("n").alias("nb")).distinct()
+    stars = settle(stars, "jaccard-stars")
+    release(marked, centres)
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    pairs = settle(rare_pairs(held, percent).union(stars.filter(fits).select("a", "b")), "jaccard-pairs")
     release(held)
-    edges = pairs.union(stars.select("a", "b"))
-    clusters = components(edges, "jaccard-clusters").select(F.col("node").alias("v"), F.col("root").alias("g"))
-    sizes = clusters.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    sized = settle(clusters.join(sizes, "g"), "jaccard-sized")
-    links = settle(link_clusters(sets_by_name(docs, sized.filter(F.col("m") <= CLUSTER).select("v", "g"), size), percent), "jaccard-links")
-    large = sized.filter(F.col("m") > CLUSTER).select("v")
-    if large.isEmpty():
-        return links
-    sets = settle(sets_by_name(docs, large, size), "jaccard-sets")
-    # first one partner of each set; then only the candidates that these links leave in different components
-    inside = settle(pairs.join(large.select(F.col("v").alias("a")), "a", "left_semi").select("a", "b").distinct(), "jaccard-inside")
-    first = inside.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    more = settle(verify(first, sets, percent), "jaccard-more")
-    near = components(more, "jaccard-first").select(F.col("node").alias("sid"), "root")
-    named = sets.select("v", "sid").join(near, "sid", "left").groupBy("v").agg(F.min(F.coalesce("root", "sid")).alias("root"), F.count(F.lit(1)).alias("m"))
-    side = lambda v, r: named.select(F.col("v").alias(v), F.when(F.col("m") == 1, F.col("root")).alias(r))
-    apart = inside.join(side("a", "ra"), "a").join(side("b", "rb"), "b").filter("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")
-    more = settle(more.union(verify(apart.join(first, ["a", "b"], "left_anti"), sets, percent)), "jaccard-more")
-    links = links.union(more)
-    stars = stars.join(large.select(F.col("v").alias("a")), "a", "left_semi")
+    return pairs, stars.select("a", "b")
+
+
+def relabel(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """labels(sid, root), links(a, b) -> labels after the links; only roots that links touch are worked on."""
+    of = lambda c, r: labels.select(F.col("sid").alias(c), F.col("root").alias(r))
+    edges = links.join(of("a", "ra"), "a").join(of("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    moved = components(edges, name).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return settle(labels.join(settle(moved, f"{name}-moved"), "root", "left").select("sid", F.coalesce("to", "root").alias("root")), f"{name}-labels")
+
+
+def label(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """classes(sid, v, n, k1, k2, prefix, parity) -> sid, root: equal for the sets that links connect.
+
+    Each set is first verified with one of its candidates. Then the candidates that are still in different
+    components; then, in the groups that frequent signatures connect, the members outside the group's
+    largest component against all others: first one for each member and root, then whatever is left apart.
+    """
+    pairs, stars = candidates(classes, percent)
+    touched = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).union(stars.select(F.col("a").alias("v"))).union(stars.select(F.col("b").alias("v"))).distinct()
+    slim = settle(classes.select("sid", "v", "n", "k1", "k2", "parity").join(touched, "v"), "jaccard-slim")
+    keys = slim.select("sid", "k1", "k2")
+    side = lambda x: slim.select(F.col("v").alias(x), F.col("sid").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), "na", "nb", "pa", "pb").filter("a <> b")
+    near = settle(close(both, percent).distinct(), "jaccard-near")
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    labels = slim.select("sid", F.col("sid").alias("root"))
+    labels = relabel(labels, verify(first, docs, keys, size, percent), "jaccard-first")
+    of = lambda c, r: labels.select(F.col("sid").alias(c), F.col("root").alias(r))
+    apart = settle(near.join(of("a", "ra"), "a").join(of("b", "rb"), "b").filter("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti"), "jaccard-apart")
+    if not apart.isEmpty():
+        labels = relabel(labels, verify(apart, docs, keys, size, percent), "jaccard-second")
     if stars.isEmpty():
-        return links
-    groups = components(stars.select("a", "b"), "jaccard-groups").select(F.col("node").alias("v"), F.col("root").alias("g"))
-    near = components(more, "jaccard-near").select(F.col("node").alias("sid"), "root")
-    slim = sets.select("v", "sid").join(groups, "v").join(near, "sid", "left").select("g", "sid", F.coalesce("root", "sid").alias("root"))
-    slim = settle(slim, "jaccard-members")
-    top = slim.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    members = slim.join(top, "g").withColumn("minor", F.col("root") != F.col("top")).join(sets.select("sid", "tokens"), "sid")
-    return links.union(compare_groups(members.select("g", "sid", "tokens", "minor", "root"), percent))
+        return labels
+    groups = components(stars, "jaccard-groups").select(F.col("node").alias("v"), F.col("root").alias("g"))
+    placed = settle(slim.select("sid", "v", "n", "parity").join(groups, "v").drop("v"), "jaccard-placed")
+    for every in (False, True):
+        now = placed.join(labels, "sid")
+        top = now.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+        top = settle(top.filter("roots > 1").drop("roots"), "jaccard-top")
+        members = settle(now.join(top, "g").withColumn("minor", F.col("root") != F.col("top")), "jaccard-members")
+        found = settle(compare_groups(members, percent, every), "jaccard-found")
+        if found.isEmpty():
+            break
+        labels = relabel(labels, verify(found, docs, keys, size, percent), f"jaccard-{every}")
+    return labels
 
 
 def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -335,18 +380,16 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """
     k1, k2 = row_key("doc_id", "text")
     base = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
-    rows = sketch(base, size, percent)
-    classes = settle(rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("v").alias("v"), F.first("prefix").alias("prefix")), "jaccard-classes")
-    fat, rows = rows, settle(rows.drop("prefix", "v"), "jaccard-rows")
+    fat = sketch(base, size, percent)
+    some = lambda c: F.first(c).alias(c)
+    classes = fat.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), some("n"), some("v"), some("prefix"), some("parity"))
+    classes = settle(classes.select("sid", "least", "k.k1", "k.k2", "n", "v", "prefix", "parity"), "jaccard-classes")
+    rows = settle(fat.select("doc_id", "k1", "k2", "n", "sid"), "jaccard-rows")
     release(fat)
-    links = settle(find_links(base, classes.select("v", "n", "prefix"), size, percent), "jaccard-all-links")
-    fat, classes = classes, settle(classes.select("sid", "least"), "jaccard-least")
-    release(fat)
-    near = components(links, "jaccard-components")
-    final = classes.select("sid", "least").join(near.select(F.col("node").alias("sid"), "root"), "sid", "left")
-    final = final.withColumn("root", F.coalesce("root", "sid"))
+    labels = label(base, classes.filter("parity IS NOT NULL"), size, percent)
+    final = classes.select("sid", "least").join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = final.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = final.join(least, "root").select("sid", "component_id")
+    named = settle(final.join(least, "root").select("sid", "component_id"), "jaccard-named")
     out = rows.join(named, "sid", "left")
     return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -360,12 +403,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = named.filter("doc_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("best")).select("best.k1", "best.k2")
     lost = named.join(first, ["k1", "k2"], "left_anti").select("k1", "k2").distinct()
     again = found.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("k1", "k2")
-    k1, k2 = row_key("doc_id", "text")
-    keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
-    on = lambda t: [F.col("_k1") == t["k1"], F.col("_k2") == t["k2"]]
-    kept = keyed.join(lost, on(lost), "left_anti")
-    once = kept.join(again, on(again), "left_anti").union(kept.join(again, on(again), "left_semi").dropDuplicates(["_k1", "_k2"]))
-    return once.select(*docs.columns)
+    kept = keyed(docs).join(lost, ["k1", "k2"], "left_anti")
+    once = kept.join(again, ["k1", "k2"], "left_anti").union(kept.join(again, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return once.select("row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

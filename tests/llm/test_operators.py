@@ -370,15 +370,44 @@ def near(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize(("rare", "long", "cluster", "size", "percent"), [(32, 30, 256, 3, 90), (2, 30, 4, 3, 90), (2, 1, 4, 5, 80)])
-def test_jaccard(spark, hard, near, docs, monkeypatch, rare, long, cluster, size, percent):
-    for name, value in (("RARE", rare), ("LONG", long), ("CLUSTER", cluster), ("BLOCK", 16), ("MINOR", 8)):
+@pytest.fixture(scope="module")
+def chain(spark):
+    """Each text is the one before with some words changed: links lead on to texts that share little; some long."""
+    rng = np.random.default_rng(9)
+    rows, own = [], [f"c{i}" for i in range(700)]
+    for i in range(40):
+        own = list(own)
+        for p in rng.choice(700, int(rng.integers(1, 26)), replace=False):
+            own[p] = f"d{i}x{p}"
+        rows.append((i, " ".join(own)))
+        rows.append((100 + i, " ".join(own[: 25 + i])))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize(("rare", "chunk", "block", "size", "percent"), [(16, 256, 1 << 23, 3, 90), (1, 3, 300, 5, 80)])
+def test_jaccard(spark, hard, near, chain, docs, monkeypatch, rare, chunk, block, size, percent):
+    for name, value in (("RARE", rare), ("CHUNK", chunk), ("BLOCK", block), ("MINOR", block // 2)):
         monkeypatch.setattr(jaccard, name, value)
-    for df in (near, hard) if rare < 32 else (near, hard, docs.limit(60)):
+    every = [near, chain] if rare == 1 else [near, hard]
+    for df in every:
         got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df, size, percent).collect())
         assert got == components(texts(df), size, percent)
 
 
+def test_parity_sketches_never_hide_a_link():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in (1, 5, 60, 64, 65, 130, 300, 350) for _ in range(8)]
+    sketches = [jaccard.parity_sketch(s) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    block = jaccard.Block(sizes, sketches, np.arange(len(sets)))
+    for i, s in enumerate(sets):
+        apart = [len(np.setxor1d(s, t)) for t in sets]
+        assert all(jaccard._differ(sketches[i], x) <= d for x, d in zip(sketches, apart, strict=True))
+        linked = [j for j, t in enumerate(sets) if j != i and 100 * len(np.intersect1d(s, t)) >= 70 * len(np.union1d(s, t))]
+        found = block.partners(len(s), sketches[i], i, 70).tolist()
+        assert set(linked) <= set(found) and all(jaccard._differ(sketches[i], sketches[j]) <= jaccard.most_apart(sizes[i], sizes[j], 70) for j in found)
+
+
 def test_keep_one(spark, hard, empty):
     kept = jaccard.keep_one(hard)
     assert kept.columns == hard.columns
