@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,16 +25,14 @@ from pyspark.sql import functions as F
 
 from tesserine.llm.bpe import byte_names
 from tesserine.llm.common import partitions, settle, table
-from tesserine.llm.textkit import chunks
+from tesserine.llm.textkit import as_bytes, chunks, mix
 
 MAGIC = b"PFR1"
 BLOCK = 256
 PERCENTILE = 0.9
-#: Ids in a shard (a longer document is a shard of its own), bytes of text encoded at a time,
-#: and entries of the table of known words before it starts anew.
+#: Ids in a shard (a longer document is a shard of its own), and bytes of text encoded at a time.
 SHARD = 1 << 20
-TEXT = 4 << 20
-KNOWN = 600_000
+TEXT = 2 << 20
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -150,15 +147,25 @@ def unpack(shard: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
 class WordEncoder:
     """The tokenizers library over the different words of many texts.
 
-    What stands between white space is looked up. What is new is cut with the vocabulary's own pattern,
-    so that each word is a pre-token; words that are new are handed over together, with spaces between,
-    and the ids are dealt back by those that end a word. Where a text has characters outside the Latin blocks (whose case and composition the normalizer may change
-    in context), or a special token, the library gets the whole text.
+    Texts are cut at white space, around digits, and between ASCII letters and ASCII marks (but not beside
+    an apostrophe or another character), where the vocabulary's pattern always cuts. The pieces are looked
+    up in a table of fixed size: a row holds up to 24 bytes of a piece, which are compared in whole, and its
+    ids; a new piece takes the place of what was there. All pieces of many texts are looked up at once.
+    Those that aren't found are cut with the pattern itself, so that each word is a pre-token; these words
+    are handed to the library together, with spaces between, and the ids are dealt back by those that end a
+    word. Where a text has characters outside the Latin blocks (whose case and composition the normalizer
+    may change in context), control characters, or what may begin a special token, the library gets the
+    whole text.
     """
 
-    _other = regex.compile("[^\\x00-\u012f\u0131-\u024f]")
-    _space = re.compile("[ \\t\\n\\r]+")
+    # white space 0, letters 1, digits 2, other ASCII 3, what isn't cut from its neighbours 4
+    _class = np.array([0 if b in b" \t\n\r" else 4 if b > 127 or b == 0x27 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+    _control = np.array([b < 0x20 and b not in b"\t\n\r" for b in range(256)])
+    _lower = np.arange(256, dtype=np.uint8)
+    _lower[65:91] += 32
+    _masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
     END = "</w>"
+    KEY, IDS, SLOT_BITS = 24, 9, 21  # a row: key 24 bytes, meta 4 bytes (size << 8 | number of ids), ids
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
@@ -178,13 +185,12 @@ class WordEncoder:
         self.model.normalizer = None
         self.model.pre_tokenizer = CharDelimiterSplit(" ")
         self.names = {b: c for b, c in byte_names().items() if b != 0x20}
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.begins = {t["content"].encode()[:2] for t in spec["added_tokens"]}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
-        self.end = end_id.to_bytes(4, "little")
-        self.known: dict[str, bytes] = {}  # by word
-        self.chunks: dict[str, bytes] = {}  # by what stands between white space
+        self.end = np.array([end_id], "<u4")
+        self.table = np.zeros((1 << self.SLOT_BITS, 16), "<u4")
 
     @staticmethod
     def _plain(pattern: str) -> re.Pattern:
@@ -197,31 +203,108 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         text = " ".join(words).encode().decode("latin-1").translate(self.names)
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words) and cuts[-1] == len(ids):
-            raw = ids.tobytes()
-            self.known.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
-        else:  # a word gave no end or several: each by itself
-            self.known.update(zip(words, (x.tobytes() for x in self._whole(words)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for table_ in (self.known, self.chunks):
-            if len(table_) > KNOWN:
-                table_.clear()
-        plain = [not self._other.search(t) and not any(s in t for s in self.special) for t in texts]
-        cut = [self._space.split(t.lower()) if ok else None for t, ok in zip(texts, plain, strict=True)]
-        chunks_, known = self.chunks, self.known
-        new = list({c: None for row in cut if row for c in row if c not in chunks_})
-        words = [[c] if c.isalpha() else self.pattern.findall(c) for c in new]
-        unknown = list({w: None for row in words for w in row if w not in known})
-        for i in range(0, len(unknown), 4096):
-            self._learn(unknown[i : i + 4096])
-        chunks_.update(zip(new, [known[row[0]] if len(row) == 1 else b"".join([known[w] for w in row]) for row in words], strict=True))
-        whole = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        return [(next(whole).tobytes() if row is None else b"".join([chunks_[c] for c in row])) + self.end for row in cut]
+            return ids, np.diff(cuts, prepend=0)
+        each = self._whole(words)  # a word gave no end or several: each by itself
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces between white space, A to Z in lower case already."""
+        words: list[str] = []
+        n = []
+        for p in b" ".join(pieces).decode().lower().split(" "):
+            if p.isalpha():
+                words.append(p)
+                n.append(1)
+            else:
+                found = self.pattern.findall(p)
+                words += found
+                n.append(len(found))
+        ids, sizes = self._words(words)
+        at = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n)))]
+        return ids, np.diff(at)
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that the library gets whole: with a character above U+024F, U+0130, a control character, or the
+        first two bytes of a special token."""
+        after = np.append(data[1:], np.uint8(0))
+        marks = self._control[data] | (data >= 0xCA) | ((data == 0xC9) & (after >= 0x90)) | ((data == 0xC4) & (after == 0xB0))
+        for x, y in self.begins:
+            marks |= (data == x) & (after == y)
+        places = np.flatnonzero(marks)
+        return np.unique(np.searchsorted(offsets, places, "right") - 1) if len(places) else places
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """data: the bytes of some texts, one after the other; offsets: their bounds, from 0 -> ids of each."""
+        odd = self._odd(data, offsets)
+        low = np.zeros(len(data) + self.KEY, np.uint8)
+        low[: len(data)] = self._lower[data]
+        for i in odd:
+            low[offsets[i] : offsets[i + 1]] = 0x20
+        kind = self._class[low[: len(data)]]
+        cut = np.ones(len(data) + 1, bool)  # before each byte
+        left, right = kind[:-1], kind[1:]
+        cut[1:-1] = ((left != right) & (left != 4) & (right != 4)) | (left == 2) & (right == 2) | (left == 0) | (right == 0)
+        cut[offsets] = True
+        solid = kind > 0
+        start, size = np.flatnonzero(cut[:-1] & solid), np.flatnonzero(cut[1:] & solid) + 1
+        size -= start
+        ids, n = self._look_up(low, start, size)
+        at = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(start, offsets)].tolist()
+        out = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for i, x in zip(odd.tolist(), self._whole([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in odd]), strict=True):
+            out[i] = x
+        return out
+
+    def _look_up(self, low: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after the other, and how many each has."""
+        eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+        key = np.zeros((len(start), 3), np.uint64)
+        for k in range(3):
+            some = slice(None) if k == 0 else np.flatnonzero(size > 8 * k)
+            key[some, k] = eight[start[some] + 8 * k] & self._masks[np.minimum(size[some] - 8 * k, 8)]
+        with np.errstate(over="ignore"):
+            named = mix(key[:, 0] ^ mix(key[:, 1], 1) ^ (key[:, 2] * np.uint64(0xD6E8FEB86659FD93)) ^ size.astype(np.uint64))
+        slot = (named >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        rows = self.table[slot]
+        wide, short = rows.view("<u8"), size <= self.KEY
+        found = (wide[:, :3] == key).all(axis=1) & ((rows[:, 6] >> 8) == size) & short
+        new = np.flatnonzero(~found & short)
+        if len(new):
+            _, at, of = np.unique(named[new], return_index=True, return_inverse=True)
+            kind = new[at]
+            same = (key[kind][of] == key[new]).all(axis=1) & (size[kind][of] == size[new])
+            short[new[~same]] = False  # different pieces of one name
+            raw = low.tobytes()
+            got, n = self._pieces([raw[s:e] for s, e in zip(start[kind].tolist(), (start[kind] + size[kind]).tolist(), strict=True)])
+            made = np.zeros((len(kind), 16), "<u4")
+            made.view("<u8")[:, :3] = key[kind]
+            fits = n <= self.IDS
+            made[:, 6] = (size[kind] << 8) | n
+            begin = np.cumsum(n) - n
+            for j in range(self.IDS):
+                has = np.flatnonzero(n > j)
+                made[has, 7 + j] = got[begin[has] + j]
+            self.table[slot[kind[fits]]] = made[fits]
+            rows[new] = made[of]
+            short[new[~fits[of]]] = False
+        n = np.where(short, rows[:, 6] & 255, 0).astype(np.int64)
+        ids = rows[:, 7:][np.arange(self.IDS) < n[:, None]]
+        rest = np.flatnonzero(~short)
+        if len(rest):
+            got, sizes = self._pieces([low[start[i] : start[i] + size[i]].tobytes() for i in rest])
+            cuts = np.split(ids, np.cumsum(n)[rest])
+            whole = np.split(got, np.cumsum(sizes))
+            ids = np.concatenate([x for pair in zip(cuts, whole, strict=True) for x in pair])
+            n[rest] = sizes
+        return ids, n
 
 
 _loaded: dict[tuple[str, int], WordEncoder] = {}
@@ -244,15 +327,16 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         if (path, end_id) not in _loaded:
             _loaded[path, end_id] = WordEncoder(path, end_id)
         encoder, part, serial = _loaded[path, end_id], TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         names: list[pa.Array] = []
 
         def shard() -> pa.RecordBatch:
             nonlocal serial
             ids = pa.concat_arrays(names)
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
+            lengths = np.array([len(x) + 1 for x in held], np.int64)
             bounds = pa.array([0, len(ids)], pa.int32())
-            cols = [pa.array([(part << 32) + serial], pa.int64()), pa.ListArray.from_arrays(bounds, ids), pa.ListArray.from_arrays(bounds, pa.array(lengths)), pa.array([pack(np.frombuffer(b"".join(held), "<u4"))], pa.binary())]
+            data = pack(np.concatenate([x for own in held for x in (own, encoder.end)]))
+            cols = [pa.array([(part << 32) + serial], pa.int64()), pa.ListArray.from_arrays(bounds, ids), pa.ListArray.from_arrays(bounds, pa.array(lengths)), pa.array([data], pa.binary())]
             serial += 1
             held.clear()
             names.clear()
@@ -260,11 +344,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
         filled = 0
         for batch in batches:
-            texts = batch.column(1)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in chunks(np.concatenate(([0], np.cumsum(sizes))), TEXT):
-                done = encoder.encode([x or "" for x in texts.slice(lo, hi - lo).to_pylist()])
-                ends = np.cumsum([len(x) // 4 for x in done])
+            data, offsets = as_bytes(batch.column(1))
+            for lo, hi in chunks(offsets, TEXT):
+                done = encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                ends = np.cumsum([len(x) + 1 for x in done])
                 # close a shard at the first document that fills it
                 first = 0
                 while first < len(done):

@@ -277,6 +277,22 @@ def test_token_files(spark, hard, empty, monkeypatch):
     assert tokenfile.read_shards(tokenfile.write_shards(empty, path)).count() == 0
 
 
+def test_word_encoder_equals_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), tokenfile.WordEncoder(path, 1)
+    rng = np.random.default_rng(12)
+    parts = ["ab", "Zq", "12", "7", "'s", "'re", "'", ",", ".", "!?", "\u00e9", "\u00c9", "\u00df", "\u0130", "\u01c5", "\u00bd", "\u00b2", "\u00ab", "\x1c", "\x0b", "\x85", "\u00a0", " ", "\n", "\t ", "<|", "endoftext|>", "\u4e2d", "\u0301", "_", "-", "x" * 23, "y" * 40, "\x00"]
+    for _ in range(3):
+        rows = ["".join(rng.choice(parts, int(rng.integers(0, 12)))) for _ in range(700)]
+        raw = [x.encode() for x in rows]
+        got = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
+        want = [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+        assert [x.tolist() for x in got] == want
+
+
 # ---- secrets ----
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
