@@ -229,18 +229,74 @@ def test_quality_counts(spark, hard, docs, empty):
     assert perplexity.judge(empty).count() == 0
 
 
-def test_model_is_a_distribution():
-    rng = np.random.default_rng(5)
-    code, c = np.unique(perplexity.codes_of(rng.integers(97, 110, 5000).astype(np.uint8)), return_counts=True)
-    p = np.exp(-perplexity.kneser_ney(code, c)).reshape(-1, perplexity.CLASSES).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-6)
-
-
-def test_perplexity_rejects_noise(spark, docs):
-    rng = np.random.default_rng(6)
-    noise = " ".join("".join(rng.choice(list("zqxjkvw#%&"), 9)) for _ in range(200))
-    df = docs.select("doc_id", "lang", "text").union(spark.createDataFrame([(-1, "en", noise)], "doc_id long, lang string, text string"))
-    assert not perplexity.judge(df).filter("doc_id = -1").first()["kept"]
+def folded(t):
+    return bytes(0x20 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
+
+
+def brute_costs(rows):
+    """(lang, text) -> mean -log P of a byte under the model of its language, from the definitions."""
+    seen = collections.defaultdict(collections.Counter)
+    padded = [(lang, b" " * 4 + folded(t)) for lang, t in rows]
+    for lang, t in padded:
+        seen[lang].update({t[i : i + 5] for i in range(len(t) - 4)})
+    levels, off = {}, {}
+    for lang, counts in seen.items():
+        level = {g: n - 1 for g, n in counts.items() if n > 1}
+        for k in range(5, 0, -1):
+            levels[lang, k] = level
+            n = [0, *(sum(c == i for c in level.values()) for i in range(1, 5))]
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+            off[lang, k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if all(n[1:]) else i / 2 for i in (1, 2, 3)]
+            level = dict(collections.Counter(g[1:] for g in level))
+    contexts = {}
+    for (lang, k), level in levels.items():
+        for g, c in level.items():
+            total, freed = contexts.get((lang, k, g[:-1]), (0, 0))
+            contexts[lang, k, g[:-1]] = total + c, freed + off[lang, k][min(c, 3)]
+
+    def p(lang, g):
+        if not g:
+            return 1 / 256
+        back, k = p(lang, g[1:]), len(g)
+        if (lang, k, g[:-1]) not in contexts:
+            return back
+        total, freed = contexts[lang, k, g[:-1]]
+        c = levels[lang, k].get(g, 0)
+        return (c - off[lang, k][min(c, 3)] + freed * back) / total
+
+    return [sum(-np.log(p(lang, t[i : i + 5])) for i in range(len(t) - 4)) / max(len(t) - 4, 1) for lang, t in padded]
+
+
+@pytest.mark.parametrize("part", [1 << 21, 300])
+def test_model_equals_brute_force(spark, hard, docs, monkeypatch, part):
+    monkeypatch.setattr(perplexity, "HELD", 2000)
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in docs.limit(25).union(hard.filter("length(text) < 6000 or text is null").select(docs.columns)).collect()]
+    rows += [(900, "", "a text of the empty language"), (901, None, "a text of no language"), (902, "x", "the only one of its language")]
+    rows = [(k, lang, (t or "")[:3000] if t else t) for k, lang, t in rows]
+    got = perplexity.measure(spark.createDataFrame(rows, "doc_id long, lang string, text string"), part).collect()
+    want = collections.defaultdict(list)
+    for (k, lang, t), cost in zip(rows, brute_costs([(x, t) for _, x, t in rows]), strict=True):
+        want[k, lang].append(cost if WORDS.search(t or "") else None)
+    have = collections.defaultdict(list)
+    for r in got:
+        have[r["doc_id"], r["lang"]].append(r["log_perplexity"])
+    assert {k: len(v) for k, v in have.items()} == {k: len(v) for k, v in want.items()}
+    for k, v in want.items():
+        key = lambda x: -1 if x is None else x
+        for a, b in zip(sorted(v, key=key), sorted(have[k], key=key), strict=True):
+            assert (a is None and b is None) or abs(a - b) < 1e-5
+
+
+def test_bands_reject_on_both_sides(spark, docs):
+    odd = [(90001, "zqx jvk wpf " * 3 + "qqz xxv kkw jjp vvq zzk pqf wxj kvz fqp jwx", "en"), (90002, "Licensed under the Apache License, Version 2.0 (the License); you may not use this file", "en")]
+    rows = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    out = {r["doc_id"]: r for r in perplexity.judge(rows).collect()}
+    assert out[90001]["log_perplexity"] > out[90001]["high"] and not out[90001]["kept"]
+    tried = [r for r in out.values() if not r["base_failed"]]
+    assert any(r["log_perplexity"] < r["low"] for r in tried) and sum(r["kept"] for r in tried) > 0.9 * len(tried)
+    mid, mad = np.median([r["log_perplexity"] for r in tried]), 0
+    assert mid > mad and all(r["kept"] == (r["low"] <= r["log_perplexity"] <= r["high"]) for r in tried)
+    assert perplexity.judge(rows.limit(0)).count() == 0
 
 
 # ---- token files ----
