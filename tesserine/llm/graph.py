@@ -2,40 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.common import release, settle
 
+#: Edges that a task holds at a time when it contracts its own.
+HELD = 1 << 18
+
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def contract(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> edges that connect the same nodes, those that a task holds as stars: each node with the
+    smallest one that the task's edges lead to. Nothing is shuffled."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def top(x):
+            root = x
+            while up.get(root, root) != root:
+                root = up[root]
+            while up.get(x, x) != root:
+                up[x], x = root, up[x]
+            return root
+
+        def stars() -> pa.RecordBatch:
+            rows = [(x, top(x)) for x in list(up)]
+            rows = [r for r in rows if r[0] != r[1]]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in (0, 1)], names=["a", "b"])
+
+        types = None
+        for batch in batches:
+            types = types or [batch.schema.field(i).type for i in (0, 1)]
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > HELD:
+                yield stars()
+                up.clear()
+        if up:
+            yield stars()
+
+    return edges.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """edges(a, b) -> node, root: the smallest node that can be reached, for each node that has an edge.
 
-    Each round links the larger neighbours of a node to its smallest one, then each node's smaller
-    neighbours likewise; the number of rounds grows with the logarithm of the longest chain. A star
-    with very many leaves stays a list of edges throughout, aggregated by partial minima; nothing is
-    gathered by node. The rounds' tables go to the shared folder.
+    Tasks first contract the edges they hold. Then each round links the larger neighbours of a node to its
+    smallest one, and each node's smaller neighbours likewise; the number of rounds grows with the logarithm
+    of the longest chain. A star with very many leaves stays a list of edges throughout, aggregated by
+    partial minima; nothing is gathered by node. The rounds' tables go to the shared folder.
     """
-    now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    mark = _digest(now)
+    first = settle(edges.filter("a <> b").select("a", "b"), f"{name}-edges")
+    now = settle(contract(first), f"{name}-0")
+    release(first)
+    mark = _digest(now.distinct())
     for i in range(1, rounds + 1):
         # large star: a node's larger neighbours go to the smallest of its neighbours and itself
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node's smaller neighbours and itself go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        new = settle(small, f"{name}-{i}")
-        was, mark = mark, _digest(new)
-        release(now)
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        made = settle(small, f"{name}-{i}-small")
+        new = settle(contract(made), f"{name}-{i}")
+        was, mark = mark, _digest(new.distinct())
+        release(now, made)
         now = new
         if mark == was:
             break
     else:
         raise RuntimeError("the components didn't settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
