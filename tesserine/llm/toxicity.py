@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import row_key, settle, table
+from tesserine.llm.common import bitmap, bits_of, keyed, row_key, settle, table
 
 # Fixed value: insults that the lexicon voters start from.
 SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser")
 #: Lexicon entries are dealt to this many voters; with the pattern voters the label model sees at most
-#: 2**(VOTERS + len(PATTERNS)) different rows, however many documents there are.
+#: 2**(VOTERS + len(PATTERNS)) different rows, however many documents and entries there are.
 VOTERS = 11
-ENTRIES = 44
 PATTERNS = ("two_entries", "three_hits", "dense", "shouted", "none")
 #: A stem counts in a document with two different words of it at least, and one in so many characters.
 STEM_CHARS = 520
 STEM_LENGTHS = (3, 4, 5, 6, 7)
-#: Labelled rows that entries are learned from, and rows that the classifier is fitted on.
-LABELLED_SAMPLE = 6_000
+#: Labelled toxic texts that must hold an entry, and the share of its texts that must be toxic.
+SUPPORT, PRECISION = 5, 0.85
+#: Entries that a task holds before it sends them on, and slots by which labelled documents are picked.
+HELD, SLOTS = 500_000, 1 << 22
+#: Labelled rows that the classifier is fitted on, about (default of a parameter).
 FIT_SAMPLE = 20_000
 
+_WORD = re.compile(r"[^\W\d_]{3,}")
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -46,65 +53,111 @@ def _known(labels: DataFrame) -> DataFrame:
     return usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def induce_lexicon(docs: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = SEEDS) -> Lexicon:
+def entry_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...), known(doc_id, toxic) -> entry, stem, bad, n: of the different labelled texts, how
+    many toxic ones and how many in all hold an entry. Tasks add up their own texts before anything is sent."""
+    known = settle(known, "toxicity-known")
+    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(SLOTS - 1))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(known.select(slot.alias("slot")), SLOTS))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Most texts without a label stay where they are; the join drops the rest."""
+        bits = bits_of(wanted.value)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column(0).to_numpy()])).select([1, 2])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(slot.alias("slot"), "doc_id", F.col("text").cast("string").alias("text"))
+    texts = texts.mapInArrow(labelled, f"doc_id {kind}, text string").join(known, "doc_id")
+    texts = texts.groupBy(F.xxhash64("text").alias("k"), F.xxhash64(F.lit("lexicon"), "text").alias("k2")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bool], list[int]] = {}
+
+        def sent() -> pa.RecordBatch:
+            cols = [pa.array([e for e, _ in held]), pa.array([s for _, s in held], pa.bool_()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in (0, 1))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["entry", "stem", "bad", "n"])
+
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for entry in entries_of(text.lower()):
+                    own = held.setdefault(entry, [0, 0])
+                    own[0] += toxic
+                    own[1] += 1
+                if len(held) > HELD:
+                    yield sent()
+        if held:
+            yield sent()
+
+    return texts.select("text", F.col("toxic").cast("long")).mapInArrow(count, "entry string, stem boolean, bad long, n long")
+
+
+def entries_of(text: str) -> list[tuple[str, bool]]:
+    """What a text in lower case holds: its words, and the stems that are dense in it."""
+    words = Counter(_WORD.findall(text))
+    total, kinds = Counter(), Counter()
+    for word, n in words.items():
+        for k in STEM_LENGTHS:
+            if len(word) >= k:
+                total[word[:k]] += n
+                kinds[word[:k]] += 1
+    return [(w, False) for w in words] + [(e, True) for e, k in kinds.items() if k >= 2 and total[e] * STEM_CHARS >= len(text)]
+
+
+def induce_lexicon(docs: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = SEEDS, support: int = SUPPORT, precision: float = PRECISION) -> Lexicon:
     """The seeds, and words and stems that labelled toxic documents hold and others hardly do.
 
-    Counted in Spark over a bounded, seeded sample of labelled training rows; equal texts count once.
-    A word counts where it occurs, a stem where it is dense (STEM_CHARS). Entries that 3 % of the toxic
-    documents hold with a precision of 0.85 are taken, the most frequent first; of entries that extend
-    one another only the first is.
+    Counted in Spark over all labelled rows that aren't held out; equal texts count once. A word counts
+    where it occurs, a stem where it is dense (STEM_CHARS). Entries that `support` toxic texts hold, with one
+    clean text more than was seen at `precision` or better, are taken, whatever share of the toxic texts
+    that is; of entries that extend one another only the most frequent is. The list grows with the
+    vocabulary of toxic texts, not with the number of documents.
     """
-    sample = _known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_SAMPLE)
-    texts = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text")).join(F.broadcast(sample), "doc_id")
-    texts = settle(texts.select(F.xxhash64("text").alias("k"), F.length("text").alias("chars"), "toxic", F.regexp_extract_all("text", F.lit(r"\p{L}{3,}"), F.lit(0)).alias("words")).dropDuplicates(["k"]), "toxicity-sample")
-    n_bad = texts.agg(F.sum("toxic")).first()[0] or 0
-    each = texts.select("k", "chars", "toxic", F.explode("words").alias("word")).groupBy("k", "chars", "toxic", "word").agg(F.count(F.lit(1)).alias("c"))
-    stems = F.array_distinct(F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in STEM_LENGTHS]))
-    by_stem = each.select("k", "chars", "toxic", "c", F.explode(F.array_compact(stems)).alias("entry")).groupBy("k", "chars", "toxic", "entry").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds"))
-    by_stem = by_stem.filter((F.col("kinds") >= 2) & (F.col("c") * STEM_CHARS >= F.col("chars"))).select("toxic", "entry", F.lit(True).alias("stem"))
-    holds = by_stem.unionByName(each.select("toxic", F.col("word").alias("entry"), F.lit(False).alias("stem")))
-    counts = holds.groupBy("entry", "stem").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
-    precise = counts.filter((F.col("bad") >= max(4, 0.03 * n_bad)) & (F.col("bad") >= 0.85 * F.col("n")))
-    found = precise.orderBy(F.desc("bad"), "stem", F.desc(F.length("entry")), "entry").limit(20 * ENTRIES).collect()
+    counts = entry_counts(docs, _known(labels)).groupBy("entry", "stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    found = counts.filter((F.col("bad") >= support) & (F.col("bad") >= precision * (F.col("n") + 1))).orderBy(F.desc("bad"), "stem", F.desc(F.length("entry")), "entry").collect()
     taken: list[tuple[str, bool]] = [(w, False) for w in seeds]
+    whole, begun = set(seeds), {w[:i] for w in seeds for i in range(1, len(w) + 1)}
     for r in found:
-        if len(taken) < ENTRIES and not any(r["entry"].startswith(e) or e.startswith(r["entry"]) for e, _ in taken):
-            taken.append((r["entry"], r["stem"]))
+        e = r["entry"]
+        if e not in begun and not any(e[:i] in whole for i in range(1, len(e) + 1)):
+            taken.append((e, r["stem"]))
+            whole.add(e)
+            begun |= {e[:i] for i in range(1, len(e) + 1)}
     return Lexicon(tuple(e for e, stem in taken if not stem), tuple(e for e, stem in taken if stem))
 
 
 def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """doc_id, _k1, _k2 (row key), f (array of double: what the linear classifier sees), votes (bits)."""
+    """doc_id, k1, k2 (row key), f (array of double: what the linear classifier sees), votes (bits)."""
     k1, k2 = row_key("doc_id", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = "|".join(sorted(map(_quoted, lexicon.words), key=len, reverse=True)) or r"\b\B"
-    stems = "|".join(sorted(map(_quoted, lexicon.stems), key=len, reverse=True)) or r"\b\B"
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}})((?:{words})(?!\p{{L}})|(?:{stems})\p{{L}}*)"), F.lit(1))
-    seen = docs.select("doc_id", k1.alias("_k1"), k2.alias("_k2"), found.alias("hits"), F.greatest(F.length(text), F.lit(1)).alias("chars"), text.rlike(r"!{2,}|\?!|!\?").alias("loud"))
-    plain = F.array(*map(F.lit, lexicon.words)).cast("array<string>")
-    seen = seen.withColumn("w", F.filter("hits", lambda h: F.array_contains(plain, h))).withColumn("s", F.filter("hits", lambda h: ~F.array_contains(plain, h)))
+    by_length = {n: [s for s in lexicon.stems if len(s) == n] for n in sorted({len(s) for s in lexicon.stems})}
+
+    def stem_of(h: Column) -> Column:
+        """The entry that a word begins with, null if none; entries don't extend one another."""
+        return F.coalesce(F.lit(None).cast("string"), *[F.when(F.substring(h, 1, n).isin(own), F.substring(h, 1, n)) for n, own in by_length.items()])
+
+    least = min([3, *(len(w) for w in lexicon.words)])
+    words = F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0))
+    hits = F.filter(words, lambda h: h.isin(list(lexicon.words)) | stem_of(h).isNotNull())
+    seen = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), hits.alias("hits"), F.greatest(F.length(text), F.lit(1)).alias("chars"), text.rlike(r"!{2,}|\?!|!\?").alias("loud"))
+    plain = lambda h: h.isin(list(lexicon.words))
+    seen = seen.withColumn("w", F.filter("hits", plain)).withColumn("s", F.filter("hits", lambda h: ~plain(h)))
     kinds, stem_kinds = F.size(F.array_distinct("w")), F.size(F.array_distinct("s"))
     dense = (F.size("s") * STEM_CHARS >= F.col("chars")) & (stem_kinds >= 2)
-    holds = [F.exists("w", partial(_equal, e)) if not stem else dense & F.exists("s", partial(_begins, e)) for e, stem in lexicon.entries]
-    lists = [reduce(lambda a, b: a | b, holds[i::VOTERS], F.lit(False)) for i in range(VOTERS)]
+    seen = seen.withColumn("found", F.concat(F.array_distinct("w"), F.when(dense, F.array_distinct(F.transform("s", stem_of))).otherwise(F.array().cast("array<string>"))))
+    dealt = [[e for e, _ in lexicon.entries][i::VOTERS] for i in range(VOTERS)]
+    lists = [F.exists("found", _among(own)) if own else F.lit(False) for own in dealt]
     n = F.size("w") + F.when(dense, F.size("s")).otherwise(0)
     patterns = [kinds + F.when(dense, stem_kinds).otherwise(0) >= 2, n >= 3, n * STEM_CHARS >= F.col("chars"), F.col("loud"), n == 0]
     votes = sum((F.when(x, F.lit(1 << i)).otherwise(0) for i, x in enumerate([*lists, *patterns])), F.lit(0)).cast("long")
     rate = lambda x: F.log1p(x * 1000.0 / F.greatest(F.col("chars"), F.lit(100)))
     values = [F.log1p(F.size("w")), F.log1p(kinds), rate(F.size("w")), F.log1p(F.size("s")), F.log1p(stem_kinds), rate(F.size("s")), dense, F.size("w") > 0, F.col("loud")]
-    return seen.select("doc_id", "_k1", "_k2", F.array(*[v.cast("double") for v in values]).alias("f"), votes.alias("votes"))
-
-
-def _equal(word: str, hit: Column) -> Column:
-    return hit == word
+    return seen.select("doc_id", "k1", "k2", F.array(*[v.cast("double") for v in values]).alias("f"), votes.alias("votes"))
 
 
-def _begins(stem: str, hit: Column) -> Column:
-    return F.startswith(hit, F.lit(stem))
-
-
-def _quoted(word: str) -> str:
-    return "".join(c if c.isalnum() else "\\" + c for c in word)
+def _among(own: list[str]) -> Callable[[Column], Column]:
+    return lambda entry: entry.isin(own)
 
 
 @dataclass
@@ -170,18 +223,19 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int =
     return w, mean, scale
 
 
-def score_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...), labels(doc_id, toxic) -> doc_id, _k1, _k2 (row key), held_out, score,
+def score_rows(docs: DataFrame, labels: DataFrame, fit_sample: int = FIT_SAMPLE) -> DataFrame:
+    """docs(doc_id, text, ...), labels(doc_id, toxic) -> doc_id, k1, k2 (row key), held_out, score,
     predicted; one row a row of docs.
 
     Words and the label model's priors are learned from labels of documents that aren't held out; the
-    label model also sees the votes on all other documents. Null or empty text scores as a text without
-    any word. Without labels, or without documents, the seeds alone vote. The text is read twice
-    (lexicon, votes); what follows reads a slim table.
+    label model also sees the votes on all other documents. The classifier is fitted to the posteriors of
+    about `fit_sample` labelled rows (all, if they are fewer), picked by a hash of the row. Null or empty
+    text scores as a text without any word. Without labels the seeds alone vote, and rows without a
+    label are picked. The text is read twice (lexicon, votes); what follows reads a slim table.
     """
     lexicon = induce_lexicon(docs, labels)
     slim = settle(features(docs, lexicon), "toxicity-votes")
-    known = _known(labels)
+    known = settle(_known(labels), "toxicity-known")
     rows = slim.join(known, "doc_id", "left").groupBy("votes").agg(
         F.count(F.when(F.col("toxic").isNull(), 1)).alias("n"), F.count(F.when(F.col("toxic") == 0, 1)).alias("good"), F.count(F.when(F.col("toxic") > 0, 1)).alias("bad")
     ).collect()  # at most 2**voters rows
@@ -191,31 +245,33 @@ def score_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     start = np.where(fires[:, :VOTERS].any(axis=1), 0.9, 0.02)
     counts = np.array([[r["n"], r["good"], r["bad"]] for r in rows], float).reshape(-1, 3)
     model = fit_label_model(fires, counts[:, 0], counts[:, 1:], start)
-    sample = slim.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "votes").limit(FIT_SAMPLE).select("f", "votes").collect()
+    labelled = int(counts[:, 1:].sum())
+    pool = slim.join(known, "doc_id", "left_semi") if labelled else slim.filter(~held_out(F.col("doc_id")))
+    share = min(1.0, fit_sample / max(labelled or int(counts[:, 0].sum()), 1))
+    picked = pool.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("f", "votes").collect()
     linear = F.lit(0.0)
-    if sample:
-        x = np.array([r["f"] for r in sample], float)
-        bits = ((np.array([r["votes"] for r in sample], np.int64)[:, None] >> np.arange(voters)) & 1).astype(float)
+    if picked:
+        x = np.array([r["f"] for r in picked], float)
+        bits = ((np.array([r["votes"] for r in picked], np.int64)[:, None] >> np.arange(voters)) & 1).astype(float)
         w, mean, scale = fit_linear(x, model.posterior(bits))
         slope = w[:-1] / scale
         linear = F.lit(float(w[-1] - (slope * mean).sum()))
         for i, s in enumerate(slope.tolist()):
             linear = linear + F.col("f")[i] * F.lit(s)
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))
-    return slim.select("doc_id", "_k1", "_k2", held_out(F.col("doc_id")).alias("held_out"), p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return slim.select("doc_id", "k1", "k2", held_out(F.col("doc_id")).alias("held_out"), p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """score_rows without the row key."""
-    return score_rows(docs, labels).drop("_k1", "_k2")
+    return score_rows(docs, labels).drop("k1", "k2")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that are predicted to be toxic. Repeated rows share one verdict; rows with
-    equal (or null) doc_id and different texts have their own."""
-    bad = score_rows(docs, labels).filter("predicted = 1").select(F.col("_k1").alias("_bad1"), F.col("_k2").alias("_bad2")).distinct()
-    k1, k2 = row_key("doc_id", "text")
-    return docs.join(bad, (k1 == F.col("_bad1")) & (k2 == F.col("_bad2")), "left_anti")
+    equal (or null) doc_id and different texts have their own. Same columns, whatever their names."""
+    bad = score_rows(docs, labels).filter("predicted = 1").select("k1", "k2").distinct()
+    return keyed(docs).join(bad, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
