@@ -47,8 +47,8 @@ def water_fill(sources: DataFrame, budget_share: float = 1.5, max_epochs: float
 
 
 def ticket(doc_id: str, seed: str) -> Column:
-    """The place of a document in its source's seeded order."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    """The place of a document in its source's seeded order; documents without an id are told apart by their text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))))
 
 
 def _cut(rows: DataFrame, bucket: str) -> DataFrame:
@@ -69,8 +69,8 @@ def repetitions(
     seeded order once more until the source's words are as near its target as whole documents allow.
     A histogram of the order (fixed buckets of the hash) finds the one bucket where the source's words
     end; only that bucket's documents are sorted. Null text: size 0. Null source: a source of its own.
-    Equal doc_id: neighbours in the order, the shorter first. Empty docs: no rows. Columns of docs
-    with the names added here are replaced, others stay.
+    Equal doc_id: neighbours in the order, the shorter first; null doc_id: by a hash of the text. Empty docs:
+    no rows. Columns of docs with the names added here are replaced, others stay (mix() keeps all).
     """
     made = ["size", "source_size", "target", "reps"]
     base = docs.drop(*made)
@@ -103,9 +103,12 @@ def repetitions(
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as it was drawn, with the columns of docs."""
-    drawn = repetitions(docs, **options)
-    return drawn.filter("reps > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("reps")))).select(*docs.columns)
+    """The mix itself: each document as many times as it was drawn, with the columns of docs, whatever their
+    names."""
+    doc_id = options.get("doc_id", "doc_id")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), doc_id, "text", "source")
+    drawn = repetitions(rows, **options).filter("reps > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("reps"))).alias("copy")).select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +120,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(concat('mix:', coalesce(doc_id::VARCHAR, ''))) AS ticket
+         md5(concat('mix:', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))) AS ticket
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source

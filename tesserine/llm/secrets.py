@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import row_key, settle, table
+from tesserine.llm.common import keyed, row_key, settle, table
 
 # The detectors. The first three are the base kinds, in the order in which ties are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -88,6 +88,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     each = slim.filter((F.size("base") > 0) | (F.size("vendor") > 0)).select("_k1", "_k2", "owner", "repository", F.explode(F.concat("base", "vendor")).alias("s"))
     each = each.withColumn("fingerprint", F.unhex(F.sha2(F.col("s.value"), 256))).withColumn("looks", live_looking(F.col("s.value")))
     verdicts = ownership(each.select("fingerprint", "owner", "repository", "looks"), max_owners, max_repositories).select("fingerprint", "verdict")
+    verdicts = settle(verdicts, "secret-verdicts")  # so that a string in very many documents can be split in the join
     judged = each.join(verdicts, "fingerprint").select("_k1", "_k2", "s", (F.col("verdict") == "live").alias("is_live"))
     # rows that are repeated share a key: a set, so that they don't multiply
     by_row = judged.groupBy("_k1", "_k2").agg(
@@ -102,17 +103,18 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
 
 
 def redact(docs: DataFrame, mark: str = "<secret>", **options) -> DataFrame:
-    """docs with each live credential's value replaced by `mark`; examples stay. Same columns
-    (n_chars follows the text), all rows."""
-    found = scan(docs, **options).filter(F.size("live") > 0).select("_k1", "_k2", F.array_distinct(F.transform("live", lambda s: s["value"])).alias("_values")).dropDuplicates(["_k1", "_k2"])
-    k1, k2 = row_key("doc_id", "text")
-    joined = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(found, ["_k1", "_k2"], "left")
+    """docs with each live credential's value replaced by `mark`; examples stay. Same columns, whatever their
+    names (n_chars follows the text), all rows."""
+    values = F.array_distinct(F.transform("live", lambda s: s["value"]))
+    found = scan(docs, **options).filter(F.size("live") > 0).select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), values.alias("values")).dropDuplicates(["k1", "k2"])
+    joined = keyed(docs).join(settle(found, "secret-values"), ["k1", "k2"], "left")
     # the longest first: a value may hold another
-    ordered = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    ordered = F.array_sort("values", lambda a, b: F.length(b) - F.length(a))
+    text = F.aggregate(ordered, F.col("row.text"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
-    return joined.withColumn("text", text).select(*docs.columns)
+        row = row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.when(F.col("values").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
 def _listed(spans: Column) -> Column:

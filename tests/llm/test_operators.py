@@ -495,6 +495,18 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 100, **{500 + i: 500 for i in range(50)}}
 
 
+def test_columns_with_clashing_names_keep_their_values(spark):
+    """Stages that return documents keep every other column, whatever it is called."""
+    names = ["k1", "k2", "_k1", "_k2", "row", "values", "_values", "size", "target", "source_size", "reps", "copy", "_copy", "_bad", "v", "live", "toxic", "l"]
+    rows = [(i, t, "en", f"s{i % 2}", *(100 * i + j for j in range(len(names)))) for i, t in enumerate(["you idiot, you stupid moron scum", "a fine day on the river", "my password: Qw9mZ2kLp0vRt7 it is", "some other words that stand here"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    labels = spark.createDataFrame([(i, int(i == 0)) for i in range(4)], "doc_id long, toxic int")
+    for kept in (toxicity.reject_toxic(df, labels), jaccard.keep_one(df), secrets.redact(df), mixing.mix(df)):
+        assert kept.columns == df.columns
+        for r in kept.collect():
+            assert tuple(r)[4:] == rows[r["doc_id"]][4:] and r["lang"] == "en"
+
+
 # ---- BPE ----
 
 
