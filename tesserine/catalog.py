@@ -11,7 +11,7 @@ from tesserine.operators import five_state as five
 from tesserine.operators import kinematics as kin
 from tesserine.operators import seven_state as seven
 from tesserine.plans import derived as d
-from tesserine.schema import FIVE_BUTTONS, FIVE_STATES, SEVEN_STATES
+from tesserine.schema import DELAYS_FIVE_MS, FIVE_BUTTONS, FIVE_DECLARED, FIVE_STATES, SEVEN_STATES
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,9 +101,6 @@ def calc_div_by_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.evaluate_columns(rows, F.col("a"), F.col("sign"), F.col("b")).filter("err_kind = 'DivisionByZero'").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NO_FRACTION = "err_kind IS NOT NULL OR c[2] <> '/'"
-
-
 @query(f"""WITH {_DOCS}, vals AS (
   SELECT *, c[1]::BIGINT AS a, c[2] AS sign, c[3]::BIGINT AS b FROM parsed WHERE err_kind IS NULL AND c[2] <> '/')
 SELECT doc_id, eq_idx, 'error: ' || err_msg || ' = error: ' || err_msg AS line FROM parsed WHERE err_kind IS NOT NULL
@@ -117,7 +114,22 @@ def calc_pipeline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.render(rows, whole_text).select("doc_id", "eq_idx", "line")
 
 
-@query()
+def _number_sql(v: str) -> str:
+    """Text of a double as the lines have it: whole numbers without a point, others without an exponent."""
+    t = f"({v})::VARCHAR"
+    digits = f"replace(regexp_replace(split_part({t}, 'e-', 1), '^-|\\.0$', '', 'g'), '.', '')"
+    small = f"CASE WHEN {v} < 0 THEN '-' ELSE '' END || '0.' || repeat('0', split_part({t}, 'e-', 2)::INTEGER - 1) || {digits}"
+    return f"CASE WHEN {v} = floor({v}) THEN ({v})::BIGINT::VARCHAR WHEN {t} LIKE '%e-%' THEN {small} ELSE {t} END"
+
+
+_RESULT = "CASE sign " + " ".join(f"WHEN '{s}' THEN {x}" for s, x in (("+", "a + b"), ("-", "a - b"), ("*", "a * b"), ("/", "a / b"), ("%", "a % b"), ("//", "floor(a / b)"))) + " END"
+_LINE = f"""{_number_sql('a')} || ' ' || sign || ' ' || {_number_sql('b')} || ' = ' || CASE WHEN sign IN ('/', '%', '//') AND b = 0 THEN 'error: division by zero' ELSE {_number_sql('r')} END"""
+
+
+@query(f"""WITH {_DOCS}, vals AS (SELECT doc_id, eq_idx, c[1]::DOUBLE AS a, c[2] AS sign, c[3]::DOUBLE AS b FROM parsed WHERE err_kind IS NULL),
+res AS (SELECT *, CASE WHEN sign IN ('/', '%', '//') AND b = 0 THEN NULL ELSE {_RESULT} END AS r FROM vals)
+SELECT doc_id, eq_idx, 'error: ' || err_msg || ' = error: ' || err_msg AS line FROM parsed WHERE err_kind IS NOT NULL
+UNION ALL SELECT doc_id, eq_idx, {_LINE} AS line FROM res""")
 def calc_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run: lines of all equations, divisions and zero divisors included, with the text of fractions."""
     return eq.run(d.documents(spark, sf_dir)).select("doc_id", "eq_idx", "line")
@@ -128,7 +140,8 @@ def calc_document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.gate(d.documents(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_OPERANDS}, vals AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, sign, l_tax AS b FROM ops WHERE sign <> '^'),
+res AS (SELECT *, CASE WHEN sign IN ('/', '%', '//') AND b = 0 THEN NULL ELSE {_RESULT} END AS r FROM vals) SELECT l_orderkey, l_linenumber, {_LINE} AS line FROM res""")
 def calc_result_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of equations over prices and taxes: text of fractions."""
     rows = d.operands(spark, sf_dir).filter("sign <> '^'")
@@ -224,12 +237,56 @@ def five_transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(F.broadcast(wrong), ["state", "next_state"], "left").select("state", "next_state", F.when(F.col("wrong"), failed).otherwise(F.col("n")).alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FIVE}, seen AS (SELECT state, next_state, count(*) AS n FROM path WHERE state <> next_state GROUP BY ALL),
+declared(state, next_state) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, to in FIVE_DECLARED.items() for b in to)})
+SELECT seen.*, declared.state IS NOT NULL AS declared FROM seen LEFT JOIN declared USING (state, next_state)""")
+def five_adjacency_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed transitions with whether they are declared."""
+    return five.adjacency(five.transitions(_five(spark, sf_dir)))
+
+
+def _queue(numbered: str, cols: str, carry: str, start: str, acted: str, waits: str, kind: str) -> str:
+    """A recursive query of a machine with delays: each step takes the earliest pending result, if it is due
+    by the next press, or that press. Of the arguments, cols names the state's columns, start and carry give
+    their first and next values, acted says whether a press has a result, which comes after waits ms."""
+    return f"""{numbered},
+steps(device_id, step, k, "at", kind, name, pending, {cols}) AS (
+  SELECT DISTINCT device_id, 0, 0, NULL::TIMESTAMP, NULL::VARCHAR, NULL::VARCHAR, []::STRUCT(due TIMESTAMP, i INTEGER, name VARCHAR)[], {start} FROM numbered
+  UNION ALL
+  SELECT device_id, step + 1, CASE WHEN ack THEN k ELSE k + 1 END, CASE WHEN ack THEN pending[1].due ELSE ts END, CASE WHEN ack THEN '{kind}' ELSE 'press' END,
+    CASE WHEN ack THEN pending[1].name ELSE input END,
+    CASE WHEN ack THEN pending[2:] WHEN {acted} THEN list_sort(list_append(pending, {{'due': ts + to_milliseconds({waits}), 'i': step, 'name': input}})) ELSE pending END, {carry}
+  FROM (SELECT p.*, n.* EXCLUDE (device_id, step, seq), len(p.pending) > 0 AND (n.ts IS NULL OR p.pending[1].due <= n.ts) AS ack
+        FROM steps p LEFT JOIN numbered n ON n.device_id = p.device_id AND n.step = p.k + 1 WHERE len(p.pending) > 0 OR n.step IS NOT NULL) x)"""
+
+
+_FIVE_WAITS = "(input = 'test' AND next_state = 'IDLE' OR input = 'ready' AND next_state = 'ENABLED' OR input = 'launch' AND next_state = 'READY')"
+_FIVE_TIMED = _queue(
+    _FIVE_EVENTS.replace("user_id AS device_id", "0::BIGINT AS device_id").replace("END AS button", "END AS input"), "state, next_state",
+    f"""next_state, CASE WHEN ack THEN {_FIVE_NEXT.format(s="next_state").replace("n.button", "pending[1].name")} WHEN input IN ('test', 'ready', 'launch') THEN next_state
+      ELSE {_FIVE_NEXT.format(s="next_state").replace("n.button", "input")} END""",
+    "'IDLE', 'IDLE'", _FIVE_WAITS, "CASE input WHEN 'test' THEN 600 WHEN 'ready' THEN 400 ELSE 500 END", "ack",
+)
+
+
+@query(f"""WITH RECURSIVE {_FIVE_TIMED} SELECT device_id, step, "at", kind, name, state, next_state FROM steps WHERE step > 0""")
 def five_timed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events on one device, with delays: races of acknowledgements."""
     return five.timed(d.presses(spark, sf_dir, one_device=True))
 
 
+_TIMED_TEXTS = "CASE kind WHEN 'press' THEN CASE " + " ".join(
+    f"WHEN name = '{b}' AND state IN ({', '.join(repr(x) for x in froms)}) THEN {_texts(five.MESSAGES[b][:1] if b in DELAYS_FIVE_MS else five.MESSAGES[b])}" for b, (froms, _) in five.MOVES.items()
+) + " END ELSE CASE WHEN state <> next_state THEN CASE name " + " ".join(f"WHEN '{b}' THEN {_texts(five.MESSAGES[b][1:])}" for b in DELAYS_FIVE_MS) + " END END END"
+
+
+@query(f"""WITH RECURSIVE {_FIVE_TIMED}, rows AS (SELECT *, {_TIMED_TEXTS} AS msgs FROM steps WHERE step > 0)
+SELECT device_id, step, "at", i::INTEGER - 1 AS log_seq, msgs[i] AS msg, '[' || strftime("at", '%H:%M:%S') || '] ' || msgs[i] AS line FROM rows, unnest(range(1, len(msgs) + 1)) AS u(i)""")
+def five_timed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with delays: repeated presses log again while an acknowledgement is pending."""
+    return five.timed_log(five_timed_state(spark, sf_dir))
+
+
 # ---- seven-state machine ----
 
 _SEVEN_NEXT = {
@@ -281,7 +338,7 @@ _LEVELS = "CASE level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in seven.LE
 
 @query(f"""WITH RECURSIVE {_SEVEN}, rows AS (SELECT *, {_SEVEN_LOG} AS msgs FROM path),
 log AS (SELECT device_id, ts, seq, i::INTEGER - 1 AS log_seq, msgs[i].level AS level, msgs[i].msg AS msg FROM rows, unnest(range(1, len(msgs) + 1)) AS u(i))
-SELECT *, {_LEVELS} AS color FROM log""")
+SELECT *, {_LEVELS} AS color, '[' || strftime(ts, '%H:%M:%S') || ']  ' || msg AS line FROM log""")
 def seven_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seven.event_log(_seven(spark, sf_dir))
 
@@ -318,11 +375,51 @@ def seven_wire_flame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(state, igniter, seven.wire(state, igniter).alias("wire"), seven.flame(state).alias("flame"), *seven.lights(state))
 
 
-@query()
+_SEVEN_INPUTS = _SEVEN[: _SEVEN.index(",\npath(")]
+_CANCELS = "(input IN ('lp_cancel', 'cu_cancel') AND next_state IN ('TESTING', 'TEST_PASS', 'ENABLED', 'READY') OR input = 'full_reset')"
+_SEVEN_TIMED = _queue(
+    _SEVEN_INPUTS, "state, was_igniter, was_circuit, next_state, igniter, circuit",
+    f"""next_state, igniter, circuit,
+    CASE WHEN ack THEN CASE WHEN pending[1].name = 'test' AND next_state = 'TESTING' THEN CASE WHEN circuit THEN 'TEST_PASS' ELSE 'IDLE' END
+           WHEN pending[1].name = 'launch' AND next_state = 'LAUNCHING' THEN 'LAUNCHED' ELSE next_state END
+         WHEN input = 'test' AND next_state = 'IDLE' AND igniter THEN 'TESTING' WHEN input = 'enable' AND next_state = 'TEST_PASS' THEN 'ENABLED'
+         WHEN input = 'ready' AND next_state = 'ENABLED' THEN 'READY' WHEN input = 'launch' AND next_state = 'READY' THEN 'LAUNCHING' WHEN {_CANCELS} THEN 'IDLE' ELSE next_state END,
+    CASE WHEN ack THEN igniter WHEN input = 'igniter' AND next_state = 'IDLE' THEN NOT igniter WHEN {_CANCELS} THEN false ELSE igniter END,
+    CASE WHEN ack THEN circuit WHEN input = 'circuit' THEN coalesce(arg, false) WHEN {_CANCELS} THEN true ELSE circuit END""",
+    "'IDLE', false, true, 'IDLE', false, true", "(input = 'test' AND next_state = 'IDLE' AND igniter OR input = 'launch' AND next_state = 'READY')",
+    "CASE input WHEN 'test' THEN 1400 ELSE 2200 END", "result",
+)
+_SEVEN_TIMED_LOG = "CASE " + " ".join(
+    f"WHEN kind = '{kind}' AND name = '{name}' AND ({condition}) THEN [" + ", ".join(f"{{'level': '{a}', 'msg': '{b}'}}" for a, b in texts) + "]" for kind, name, condition, texts in seven.TIMED_LOG_RULES
+) + " END"
+
+
+@query(f"""WITH RECURSIVE {_SEVEN_TIMED} SELECT device_id, step, "at", kind, name, state, next_state, igniter, circuit FROM steps WHERE step > 0""")
 def seven_timed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seven.timed(d.inputs(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {_SEVEN_TIMED}, befores AS (SELECT t.* REPLACE (t.was_igniter AS igniter, t.was_circuit AS circuit), n.arg FROM steps t LEFT JOIN numbered n ON n.device_id = t.device_id AND n.step = t.k WHERE t.step > 0),
+rows AS (SELECT *, {_SEVEN_TIMED_LOG} AS msgs FROM befores),
+log AS (SELECT device_id, step, "at", i::INTEGER - 1 AS log_seq, msgs[i].level AS level, msgs[i].msg AS msg FROM rows, unnest(range(1, len(msgs) + 1)) AS u(i))
+SELECT *, {_LEVELS} AS color, '[' || strftime("at", '%H:%M:%S') || ']  ' || msg AS line FROM log""")
+def seven_timed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with delays: results log when they come due."""
+    return seven.timed_log(d.inputs(spark, sf_dir))
+
+
+@query(f"""WITH first AS (SELECT user_id AS device_id, min(ts) AS ts FROM events GROUP BY user_id)
+SELECT device_id, ts, '{seven.START_LOG[0]}' AS level, '{seven.START_LOG[1]}' AS msg, '{seven.LEVEL_COLOR[seven.START_LOG[0]]}' AS color, '[' || strftime(ts, '%H:%M:%S') || ']  {seven.START_LOG[1]}' AS line FROM first""")
+def seven_start_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seven.start_log(d.inputs(spark, sf_dir))
+
+
+@query(f"""SELECT kind, fill, outline FROM (VALUES {", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in {**seven.LAMP_COLOR, "another": seven.LAMP_COLOR["off"]}.items())}) AS t(kind, fill, outline)""")
+def seven_lamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = spark.createDataFrame([(k,) for k in [*seven.LAMP_COLOR, "another"]], "kind string")
+    return kinds.select("kind", *seven.lamp(F.col("kind")))
+
+
 # ---- motion ----
 
 _FRAMES = """

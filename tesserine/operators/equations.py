@@ -34,7 +34,9 @@ def parse(chunks: DataFrame) -> DataFrame:
     """Adds lhs, op, rhs, err_kind, err_msg. The first fault counts: arity, left operand, operator, right."""
     size, at = F.size("chunk"), lambda i: F.get("chunk", F.lit(i))
     bad_number = lambda t: F.concat(F.lit("'"), t, F.lit("' is not a valid number"))
-    lhs, rhs = parse_number(at(0)), parse_number(at(2))
+    # operands in one array, which the optimizer builds once a row
+    chunks = chunks.withColumn("_n", F.transform(F.array(at(0), at(2)), parse_number))
+    lhs, rhs = F.get("_n", F.lit(0)), F.get("_n", F.lit(1))
     kinds = [
         (size != 3, "MalformedEquation", F.concat(F.lit("expected 3 tokens but got "), size, F.lit(": '"), F.array_join("chunk", " "), F.lit("'"))),
         (lhs.isNull(), "InvalidOperand", bad_number(at(0))),
@@ -46,7 +48,7 @@ def parse(chunks: DataFrame) -> DataFrame:
         kind, msg = kind.when(fails, F.lit(name)), msg.when(fails, text)
     out = chunks.withColumn("err_kind", kind).withColumn("err_msg", msg)
     ok = F.col("err_kind").isNull() & F.col("chunk").isNotNull()
-    return out.withColumn("lhs", F.when(ok, lhs)).withColumn("op", F.when(ok, at(1))).withColumn("rhs", F.when(ok, rhs))
+    return out.withColumn("lhs", F.when(ok, lhs)).withColumn("op", F.when(ok, at(1))).withColumn("rhs", F.when(ok, rhs)).drop("_n")
 
 
 def evaluate(parsed: DataFrame) -> DataFrame:

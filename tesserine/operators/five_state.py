@@ -61,9 +61,9 @@ def trajectory(events: DataFrame, block: str | None = None) -> DataFrame:
     return out.withColumnsRenamed({"_before": "state", "_after": "next_state"})
 
 
-def acts() -> Column:
+def acts(button: str = "button") -> Column:
     """Whether a row of the trajectory did anything (and so wrote to the log)."""
-    return F.exists(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(s).alias("s")) for b, (froms, _) in MOVES.items() for s in froms]), lambda x: (x["b"] == F.col("button")) & (x["s"] == F.col("state")))
+    return F.exists(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(s).alias("s")) for b, (froms, _) in MOVES.items() for s in froms]), lambda x: (x["b"] == F.col(button)) & (x["s"] == F.col("state")))
 
 
 def transitions(path: DataFrame) -> DataFrame:
@@ -78,6 +78,13 @@ def undeclared(seen: DataFrame) -> DataFrame:
     return seen.join(F.broadcast(declared), ["state", "next_state"], "left_anti")
 
 
+def adjacency(seen: DataFrame) -> DataFrame:
+    """transitions() -> state, next_state, n, declared."""
+    pairs = [(a, b) for a, to in FIVE_DECLARED.items() for b in to]
+    declared = seen.sparkSession.createDataFrame(pairs, "state string, next_state string").withColumn("declared", F.lit(True))
+    return seen.join(F.broadcast(declared), ["state", "next_state"], "left").withColumn("declared", F.coalesce("declared", F.lit(False)))
+
+
 def event_log(path: DataFrame) -> DataFrame:
     """Trajectory -> device_id, ts, seq, log_seq, msg, line."""
     texts = F.create_map(*[x for b, m in MESSAGES.items() for x in (F.lit(b), F.array(*map(F.lit, m)))])
@@ -92,6 +99,16 @@ def timed(events: DataFrame) -> DataFrame:
     return scan.timed(events, FIVE_STATES, "IDLE", Timed, ["button"], max(DELAYS_FIVE_MS.values()), schema)
 
 
+def timed_log(path: DataFrame) -> DataFrame:
+    """Rows of timed() -> device_id, step, at, log_seq, msg, line. A press that acts logs its own text each time,
+    pending acknowledgements or not; an acknowledgement that still counts logs what follows."""
+    texts = lambda part: F.create_map(*[x for b, m in MESSAGES.items() for x in (F.lit(b), F.array(*map(F.lit, part(b, m))).cast("array<string>"))])[F.col("name")]
+    pressed = F.when(acts("name"), texts(lambda b, m: m[:1] if b in DELAYS_FIVE_MS else m))
+    acked = F.when(F.col("state") != F.col("next_state"), texts(lambda b, m: m[1:] if b in DELAYS_FIVE_MS else ()))
+    rows = path.select("device_id", "step", "at", F.posexplode(F.when(F.col("kind") == "press", pressed).otherwise(acked)).alias("log_seq", "msg"))
+    return rows.withColumn("line", F.concat(F.lit("["), F.date_format("at", "HH:mm:ss"), F.lit("] "), "msg"))
+
+
 class Timed:
     """State of one device: the machine's, and a multiset of pending acknowledgements in order."""
 

@@ -40,17 +40,27 @@ def _blocks(events: DataFrame, block: str | None, least: int) -> tuple[DataFrame
     return slim(cut), slim(cut.filter(F.col("_n").isNotNull()))
 
 
+def _coded(rows: pd.DataFrame, states: Sequence[str], step: Callable[..., str], cols: Sequence[str]) -> tuple[list[list[int]], list[int]]:
+    """The machine as a table (by kind of event, the state that follows each state), and each row's kind."""
+    at = {s: i for i, s in enumerate(states)}
+    kind, codes = {}, []
+    for e in rows[list(cols)].itertuples(index=False, name=None):
+        codes.append(kind.setdefault(e, len(kind)))
+    return [[at[step(s, *e)] for s in states] for e in kind], codes
+
+
 def block_maps(cut: DataFrame, states: Sequence[str], step: Callable[[str, pd.Series], str], cols: Sequence[str]) -> DataFrame:
     """events + _block -> device_id, _block, n, after: a number of rows and the state that follows for each
     of `states`."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
-        events_ = list(rows.sort_values(["ts", "seq"], kind="stable")[list(cols)].itertuples(index=False, name=None))
-        now = list(states)
-        for e in events_:
-            to = {s: step(s, *e) for s in set(now)}
-            now = [to[s] for s in now]
+        moves, codes = _coded(rows.sort_values(["ts", "seq"], kind="stable"), states, step, cols)
+        ends = range(len(states))
+        for c in codes:
+            to = moves[c]
+            ends = [to[i] for i in ends]
+        now = [states[i] for i in ends]
         return pd.DataFrame({"device_id": [first["device_id"]], "_block": [first["_block"]], "n": [[len(rows)] * len(now)], "after": [now]})
 
     kind = cut.schema["_block"].dataType.simpleString()
@@ -89,11 +99,12 @@ def trajectory(events: DataFrame, states: Sequence[str], start: str, step: Calla
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-        now, first, before, after = part["entry"].iloc[0], int(part["before"].iloc[0]) + 1, [], []
-        for e in part[list(cols)].itertuples(index=False, name=None):
-            before.append(now)
-            now = step(now, *e)
-            after.append(now)
+        moves, codes = _coded(part, states, step, cols)
+        now, first, path = states.index(part["entry"].iloc[0]), int(part["before"].iloc[0]) + 1, []
+        for c in codes:
+            path.append(now)
+            now = moves[c][now]
+        before, after = ([states[i] for i in x] for x in (path, [*path[1:], now]))
         return part.assign(step=range(first, first + len(part)), _before=before, _after=after)[["device_id", "ts", "seq", "step", *cols, "_before", "_after"]]
 
     cut, long = _blocks(events.select("device_id", "ts", "seq", *cols), block, BLOCK_EVENTS)

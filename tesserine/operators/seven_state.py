@@ -64,6 +64,14 @@ LOG_RULES = [
 ]
 
 
+# Fixed value: the log row of a machine that starts.
+START_LOG = ("INFO", "System initialised.  Connect igniter to LPU to begin.")
+#: With delays: what a press that waits logs at once, and what its result logs if it still counts.
+_AT_ONCE = 3
+_STILL = {"test": "state = 'TESTING'", "launch": "state = 'LAUNCHING'"}
+TIMED_LOG_RULES = [("press", name, condition, texts[:_AT_ONCE]) for name, condition, texts in LOG_RULES]
+TIMED_LOG_RULES += [("result", name, f"{_STILL[name]} AND {condition}", texts[_AT_ONCE:]) for name, condition, texts in LOG_RULES if len(texts) > _AT_ONCE]
+
 Now = tuple[str, bool, bool]
 
 
@@ -125,15 +133,45 @@ def trajectory(events: DataFrame, block: str | None = None) -> DataFrame:
 
 def timed(events: DataFrame) -> DataFrame:
     """As trajectory, with the delays: rows for presses and for results when they come due."""
-    schema = "device_id long, step int, at timestamp_ntz, kind string, name string, state string, next_state string, igniter boolean, circuit boolean"
+    return _timed(events).drop("arg", "was_igniter", "was_circuit")
+
+
+def _timed(events: DataFrame) -> DataFrame:
+    schema = "device_id long, step int, at timestamp_ntz, kind string, name string, state string, next_state string, igniter boolean, circuit boolean, arg boolean, was_igniter boolean, was_circuit boolean"
     return scan.timed(events, CONFIGURATIONS, _code(("IDLE", False, True)), Timed, ["input", "arg"], max(DELAYS_SEVEN_MS.values()), schema)
 
 
+def timed_log(events: DataFrame) -> DataFrame:
+    """events -> device_id, step, at, log_seq, level, msg, color, line with the delays: presses log at once, results
+    when they come due, stale ones nothing."""
+    rows = F.when(F.lit(False), F.array().cast("array<struct<level:string,msg:string>>"))
+    for kind, name, condition, texts in TIMED_LOG_RULES:
+        rows = rows.when((F.col("kind") == kind) & (F.col("name") == name) & F.expr(condition), _texts(texts))
+    path = _timed(events).withColumn("igniter", F.col("was_igniter")).withColumn("circuit", F.col("was_circuit"))
+    out = path.withColumn("rows", rows).select("device_id", "step", "at", F.posexplode("rows").alias("log_seq", "r"))
+    return out.select("device_id", "step", "at", "log_seq", "r.level", "r.msg", color(F.col("r.level")).alias("color"), line("at", F.col("r.msg")).alias("line"))
+
+
+def start_log(events: DataFrame) -> DataFrame:
+    """One row a device: what a machine logs when it starts, at the time of its first event."""
+    first = events.groupBy("device_id").agg(F.min("ts").alias("ts"))
+    level, msg = map(F.lit, START_LOG)
+    return first.select("device_id", "ts", level.alias("level"), msg.alias("msg"), color(level).alias("color"), line("ts", msg).alias("line"))
+
+
+def line(ts: str, msg: Column) -> Column:
+    return F.concat(F.lit("["), F.date_format(ts, "HH:mm:ss"), F.lit("]  "), msg)
+
+
+def _texts(texts: list[tuple[str, str]]) -> Column:
+    return F.array(*[F.struct(F.lit(a).alias("level"), F.lit(b).alias("msg")) for a, b in texts]).cast("array<struct<level:string,msg:string>>")
+
+
 class Timed:
     """One device: its coded configuration, and the pending results in order."""
 
-    def __init__(self, state: str) -> None:
-        self.now, self.pending = _DECODED[state], []
+    def __init__(self, state: str = _code(("IDLE", False, True)), pending: list | None = None) -> None:
+        self.now, self.pending = _DECODED[state], pending or []
 
     @property
     def state(self) -> str:
@@ -144,7 +182,7 @@ class Timed:
         while self.pending and (ts is None or self.pending[0][0] <= ts):
             at, name = self.pending.pop(0)
             before, self.now = self.now, resolve(self.now, name)
-            out.append((at, "result", name, before[0], *self.now))
+            out.append((at, "result", name, before[0], *self.now, None, *before[1:]))
         return out
 
     def rest(self) -> list[tuple]:
@@ -156,7 +194,7 @@ class Timed:
         if self.now[0] != before[0] and name in DELAYS_SEVEN_MS:
             self.pending.append((ts + pd.Timedelta(milliseconds=DELAYS_SEVEN_MS[name]), name))
             self.pending.sort(key=lambda p: p[0])
-        out.append((ts, "press", name, before[0], *self.now))
+        out.append((ts, "press", name, before[0], *self.now, arg, *before[1:]))
         return out
 
 
@@ -166,13 +204,12 @@ def final_state(path: DataFrame) -> DataFrame:
 
 
 def event_log(path: DataFrame) -> DataFrame:
-    """Trajectory -> device_id, ts, seq, log_seq, level, msg, color."""
+    """Trajectory -> device_id, ts, seq, log_seq, level, msg, color, line."""
     rows = F.when(F.lit(False), F.array().cast("array<struct<level:string,msg:string>>"))
     for name, condition, texts in LOG_RULES:
-        value = F.array(*[F.struct(F.lit(a).alias("level"), F.lit(b).alias("msg")) for a, b in texts]).cast("array<struct<level:string,msg:string>>")
-        rows = rows.when((F.col("input") == name) & F.expr(condition), value)
+        rows = rows.when((F.col("input") == name) & F.expr(condition), _texts(texts))
     out = path.withColumn("rows", rows).select("device_id", "ts", "seq", F.posexplode("rows").alias("log_seq", "r"))
-    return out.select("device_id", "ts", "seq", "log_seq", "r.level", "r.msg", color(F.col("r.level")).alias("color"))
+    return out.select("device_id", "ts", "seq", "log_seq", "r.level", "r.msg", color(F.col("r.level")).alias("color"), line("ts", F.col("r.msg")).alias("line"))
 
 
 def looked_up(table: dict[str, str], key: Column, default: str | None = None) -> Column:

@@ -21,14 +21,18 @@ def write_lines(lines: DataFrame, path: str, order: tuple[str, ...] = ("doc_id",
     (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
 
 
-def write_result_file(lines: DataFrame, path: str, order: tuple[str, ...] = ("doc_id", "eq_idx")) -> None:
-    """One plain file, each line ended by a line feed; rows stream through the driver one partition at a time."""
+def write_result_file(lines: DataFrame, path: str, order: tuple[str, ...] = ("doc_id", "eq_idx")) -> int:
+    """One plain file, each line ended by a line feed; rows stream through the driver one partition at a time.
+    Returns the number of lines."""
+    n = 0
     try:
         with open(path, "w", encoding="utf-8") as f:
             for row in lines.orderBy(*order).select("line").toLocalIterator():
                 f.write(row["line"] + "\n")
+                n += 1
     except OSError as e:
         raise OutputError(f"cannot write file: {path}: {e}") from e
+    return n
 
 
 def calculate(spark, argument: str | None, path: str = "output.txt") -> int:
@@ -36,6 +40,4 @@ def calculate(spark, argument: str | None, path: str = "output.txt") -> int:
     docs = resolve_input(spark, argument)
     if not equations.gate(docs).agg(F.coalesce(F.bool_or("any_valid"), F.lit(False))).first()[0]:
         raise NoValidEquations("no valid equations found in input")
-    lines = equations.run(docs)
-    write_result_file(lines, os.path.join(os.getcwd(), path) if not os.path.isabs(path) else path)
-    return lines.count()
+    return write_result_file(equations.run(docs), os.path.join(os.getcwd(), path) if not os.path.isabs(path) else path)

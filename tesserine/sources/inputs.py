@@ -33,8 +33,10 @@ def resolve_input(spark: SparkSession, argument: str | None) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Many whole files: doc_id (from the path), raw."""
-    return spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.col("value").alias("raw"))
+    """Many whole files: doc_id (from the path), raw. A file that isn't UTF-8 stops the query."""
+    text = F.col("content").cast("string")
+    failed = F.raise_error(F.concat(F.lit("cannot read file: "), F.col("path"), F.lit(": not valid UTF-8"))).cast("string")
+    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), F.when(F.is_valid_utf8(text), text).otherwise(failed).alias("raw"))
 
 
 def button_events(events: DataFrame, one_device: bool = False) -> DataFrame:

@@ -1,43 +1,59 @@
-"""The five-state machine over a stream: state and pending acknowledgements by device.
+"""The two machines over a stream: state and pending results by device.
 
-Rows of a micro-batch are sorted by (ts, seq) for each device; acknowledgements that are due come
-before each press, as in the batch fold, and an event-time timer flushes those of an idle device once
-the watermark has passed them. Rows later than the watermark are dropped by Spark.
+Rows of a micro-batch are sorted by (ts, seq) for each device; results that are due come before each
+press, as in the batch fold, and an event-time timer flushes those of an idle device once the watermark
+has passed them. Rows later than the watermark are dropped by Spark.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tesserine.operators.five_state import Timed
+from tesserine.operators import five_state, seven_state
 
-OUTPUT = "device_id long, at timestamp, kind string, name string, state string, next_state string"
+FIVE_ROWS = "at timestamp, kind string, name string, state string, next_state string"
+SEVEN_ROWS = f"{FIVE_ROWS}, igniter boolean, circuit boolean, arg boolean, was_igniter boolean, was_circuit boolean"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    state, pending = held.get if held.exists else ("IDLE", "[]")
-    machine = Timed(state, [(pd.Timestamp(at), name) for at, name in json.loads(pending)])
-    if held.hasTimedOut:
-        out = machine.due(pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms"))
-    else:
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
-        out = [r for e in rows.itertuples() for r in machine.press(e.ts, e.button)]
-    held.update((machine.state, json.dumps([(at.isoformat(), name) for at, name in machine.pending])))
-    if machine.pending:
-        first = int(machine.pending[0][0].timestamp() * 1000)
-        held.setTimeoutTimestamp(max(first, held.getCurrentWatermarkMs() + 1))
-    if out:
-        made = pd.DataFrame(out, columns=["at", "kind", "name", "state", "next_state"])
-        yield made.assign(device_id=key[0])[["device_id", "at", "kind", "name", "state", "next_state"]]
+def _advance(machine_of: Callable, cols: tuple[str, ...], names: list[str]) -> Callable:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        machine = machine_of()
+        if held.exists:
+            state, pending = held.get
+            machine = machine_of(state, [(pd.Timestamp(at), name) for at, name in json.loads(pending)])
+        if held.hasTimedOut:
+            out = machine.due(pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms"))
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
+            out = [r for e in rows[["ts", *cols]].itertuples(index=False, name=None) for r in machine.press(*e)]
+        held.update((machine.state, json.dumps([(at.isoformat(), name) for at, name in machine.pending])))
+        if machine.pending:
+            first = int(machine.pending[0][0].timestamp() * 1000)
+            held.setTimeoutTimestamp(max(first, held.getCurrentWatermarkMs() + 1))
+        if out:
+            made = pd.DataFrame(out, columns=names)
+            yield made.assign(device_id=key[0])[["device_id", *names]]
+
+    return run
+
+
+def _stream(events: DataFrame, machine_of: Callable, cols: tuple[str, ...], rows: str, late: str) -> DataFrame:
+    names = [x.strip().split(" ")[0] for x in rows.split(",")]
+    timed = events.select("device_id", F.col("ts").cast("timestamp").alias("ts"), "seq", *cols).withWatermark("ts", late)
+    return timed.groupBy("device_id").applyInPandasWithState(_advance(machine_of, cols, names), f"device_id long, {rows}", "state string, pending string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def five_state_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Streaming events(device_id, ts timestamp, seq, button) -> rows of the timed machine, appended."""
-    timed = events.select("device_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "button").withWatermark("ts", late)
-    return timed.groupBy("device_id").applyInPandasWithState(_advance, OUTPUT, "state string, pending string", "append", GroupStateTimeout.EventTimeTimeout)
+    return _stream(events, five_state.Timed, ("button",), FIVE_ROWS, late)
+
+
+def seven_state_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Streaming events(device_id, ts timestamp, seq, input, arg) -> rows of the timed machine, appended."""
+    return _stream(events, seven_state.Timed, ("input", "arg"), SEVEN_ROWS, late).drop("arg", "was_igniter", "was_circuit")

@@ -13,7 +13,7 @@ from tesserine import catalog, sinks
 from tesserine.functions.numbers import number_text, parse_number
 from tesserine.operators import equations as eq
 from tesserine.plans import derived
-from tesserine.sources.inputs import InputError, NoValidEquations, resolve_input
+from tesserine.sources.inputs import InputError, NoValidEquations, read_documents, resolve_input
 
 
 def lines(spark, *texts):
@@ -128,6 +128,13 @@ def test_inputs_and_files(spark, tmp_path):
     (tmp_path / "bad").write_bytes(b"1 + \xff")
     with pytest.raises(InputError):
         resolve_input(spark, str(tmp_path / "bad"))
+    (tmp_path / "many").mkdir()
+    for name, text in (("a", "1 + 2,\n3 - 1"), ("b", "4 * 5"), ("c", "")):
+        (tmp_path / "many" / name).write_text(text)
+    assert sorted(r["line"] for r in eq.run(read_documents(spark, str(tmp_path / "many"))).collect()) == ["1 + 2 = 3", "3 - 1 = 2", "4 * 5 = 20"]
+    (tmp_path / "many" / "bad").write_bytes(b"1 + \xff")
+    with pytest.raises(Exception, match="not valid UTF-8"):
+        read_documents(spark, str(tmp_path / "many")).collect()
     with pytest.raises(NoValidEquations):
         sinks.calculate(spark, "foo ^ bar", str(out))
     assert out.read_text() == "1 + 2 = 3\n"

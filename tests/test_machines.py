@@ -13,7 +13,7 @@ from tesserine.operators import kinematics as kin
 from tesserine.operators import scan
 from tesserine.operators import seven_state as seven
 from tesserine.schema import FIVE_BUTTONS, FIVE_STATES
-from tesserine.streaming.machines import five_state_stream
+from tesserine.streaming.machines import five_state_stream, seven_state_stream
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -116,23 +116,45 @@ def test_seven_log(spark):
     assert log[4]["msg"] == "Transition:  Idle  →  Testing Circuit" and log[0]["color"] == "#ff4455"
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(1 + i % 3, T0 + dt.timedelta(milliseconds=300 * i), i, FIVE_BUTTONS[(i * 7 + i // 5) % 6]) for i in range(120)]
-    batch = spark.createDataFrame(rows, "device_id long, ts timestamp_ntz, seq long, button string")
-    want = {tuple(map(str, (r["device_id"], r["at"], r["kind"], r["name"], r["state"], r["next_state"]))) for r in five.timed(batch).collect()}
+SEVEN_NAMES = ("igniter", "test", "enable", "ready", "launch", "lp_cancel", "circuit", "full_reset")
+FIVE_ROWS = [(1 + i % 3, T0 + dt.timedelta(milliseconds=300 * i), i, FIVE_BUTTONS[(i * 7 + i // 5) % 6]) for i in range(120)]
+SEVEN_ROWS = [(1 + i % 3, T0 + dt.timedelta(milliseconds=700 * i), i, SEVEN_NAMES[(i * 5 + i // 7) % 8 if i % 4 else i // 4 % 5], i % 3 > 0) for i in range(120)]
+
+
+@pytest.mark.parametrize(
+    ("rows", "names", "batch", "stream"),
+    [(FIVE_ROWS, ["button"], five.timed, five_state_stream), (SEVEN_ROWS, ["input", "arg"], seven.timed, seven_state_stream)],
+    ids=["five", "seven"],
+)
+def test_stream_equals_batch(spark, tmp_path, rows, names, batch, stream):
+    columns = ["device_id", "ts", "seq", *names]
+    kinds = ", ".join(f"{n} {'boolean' if n == 'arg' else 'string'}" for n in names)
+    whole = batch(spark.createDataFrame(rows, f"device_id long, ts timestamp_ntz, seq long, {kinds}"))
+    out = [c for c in whole.columns if c != "step"]
+    key = lambda found: {tuple(str(r[c]) for c in out) for r in found}
     for k in range(3):
-        part = spark.createDataFrame(pd.DataFrame(rows[k * 40 : k * 40 + 40], columns=["device_id", "ts", "seq", "button"])).coalesce(1)
+        part = spark.createDataFrame(pd.DataFrame(rows[k * 40 : k * 40 + 40], columns=columns)).coalesce(1)
         part.write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(0.01)
-    late = [(9, T0 + dt.timedelta(hours=2 + h), 1000 + h, "enable") for h in range(2)]
-    for k, row in enumerate(late):  # another device's events move the watermark, so what is pending is flushed
-        spark.createDataFrame(pd.DataFrame([row], columns=["device_id", "ts", "seq", "button"])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = five_state_stream(stream).writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for h in range(2):  # another device's events move the watermark, so what is pending is flushed
+        late = (9, T0 + dt.timedelta(hours=2 + h), 1000 + h, "enable", False)[: len(columns)]
+        spark.createDataFrame(pd.DataFrame([late], columns=columns)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name = f"out_{names[0]}"
+    query = stream(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
     query.stop()
-    got = {tuple(map(str, (r["device_id"], r["at"], r["kind"], r["name"], r["state"], r["next_state"]))) for r in spark.sql("SELECT * FROM out WHERE device_id < 9").collect()}
-    assert got == want
+    assert key(spark.sql(f"SELECT * FROM {name} WHERE device_id < 9").collect()) == key(whole.collect())
+
+
+def test_timed_log_repeats_presses_and_drops_stale_results(spark):
+    log = five.timed_log(five.timed(events(spark, [(0, "test"), (100, "test"), (2000, "lpu_cancel"), (2100, "ready")]))).orderBy("step", "log_seq").collect()
+    assert [r["msg"] for r in log] == [five.MESSAGES["test"][0], five.MESSAGES["test"][0], five.MESSAGES["test"][1], *five.MESSAGES["lpu_cancel"]]
+    rows = [(0, "igniter", None), (10, "test", None), (20, "test", None), (500, "lp_cancel", None)]
+    log = seven.timed_log(events(spark, rows, SEVEN)).orderBy("step", "log_seq").collect()
+    assert [r["level"] for r in log] == ["EVENT", "EVENT", "EVENT", "STATE", "WARN", "WARN", "STATE"]
+    start = seven.start_log(events(spark, rows, SEVEN)).collect()
+    assert [r["line"][10:] for r in start] == ["  " + seven.START_LOG[1]]
 
 
 def test_blocks_of_time_give_the_same_rows(spark):
@@ -176,7 +198,7 @@ def test_timed_devices_are_cut_at_gaps(spark, monkeypatch, least):
     df = many_presses(spark, FIVE_BUTTONS[:4] * 3 + FIVE_BUTTONS)
     assert key(five.timed(df)) == one_fold(df, five.Timed, ["button"])
     df = many_presses(spark, ("igniter", "test", "enable", "ready", "launch") * 3 + ("lp_cancel", "circuit", "full_reset"), arg=True)
-    assert key(seven.timed(df)) == one_fold(df, lambda: seven.Timed("IDLE/0/1"), ["input", "arg"])
+    assert key(seven._timed(df)) == one_fold(df, lambda: seven.Timed("IDLE/0/1"), ["input", "arg"])
 
 
 def test_long_devices_are_folded_in_blocks(spark, monkeypatch):
