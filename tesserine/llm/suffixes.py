@@ -157,21 +157,49 @@ def _contexts(docs: DataFrame, pool: DataFrame) -> DataFrame:
     return pool.join(found, ["k1", "k2", "p"])
 
 
+def _nearest_smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """In suffix order: how many bytes each suffix shares with the nearest one before it that has a smaller
+    position (0 if none). common: bytes shared with the one before.
+
+    All suffixes point to the one before. Where that has a larger position, so have all between it and the
+    one it points to, so they go on to there, all at once, until every pointer has found its place.
+    """
+    n = len(position)
+    to, shared = np.arange(-1, n - 1), common.copy()
+    open_ = np.flatnonzero(to >= 0)
+    open_ = open_[position[to[open_]] > position[open_]]
+    while len(open_):
+        at = to[open_]
+        best, ahead = np.minimum(shared[open_], shared[at]), to[at]
+        shared[open_], to[open_] = best, ahead
+        open_ = open_[ahead >= 0]
+        open_ = open_[position[to[open_]] > position[open_]]
+    return np.where(to >= 0, shared, 0)
+
+
 def factor_arrays(keys: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes (rows of bytes, all of one length) at distinct positions: which have a previous factor
-    of the whole length, and which a following one.
+    """For suffixes (rows of bytes, cut at one length) at distinct positions: the length of the longest previous
+    factor and that of the longest following one, at most the cut.
 
-    The order is by bytes, then by position, so within a run of equal rows the neighbour before is the
-    previous smaller position at full length, and the neighbour after the next larger one.
+    In suffix order the suffix that shares most with one among those at smaller positions is the previous
+    or the next smaller one; the common bytes are the least that neighbours share on the way. The following
+    factor is the same with positions turned round.
     """
-    wide = np.ascontiguousarray(keys).view(f"V{keys.shape[1]}").ravel()
-    by_place = np.argsort(position, kind="stable")
-    order = by_place[np.argsort(wide[by_place], kind="stable")]
-    full = wide[order][1:] == wide[order][:-1]  # the common prefix of neighbours has the whole length
-    earlier, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    earlier[order[1:][full]] = True
-    later[order[:-1][full]] = True
-    return earlier, later
+    n, length = keys.shape
+    wide = np.ascontiguousarray(keys).view(f"V{length}").ravel()
+    order = np.argsort(wide, kind="stable")
+    ordered = keys[order]
+    common = np.zeros(n, np.int64)
+    apart = ordered[1:] != ordered[:-1]
+    common[1:] = np.where(apart.any(axis=1), apart.argmax(axis=1), length)
+    out = []
+    for place in (position[order], -position[order]):
+        found = np.zeros(n, np.int64)
+        # before, and after: the same on the order turned round
+        turned = np.concatenate(([0], common[:0:-1])) if n else common
+        found[order] = np.maximum(_nearest_smaller(place, common), _nearest_smaller(place[::-1], turned)[::-1])
+        out.append(found)
+    return out[0], out[1]
 
 
 def _suffix_groups(rows: pd.DataFrame) -> pd.DataFrame:
@@ -185,7 +213,7 @@ def _suffix_groups(rows: pd.DataFrame) -> pd.DataFrame:
     owner = np.repeat(np.arange(len(rows)), count)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     start = base[owner] + within
-    # windows whose hash occurs once have no copy here; the others are put in suffix order
+    # windows whose hash occurs once have no factor of the whole length; the others are put in suffix order
     hashes = Rolling(data).of(start, start + LENGTH)
     order = np.argsort(hashes)
     alike = hashes[order][1:] == hashes[order][:-1]
@@ -196,7 +224,7 @@ def _suffix_groups(rows: pd.DataFrame) -> pd.DataFrame:
     at = np.flatnonzero(twice)
     if len(at):
         earlier, later = factor_arrays(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[start[at]], at)
-        flags[at] = earlier * 1 + later * 2
+        flags[at] = (earlier >= LENGTH) * 1 + (later >= LENGTH) * 2
     k1, k2, p, flags = _runs(rows["k1"].to_numpy(), rows["k2"].to_numpy(), (place // 256)[owner] + within, owner, flags)
     return pd.DataFrame({"k1": k1, "k2": k2, "p": p, "flags": flags})
 
@@ -299,18 +327,19 @@ def dedup(docs: DataFrame, keep: str = "none", texts: bool = False) -> DataFrame
     keep="first" only later copies, so the first in document order stays. Texts are UTF-8 bytes, matches
     don't cross documents, null counts as empty, and what is removed is judged on the input. With `texts`
     the remaining bytes come too (binary: a cut may split a character). Rows with equal id and text are
-    copies of each other for keep="none"; for keep="first" they share what is removed.
+    copies of each other: for keep="none" all lose what a 200-byte string covers, for keep="first" all but
+    one. Where ids aren't numbers, "first" goes by a hash of the id. Texts under 200 bytes lose nothing.
     """
     k1, k2 = _text_key(docs)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     base = base.withColumn("k1", k1).withColumn("k2", k2)
     runs = repeated_windows(base.select("k1", "k2", "text"))
     runs = runs.filter("flags > 0" if keep == "none" else "flags % 2 = 1")
-    # equal rows of whole documents: their segments are equal places too
     by_text = runs.groupBy("k1", "k2").agg(F.collect_set("p").alias("runs"))
-    twice = base.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("k1", "k2", F.lit(True).alias("again")) if keep == "none" else None
-    joined = base.join(by_text, ["k1", "k2"], "left")
-    joined = joined.join(twice, ["k1", "k2"], "left") if twice is not None else joined.withColumn("again", F.lit(False))
+    # equal rows have equal places: they are counted, and all of them, or all but one, are copies throughout
+    rows = base.groupBy("k1", "k2").agg(F.first("doc_id", ignorenulls=False).alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).cast("int").alias("m"))
+    joined = rows.join(by_text, ["k1", "k2"], "left").select("doc_id", "text", "runs", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("nth"), "m")
+    joined = joined.withColumn("again", F.col("m") > 1 if keep == "none" else F.col("nth") > 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text binary" * texts
 
