@@ -3,6 +3,9 @@
 Each curve projects the vectors to a few dimensions of a random rotation, shifts them, and orders them
 by their key on a Hilbert curve; Spark deals the keys out by ranges. A query's candidates are those that
 stand near it on any of the curves; they are ranked by the exact cosine of the original vectors.
+
+How near is fitted: for a bounded sample of the vectors the true neighbours are found by an exact scan,
+and the window is the least one that holds the wanted share of them.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from tesserine.llm.common import partitions, settle, table
 CURVES = 12
 #: Dimensions of a projection, and bits a dimension of its key (together 62 at most).
 DIMENSIONS, BITS = 8, 7
-#: Rows on each side of a query on a curve: a share of all rows, and a least number.
-SHARE, LEAST = 0.09, 600
-#: Rows in a block of consecutive keys: what one task holds at a time.
-BLOCK = 2048
+#: Share of the sample's true neighbours that the windows must hold, and vectors in the sample.
+RECALL, SAMPLE = 0.96, 192
+#: Rows in a block of consecutive keys, and queries that meet it in one task, about.
+BLOCK, QUERIES = 2048, 2048
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -60,6 +63,44 @@ def rotation(width: int, curve: int, dimensions: int, seed: int) -> tuple[np.nda
     return full[:, at : at + dimensions], shift
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: nothing is rounded, and norms of very
+    small or large vectors neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def fit_reach(entries: DataFrame, ranks: DataFrame, k: int, recall: float, sample: int, width: int) -> int:
+    """Rows on each side of a query, on every curve, that hold `recall` of the true neighbours of a sample.
+
+    entries(entry, embedding), ranks(curve, entry, place). The sample is fixed by a hash and has `sample` vectors
+    at most; each partition sends its nearest k of each, so nothing that is collected grows with the table.
+    """
+    asked = entries.select("entry", "embedding").orderBy(F.xxhash64("entry"), "entry").limit(sample).collect()
+    names = np.array([r["entry"] for r in asked], np.int64)
+    shared = entries.sparkSession.sparkContext.broadcast(unit(np.array([r["embedding"] for r in asked], float).reshape(-1, width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            score = shared.value @ unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)).T
+            score[names[:, None] == own] = -2
+            best = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, :k]
+            q = np.repeat(names, best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(score, best, axis=1).ravel())], names=["q", "entry", "score"])
+
+    near = entries.select("entry", "embedding").mapInArrow(run, "q long, entry long, score double").filter("score > -2")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "entry")
+    near = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("q", "entry")
+    placed = near.join(ranks, "entry").join(ranks.select("curve", F.col("entry").alias("q"), F.col("place").alias("own")), ["curve", "q"])
+    apart = [r["d"] for r in placed.groupBy("q", "entry").agg(F.min(F.abs(F.col("place") - F.col("own"))).alias("d")).collect()]
+    return max(k, int(np.quantile(apart, recall, method="higher"))) if apart else k
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """id, embedding (array of double) of the rows that take part."""
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("embedding")).filter("id IS NOT NULL AND embedding IS NOT NULL")
@@ -69,7 +110,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def search(
     vectors: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", vector: str = "embedding",
-    curves: int = CURVES, share: float = SHARE, least: int = LEAST, block: int = BLOCK, seed: int = 7,
+    curves: int = CURVES, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK, queries: int = QUERIES, seed: int = 7,
 ) -> DataFrame:
     """The k nearest found of each row that `is_query` (SQL on `id`) picks, against every other row:
     query_id, rank, vec_id, score (cosine in double precision), nearest first, ties to smaller ids.
@@ -77,8 +118,9 @@ def search(
     Rows whose vector is null, empty, zero, or has null or non-finite components take no part; vectors
     of another width than the most frequent one don't either. Equal vectors are one entry of the index,
     with their k + 1 smallest ids (no answer can need more), so a vector that very many rows share costs
-    as much as any other. Repeated rows count once. The window is a share of all rows and at least
-    `least` a side: with vectors without structure recall depends on that share alone, at every size.
+    as much as any other. Repeated rows count once. The windows are fitted to `recall` on a sample (fit_reach):
+    narrow where vectors have structure, a share of all rows where they have none. Queries that meet a block
+    of rows are dealt to several tasks, with `queries` each.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
@@ -103,7 +145,7 @@ def search(
         for batch in batches:
             entry = batch.column(0)
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(x)
             for c in range(curves):
                 axes, shift = rotation(width, c, dims, seed)
                 y = x @ axes
@@ -121,24 +163,26 @@ def search(
     ranks = placed.withColumn("inner", inner).join(before, ["curve", "part"]).select("curve", "entry", (F.col("before") + F.col("inner")).alias("place"))
     ranks = settle(ranks, "ann-places")
     total = entries.count()
-    reach = max(least, int(share * total))
-    held = ranks.join(entries.select("entry", "embedding", "ids"), "entry").select("curve", F.floor(F.col("place") / block).alias("b"), "place", "ids", "embedding", F.lit(None).cast("long").alias("query_id"))
+    reach = fit_reach(entries, ranks, k, recall, sample, width)
+    parts = max(1, round(asked.count() * min(1.0, (2 * reach + block) / max(total, 1)) / queries))
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    held = ranks.join(entries.select("entry", "embedding", "ids"), "entry").select("curve", F.floor(F.col("place") / block).alias("b"), part.alias("part"), "place", "ids", "embedding", F.lit(None).cast("long").alias("query_id"))
     last = max(0, (total - 1) // block)
     low = F.floor(F.greatest(F.col("place") - reach, F.lit(0)) / block)
     high = F.least(F.floor((F.col("place") + reach) / block), F.lit(last))
-    from_queries = asked.join(ranks, "entry").select("curve", F.explode(F.sequence(low, high)).alias("b"), "place", F.lit(None).cast("array<long>").alias("ids"), "embedding", "query_id")
+    from_queries = asked.join(ranks, "entry").select("curve", F.explode(F.sequence(low, high)).alias("b"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), "place", F.lit(None).cast("array<long>").alias("ids"), "embedding", "query_id")
 
     def nearest(group: pd.DataFrame) -> pd.DataFrame:
         there, asks = group[group["query_id"].isna()], group[group["query_id"].notna()]
         if there.empty or asks.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        base = np.stack(there["embedding"].to_numpy()).astype(np.float64)
+        base = scaled(np.stack(there["embedding"].to_numpy()).astype(np.float64))
         norm = np.sqrt(np.einsum("ij,ij->i", base, base))
         place, ids = there["place"].to_numpy(), there["ids"].to_list()
         out_q, out_v, out_s = [], [], []
         for lo in range(0, len(asks), 256):
             part = asks.iloc[lo : lo + 256]
-            q = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+            q = scaled(np.stack(part["embedding"].to_numpy()).astype(np.float64))
             own = np.sqrt(np.einsum("ij,ij->i", q, q))
             near = np.abs(place[None, :] - part["place"].to_numpy()[:, None]) <= reach
             score = np.where(near, (q @ base.T) / own[:, None] / norm[None, :], -np.inf)
@@ -158,7 +202,7 @@ def search(
                     out_s.append(-s)
         return pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s}, dtype=object).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = held.unionByName(from_queries).groupBy("curve", "b").applyInPandas(nearest, "query_id long, vec_id long, score double")
+    found = held.unionByName(from_queries).groupBy("curve", "b", "part").applyInPandas(nearest, "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

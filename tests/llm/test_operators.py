@@ -71,6 +71,9 @@ def test_suffix_dedup_keeps_the_first(spark, empty):
     df = spark.createDataFrame([(1, "one " + passage), (2, passage + " two"), (3, "three")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_removed"], bytes(r["text"])) for r in suffixes.dedup(df, keep="first", texts=True).collect()}
     assert got == {1: (0, ("one " + passage).encode()), 2: (500, b" two"), 3: (0, b"three")}
+    rows = [(1, passage), (1, passage), (None, "short"), (None, "short"), (2, "x " + passage), (2, None)]
+    got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep="first").collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == [(0, 5, 0, 0), (0, 5, 0, 0), (1, 500, 0, 0), (1, 500, 500, 1), (2, 0, 0, 0), (2, 502, 500, 1)]
     assert suffixes.dedup(empty).count() == 0
 
 
@@ -85,12 +88,16 @@ def test_suffix_dedup_of_long_texts(spark, monkeypatch):
 
 def test_factor_arrays():
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 2, (200, 6)).astype(np.uint8)
-    place = rng.permutation(200)
-    earlier, later = suffixes.factor_arrays(keys, place)
-    for i in range(200):
-        alike = [place[j] for j in range(200) if (keys[i] == keys[j]).all()]
-        assert earlier[i] == (min(alike) < place[i]) and later[i] == (max(alike) > place[i])
+    for n, width in ((1, 3), (2, 3), (300, 6), (300, 40)):
+        keys = rng.integers(0, 2, (n, width)).astype(np.uint8)
+        keys[n // 2 :, : width // 2] = keys[: n - n // 2, : width // 2]
+        keys[n // 3 : n // 2] = keys[: n // 2 - n // 3]
+        place = rng.permutation(n) * 3
+        earlier, later = suffixes.factor_arrays(keys, place)
+        for i in range(n):
+            common = [width if (keys[i] == keys[j]).all() else int((keys[i] != keys[j]).argmax()) for j in range(n)]
+            assert earlier[i] == max([c for c, p in zip(common, place, strict=True) if p < place[i]], default=0)
+            assert later[i] == max([c for c, p in zip(common, place, strict=True) if p > place[i]], default=0)
 
 
 # ---- neighbours ----
@@ -112,12 +119,39 @@ def test_neighbours(spark):
     rows += [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [None] * 8), (304, []), (10, rows[10][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(9))
     got = collections.defaultdict(list)
-    for r in neighbours.search(df, "id % 10 = 0").orderBy("query_id", "rank").collect():
+    for r in neighbours.search(df, "id % 10 = 0", recall=1.0, block=16, queries=4).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
     assert got == brute(rows, lambda i: i % 10 == 0)
     assert neighbours.search(df.limit(0), "id % 10 = 0").count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-300, 1e-200, 1.0, 1e200, 1e300])
+def test_neighbours_of_very_small_and_large_vectors(spark, size):
+    rows = [(i, [size * x for x in v]) for i, v in enumerate([[1.0, 0.1], [1.0, 0.2], [-1.0, 0.3], [0.2, 1.0]])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 3, 2]
+    v = np.array([x for _, x in rows]) / size
+    assert np.allclose([r["score"] for r in got], [v[0] @ v[i] / np.linalg.norm(v[0]) / np.linalg.norm(v[i]) for i in (1, 3, 2)])
+
+
+def test_windows_narrow_where_vectors_have_structure(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16))
+    rows = [(i, (centres[i % 60] + 0.02 * rng.normal(size=16)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    fit = neighbours.fit_reach
+    neighbours.fit_reach = lambda *a: seen.append(fit(*a)) or seen[-1]
+    try:
+        got = collections.defaultdict(set)
+        for r in neighbours.search(df, "id % 50 = 0", block=64).collect():
+            got[r["query_id"]].add(r["vec_id"])
+    finally:
+        neighbours.fit_reach = fit
+    want = brute(rows, lambda i: i % 50 == 0)
+    assert seen[0] < 100 and sum(len(got[q] & set(v)) for q, v in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_neighbours_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute([(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.collect()], lambda i: i % 50 == 0)
