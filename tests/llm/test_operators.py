@@ -204,6 +204,100 @@ def test_label_model_recovers_accuracies():
     assert abs(model.prior - 0.2) < 0.05 and np.abs(model.rates - rates).max() < 0.15
 
 
+def brute_toxicity(rows, labels):
+    """Scores of (doc_id, text) by the definitions, a document at a time."""
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0
+    known = {}
+    for k, y in labels:
+        if k is not None and y is not None and not held(k):
+            known[k] = max(known.get(k, 0), y)
+    words_of = lambda t: re.findall(r"[^\W\d_]{3,}", (t or "").lower())
+
+    def dense(words, chars):
+        out = set()
+        for e in {w[:n] for w in words for n in range(3, 8) if len(w) >= n}:
+            own = [w for w in words if w.startswith(e)]
+            if len(set(own)) >= 2 and len(own) * 520 >= chars:
+                out.add(e)
+        return out
+
+    seen, bad, n = {}, collections.Counter(), collections.Counter()
+    for k, t in rows:
+        if k in known and t is not None:
+            seen[t.lower()] = max(seen.get(t.lower(), 0), known[k])
+    for t, y in seen.items():
+        for e in [(w, False) for w in set(words_of(t))] + [(x, True) for x in dense(words_of(t), len(t))]:
+            bad[e] += y
+            n[e] += 1
+    words, stems = list(toxicity.SEEDS), []
+    for e, stem in sorted((e for e in n if bad[e] >= 5 and bad[e] >= 0.85 * (n[e] + 1)), key=lambda e: (-bad[e], e[1], -len(e[0]), e[0])):
+        if not any(e.startswith(x) or x.startswith(e) for x in words + stems):
+            (stems if stem else words).append(e)
+    lists = [(words + stems)[i::11] for i in range(11)]
+    x, votes = [], []
+    for _, t in rows:
+        found, chars = words_of(t), max(len(t or ""), 1)
+        w = [h for h in found if h in words]
+        s = [h for h in found if h not in words and any(h.startswith(e) for e in stems)]
+        thick = len(s) * 520 >= chars and len(set(s)) >= 2
+        kinds, stem_kinds, hits = len(set(w)), len(set(s)), len(w) + (len(s) if thick else 0)
+        loud = re.search(r"!{2,}|\?!|!\?", t or "") is not None
+        fires = [any(e in w for e in own) or thick and any(h.startswith(e) for h in s for e in own if e in stems) for own in lists]
+        votes.append([*fires, kinds + (stem_kinds if thick else 0) >= 2, hits >= 3, hits * 520 >= chars, loud, hits == 0])
+        rate = lambda m, c=chars: np.log1p(m * 1000 / max(c, 100))
+        x.append([np.log1p(len(w)), np.log1p(kinds), rate(len(w)), np.log1p(len(s)), np.log1p(stem_kinds), rate(len(s)), thick, len(w) > 0, loud])
+    x, votes = np.array(x, float), np.array(votes, float)
+    y = np.array([known.get(k, -1) for k, _ in rows])
+    p = np.where(votes[:, :11].any(axis=1), 0.9, 0.02)
+    for _ in range(30):  # a document at a time: labelled ones count as what they are
+        q = np.where(y < 0, p, y > 0)
+        prior = np.clip(q.mean(), 1e-4, 0.5)
+        rates = np.clip([((m @ votes) + 0.5) / (m.sum() + 1) for m in (1 - q, q)], 1e-6, 1 - 1e-6)
+        alike = 0
+        for m, r in ((1 - q, rates[0]), (q, rates[1])):
+            cov = ((votes - r) * m[:, None]).T @ (votes - r) / max(m.sum(), 1)
+            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+            alike = alike + np.clip(cov / scale[:, None] / scale, 0, 1) / 2
+        weight = 1 / np.maximum(alike.sum(axis=1), 1)
+        z = np.log(prior / (1 - prior)) + (np.where(votes > 0, np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))) * weight).sum(axis=1)
+        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        done, p = np.abs(new - p).max() < 1e-6, new
+        if done:
+            break
+    fit = y >= 0
+    mean, scale = x[fit].mean(axis=0), np.maximum(x[fit].std(axis=0), 1e-6)
+    w = np.zeros(10)
+    a = np.hstack([(x[fit] - mean) / scale, np.ones((fit.sum(), 1))])
+    keep = np.array([1e-2 * fit.sum()] * 9 + [1e-9])
+    for _ in range(60):
+        g = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        w = w - np.linalg.solve(a.T @ (a * (g * (1 - g) + 1e-9)[:, None]) + np.diag(keep), a.T @ (g - p[fit]) + keep * w)
+    return 1 / (1 + np.exp(-(np.hstack([(x - mean) / scale, np.ones((len(x), 1))]) @ w)))
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abdefgiklmnorstu"), 7)) for _ in range(80)]
+    nasty = ["grumok", "zarbtan", "zarbtil", "zarbtor", "idiot", "moron"]
+    rows, labels = [], []
+    for k in range(260):
+        toxic = k % 6 == 0
+        words = list(rng.choice(vocabulary, int(rng.integers(5, 40))))
+        if toxic:
+            words += list(rng.choice(nasty, 4))
+        rng.shuffle(words)
+        rows.append((k, " ".join(words) + ("!!" if toxic and k % 4 == 0 else ".")))
+        if k % 3:
+            labels.append((k, int(toxic)))
+        elif toxic:
+            labels.append((k, 1))
+    rows += [(900, None), (901, ""), rows[6], rows[7]]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    want = brute_toxicity(rows, labels)
+    for (k, _), score in zip(rows, want, strict=True):
+        assert abs(got[k] - score) < 1e-4, (k, got[k], score)
+
+
 # ---- preference pairs ----
 
 
@@ -409,6 +503,32 @@ def secrets_rows(spark, df):
     return out.select("doc_id", F.sha2(secrets._listed(F.col("base")), 256).alias("base_sha256")).collect()
 
 
+def test_secret_scan_equals_brute_force(spark, docs):
+    vendor = re.compile(secrets.VENDOR)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.limit(120).collect()]
+    rows += [(1000 + i, f"text {i} has token: Zx9fQ2mLr8TtWq and {'ghp_' + 'aB3' * 8}", f"s{i % 2}") for i in range(4)]
+    rows += [(2000 + i, f"text {i} shows api_key = {'AbC123dEf456' + 'x'}", f"s{i}") for i in range(5)]
+    rows += [(3000 + i, f"in {i}: secret: Qq77Zz88Ww99Ee", "s1") for i in range(12)]
+    rows += [(4000, None, None), (4001, "", "s1"), rows[121], (4002, "sk_live_" + "k2J" * 7, None)]
+    owners, looks = collections.defaultdict(dict), {}
+    found = []
+    for k, t, source in rows:
+        t = t or ""
+        own = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        own += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        own += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        own += [(m.start(), 3, m.end(), m[0]) for m in vendor.finditer(t)]
+        found.append((k, own))
+        for *_, v in own:
+            owners[v][t] = min(owners[v].get(t, source or ""), source or "")
+            looks[v] = len(set(v)) >= 8 and bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v)) and not re.search("(?i)example|changeme|placeholder|dummy|your_|xxxx", v)
+    live = {v for v, texts_ in owners.items() if looks[v] and len(set(texts_.values())) <= 2 and len(texts_) <= 8}
+    listed = lambda spans_: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in sorted(spans_))
+    want = collections.Counter((k, listed([x for x in own if x[1] < 3]), listed([x for x in own if x[3] in live]), len({x for x in own if x[3] not in live})) for k, own in found)
+    cols = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", secrets._listed(F.col("base")), secrets._listed(F.col("live")), "n_example")
+    assert collections.Counter(map(tuple, cols.collect())) == want and any(r[2] for r in want) and any(r[3] for r in want)
+
+
 def test_ownership_separates_copies_from_live(spark):
     copied, live = "token = Abcdefgh12345678xyz", "password: Qw9mZ2kLp0vRt7"
     rows = [(i, f"{copied} at {i}", "en", f"s{i}") for i in range(5)] + [(9, f"here {live} gh ghp_{'a1B2' * 8}", "en", "s0"), (10, None, None, None)]
