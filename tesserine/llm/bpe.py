@@ -16,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import table
+from tesserine.llm.common import small_batches, table
 from tesserine.llm.textkit import chunks
 
 # Fixed value: the split pattern of this public vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes of text in a block, and entries of the table of known pieces before it starts anew.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 KNOWN = 400_000
 
 
@@ -196,11 +197,13 @@ def encode_docs(docs: DataFrame, path: str, decode: bool = False, keep_ids: bool
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long" + ", ids binary" * keep_ids + ", ids_sha256 string" + ", decoded_sha256 string" * decode
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
             texts = batch.column(1)
-            sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()], np.int64)
+            sizes = np.array([0 if x is None else x for x in pc.binary_length(texts).to_pylist()], np.int64)
             for lo, hi in chunks(np.concatenate(([0], np.cumsum(sizes))), BLOCK):
                 ids = bpe.encode([x or "" for x in texts.slice(lo, hi - lo).to_pylist()])
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array([len(x) // 4 for x in ids], pa.int64())]

@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Spark's setting by which a query's shuffle files go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the bytes of rows that a Python worker gets at a time, and its value here: whole texts
+#: come in batches, and 10,000 of them can be very large.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get few bytes at a time, where the session leaves that at Spark's default."""
+    now = spark.conf.get(BATCH).removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the table that reads it: lineage ends here,
     so a lost executor costs a reread and not a recomputation. What was shuffled for it isn't needed any
@@ -43,6 +53,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
+    small_batches(spark)
     try:
         df.write.parquet(path)
     finally:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tesserine.llm.common import release, settle
 
 #: Edges that a task holds at a time when it contracts its own.
-HELD = 1 << 18
+HELD = 1 << 16
 
 
 def _digest(edges: DataFrame) -> tuple:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are worked on at a time (a longer text is taken alone).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
