@@ -20,4 +20,5 @@ QUERIES = {
 SQL = {
     "op4_preference_formatting": preference.OP4_SQL,
     "op5_source_mixing": mixing.OP5_SQL,
+    "op8_secret_scans": secrets.OP8_SQL,
 }

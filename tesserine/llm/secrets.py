@@ -129,3 +129,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("live").cast("long").alias("n_live"), F.col("n_example").cast("long").alias("n_example"),
     )
+
+
+def _sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    hits = " UNION ALL ".join(f"SELECT doc_id, owner, t, {k} AS k, regexp_extract_all(t, {quoted(p)}, 0) AS h, regexp_split_to_array(t, {quoted(p)}) AS g FROM d" for k, p in enumerate((ASSIGN, ACCESS, HEX, VENDOR)))
+    name = f"([{', '.join(map(quoted, KINDS))}])[k + 1] || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+hits AS ({hits}),
+found AS (
+  SELECT doc_id, owner, t, k, h[i] AS hit, CASE WHEN k = 0 THEN regexp_extract(h[i], {quoted(ASSIGN)}, 2) ELSE h[i] END AS value,
+    (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM hits, unnest(range(1, len(h) + 1)) AS u(i)),
+spans AS (SELECT *, start + length(hit) AS stop FROM found WHERE k > 0 OR length(value) >= 12),
+texts AS (SELECT value, t, min(owner) AS owner FROM spans GROUP BY value, t),
+verdicts AS (
+  SELECT value, count(DISTINCT owner) <= 2 AND count(*) <= {MAX_REPOSITORIES} AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]')
+    AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '(?i)example|changeme|placeholder|dummy|your_|xxxx') AS live
+  FROM texts GROUP BY value),
+judged AS (SELECT doc_id, k, start, stop, live, {name} AS name FROM spans JOIN verdicts USING (value)),
+listed AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(name, ',' ORDER BY start, k, stop) FILTER (k < 3) AS base, string_agg(name, ',' ORDER BY start, k, stop) FILTER (k < 3 OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+OP8_SQL = _sql()

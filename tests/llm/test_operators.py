@@ -529,6 +529,10 @@ def test_secret_scan_equals_brute_force(spark, docs):
     assert collections.Counter(map(tuple, cols.collect())) == want and any(r[2] for r in want) and any(r[3] for r in want)
 
 
+def test_secret_scan_equals_sql(spark):
+    same(spark, secrets.op8, secrets.OP8_SQL, "/root/testdata/sf0.01")
+
+
 def test_ownership_separates_copies_from_live(spark):
     copied, live = "token = Abcdefgh12345678xyz", "password: Qw9mZ2kLp0vRt7"
     rows = [(i, f"{copied} at {i}", "en", f"s{i}") for i in range(5)] + [(9, f"here {live} gh ghp_{'a1B2' * 8}", "en", "s0"), (10, None, None, None)]
