@@ -56,20 +56,22 @@ def _known(labels: DataFrame) -> DataFrame:
 def entry_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...), known(doc_id, toxic) -> entry, stem, bad, n: of the different labelled texts, how
     many toxic ones and how many in all hold an entry. Tasks add up their own texts before anything is sent."""
-    known = settle(known, "toxicity-known")
-    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(SLOTS - 1))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(known.select(slot.alias("slot")), SLOTS))
+    k1, k2 = row_key("doc_id", "text")
+    usable = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
+    # one row of each different labelled text, by keys alone; joins are of one kind at every size
+    names = usable.select("doc_id", "k1", "k2", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("lexicon"), "text").alias("t2")).join(known.hint("merge"), "doc_id")
+    picked = names.groupBy("t1", "t2").agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("toxic").cast("long").alias("toxic"))
+    picked = settle(picked.select("k.k1", "k.k2", "toxic"), "toxicity-picked")
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(picked.select(F.col("k1").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")), SLOTS))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Most texts without a label stay where they are; the join drops the rest."""
+        """Most other texts stay where they are; the join drops the rest."""
         bits = bits_of(wanted.value)
         for batch in batches:
-            yield batch.filter(pa.array(bits[batch.column(0).to_numpy()])).select([1, 2])
+            yield batch.filter(pa.array(bits[batch.column(0).to_numpy() & (SLOTS - 1)]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(slot.alias("slot"), "doc_id", F.col("text").cast("string").alias("text"))
-    texts = texts.mapInArrow(labelled, f"doc_id {kind}, text string").join(known, "doc_id")
-    texts = texts.groupBy(F.xxhash64("text").alias("k"), F.xxhash64(F.lit("lexicon"), "text").alias("k2")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts = usable.select("k1", "k2", "text").mapInArrow(labelled, "k1 long, k2 long, text string")
+    texts = texts.join(picked.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, bool], list[int]] = {}
@@ -90,7 +92,7 @@ def entry_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
         if held:
             yield sent()
 
-    return texts.select("text", F.col("toxic").cast("long")).mapInArrow(count, "entry string, stem boolean, bad long, n long")
+    return texts.select("text", "toxic").mapInArrow(count, "entry string, stem boolean, bad long, n long")
 
 
 def entries_of(text: str) -> list[tuple[str, bool]]:
