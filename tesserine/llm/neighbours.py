@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import partitions, settle, table
+from tesserine.llm.common import partitions, release, settle, table
 
 CURVES = 12
 #: Dimensions of a projection, and bits a dimension of its key (together 62 at most).
@@ -162,6 +162,7 @@ def search(
     before = sizes.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("curve", "part", "before")
     ranks = placed.withColumn("inner", inner).join(before, ["curve", "part"]).select("curve", "entry", (F.col("before") + F.col("inner")).alias("place"))
     ranks = settle(ranks, "ann-places")
+    release(placed)
     total = entries.count()
     reach = fit_reach(entries, ranks, k, recall, sample, width)
     parts = max(1, round(asked.count() * min(1.0, (2 * reach + block) / max(total, 1)) / queries))

@@ -136,9 +136,13 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         else:
             rows = rows.join(lower.select("l", F.col("g").alias("s"), F.col("p").alias("back")), ["l", "s"])
         p = F.when(F.col("total").isNull(), F.col("back")).otherwise((F.coalesce("own", F.lit(0.0)) + F.col("freed") * F.col("back")) / F.col("total"))
-        lower = settle(rows.select("l", "g", p.alias("p")), f"quality-p-{k}")
+        below, lower = lower, settle(rows.select("l", "g", p.alias("p")), f"quality-p-{k}")
+        if below is not None:
+            release(below)
     release(*[x[k] for k in range(1, ORDER) for x in (levels, asked)])
-    return lower.select("l", "g", (-F.log("p")).alias("cost"))
+    out = settle(lower.select("l", "g", (-F.log("p")).alias("cost")), "quality-costs")
+    release(lower)
+    return out
 
 
 def hash_of(l: np.ndarray, g: np.ndarray) -> np.ndarray:  # noqa: E741
@@ -181,6 +185,23 @@ def parts_of(model: DataFrame, size: int = PART) -> Iterator[tuple[np.ndarray, n
         h, cost = rows.column(0).to_numpy().view(U64), rows.column(1).to_numpy()
         order = np.argsort(h)
         yield h[order], cost[order]
+    release(named)
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def equal_spans(data: np.ndarray, first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pairs of spans (their starts, and their common size) hold the same bytes."""
+    eight = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    same = np.ones(len(size), bool)
+    left, shift = np.flatnonzero(size > 0), 0
+    while len(left):
+        mask = _MASKS[np.minimum(size[left] - shift, 8)]
+        same[left] &= ((eight[first[left] + shift] ^ eight[second[left] + shift]) & mask) == 0
+        shift += 8
+        left = left[(size[left] > shift) & same[left]]
+    return same
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -204,8 +225,14 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         order = np.lexsort((h, words.doc[at]))
         same = (h[order][1:] == h[order][:-1]) & (words.doc[at][order][1:] == words.doc[at][order][:-1])
         twice = np.zeros(len(at), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        x, y = order[1:][same], order[:-1][same]
+        for i in range(5):  # the words themselves decide
+            u, v = at[x] + i, at[y] + i
+            size = words.end[u] - words.start[u]
+            alike = (size == words.end[v] - words.start[v]) & equal_spans(data, words.start[u], words.start[v], size)
+            x, y = x[alike], y[alike]
+        twice[x] = True
+        twice[y] = True
         edge = np.zeros(len(words.start) + 5, np.int64)
         np.add.at(edge, at[twice], 1)
         np.add.at(edge, at[twice] + 5, -1)
@@ -226,7 +253,9 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     h = words.rolling.of(starts, ends)
     order = np.lexsort((ends - starts, h, owner))
     h, size, own = h[order], (ends - starts)[order], owner[order]
-    dup = (h[1:] == h[:-1]) & (size[1:] == size[:-1]) & (own[1:] == own[:-1])
+    dup = np.flatnonzero((h[1:] == h[:-1]) & (size[1:] == size[:-1]) & (own[1:] == own[:-1]))
+    begin = starts[order]
+    dup = dup[equal_spans(data, begin[dup], begin[dup + 1], size[dup])]
     n_dup = np.bincount(own[1:][dup], minlength=n)
     return {"n_words": words.count, "word_chars": chars, "n_symbols": per_doc(marks[data]), "n_dup_lines": n_dup, "n_repeat_words": n_repeat}
 
@@ -242,7 +271,9 @@ def measure(docs: DataFrame, part: int = PART) -> DataFrame:
     base = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     keys = F.xxhash64("doc_id", "lang", "text"), F.xxhash64(F.lit("quality"), "doc_id", "lang", "text")
     base = base.select(keys[0].alias("k1"), keys[1].alias("k2"), name_of(F.col("lang")).alias("l"), "text", "doc_id", "lang")
-    model = kneser_ney(settle(count_ngrams(base), "quality-ngrams"))
+    counts = settle(count_ngrams(base), "quality-ngrams")
+    model = kneser_ney(counts)
+    release(counts)
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = "k1 long, k2 long, cost double"
     full = f"{more}, doc_id {kind}, lang string, n_bytes long, " + ", ".join(f"{c} long" for c in COUNTS)
@@ -276,6 +307,7 @@ def measure(docs: DataFrame, part: int = PART) -> DataFrame:
             out = settle(base.mapInArrow(run, full), "quality-scores")
         else:  # repeated rows share the key and the cost
             rest.append(settle(base.select("k1", "k2", "l", "text").mapInArrow(run, more).dropDuplicates(["k1", "k2"]), f"quality-scores-{i}"))
+    release(model)
     if rest:
         added = reduce(DataFrame.union, rest).groupBy("k1", "k2").agg(F.sum("cost").alias("added"))
         out = out.join(added, ["k1", "k2"]).withColumn("cost", F.col("cost") + F.col("added"))

@@ -31,7 +31,8 @@ def format_pairs(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
     prefix, rendered once. chosen, rejected: what follows on each side. *_mask: runs that say which
     characters are trained. Null role or text counts as empty; turns of one side go by (turn, role,
     text), so ties are ordered and repeated rows stay. Equal sides: both completions are empty.
-    Pairs with a null id or one side only give no row; extra columns are not read.
+    Pairs with a null id or one side only give no row, nor does an empty table; turns whose `chosen` is null
+    belong to neither side; texts of any length are taken whole; extra columns are not read.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     side = lambda flag: F.array_sort(F.collect_list(F.when(F.col("chosen") == F.lit(flag), turn)))

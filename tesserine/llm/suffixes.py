@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import bitmap, bits_of, settle, table
+from tesserine.llm.common import bitmap, bits_of, release, settle, table
 from tesserine.llm.textkit import Rolling, as_bytes, chunks, mix
 
 U64 = np.uint64
@@ -301,7 +301,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # different segments with the same anchor: their suffixes in order
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     pool = settle(kinds.join(anchors, "anchor").select("anchor", "kinds", "least.k1", "least.k2", "least.p"), "suffix-pool")
-    pool = settle(_contexts(docs, pool), "suffix-contexts")
+    bare, pool = pool, settle(_contexts(docs, pool), "suffix-contexts")
+    release(bare)
     part = "k1 long, k2 long, p long, flags int"
     few = pool.filter(F.col("kinds") <= GROUP)
     lots = max(1, few.count() // LOT)
@@ -310,7 +311,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     each = settle(many.mapInArrow(_ends_of_classes(max(1, many.count() // LOT)), WINDOW), "suffix-windows")
     inner = each.filter("lot < 0").select("k1", "k2", "p", "flags")
     ends = each.filter("lot >= 0").select("lot", "packed").groupBy("lot").applyInPandas(_classes_of_lot, part)
-    return whole.union(small).union(inner).union(ends)
+    out = settle(whole.union(small).union(inner).union(ends), "suffix-runs")
+    release(segs, kinds, pool, each)
+    return out
 
 
 def _text_key(docs: DataFrame) -> tuple[Column, Column]:

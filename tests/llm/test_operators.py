@@ -311,6 +311,27 @@ def test_preference_pairs(spark):
     assert r["chosen_mask"] == f"{len(r['chosen'])}:1" and r["rejected_mask"] == "25:1,18:0"
 
 
+def test_preference_ties_repeats_and_long_turns(spark):
+    long = "word " * 200_000
+    sides = {
+        (1, True): [(0, "user", "b"), (0, "user", "a"), (0, "user", "a"), (None, "assistant", "first")],  # ties, a repeated row, no turn number
+        (1, False): [(0, "user", "a"), (None, "assistant", "first"), (0, "user", "a"), (1, "assistant", "")],
+        (2, True): [(0, "user", long), (1, "assistant", long + "x")],
+        (2, False): [(0, "user", long), (1, "assistant", long + "y")],
+    }
+    rows = [(k, c, *t) for (k, c), turns in sides.items() for t in turns] + [(3, None, 0, "user", "neither"), (3, True, 0, "user", "one side")]
+    df = spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string").withColumn("prompt", F.lit("other")).withColumn("c", F.lit(2))
+    render = lambda turns: "".join(f"<|{role}|>\n{text}<|end|>\n" for _, role, text in turns)
+    want = {}
+    for k in (1, 2):
+        c, r = (sorted(sides[k, flag], key=lambda t: (t[0] is not None, t[0] or 0, *t[1:])) for flag in (True, False))
+        n = next((i for i, (x, y) in enumerate(zip(c, r, strict=False)) if x[1:] != y[1:]), min(len(c), len(r)))
+        want[k] = (n, render(c[:n]), render(c[n:]), render(r[n:]))
+    got = {r["pair_id"]: (r["n_common"], r["prompt"], r["chosen"], r["rejected"]) for r in preference.format_pairs(df).collect()}
+    assert got == want
+    assert preference.format_pairs(df.limit(0)).count() == 0
+
+
 # ---- mixing ----
 
 
