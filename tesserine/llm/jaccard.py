@@ -168,7 +168,7 @@ def sets_by_name(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     made = docs.select("k1", "k2", F.col("text").cast("string")).mapInArrow(run, "k1 long, k2 long, tokens binary")
     # equal rows make equal sets: one of them is enough
-    return made.join(wanted, ["k1", "k2"]).dropDuplicates([c for c in wanted.columns if c not in ("k1", "k2")])
+    return made.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"])
 
 
 def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int) -> DataFrame:
