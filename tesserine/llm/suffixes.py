@@ -34,7 +34,7 @@ SLOTS = 1 << 25
 #: Bytes of one text whose windows are taken at a time, and the most segments of an anchor that one task orders.
 PIECE, GROUP = 4 << 20, 1024
 #: Segments that are put in order together, on average.
-LOT = 2000
+LOT = 500
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
