@@ -209,3 +209,41 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = manifest(docs, "source", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], {"text": text})
     found = found.withColumn("folded_root", fold(F.col("other"), F.col("path"))).withColumn("proof_sha256", digest(proof_text(F.col("path"))))
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_PACKED = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_PACKED.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+#: One tree over rows (g, i, n, d): its levels, and for each node what stands beside it in its run.
+_LEVELS = """
+{0} AS (
+  SELECT g, 0 AS level, i, n AS m, d FROM {1}
+  UNION ALL
+  SELECT g, level + 1, i // 3, any_value((m + 2) // 3), sha256(string_agg(d, '' ORDER BY i)) FROM {0} WHERE m > 1 GROUP BY g, level, i // 3),
+{0}_beside AS (
+  SELECT g, level, i, coalesce(string_agg(d, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(d, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {0} WHERE m > 1 WINDOW run AS (PARTITION BY g, level, i // 3 ORDER BY i)),
+{0}_walk AS (
+  SELECT doc_id, g, 0 AS level, i, f, proof FROM {2}
+  UNION ALL
+  SELECT doc_id, w.g, w.level + 1, w.i // 3, sha256(l || f || r), proof || l || r
+  FROM {0}_walk w JOIN {0}_beside b ON w.g = b.g AND w.level = b.level AND w.i = b.i),
+{0}_end AS (SELECT doc_id, arg_max(f, level) AS f, arg_max(proof, level) AS proof FROM {0}_walk GROUP BY doc_id)"""
+OP13_SQL = f"""
+WITH RECURSIVE marked AS (
+  SELECT doc_id, source, {_LEAF.format(_PACKED.format("text"))} AS d,
+    {_LEAF.format(_PACKED.format("replace(text, chr(10), '')"))} AS other,
+    list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), 256, 256, 256, 256, 256, 256, 256, 256]))),
+      lambda crc, x: CASE WHEN x < 256 THEN xor(crc::BIGINT, x::BIGINT) ELSE xor((crc // 2)::BIGINT, (crc % 2 * 3988292384)::BIGINT) END) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, row_number() OVER (run ORDER BY doc_id) - 1 AS i, count(*) OVER run AS n, d,
+    CASE WHEN xor(crc::BIGINT, 4294967295) % 2 = 0 THEN other ELSE d END AS f, '' AS proof
+  FROM marked WINDOW run AS (PARTITION BY source)),
+{_LEVELS.format("low", "leaves", "leaves")},
+tops AS (SELECT '' AS g, g AS of, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n, d FROM low WHERE m = 1),
+climbed AS (SELECT e.doc_id, t.g, t.i, e.f, e.proof FROM low_end e JOIN leaves v ON e.doc_id = v.doc_id JOIN tops t ON t.of = v.g),
+{_LEVELS.format("high", "tops", "climbed")}
+SELECT v.doc_id, v.d AS leaf, t.d AS subroot, root, sha256(e.proof) AS proof_sha256, e.f AS folded_root, e.f = root AS verified
+FROM leaves v JOIN tops t ON t.of = v.g JOIN high_end e ON e.doc_id = v.doc_id CROSS JOIN (SELECT d AS root FROM high WHERE m = 1)
+"""

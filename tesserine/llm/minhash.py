@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +32,8 @@ BANDS, ROWS = 52, 5
 AGREE = 0.6
 #: Shingles whose coordinates are computed at a time: the arrays stay in the processor's cache.
 LOT = 1 << 15
-#: Bytes of sets in a group of one set and its partners; bytes of signatures in a block of sets, and of those that ask.
-GROUP, BLOCK, ASKING = 16 << 20, 8 << 20, 1 << 20
+#: Bytes of partners in a lot; bytes of signatures in a block of sets, and of those that ask.
+PARTNERS, BLOCK, ASKING = 16 << 20, 8 << 20, 1 << 20
 
 
 def permute(x: np.ndarray, multipliers: tuple[int, int]) -> np.ndarray:
@@ -123,28 +122,32 @@ def alike(pairs: DataFrame, percent: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs(a, b), sets(sid, n, k1, k2) -> the pairs that are links: 100 * intersection >= percent * union.
 
-    A set's partners are dealt to groups by their bytes, so a group holds the set and GROUP bytes more, or one partner
-    that is larger; a set is shipped once for each group that it is in, not for each pair."""
+    A set's partners are dealt to lots by their bytes, so that a set with many doesn't make one task's work; a set is
+    shipped once for each lot that it is in, not for each pair. Tasks read partners in a row, and hold the set alone."""
     sized = pairs.join(sets.select(F.col("sid").alias("b"), (F.col("n") * 8).alias("w")), "b")
-    weights = sized.groupBy("a").agg(F.ceil(F.sum("w") / F.lit(GROUP)).cast("int").alias("groups"))
-    dealt = settle(pairs.join(weights, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("lot")), "minhash-dealt")
+    weights = sized.groupBy("a").agg(F.ceil(F.sum("w") / F.lit(PARTNERS)).cast("int").alias("lots"))
+    dealt = settle(pairs.join(weights, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot")), "minhash-dealt")
     asks = dealt.select(F.col("b").alias("sid"), F.col("a").alias("hub"), "lot", F.lit(False).alias("is_hub"))
     hubs = dealt.select(F.col("a").alias("sid"), F.col("a").alias("hub"), "lot", F.lit(True).alias("is_hub")).distinct()
     roles = settle(asks.union(hubs).join(sets.select("sid", "k1", "k2"), "sid"), "minhash-roles")
-    rows = sets_by_name(docs, roles, size)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = np.frombuffer(group.loc[group["is_hub"], "tokens"].iloc[0], "<u8")
-        hub, kept = group["hub"].iloc[0], []
-        for sid, raw, is_hub in zip(group["sid"], group["tokens"], group["is_hub"], strict=True):
-            other = np.frombuffer(raw, "<u8")
-            if not is_hub:
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(other) - both):
-                    kept.append(sid)
-        return pd.DataFrame({"a": [hub] * len(kept), "b": kept})
-
-    out = settle(rows.groupBy("hub", "lot").applyInPandas(run, "a binary, b binary"), "minhash-links")
+    rows = sets_by_name(docs, roles, size).select("hub", "lot", "is_hub", "sid", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, U64)  # of the hub whose partners follow
+        for batch in batches:
+            kept: list[tuple[bytes, bytes]] = []
+            for hub, is_hub, sid, raw in zip(*(batch.column(i) for i in (0, 2, 3, 4)), strict=True):
+                tokens = np.frombuffer(raw.as_buffer(), "<u8")
+                if is_hub.as_py():
+                    own = tokens.copy()
+                    continue
+                both = len(np.intersect1d(own, tokens, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(tokens) - both):
+                    kept.append((hub.as_py(), sid.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    ordered = rows.repartition("hub", "lot").sortWithinPartitions("hub", "lot", F.desc("is_hub"))
+    out = settle(ordered.mapInArrow(run, "a binary, b binary"), "minhash-links")
     release(dealt, roles)
     return out
 
@@ -180,22 +183,42 @@ def across(members: DataFrame, percent: int, every: bool) -> DataFrame:
     there = placed.select(*cols, of("nx").alias("x"), each("ny").alias("y"), F.lit(False).alias("asks"))
     asking = placed.filter("minor").select(*cols, each("nx").alias("x"), of("ny").alias("y"), F.lit(True).alias("asks"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[bytes, bytes]] = []
-        held = rows[~rows["asks"]].sort_values("n", kind="stable")
-        n, sid, root = held["n"].to_numpy(), held["sid"].to_numpy(), held["root"].to_numpy()
-        grid = np.frombuffer(b"".join(held["bytes"]), np.uint8).reshape(len(held), -1) if len(held) else np.zeros((0, 1), np.uint8)
-        for r in rows[rows["asks"]].itertuples():
-            lo, hi = np.searchsorted(n, -(-r.n * percent // 100)), np.searchsorted(n, r.n * 100 // percent, "right")
-            near = lo + np.flatnonzero((root[lo:hi] != r.root) & ((grid[lo:hi] == np.frombuffer(r.bytes, np.uint8)).sum(axis=1) >= AGREE * grid.shape[1]))
-            seen = set()
-            for i in near.tolist():
-                if every or root[i] not in seen:
-                    seen.add(root[i])
-                    out.append((min(r.sid, sid[i]), max(r.sid, sid[i])))
-        return pd.DataFrame(out, columns=["a", "b"])
+    def compare(held: list[tuple], asking: list[tuple], out: set) -> None:
+        held.sort(key=lambda r: r[1])
+        n, root = np.array([r[1] for r in held]), [r[3] for r in held]
+        grid = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
+        for sid, size, raw, own in asking:
+            lo, hi = np.searchsorted(n, -(-size * percent // 100)), np.searchsorted(n, size * 100 // percent, "right")
+            agree = np.count_nonzero(grid[lo:hi] == np.frombuffer(raw, np.uint8), axis=1)
+            seen = {own}
+            for i in (lo + np.flatnonzero(agree >= AGREE * grid.shape[1])).tolist():
+                if root[i] not in seen:
+                    if not every:
+                        seen.add(root[i])
+                    out.add((min(sid, held[i][0]), max(sid, held[i][0])))
 
-    return settle(there.union(asking).groupBy("band", "x", "y").applyInPandas(run, "a binary, b binary").distinct(), "minhash-across")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            out: set = set()
+            if sides[0] and sides[1]:
+                compare(*sides, out)
+            for x in sides:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for *key, asks, sid, size, raw, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    yield done()
+                    now = key
+                sides[asks].append((sid, size, raw, root))
+        yield done()
+
+    rows = there.union(asking).select("band", "x", "y", "asks", "sid", "n", "bytes", "root")
+    ordered = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return settle(ordered.mapInArrow(run, "a binary, b binary").distinct(), "minhash-across")
 
 
 def label(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -262,3 +285,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Prefixes in order of rarity make candidates here; whole sets decide.
+OP11_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s
+  FROM cut),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+often AS (SELECT t, count(*) AS c FROM tokens GROUP BY t),
+placed AS (SELECT doc_id, n, t, row_number() OVER (PARTITION BY doc_id ORDER BY c, t) AS place FROM tokens JOIN often USING (t)),
+early AS (SELECT doc_id, n, t FROM placed WHERE place <= n - (4 * n + 4) // 5 + 1),
+pairs AS (
+  SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM early a JOIN early b ON a.t = b.t AND a.doc_id < b.doc_id
+  WHERE 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+shared AS (
+  SELECT x, y, a.n + b.n AS total, count(*) AS common FROM pairs
+  JOIN tokens a ON a.doc_id = x JOIN tokens b ON b.doc_id = y AND b.t = a.t GROUP BY x, y, a.n + b.n),
+links AS (SELECT x, y FROM shared WHERE 100 * common >= 80 * (total - common)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reached r JOIN edges e ON r.y = e.x),
+least_of AS (SELECT x, min(y) AS y FROM reached GROUP BY x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id, doc_id <= coalesce(y, doc_id) AS kept
+FROM sets LEFT JOIN least_of ON doc_id = x
+"""
