@@ -23,7 +23,7 @@ from tesserine.llm.common import partitions, release, settle, small_batches, tab
 #: Children of a node.
 ARITY = 3
 #: Levels that a round climbs at least: a part has at most ARITY**LEVELS nodes of its lowest level.
-LEVELS = 10
+LEVELS = 8
 #: Nodes that a task holds before it begins another lot (at the end of a part), and rows that it hands on at a time.
 HELD, HANDED = 1 << 15, 4096
 PATH = "array<struct<l:string,r:string>>"
