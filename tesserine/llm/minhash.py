@@ -4,11 +4,11 @@ Two permutations make all coordinates of a signature. The first scatters a set's
 2**32 places; the second ranks the places, and coordinate k is the least rank of the set's places moved on
 by k. BANDS bands of ROWS coordinates make candidates: two sets of similarity s share none with probability
 (1 - s**ROWS)**BANDS, 1e-9 at 0.8, less above. One byte of each coordinate goes along with a set, and pairs that
-agree in too few of them for a link (1e-12) are left out; all others are decided on whole sets.
+agree in too few of them for a link (1e-8) are left out; all others are decided on whole sets.
 
-Links only matter for what they connect. So each set is first compared with one of its candidates, then with
-those that are still in other components; and where a band holds sets of several components, those outside
-its largest are compared with its other sets by their bytes, in blocks of bounded size.
+Links only matter for what they connect. So each set is first compared with one other in some of its bands, in a
+few rounds; then, where a band still holds sets of several components, those outside its largest are compared with
+its other sets by their bytes, in blocks of bounded size, and what is near on whole sets.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ U32, U64 = np.uint32, np.uint64
 #: Bands, and coordinates in each, for a threshold of 80 percent.
 BANDS, ROWS = 52, 5
 #: Share of coordinates in which a pair must agree to be compared on whole sets.
-AGREE = 0.6
+AGREE = 0.64
+#: Bands in each of the first rounds, and those rounds.
+STEP, ROUNDS = 8, 3
 #: Shingles whose coordinates are computed at a time: the arrays stay in the processor's cache.
 LOT = 1 << 15
 #: Bytes of partners in a lot; bytes of signatures in a block of sets, and of those that ask.
@@ -70,17 +72,14 @@ def signatures_of(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
-def band_names(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit name of each band's coordinates, its number included."""
-    cut = signatures[:, : bands * rows].astype(U64).reshape(len(signatures), bands, rows)
-    name = np.broadcast_to(np.arange(1, bands + 1, dtype=U64), cut.shape[:2]).copy()
-    with np.errstate(over="ignore"):
-        for i in range(rows):
-            name = (name ^ cut[:, :, i]) * U64(0x9E3779B97F4A7C15)
-            name ^= name >> U64(29)
-            name *= U64(0xBF58476D1CE4E5B9)
-            name ^= name >> U64(32)
-    return name.view(np.int64)
+def band_names(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit name of each band: its number, and the low bytes of its coordinates (5 at most). So sets share a
+    band where they have equal bytes in it."""
+    cut = low[:, : bands * rows].astype(np.int64).reshape(len(low), bands, rows)
+    name = np.broadcast_to(np.arange(bands, dtype=np.int64), cut.shape[:2]).copy()
+    for i in range(rows):
+        name = name << 8 | cut[:, :, i]
+    return name
 
 
 def sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -94,7 +93,8 @@ def sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             sets = list(sets_of(batch.column(3), size))
             full = [s for s in sets if len(s)]
             made = signatures_of(full, bands * rows)
-            names, low = band_names(made, bands, rows), (made & U32(255)).astype(np.uint8)
+            low = (made & U32(255)).astype(np.uint8)
+            names = band_names(low, bands, rows)
             at, sids, lists, raws = 0, [], [], []
             for s in sets:
                 sids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -171,9 +171,10 @@ class Labels:
         return pairs.join(of("a"), "a").join(of("b"), "b")
 
 
-def across(members: DataFrame, percent: int, every: bool) -> DataFrame:
+def across(members: DataFrame, percent: int, rows: int, every: bool) -> DataFrame:
     """members(band, sid, n, bytes, root, minor): in each band, its minor sets against the sets of other roots -> pairs (a, b)
-    whose sizes and signatures allow a link: of a set and a root one for each block, or `every` one."""
+    whose sizes and signatures allow a link: one for each minor set and other root, or `every` one. A pair is found in
+    the first band that it shares and not in the others."""
     blocks = lambda rows, size: F.ceil(F.sum(F.when(rows, F.octet_length("bytes") + 64)) / F.lit(size)).cast("int")
     sized = settle(members.groupBy("band").agg(blocks(F.lit(True), BLOCK).alias("nx"), blocks(F.col("minor"), ASKING).alias("ny")), "minhash-blocks")
     placed = members.join(sized, "band")
@@ -183,30 +184,32 @@ def across(members: DataFrame, percent: int, every: bool) -> DataFrame:
     there = placed.select(*cols, of("nx").alias("x"), each("ny").alias("y"), F.lit(False).alias("asks"))
     asking = placed.filter("minor").select(*cols, each("nx").alias("x"), of("ny").alias("y"), F.lit(True).alias("asks"))
 
-    def compare(held: list[tuple], asking: list[tuple], out: set) -> None:
+    def compare(band: int, held: list[tuple], asking: list[tuple], out: list[tuple]) -> None:
         held.sort(key=lambda r: r[1])
         n, root = np.array([r[1] for r in held]), [r[3] for r in held]
         grid = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
         for sid, size, raw, own in asking:
             lo, hi = np.searchsorted(n, -(-size * percent // 100)), np.searchsorted(n, size * 100 // percent, "right")
-            agree = np.count_nonzero(grid[lo:hi] == np.frombuffer(raw, np.uint8), axis=1)
+            agree = grid[lo:hi] == np.frombuffer(raw, np.uint8)
+            near = np.flatnonzero(np.count_nonzero(agree, axis=1) >= AGREE * grid.shape[1])
+            shared = agree[near].reshape(len(near), -1, rows).all(axis=2).argmax(axis=1)
             seen = {own}
-            for i in (lo + np.flatnonzero(agree >= AGREE * grid.shape[1])).tolist():
+            for i in (lo + near[shared == band]).tolist():
                 if root[i] not in seen:
                     if not every:
                         seen.add(root[i])
-                    out.add((min(sid, held[i][0]), max(sid, held[i][0])))
+                    out.append((sid, held[i][0], root[i]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, ([], [])
 
         def done() -> pa.RecordBatch:
-            out: set = set()
+            out: list[tuple] = []
             if sides[0] and sides[1]:
-                compare(*sides, out)
+                compare(now[0] >> 8 * rows, *sides, out)
             for x in sides:
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in range(3)], names=["asks", "sid", "root"])
 
         for batch in batches:
             for *key, asks, sid, size, raw, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -216,42 +219,48 @@ def across(members: DataFrame, percent: int, every: bool) -> DataFrame:
                 sides[asks].append((sid, size, raw, root))
         yield done()
 
-    rows = there.union(asking).select("band", "x", "y", "asks", "sid", "n", "bytes", "root")
-    ordered = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return settle(ordered.mapInArrow(run, "a binary, b binary").distinct(), "minhash-across")
-
-
-def label(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """classes(sid, n, k1, k2, bands, bytes) -> sid, root for the sets that share a band with another."""
-    marked = classes.select("sid", "n", F.explode("bands").alias("band"))
-    full = settle(marked.groupBy("band").agg(F.min("sid").alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "minhash-bands")
-    held = settle(marked.join(full, "band"), "minhash-held")
-    sets = settle(classes.select("sid", "n", "k1", "k2", "bytes").join(held.select("sid").distinct(), "sid"), "minhash-sets")
-    release(full)
-    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bytes").alias(f"b{x}"))
-    stars = held.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
-    near = settle(alike(stars.join(side("a"), "a").join(side("b"), "b"), percent), "minhash-near")
-    labels = Labels(sets)
-    first = settle(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "minhash-first")
-    labels.add(verify(first, docs, sets, size, percent))
-    apart = settle(labels.rooted(near).filter("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti"), "minhash-apart")
-    if not apart.isEmpty():
-        labels.add(verify(apart, docs, sets, size, percent))
-    release(first, apart, near)
+    both = there.union(asking).select("band", "x", "y", "asks", "sid", "n", "bytes", "root")
+    found = both.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(run, "asks binary, sid binary, root binary")
+    if not every:
+        found = found.groupBy("asks", "root").agg(F.min("sid").alias("sid"))
+    return settle(found.select(F.least("asks", "sid").alias("a"), F.greatest("asks", "sid").alias("b")).distinct(), "minhash-across")
+
+
+def label(docs: DataFrame, classes: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
+    """classes(sid, n, k1, k2, bands, bytes) -> Labels of all sets.
+
+    A few bands at a time, each set is compared with one other of its bands that is in another component, the first there: near
+    copies fall together in these rounds. Then the bands that still hold several components are worked on in full."""
+    side = lambda x: classes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bytes").alias(f"b{x}"))
+    sets = classes.select("sid", "n", "k1", "k2")
+    labels = Labels(classes)
+    for first in range(0, ROUNDS * STEP, STEP):
+        marked = classes.select("sid", F.explode(F.slice("bands", first + 1, STEP)).alias("band")).join(labels.table, "sid")
+        centres = marked.groupBy("band").agg(F.min(F.struct("sid", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+        centres = settle(centres.filter("low <> high").select("band", F.col("c.sid").alias("centre"), F.col("c.root").alias("there")), "minhash-centres")
+        each = marked.join(centres, (marked["band"] == centres["band"]) & (F.col("root") != F.col("there"))).groupBy("sid").agg(F.min("centre").alias("centre"))
+        pairs = each.select(F.col("centre").alias("a"), F.col("sid").alias("b"))
+        near = settle(alike(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "minhash-near")
+        none = near.isEmpty()
+        if not none:
+            labels.add(verify(near, docs, sets, size, percent))
+        release(centres, near)
+        if none:
+            break
     for every in (False, True):
         # bands whose sets aren't all in one component, and their largest one
-        counts = held.join(labels.table, "sid").groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
+        marked = classes.select("sid", F.explode("bands").alias("band")).join(labels.table, "sid")
+        counts = marked.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
         top = settle(counts.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band", "top"), "minhash-top")
-        rows = held.select("band", "sid").join(top, "band").join(labels.table, "sid").join(sets.select("sid", "n", "bytes"), "sid")
-        members = settle(rows.select("band", "sid", "n", "bytes", "root", (F.col("root") != F.col("top")).alias("minor")), "minhash-members")
-        found = across(members, percent, every)
+        placed = settle(marked.join(top, "band").select("band", "sid", "root", (F.col("root") != F.col("top")).alias("minor")), "minhash-placed")
+        members = settle(placed.join(classes.select("sid", "n", "bytes"), "sid"), "minhash-members")
+        found = across(members, percent, rows, every)
         none = found.isEmpty()
         if not none:
             labels.add(verify(found, docs, sets, size, percent))
-        release(top, members, found)
+        release(top, placed, members, found)
         if none:
             break
-    release(held, sets)
     return labels.table
 
 
@@ -273,7 +282,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     classes = settle(merged.select("sid", "least", "k.k1", "k.k2", "n", "bands", "bytes"), "minhash-classes")
     slim = settle(signed.select("doc_id", "k1", "k2", "n", "sid"), "minhash-rows")
     release(signed)
-    labels = label(base, classes, size, percent)
+    labels = label(base, classes, size, percent, rows)
     final = classes.select("sid", "least").join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = final.groupBy("root").agg(F.min("least").alias("component_id"))
     named = settle(final.join(smallest, "root").select("sid", "component_id"), "minhash-named")
