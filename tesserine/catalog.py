@@ -140,11 +140,12 @@ def calc_document_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.gate(d.documents(spark, sf_dir))
 
 
-@query(f"""WITH {_OPERANDS}, vals AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, sign, l_tax AS b FROM ops WHERE sign <> '^'),
-res AS (SELECT *, CASE WHEN sign IN ('/', '%', '//') AND b = 0 THEN NULL ELSE {_RESULT} END AS r FROM vals) SELECT l_orderkey, l_linenumber, {_LINE} AS line FROM res""")
+@query(f"""WITH {_OPERANDS}, vals AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, sign, l_tax AS b FROM ops),
+res AS (SELECT *, CASE WHEN sign IN ('/', '%', '//') AND b = 0 THEN NULL ELSE {_RESULT} END AS r FROM vals) SELECT l_orderkey, l_linenumber,
+CASE WHEN sign = '^' THEN 'error: ''^'' is not a recognized operator = error: ''^'' is not a recognized operator' ELSE {_LINE} END AS line FROM res""")
 def calc_result_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of equations over prices and taxes: text of fractions."""
-    rows = d.operands(spark, sf_dir).filter("sign <> '^'")
+    """Lines of equations over prices and taxes: text of fractions; operators that aren't known are errors."""
+    rows = d.operands(spark, sf_dir)
     out = eq.evaluate_columns(rows, F.col("l_extendedprice"), F.col("sign"), F.col("l_tax"))
     return eq.render(out, number_text).select("l_orderkey", "l_linenumber", "line")
 
@@ -187,15 +188,18 @@ _ONE_DEVICE = _FIVE.replace("user_id AS device_id", "0::BIGINT AS device_id")
 
 @query(f"WITH RECURSIVE {_ONE_DEVICE} SELECT device_id, ts, seq, step, button, state, next_state FROM path")
 def five_hot_device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events on one device, its days side by side."""
-    return five.trajectory(d.presses(spark, sf_dir, one_device=True), block="1 day")
+    """All events on one device, its ranges side by side."""
+    return five.trajectory(d.presses(spark, sf_dir, one_device=True))
 
 
-@query("""WITH s(state) AS (VALUES ('IDLE'), ('CIRCUIT_TESTED'), ('ENABLED'), ('READY'), ('LAUNCHED')), n(button) AS (VALUES ('test'), ('enable'), ('ready'), ('launch'), ('lpu_cancel'), ('cu_cancel'))
-SELECT s.state, n.button, """ + _FIVE_NEXT.format(s="s.state") + " AS next_state FROM s, n")
+@query(f"""WITH {_FIVE_EVENTS}, s(state) AS (VALUES ('IDLE'), ('CIRCUIT_TESTED'), ('ENABLED'), ('READY'), ('LAUNCHED')),
+n AS (SELECT button, count(*) AS presses FROM presses WHERE button IS NOT NULL GROUP BY button)
+SELECT s.state, n.button, """ + _FIVE_NEXT.format(s="s.state") + " AS next_state, presses FROM s, n")
 def five_transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(s, b) for s in FIVE_STATES for b in FIVE_BUTTONS], "state string, button string")
-    return pairs.select("state", "button", five.step(F.col("state"), F.col("button")).alias("next_state"))
+    """What each button that was pressed does in each state, and how often it was pressed."""
+    pressed = d.presses(spark, sf_dir).filter("button IS NOT NULL").groupBy("button").agg(F.count(F.lit(1)).alias("presses"))
+    pairs = pressed.select("button", "presses", F.explode(F.array(*map(F.lit, FIVE_STATES))).alias("state"))
+    return pairs.select("state", "button", five.step(F.col("state"), F.col("button")).alias("next_state"), "presses")
 
 
 @query(f"""WITH RECURSIVE {_FIVE} SELECT device_id, step, next_state <> 'IDLE' AS lpu_green, next_state IN ('ENABLED', 'READY', 'LAUNCHED') AS lpu_red,
@@ -322,7 +326,7 @@ def _seven(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_SEVEN} SELECT device_id, count(*) AS n_events, arg_max(next_state, step) AS state, arg_max(next_igniter, step) AS igniter, arg_max(next_circuit, step) AS circuit FROM path GROUP BY device_id")
 def seven_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seven.final_state(_seven(spark, sf_dir))
+    return seven.final_state(d.inputs(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {_SEVEN} SELECT * REPLACE (arg::VARCHAR AS arg) FROM path")
@@ -366,15 +370,6 @@ def seven_log_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seven.event_log(_seven(spark, sf_dir)).groupBy("level", "color").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH s(state, k) AS (VALUES ('IDLE', 0), ('TESTING', 1), ('TEST_PASS', 2), ('ENABLED', 3), ('READY', 4), ('LAUNCHING', 5), ('LAUNCHED', 6)), g(igniter) AS (VALUES (true), (false))
-SELECT state, igniter, CASE WHEN NOT igniter OR state = 'LAUNCHED' THEN NULL WHEN k BETWEEN 2 AND 5 THEN '#00ff44' ELSE '#ffdd00' END AS wire, k = 5 AS flame,
-  k >= 2 AS lpu_green, k >= 3 AS lpu_red, k >= 4 AS cu_red, k >= 6 AS cu_green FROM s, g""")
-def seven_wire_flame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(s, g) for s in SEVEN_STATES for g in (True, False)], "state string, igniter boolean")
-    state, igniter = F.col("state"), F.col("igniter")
-    return pairs.select(state, igniter, seven.wire(state, igniter).alias("wire"), seven.flame(state).alias("flame"), *seven.lights(state))
-
-
 _SEVEN_INPUTS = _SEVEN[: _SEVEN.index(",\npath(")]
 _CANCELS = "(input IN ('lp_cancel', 'cu_cancel') AND next_state IN ('TESTING', 'TEST_PASS', 'ENABLED', 'READY') OR input = 'full_reset')"
 _SEVEN_TIMED = _queue(
@@ -414,10 +409,26 @@ def seven_start_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seven.start_log(d.inputs(spark, sf_dir))
 
 
-@query(f"""SELECT kind, fill, outline FROM (VALUES {", ".join(f"('{k}', '{v[0]}', '{v[1]}')" for k, v in {**seven.LAMP_COLOR, "another": seven.LAMP_COLOR["off"]}.items())}) AS t(kind, fill, outline)""")
+# Fixed values, written out once more: colours of wire, lamps and their outlines.
+_K = "CASE next_state WHEN 'IDLE' THEN 0 WHEN 'TESTING' THEN 1 WHEN 'TEST_PASS' THEN 2 WHEN 'ENABLED' THEN 3 WHEN 'READY' THEN 4 WHEN 'LAUNCHING' THEN 5 ELSE 6 END"
+
+
+@query(f"""WITH RECURSIVE {_SEVEN_TIMED}, k AS (SELECT *, {_K} AS k2 FROM steps WHERE step > 0)
+SELECT device_id, step, next_state, igniter, CASE WHEN NOT igniter OR k2 = 6 THEN NULL WHEN k2 BETWEEN 2 AND 5 THEN '#00ff44' ELSE '#ffdd00' END AS wire,
+  k2 = 5 AS flame, k2 >= 2 AS lpu_green, k2 >= 3 AS lpu_red, k2 >= 4 AS cu_red, k2 >= 6 AS cu_green FROM k""")
+def seven_wire_flame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wire, flame and lights after each row of the timed machine."""
+    state, igniter = F.col("next_state"), F.col("igniter")
+    return seven.timed(d.inputs(spark, sf_dir)).select("device_id", "step", state, igniter, seven.wire(state, igniter).alias("wire"), seven.flame(state).alias("flame"), *seven.lights(state))
+
+
+@query(f"""WITH RECURSIVE {_SEVEN_TIMED}, k AS (SELECT *, {_K} AS k2 FROM steps WHERE step > 0),
+lit AS (SELECT device_id, step, unnest(['lpu_green', 'lpu_red', 'cu_red', 'cu_green']) AS light, unnest([k2 >= 2, k2 >= 3, k2 >= 4, k2 >= 6]) AS lit FROM k)
+SELECT device_id, step, light, CASE WHEN NOT lit THEN '#1a1a1a' WHEN light LIKE '%green' THEN '#00ff55' ELSE '#ff3333' END AS fill,
+  CASE WHEN NOT lit THEN '#444444' WHEN light LIKE '%green' THEN '#004422' ELSE '#550000' END AS outline FROM lit""")
 def seven_lamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = spark.createDataFrame([(k,) for k in [*seven.LAMP_COLOR, "another"]], "kind string")
-    return kinds.select("kind", *seven.lamp(F.col("kind")))
+    """Colours of the four lamps after each row of the timed machine."""
+    return seven.lamps(seven.timed(d.inputs(spark, sf_dir)))
 
 
 # ---- motion ----
@@ -436,10 +447,14 @@ def kin_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kin.motion(kin.launches(_five(spark, sf_dir)))
 
 
-@query(f"WITH RECURSIVE {_FRAMES} SELECT frame, frame * 40 AS t_ms, vel, y FROM frames WHERE y < -150")
+@query(f"""WITH RECURSIVE {_FIVE}, {_FRAMES},
+edges AS (SELECT *, lead(ts) OVER (PARTITION BY device_id ORDER BY step) AS end_ts FROM path WHERE (state = 'LAUNCHED') <> (next_state = 'LAUNCHED')),
+starts AS (SELECT device_id, (row_number() OVER (PARTITION BY device_id ORDER BY step))::INTEGER AS launch_id, ts, end_ts FROM edges WHERE next_state = 'LAUNCHED')
+SELECT device_id, launch_id, max(frame) AS frame, max(frame) * 40 AS t_ms, max(vel) AS vel, min(y) AS y, min(y) < -150 AS stopped
+FROM starts, frames WHERE end_ts IS NULL OR frame * 40 <= epoch_ms(end_ts) - epoch_ms(ts) GROUP BY device_id, launch_id""")
 def kin_stop_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = spark.range(1).select(F.element_at(kin.frames(), -1).alias("f"))
-    return last.select("f.frame", (F.col("f.frame") * kin.FRAME_MS).alias("t_ms"), "f.vel", "f.y")
+    """The last frame of each launch, and whether it is the one at which motion stops by itself."""
+    return kin.last_frames(kin.motion(kin.launches(_five(spark, sf_dir))))
 
 
 @query("SELECT event_id, strftime(ts, '%H:%M:%S') AS clock FROM events")

@@ -90,6 +90,8 @@ def gate(docs: DataFrame) -> DataFrame:
 
 
 def evaluate_columns(rows: DataFrame, lhs: Column, op: Column, rhs: Column) -> DataFrame:
-    """The same semantics for operands that are columns already."""
+    """The same semantics for operands that are columns already; an operator that isn't known is an error of the row."""
     typed = rows.withColumn("lhs", lhs.cast("double")).withColumn("op", op).withColumn("rhs", rhs.cast("double"))
-    return evaluate(typed.withColumn("err_kind", F.lit(None).cast("string")).withColumn("err_msg", F.lit(None).cast("string")))
+    unknown = ~F.col("op").isin(*OPERATORS)
+    message = F.concat(F.lit("'"), F.col("op"), F.lit("' is not a recognized operator"))
+    return evaluate(typed.withColumn("err_kind", F.when(unknown, "InvalidOperator")).withColumn("err_msg", F.when(unknown, message)))

@@ -7,7 +7,8 @@ at the time of a press come first.
 
 from __future__ import annotations
 
-import pandas as pd
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,16 +49,13 @@ def move(state: str, button: str) -> str:
 
 
 def final_state(events: DataFrame) -> DataFrame:
-    """events(device_id, ts, seq, button) -> device_id, n_events, state. A fold in the JVM; devices with very
-    many events go by blocks."""
-    fold = lambda p: F.aggregate(p, F.lit("IDLE"), lambda s, e: step(s, e["button"]))
-    return scan.final(events, FIVE_STATES, "IDLE", move, ["button"], fold)
+    """events(device_id, ts, seq, button) -> device_id, n_events, state. Events without a time don't count."""
+    return scan.final(events, FIVE_STATES, "IDLE", move, ["button"])
 
 
-def trajectory(events: DataFrame, block: str | None = None) -> DataFrame:
-    """One row an event: step, state before and after. Devices with very many events are worked on in
-    blocks, side by side; with `block` (a span of time) all are."""
-    out = scan.trajectory(events, FIVE_STATES, "IDLE", move, ["button"], block)
+def trajectory(events: DataFrame) -> DataFrame:
+    """One row an event that has a time: step, state before and after."""
+    out = scan.trajectory(events, FIVE_STATES, "IDLE", move, ["button"])
     return out.withColumnsRenamed({"_before": "state", "_after": "next_state"})
 
 
@@ -132,7 +130,7 @@ class Timed:
         before = self.state
         if move(before, button) != before:
             if button in DELAYS_FIVE_MS:
-                self.pending.append((ts + pd.Timedelta(milliseconds=DELAYS_FIVE_MS[button]), button))
+                self.pending.append((ts + dt.timedelta(milliseconds=DELAYS_FIVE_MS[button]), button))
                 self.pending.sort(key=lambda p: p[0])
             else:
                 self.state = move(before, button)

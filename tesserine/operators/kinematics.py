@@ -41,3 +41,9 @@ def motion(started: DataFrame) -> DataFrame:
     until = F.timestamp_diff("MILLISECOND", F.col("launch_ts"), F.col("end_ts"))
     kept = each.filter(F.col("end_ts").isNull() | (ms <= until))
     return kept.select("device_id", "launch_id", "f.frame", ms.alias("t_ms"), "f.vel", "f.y", (F.col("f.y") >= STOP_Y).alias("flame_on"), F.lit(True).alias("launched"))
+
+
+def last_frames(moved: DataFrame) -> DataFrame:
+    """motion() -> device_id, launch_id, frame, t_ms, vel, y, stopped: where each launch ends."""
+    last = moved.groupBy("device_id", "launch_id").agg(F.max(F.struct("frame", "t_ms", "vel", "y")).alias("f"))
+    return last.select("device_id", "launch_id", "f.*", (F.col("f.y") < STOP_Y).alias("stopped"))

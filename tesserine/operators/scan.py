@@ -1,9 +1,12 @@
-"""Folds of a finite machine over long keys, in blocks of time.
+"""Folds of a finite machine over long keys: a segmented scan.
 
-What a block of events does to a machine with few states is a map from the state before to the state
-after, and such maps compose. So the blocks of one device are worked on side by side: first each
-block's map, then the state that each block begins with (a fold over the maps, one entry a block),
-then the rows of each block from there. Devices with few events are one block, and need no map.
+Events are dealt by ranges of (device, time, seq), so that a range has about as many as any other, whatever the
+devices and times. In a sorted range only its first device can have begun in an earlier one. All others
+are folded from the start; for the first one a task keeps, for each state the device may be in, the state that
+follows. Such maps compose: from those of a device's segments follows the state in which each begins.
+
+An event without a time has no place in any order: all folds and streams leave it out (`untimed` gives them).
+At equal times the smaller seq comes first, null before all.
 """
 
 from __future__ import annotations
@@ -11,62 +14,155 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Events of a device, about, that are worked on as one block, and as a step of time between whose ends
-#: a timed device may be cut.
-BLOCK_EVENTS = 20_000
+from tesserine.storage import written
+
+#: Events of a device, about, that are worked on as a step of time between whose ends a timed device may be cut.
 TIMED_EVENTS = 2_500
 
 
-def _blocks(events: DataFrame, block: str | None, least: int) -> tuple[DataFrame, DataFrame]:
-    """events + _block, and those of them that need a map. With `block` (a span of time) every device is cut
-    by it; without, those with more than `least` events, evenly in time (whole seconds)."""
-    if block:
-        cut = events.withColumn("_block", F.window("ts", block)["start"])
-        return cut, cut
+def untimed(events: DataFrame) -> DataFrame:
+    """The events that no fold and no stream takes."""
+    return events.filter("ts IS NULL")
+
+
+def _ranges(events: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Events that have a time, in order, dealt by ranges."""
+    order = ["device_id", "ts", "seq", *cols]
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.select(*order).filter("ts IS NOT NULL").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+class _Table:
+    """The machine as a table that grows by the kinds of events that come: for each, the state after each state."""
+
+    def __init__(self, states: Sequence[str], step: Callable[..., str]) -> None:
+        self.states, self.step, self.at, self.kinds, self.moves = states, step, {s: i for i, s in enumerate(states)}, {}, []
+
+    def code(self, event: tuple) -> int:
+        found = self.kinds.get(event)
+        if found is None:
+            found = self.kinds[event] = len(self.moves)
+            self.moves.append([self.at[self.step(s, *event)] for s in self.states])
+        return found
+
+
+def _fold_ranges(laid: DataFrame, states: Sequence[str], start: str, step: Callable[..., str], cols: Sequence[str], rows: bool) -> DataFrame:
+    """Sorted ranges -> device_id, p (range), n, before, after, befores, afters: for each event (or, without `rows`, for the
+    last one of each device in a range): n events of the device in the range up to it. before and after are states of
+    devices that begin in the range, befores and afters, of the range's first device, by the state it comes in with."""
+    types = {f.name: f.dataType.simpleString() for f in laid.schema.fields}
+    keep = ["device_id", "ts", "seq", *cols] if rows else ["device_id"]
+    tiny = "array<tinyint>"
+    schema = ", ".join(f"{c} {types[c]}" for c in keep) + f", p int, n long, before tinyint, after tinyint, befores {tiny}, afters {tiny}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, p = _Table(states, step), TaskContext.get().partitionId()
+        at0, every = table.at[start], np.arange(len(states), dtype=np.int8)
+        device, first, seen, now, n = None, True, False, at0, 0
+        reach, moves = every, {}
+        last: tuple | None = None  # of a device, when only last ones count
+
+        def batch_of(kept: list[pa.Array], found: list[tuple]) -> pa.RecordBatch:
+            c = list(zip(*found, strict=True)) if found else [()] * 5
+            lists = [pa.array(x, pa.list_(pa.int8())) for x in c[3:]]
+            arrays = [*kept, pa.array([p] * len(found), pa.int32()), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int8()), pa.array(c[2], pa.int8()), *lists]
+            return pa.RecordBatch.from_arrays(arrays, names=[*keep, "p", "n", "before", "after", "befores", "afters"])
+
+        kind = None
+        for batch in batches:
+            kind = kind or batch.schema.field("device_id").type
+            ids = batch.column(0).to_pylist()
+            events = zip(*(batch.column(i).to_pylist() for i in range(3, 3 + len(cols))), strict=True)
+            out, done = [], []
+            for d, e in zip(ids, events, strict=True):
+                if not seen or d != device:
+                    if seen:
+                        first = False
+                        if last is not None:
+                            done.append((device, last))
+                    device, seen, now, n = d, True, at0, 0
+                n += 1
+                c = table.code(e)
+                if first:
+                    if c not in moves:
+                        moves[c] = np.array(table.moves[c], np.int8)
+                    was, reach = reach, moves[c][reach]
+                    last = (n, None, None, was, reach)
+                else:
+                    was, now = now, table.moves[c][now]
+                    last = (n, was, now, None, None)
+                if rows:
+                    out.append(last)
+            if rows:
+                yield batch_of([batch.column(i) for i in range(len(keep))], out)
+            elif done:
+                yield batch_of([pa.array([x for x, _ in done], kind)], [x for _, x in done])
+        if seen and not rows:
+            yield batch_of([pa.array([device], kind)], [last])
+
+    return laid.mapInArrow(run, schema)
+
+
+def _segments(ends: DataFrame) -> Column:
+    """A device's segments in order, aggregated: n and what each does to the state. A device has one in each range
+    that it reaches into."""
+    return F.array_sort(F.collect_list(F.struct("p", "n", "after", "afters")))
+
+
+def _through(state: Column, segment: Column) -> Column:
+    return F.coalesce(segment["after"], F.get(segment["afters"], state.cast("int"))).cast("tinyint")
+
+
+def trajectory(events: DataFrame, states: Sequence[str], start: str, step: Callable[..., str], cols: Sequence[str]) -> DataFrame:
+    """device_id, ts, seq, step, cols, _before, _after: one row an event that has a time. Tasks hold a batch of a range;
+    what is gathered by device is a row for each range it reaches into."""
+    laid = written(_fold_ranges(_ranges(events, cols), states, start, step, cols, rows=True), "trajectory")
+    ends = laid.groupBy("device_id", "p").agg(F.max("n").alias("n"), F.max_by("after", "n").alias("after"), F.max_by("afters", "n").alias("afters"))
+    first = F.struct(F.lit(states.index(start)).cast("tinyint").alias("s"), F.lit(0).cast("long").alias("k"), F.array().cast("array<struct<p:int,entry:tinyint,earlier:bigint>>").alias("out"))
+
+    def enter(acc: Column, x: Column) -> Column:
+        begun = F.struct(x["p"].alias("p"), acc["s"].alias("entry"), acc["k"].alias("earlier"))
+        return F.struct(_through(acc["s"], x).alias("s"), (acc["k"] + x["n"]).alias("k"), F.concat(acc["out"], F.array(begun)).alias("out"))
+
+    many = ends.groupBy(F.col("device_id").alias("_device")).agg(_segments(ends).alias("x")).filter(F.size("x") > 1)
+    entries = many.select("_device", F.explode(F.aggregate("x", first, enter, lambda acc: acc["out"])).alias("e")).select("_device", F.col("e.p").alias("_p"), "e.entry", "e.earlier")
+    joined = laid.join(entries, F.col("device_id").eqNullSafe(F.col("_device")) & (F.col("p") == F.col("_p")), "left")
+    entry = F.coalesce("entry", F.lit(states.index(start))).cast("int")
+    name = lambda one, many: F.get(F.array(*map(F.lit, states)), F.coalesce(F.col(one), F.get(F.col(many), entry)).cast("int"))
+    place = (F.col("n") + F.coalesce("earlier", F.lit(0))).cast("int")
+    return joined.select("device_id", "ts", "seq", place.alias("step"), *cols, name("before", "befores").alias("_before"), name("after", "afters").alias("_after"))
+
+
+def final(events: DataFrame, states: Sequence[str], start: str, step: Callable[..., str], cols: Sequence[str]) -> DataFrame:
+    """device_id, n_events, state: from the segments alone, no row of an event is made."""
+    ends = _fold_ranges(_ranges(events, cols), states, start, step, cols, rows=False)
+    found = ends.groupBy("device_id").agg(F.sum("n").alias("n_events"), _segments(ends).alias("x"))
+    state = F.aggregate("x", F.lit(states.index(start)).cast("tinyint"), _through)
+    return found.select("device_id", "n_events", F.get(F.array(*map(F.lit, states)), state.cast("int")).alias("state"))
+
+
+def _steps(events: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """events + _block, and those of devices with more than `least` events, which are cut evenly in time (whole seconds)."""
     second = F.expr("CAST(CAST(ts - TIMESTAMP_NTZ '1970-01-01 00:00:00' AS INTERVAL SECOND) AS BIGINT)")
     if events.schema["ts"].dataType.simpleString() == "timestamp":
         second = F.unix_seconds("ts")
     timed_ = events.withColumn("_second", second)
     many = timed_.groupBy(F.col("device_id").alias("_device")).agg(F.count(F.lit(1)).alias("_n"), F.min("_second").alias("_lo"), F.max("_second").alias("_hi")).filter(F.col("_n") > least)
     span = F.greatest((F.col("_hi") - F.col("_lo") + 1) * float(least) / F.col("_n"), F.lit(1.0))
-    joined = timed_.join(F.broadcast(many), F.col("device_id").eqNullSafe(F.col("_device")), "left")
+    joined = timed_.join(many, F.col("device_id").eqNullSafe(F.col("_device")), "left")
     cut = joined.withColumn("_block", F.coalesce(F.floor((F.col("_second") - F.col("_lo")) / span), F.lit(0)).cast("long"))
     slim = lambda d: d.select(*events.columns, "_block")
     return slim(cut), slim(cut.filter(F.col("_n").isNotNull()))
 
 
-def _coded(rows: pd.DataFrame, states: Sequence[str], step: Callable[..., str], cols: Sequence[str]) -> tuple[list[list[int]], list[int]]:
-    """The machine as a table (by kind of event, the state that follows each state), and each row's kind."""
-    at = {s: i for i, s in enumerate(states)}
-    kind, codes = {}, []
-    for e in rows[list(cols)].itertuples(index=False, name=None):
-        codes.append(kind.setdefault(e, len(kind)))
-    return [[at[step(s, *e)] for s in states] for e in kind], codes
-
-
-def block_maps(cut: DataFrame, states: Sequence[str], step: Callable[[str, pd.Series], str], cols: Sequence[str]) -> DataFrame:
-    """events + _block -> device_id, _block, n, after: a number of rows and the state that follows for each
-    of `states`."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        moves, codes = _coded(rows.sort_values(["ts", "seq"], kind="stable"), states, step, cols)
-        ends = range(len(states))
-        for c in codes:
-            to = moves[c]
-            ends = [to[i] for i in ends]
-        now = [states[i] for i in ends]
-        return pd.DataFrame({"device_id": [first["device_id"]], "_block": [first["_block"]], "n": [[len(rows)] * len(now)], "after": [now]})
-
-    kind = cut.schema["_block"].dataType.simpleString()
-    return cut.select("device_id", "ts", "seq", "_block", *cols).groupBy("device_id", "_block").applyInPandas(run, f"device_id long, _block {kind}, n array<long>, after array<string>")
-
-
 def entries(maps: DataFrame, states: Sequence[str], start: str) -> DataFrame:
     """device_id, _block, entry (state before its first event), before (rows of earlier blocks), n (its
     rows), exit (state after its last event)."""
@@ -86,42 +182,11 @@ def entries(maps: DataFrame, states: Sequence[str], start: str) -> DataFrame:
 
 def _enter(cut: DataFrame, starts: DataFrame, start: str) -> DataFrame:
     """Adds entry and before to the events of each block."""
-    found = F.broadcast(starts.select(F.col("device_id").alias("_device"), F.col("_block").alias("_at"), "entry", "before"))
+    found = starts.select(F.col("device_id").alias("_device"), F.col("_block").alias("_at"), "entry", "before")
     joined = cut.join(found, F.col("device_id").eqNullSafe(F.col("_device")) & (F.col("_block") == F.col("_at")), "left")
     return joined.withColumn("entry", F.coalesce("entry", F.lit(start))).withColumn("before", F.coalesce("before", F.lit(0))).drop("_device", "_at")
 
 
-def trajectory(events: DataFrame, states: Sequence[str], start: str, step: Callable[[str, pd.Series], str], cols: Sequence[str], block: str | None = None) -> DataFrame:
-    """device_id, ts, seq, step, cols, _before, _after: one row an event. No group holds more than a block
-    of a device: a span of time with `block`, else about BLOCK_EVENTS events."""
-    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = f"device_id long, ts {types['ts']}, seq long, step int, " + ", ".join(f"{c} {types[c]}" for c in cols) + ", _before string, _after string"
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-        moves, codes = _coded(part, states, step, cols)
-        now, first, path = states.index(part["entry"].iloc[0]), int(part["before"].iloc[0]) + 1, []
-        for c in codes:
-            path.append(now)
-            now = moves[c][now]
-        before, after = ([states[i] for i in x] for x in (path, [*path[1:], now]))
-        return part.assign(step=range(first, first + len(part)), _before=before, _after=after)[["device_id", "ts", "seq", "step", *cols, "_before", "_after"]]
-
-    cut, long = _blocks(events.select("device_id", "ts", "seq", *cols), block, BLOCK_EVENTS)
-    starts = entries(block_maps(long, states, step, cols), states, start)
-    return _enter(cut, starts, start).groupBy("device_id", "_block").applyInPandas(run, schema)
-
-
-def final(events: DataFrame, states: Sequence[str], start: str, step: Callable[[str, pd.Series], str], cols: Sequence[str], fold: Callable[[Column], Column]) -> DataFrame:
-    """device_id, n_events, state. Devices with few events are folded by `fold` (an expression over their
-    sorted events), the others by blocks."""
-    cut, long = _blocks(events.select("device_id", "ts", "seq", *cols), None, BLOCK_EVENTS)
-    whole = entries(block_maps(long, states, step, cols), states, start).groupBy("device_id").agg(F.sum("n").alias("n_events"), F.max_by("exit", "_block").alias("state"))
-    short = cut.join(F.broadcast(whole.select(F.col("device_id").alias("_device"))), F.col("device_id").eqNullSafe(F.col("_device")), "left_anti")
-    lists = short.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", *cols))).alias("p"))
-    return lists.select("device_id", F.size("p").cast("long").alias("n_events"), fold(F.col("p")).alias("state")).unionByName(whole)
-
-
 def timed(events: DataFrame, states: Sequence[str], start: str, machine: Callable[[str], Any], cols: Sequence[str], delay_ms: int, schema: str) -> DataFrame:
     """Rows of a machine with delays; `schema` begins with device_id, step. A machine has press(ts, *cols) and
     rest(), which give rows, and `state`.
@@ -130,12 +195,12 @@ def timed(events: DataFrame, states: Sequence[str], start: str, machine: Callabl
     blocks are maps between states. A longer run without such a gap is read in batches in order, and state
     and what is pending are carried from one to the next; no task holds more than a batch of it.
     """
-    cut, long = _blocks(events.select("device_id", "ts", "seq", *cols), None, TIMED_EVENTS)
+    cut, long = _steps(events.select("device_id", "ts", "seq", *cols).filter("ts IS NOT NULL"), TIMED_EVENTS)
     bounds = long.groupBy("device_id", "_block").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     order = Window.partitionBy("device_id").orderBy("_block")
     quiet = F.col("lo") >= F.lag("hi").over(order) + F.expr(f"INTERVAL '{delay_ms / 1000:.3f}' SECOND")
     runs = bounds.withColumn("quiet", F.coalesce(quiet, F.lit(False)).cast("long")).withColumn("_run", F.sum("quiet").over(order))
-    runs = F.broadcast(runs.select(F.col("device_id").alias("_device"), F.col("_block").alias("_at"), "_run"))
+    runs = runs.select(F.col("device_id").alias("_device"), F.col("_block").alias("_at"), "_run")
     same = F.col("device_id").eqNullSafe(F.col("_device")) & (F.col("_block") == F.col("_at"))
     merged = lambda d, how: d.join(runs, same, how).withColumn("_block", F.coalesce("_run", F.lit(0)).cast("long")).drop("_device", "_at", "_run")
     ordered = lambda d: d.repartition("device_id", "_block").sortWithinPartitions("device_id", "_block", "ts", "seq")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ DEFAULT_BANNER = ("#111111", "#ffffff")
 LEVEL_COLOR = {"INFO": "#00cc55", "WARN": "#ffaa00", "ERROR": "#ff4455", "EVENT": "#44aaff", "STATE": "#cc88ff"}
 LAMP_COLOR = {"off": ("#1a1a1a", "#444444"), "green": ("#00ff55", "#004422"), "red": ("#ff3333", "#550000")}
 
+# Lights, and the place of the first state (of five) from which each is on.
+LIGHTS = {"lpu_green": 0, "lpu_red": 1, "cu_red": 2, "cu_green": 4}
 CANCELLABLE = ("TESTING", "TEST_PASS", "ENABLED", "READY")
 # Log rows. (input, condition on the row before, [(level, text)]); the first that holds counts.
 # Conditions are SQL over state, igniter, circuit, arg.
@@ -121,14 +124,16 @@ def step(code: str, name: str, arg: bool | None) -> str:
     return _code(resolve(press(_DECODED[code], name, arg), name))
 
 
-def trajectory(events: DataFrame, block: str | None = None) -> DataFrame:
-    """events(device_id, ts, seq, input, arg) -> one row an event with the state before and after; results
-    follow their press at once (sync mode). With `block` a device's blocks are worked on side by side."""
-    out = scan.trajectory(events, CONFIGURATIONS, _code(("IDLE", False, True)), step, ["input", "arg"], block)
-    for prefix, code in (("", "_before"), ("next_", "_after")):
-        part = F.split(code, "/")
-        out = out.withColumn(f"{prefix}state", part[0]).withColumn(f"{prefix}igniter", part[1] == "1").withColumn(f"{prefix}circuit", part[2] == "1")
-    return out.drop("_before", "_after")
+def _decoded(out: DataFrame, code: str, prefix: str = "") -> DataFrame:
+    part = F.split(code, "/")
+    return out.withColumn(f"{prefix}state", part[0]).withColumn(f"{prefix}igniter", part[1] == "1").withColumn(f"{prefix}circuit", part[2] == "1")
+
+
+def trajectory(events: DataFrame) -> DataFrame:
+    """events(device_id, ts, seq, input, arg) -> one row an event that has a time, with the state before and after;
+    results follow their press at once (sync mode)."""
+    out = scan.trajectory(events, CONFIGURATIONS, _code(("IDLE", False, True)), step, ["input", "arg"])
+    return _decoded(_decoded(out, "_before"), "_after", "next_").drop("_before", "_after")
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -192,15 +197,16 @@ class Timed:
         out = self.due(ts)
         before, self.now = self.now, press(self.now, name, arg)
         if self.now[0] != before[0] and name in DELAYS_SEVEN_MS:
-            self.pending.append((ts + pd.Timedelta(milliseconds=DELAYS_SEVEN_MS[name]), name))
+            self.pending.append((ts + dt.timedelta(milliseconds=DELAYS_SEVEN_MS[name]), name))
             self.pending.sort(key=lambda p: p[0])
         out.append((ts, "press", name, before[0], *self.now, arg, *before[1:]))
         return out
 
 
-def final_state(path: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("next_state", "next_igniter", "next_circuit"), "step")
-    return path.groupBy("device_id").agg(F.count(F.lit(1)).alias("n_events"), last.alias("l")).select("device_id", "n_events", F.col("l.next_state").alias("state"), F.col("l.next_igniter").alias("igniter"), F.col("l.next_circuit").alias("circuit"))
+def final_state(events: DataFrame) -> DataFrame:
+    """events -> device_id, n_events, state, igniter, circuit (sync mode): no row of an event is made."""
+    out = scan.final(events, CONFIGURATIONS, _code(("IDLE", False, True)), step, ["input", "arg"])
+    return _decoded(out.withColumnRenamed("state", "_code"), "_code").drop("_code")
 
 
 def event_log(path: DataFrame) -> DataFrame:
@@ -242,14 +248,20 @@ def buttons(state: Column, igniter: Column) -> list[Column]:
 
 def lights(state: Column) -> list[Column]:
     order = ("TEST_PASS", "ENABLED", "READY", "LAUNCHING", "LAUNCHED")
-    since = {"lpu_green": 0, "lpu_red": 1, "cu_red": 2, "cu_green": 4}
-    return [state.isin(*order[i:]).alias(n) for n, i in since.items()]
+    return [state.isin(*order[i:]).alias(n) for n, i in LIGHTS.items()]
 
 
 def lamp(kind: Column) -> list[Column]:
     return [looked_up({k: v[i] for k, v in LAMP_COLOR.items()}, kind, LAMP_COLOR["off"][i]).alias(n) for i, n in enumerate(("fill", "outline"))]
 
 
+def lamps(path: DataFrame) -> DataFrame:
+    """Rows with device_id, step, next_state -> a row for each of the four lights: device_id, step, light, fill, outline."""
+    lights_on = [F.struct(F.lit(n).alias("light"), F.when(c, n.split("_")[1]).otherwise("off").alias("kind")) for n, c in zip(LIGHTS, lights(F.col("next_state")), strict=True)]
+    each = path.select("device_id", "step", F.explode(F.array(*lights_on)).alias("l"))
+    return each.select("device_id", "step", "l.light", *lamp(F.col("l.kind")))
+
+
 def wire(state: Column, igniter: Column) -> Column:
     """Colour of the igniter's wire; null where none is drawn."""
     live = state.isin("TEST_PASS", "ENABLED", "READY", "LAUNCHING")

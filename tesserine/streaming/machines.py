@@ -1,59 +1,124 @@
-"""The two machines over a stream: state and pending results by device.
+"""The two machines over a stream, in the order of event time.
 
-Rows of a micro-batch are sorted by (ts, seq) for each device; results that are due come before each
-press, as in the batch fold, and an event-time timer flushes those of an idle device once the watermark
-has passed them. Rows later than the watermark are dropped by Spark.
+Events wait in state until the watermark has passed them, whatever batch they came in, and are then taken by
+(ts, seq) with the results that come due before or at each, as in the batch fold; so the rows are those of the
+batch fold for every order of arrival within the watermark's delay. A timer wakes a device at the earliest time at which
+it has something to do, so idle devices finish too. Events later than the watermark are dropped by Spark, and
+those without a time take no part, as in the folds.
 """
 
 from __future__ import annotations
 
-import json
+import datetime as dt
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tesserine.operators import five_state, seven_state
 
 FIVE_ROWS = "at timestamp, kind string, name string, state string, next_state string"
 SEVEN_ROWS = f"{FIVE_ROWS}, igniter boolean, circuit boolean, arg boolean, was_igniter boolean, was_circuit boolean"
+#: Operators with timers and maps keep their state in this provider.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_START = dt.datetime(1970, 1, 1)
 
 
-def _advance(machine_of: Callable, cols: tuple[str, ...], names: list[str]) -> Callable:
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        machine = machine_of()
-        if held.exists:
-            state, pending = held.get
-            machine = machine_of(state, [(pd.Timestamp(at), name) for at, name in json.loads(pending)])
-        if held.hasTimedOut:
-            out = machine.due(pd.Timestamp(held.getCurrentWatermarkMs(), unit="ms"))
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
-            out = [r for e in rows[["ts", *cols]].itertuples(index=False, name=None) for r in machine.press(*e)]
-        held.update((machine.state, json.dumps([(at.isoformat(), name) for at, name in machine.pending])))
-        if machine.pending:
-            first = int(machine.pending[0][0].timestamp() * 1000)
-            held.setTimeoutTimestamp(max(first, held.getCurrentWatermarkMs() + 1))
-        if out:
-            made = pd.DataFrame(out, columns=names)
-            yield made.assign(device_id=key[0])[["device_id", *names]]
-
-    return run
-
-
-def _stream(events: DataFrame, machine_of: Callable, cols: tuple[str, ...], rows: str, late: str) -> DataFrame:
+def _time(micros: int) -> dt.datetime:
+    return _START + dt.timedelta(microseconds=micros)
+
+
+def _micros(at: dt.datetime) -> int:
+    return (at - _START) // dt.timedelta(microseconds=1)
+
+
+class Device(StatefulProcessor):
+    """One device: its state, the events that wait, and the pending results in a map, by time and place among equals."""
+
+    def __init__(self, machine: Callable, columns: tuple[str, ...], types: str, rows: list[str]) -> None:
+        self.machine, self.columns, self.types, self.rows = machine, columns, types, rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string")
+        self.alarm = handle.getValueState("alarm", "at long")
+        self.waiting = handle.getListState("waiting", f"ts long, seq long, {self.types}")
+        self.pending = handle.getMapState("pending", "at long, place int", "name string")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.state.update((initialState["state"],))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = [(r["ts"], r["seq"], *(r[c] for c in self.columns)) for r in rows]
+        if came:
+            self.waiting.appendList(came)
+            self._wake(min(r[0] for r in came), timerValues)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Everything up to the watermark, in order."""
+        self.alarm.clear()
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        now = [r for r in held if r[0] <= until]
+        later = [r for r in held if r[0] > until]
+        entries = sorted((tuple(k), v[0]) for k, v in self.pending.iterator())
+        machine = self.machine(*([self.state.get()[0]] if self.state.exists() else []), pending=[(_time(at), name) for (at, _), name in entries])
+        out = []
+        # null seq before all; equal events by their columns
+        order = lambda r: (r[0], r[1] is not None, r[1] or 0, *((x is not None, x) for x in r[2:]))
+        for r in sorted(now, key=order):
+            out += machine.press(_time(r[0]), *r[2:])
+        out += machine.due(_time(until))
+        self.state.update((machine.state,))
+        for k, _ in entries:
+            self.pending.removeKey(k)
+        for i, (at, name) in enumerate(machine.pending):
+            self.pending.updateValue((_micros(at), i), (name,))
+        if now:
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+        nexts = [r[0] for r in later] + [_micros(at) for at, _ in machine.pending]
+        if nexts:
+            self._wake(min(nexts), timerValues)
+        return iter([Row(**dict(zip(["device_id", *self.rows], (key[0], _micros(r[0]), *r[1:]), strict=True))) for r in out])
+
+    def _wake(self, micros: int, timerValues) -> None:
+        """A timer at the first millisecond by which the time is passed, unless an earlier one is set."""
+        at = max(-(-micros // 1000), timerValues.getCurrentWatermarkInMs() + 1)
+        if self.alarm.exists():
+            was = self.alarm.get()[0]
+            if was <= at:
+                return
+            self.handle.deleteTimer(was)
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+
+    def close(self) -> None:
+        pass
+
+
+def _stream(events: DataFrame, machine: Callable, columns: tuple[str, ...], types: str, rows: str, late: str, initial: DataFrame | None) -> DataFrame:
+    events.sparkSession.conf.set(*PROVIDER)
     names = [x.strip().split(" ")[0] for x in rows.split(",")]
-    timed = events.select("device_id", F.col("ts").cast("timestamp").alias("ts"), "seq", *cols).withWatermark("ts", late)
-    return timed.groupBy("device_id").applyInPandasWithState(_advance(machine_of, cols, names), f"device_id long, {rows}", "state string, pending string", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = events.filter("ts IS NOT NULL").select("device_id", F.col("ts").cast("timestamp").alias("event_time"), "seq", *columns).withWatermark("event_time", late)
+    slim = timed.withColumn("ts", F.unix_micros("event_time"))
+    grouped = None if initial is None else initial.select("device_id", "state").groupBy("device_id")
+    schema = f"device_id long, {rows.replace('at timestamp', 'at long', 1)}"
+    out = slim.groupBy("device_id").transformWithState(Device(machine, columns, types, names), schema, "append", "EventTime", initialState=grouped)
+    return out.withColumn("at", F.timestamp_micros("at"))
 
 
-def five_state_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Streaming events(device_id, ts timestamp, seq, button) -> rows of the timed machine, appended."""
-    return _stream(events, five_state.Timed, ("button",), FIVE_ROWS, late)
+def five_state_stream(events: DataFrame, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
+    """Streaming events(device_id, ts timestamp, seq, button) -> rows of the timed machine, appended. With `initial`
+    (device_id, state: those of `five_state.final_state`, say) devices begin in the states of an earlier batch."""
+    return _stream(events, five_state.Timed, ("button",), "button string", FIVE_ROWS, late, initial)
 
 
-def seven_state_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Streaming events(device_id, ts timestamp, seq, input, arg) -> rows of the timed machine, appended."""
-    return _stream(events, seven_state.Timed, ("input", "arg"), SEVEN_ROWS, late).drop("arg", "was_igniter", "was_circuit")
+def seven_state_stream(events: DataFrame, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
+    """Streaming events(device_id, ts timestamp, seq, input, arg) -> rows of the timed machine, appended. `initial`
+    has device_id, state, igniter, circuit."""
+    coded = None if initial is None else initial.select("device_id", F.concat_ws("/", "state", F.col("igniter").cast("int"), F.col("circuit").cast("int")).alias("state"))
+    return _stream(events, seven_state.Timed, ("input", "arg"), "input string, arg boolean", SEVEN_ROWS, late, coded).drop("arg", "was_igniter", "was_circuit")

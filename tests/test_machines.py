@@ -157,18 +157,6 @@ def test_timed_log_repeats_presses_and_drops_stale_results(spark):
     assert [r["line"][10:] for r in start] == ["  " + seven.START_LOG[1]]
 
 
-def test_blocks_of_time_give_the_same_rows(spark):
-    rows = [(i * 700_000, FIVE_BUTTONS[(i * 7 + i // 5) % 6]) for i in range(200)]
-    df = events(spark, rows)
-    key = lambda path: sorted(map(tuple, path.select("step", "seq", "state", "next_state").collect()))
-    assert key(five.trajectory(df, block="1 hour")) == key(five.trajectory(df))
-    names = ("igniter", "test", "enable", "ready", "launch", "lp_cancel", "circuit", "full_reset")
-    rows = [(i * 700_000, names[(i * 5 + i // 7) % 8], i % 3 > 0 if (i * 5 + i // 7) % 8 == 6 else None) for i in range(200)]
-    df = events(spark, rows, SEVEN)
-    key = lambda path: sorted(map(tuple, path.select("step", "seq", "state", "igniter", "circuit", "next_state", "next_igniter", "next_circuit").collect()))
-    assert key(seven.trajectory(df, block="1 hour")) == key(seven.trajectory(df))
-
-
 def many_presses(spark, names, arg=False):
     """Runs without a gap, gaps, and gaps of just the longest delays, on one device of many events and two of few."""
     rng, ms, rows = np.random.default_rng(3), 0, []
@@ -201,13 +189,49 @@ def test_timed_devices_are_cut_at_gaps(spark, monkeypatch, least):
     assert key(seven._timed(df)) == one_fold(df, lambda: seven.Timed("IDLE/0/1"), ["input", "arg"])
 
 
-def test_long_devices_are_folded_in_blocks(spark, monkeypatch):
-    df = many_presses(spark, FIVE_BUTTONS[:4] * 3 + FIVE_BUTTONS)
-    wanted = [sorted(map(tuple, f(df).collect())) for f in (five.trajectory, five.final_state)]
-    monkeypatch.setattr(scan, "BLOCK_EVENTS", 20)
-    cut, _ = scan._blocks(df, None, 20)
-    sizes = [r["count"] for r in cut.groupBy("device_id", "_block").count().collect()]
-    assert len(sizes) > 20 and max(sizes) < 100
-    assert [sorted(map(tuple, f(df).collect())) for f in (five.trajectory, five.final_state)] == wanted
-    last = five.trajectory(df).groupBy("device_id").agg(F.count("step"), F.max_by("next_state", "step"))
-    assert sorted(map(tuple, last.collect())) == wanted[1]
+def steps_of(df, machine, cols, start):
+    """(device, seq, step, state before, state after) by one loop in order."""
+    out, now, n = [], {}, {}
+    for r in sorted(df.filter("ts IS NOT NULL").collect(), key=lambda r: (str(r["device_id"]), r["ts"], r["seq"])):
+        d = r["device_id"]
+        before = now.get(d, start)
+        now[d], n[d] = machine(before, *(r[c] for c in cols)), n.get(d, 0) + 1
+        out.append((d, r["seq"], n[d], before, now[d]))
+    return sorted(out, key=str), sorted(((d, n[d], now[d]) for d in now), key=str)
+
+
+@pytest.mark.parametrize("parts", ["1", "5", "16"])
+def test_ranges_give_the_rows_of_one_fold(spark, parts):
+    """A third of all events on one device, bursts at one time, a device that fills several ranges, null devices."""
+    rng, rows = np.random.default_rng(int(parts)), []
+    for i in range(1500):
+        device = None if i % 50 == 0 else 3 if i % 3 == 0 else int(rng.integers(0, 30))
+        rows.append((device, T0 + dt.timedelta(seconds=0 if i % 2 else i), i, FIVE_BUTTONS[(i * 7 + i // 5) % 6]))
+    rows += [(3, None, 5000 + i, "test") for i in range(40)]
+    df = spark.createDataFrame(rows, "device_id long, ts timestamp_ntz, seq long, button string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        sizes = [r["count"] for r in scan._ranges(df, ["button"]).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(sizes) == int(parts) and max(sizes) < 3 * 1500 / int(parts)
+        path, ends = steps_of(df, five.move, ["button"], "IDLE")
+        assert sorted((tuple(r) for r in five.trajectory(df).select("device_id", "seq", "step", "state", "next_state").collect()), key=str) == path
+        assert sorted((tuple(r) for r in five.final_state(df).collect()), key=str) == ends
+        names = ("igniter", "test", "enable", "ready", "launch", "lp_cancel", "circuit", "full_reset")
+        df = df.select("device_id", "ts", "seq", F.get(F.array(*map(F.lit, names)), F.pmod(F.xxhash64("seq"), F.lit(8)).cast("int")).alias("input"), (F.col("seq") % 3 > 0).alias("arg"))
+        path, ends = steps_of(df, seven.step, ["input", "arg"], "IDLE/0/1")
+        code = lambda x: F.concat_ws("/", f"{x}state", F.col(f"{x}igniter").cast("int"), F.col(f"{x}circuit").cast("int"))
+        assert sorted((tuple(r) for r in seven.trajectory(df).select("device_id", "seq", "step", code(""), code("next_")).collect()), key=str) == path
+        assert sorted((tuple(r) for r in seven.final_state(df).select("device_id", "n_events", code("")).collect()), key=str) == ends
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+@pytest.mark.parametrize("least", [1, 10_000])
+def test_events_without_a_time_take_no_part(spark, monkeypatch, least):
+    monkeypatch.setattr(scan, "TIMED_EVENTS", least)
+    rows = [(0, "test"), (5000, "enable"), (9000, "ready")]
+    df = events(spark, rows).union(spark.createDataFrame([(1, None, 9, "test"), (1, None, None, "lpu_cancel")], "device_id long, ts timestamp_ntz, seq long, button string"))
+    assert five.timed(df).orderBy("step").collect() == five.timed(events(spark, rows)).orderBy("step").collect()
+    assert [r["state"] for r in five.final_state(df).collect()] == ["READY"]
+    assert five.trajectory(df).count() == 3 and scan.untimed(df).count() == 2
