@@ -98,12 +98,13 @@ def timed(events: DataFrame) -> DataFrame:
 
 
 def timed_log(path: DataFrame) -> DataFrame:
-    """Rows of timed() -> device_id, step, at, log_seq, msg, line. A press that acts logs its own text each time,
+    """Rows of timed(), or of its stream (which have no step) -> device_id, step, at, log_seq, msg, line. A press that acts logs its own text each time,
     pending acknowledgements or not; an acknowledgement that still counts logs what follows."""
     texts = lambda part: F.create_map(*[x for b, m in MESSAGES.items() for x in (F.lit(b), F.array(*map(F.lit, part(b, m))).cast("array<string>"))])[F.col("name")]
     pressed = F.when(acts("name"), texts(lambda b, m: m[:1] if b in DELAYS_FIVE_MS else m))
     acked = F.when(F.col("state") != F.col("next_state"), texts(lambda b, m: m[1:] if b in DELAYS_FIVE_MS else ()))
-    rows = path.select("device_id", "step", "at", F.posexplode(F.when(F.col("kind") == "press", pressed).otherwise(acked)).alias("log_seq", "msg"))
+    keys = [c for c in ("device_id", "step", "at") if c in path.columns]
+    rows = path.select(*keys, F.posexplode(F.when(F.col("kind") == "press", pressed).otherwise(acked)).alias("log_seq", "msg"))
     return rows.withColumn("line", F.concat(F.lit("["), F.date_format("at", "HH:mm:ss"), F.lit("] "), "msg"))
 
 

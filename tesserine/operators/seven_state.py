@@ -149,12 +149,18 @@ def _timed(events: DataFrame) -> DataFrame:
 def timed_log(events: DataFrame) -> DataFrame:
     """events -> device_id, step, at, log_seq, level, msg, color, line with the delays: presses log at once, results
     when they come due, stale ones nothing."""
+    return log_of_rows(_timed(events))
+
+
+def log_of_rows(path: DataFrame) -> DataFrame:
+    """The log of rows of the timed machine (arg and what was before included), or of its stream, which have no step."""
     rows = F.when(F.lit(False), F.array().cast("array<struct<level:string,msg:string>>"))
     for kind, name, condition, texts in TIMED_LOG_RULES:
         rows = rows.when((F.col("kind") == kind) & (F.col("name") == name) & F.expr(condition), _texts(texts))
-    path = _timed(events).withColumn("igniter", F.col("was_igniter")).withColumn("circuit", F.col("was_circuit"))
-    out = path.withColumn("rows", rows).select("device_id", "step", "at", F.posexplode("rows").alias("log_seq", "r"))
-    return out.select("device_id", "step", "at", "log_seq", "r.level", "r.msg", color(F.col("r.level")).alias("color"), line("at", F.col("r.msg")).alias("line"))
+    keys = [c for c in ("device_id", "step", "at") if c in path.columns]
+    was = path.withColumn("igniter", F.col("was_igniter")).withColumn("circuit", F.col("was_circuit"))
+    out = was.withColumn("rows", rows).select(*keys, F.posexplode("rows").alias("log_seq", "r"))
+    return out.select(*keys, "log_seq", "r.level", "r.msg", color(F.col("r.level")).alias("color"), line("at", F.col("r.msg")).alias("line"))
 
 
 def start_log(events: DataFrame) -> DataFrame:

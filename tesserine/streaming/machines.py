@@ -120,5 +120,19 @@ def five_state_stream(events: DataFrame, late: str = "10 minutes", initial: Data
 def seven_state_stream(events: DataFrame, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
     """Streaming events(device_id, ts timestamp, seq, input, arg) -> rows of the timed machine, appended. `initial`
     has device_id, state, igniter, circuit."""
+    return _seven_rows(events, late, initial).drop("arg", "was_igniter", "was_circuit")
+
+
+def _seven_rows(events: DataFrame, late: str, initial: DataFrame | None) -> DataFrame:
     coded = None if initial is None else initial.select("device_id", F.concat_ws("/", "state", F.col("igniter").cast("int"), F.col("circuit").cast("int")).alias("state"))
-    return _stream(events, seven_state.Timed, ("input", "arg"), "input string, arg boolean", SEVEN_ROWS, late, coded).drop("arg", "was_igniter", "was_circuit")
+    return _stream(events, seven_state.Timed, ("input", "arg"), "input string, arg boolean", SEVEN_ROWS, late, coded)
+
+
+def five_log_stream(events: DataFrame, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
+    """The log of the five-state machine's stream: `five_state.timed_log` without step."""
+    return five_state.timed_log(five_state_stream(events, late, initial))
+
+
+def seven_log_stream(events: DataFrame, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
+    """The log of the seven-state machine's stream: `seven_state.timed_log` without step."""
+    return seven_state.log_of_rows(_seven_rows(events, late, initial))

@@ -3,6 +3,7 @@ import os
 import re
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -143,3 +144,28 @@ def test_inputs_and_files(spark, tmp_path):
     sinks.write_lines(eq.run(resolve_input(spark, "1 + 1 2 + 2")), str(tmp_path / "dir"), single=True)
     parts = [p for p in os.listdir(tmp_path / "dir") if p.startswith("part")]
     assert len(parts) == 1 and (tmp_path / "dir" / parts[0]).read_text() == "1 + 1 = 2\n2 + 2 = 4\n"
+
+
+def test_line_file_is_written_by_tasks(spark, tmp_path):
+    """Many partitions, in order; a failed task or no valid row leaves what was there and nothing beside it."""
+    path = str(tmp_path / "lines.txt")
+    rows = spark.range(0, 5000, 1, 7).select(F.concat(F.lit("line é "), "id").alias("line"), (F.col("id") == 3).alias("valid"))
+    assert sinks.write_line_file(rows, path) == {"lines": 5000, "valid": 1, "bytes": os.path.getsize(path)}
+    with open(path, encoding="utf-8") as f:
+        assert f.read().split("\n") == [*(f"line é {i}" for i in range(5000)), ""]
+    failing = rows.withColumn("line", F.when(F.col("line").endswith("4321"), F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_line_file(failing, path)
+    assert sinks.write_line_file(rows.withColumn("valid", F.lit(False)), path)["valid"] == 0
+    assert sinks.write_line_file(rows.limit(0), path) == {"lines": 0, "valid": 0, "bytes": 0}
+    assert os.listdir(tmp_path) == ["lines.txt"] and os.path.getsize(path) > 50_000
+
+
+def test_fraction_text_is_shortest(spark):
+    rng = np.random.default_rng(0)
+    v = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-12, 12, 3000), rng.integers(1, 10000, 3000) / rng.integers(1, 1000, 3000), rng.integers(0, 2**63, 3000).view(np.float64), 2.0 ** -np.arange(1, 1075), [5e-324, 6.617444900424222e-24, 7.120236347223045e-307, 2e-3, -0.5]])
+    got = spark.createDataFrame([(float(x),) for x in v], "v double").select("v", number_text(F.col("v")).alias("t")).collect()
+    for r in got:
+        x = r["v"]
+        if x == x and abs(x) < 2**53 and x != int(x):
+            assert r["t"] == format(Decimal(repr(x)), "f")

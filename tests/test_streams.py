@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tesserine.operators import five_state as five
 from tesserine.operators import seven_state as seven
 from tesserine.schema import FIVE_BUTTONS
-from tesserine.streaming.machines import five_state_stream, seven_state_stream
+from tesserine.sinks import append_log
+from tesserine.streaming.machines import five_log_stream, five_state_stream, seven_log_stream, seven_state_stream
 
 T0 = dt.datetime(2024, 1, 1)
 FIVE = "device_id long, ts timestamp, seq long, button string"
@@ -109,3 +110,27 @@ def test_start_from_a_batch(spark, tmp_path):
     feed.run()
     whole = seven.timed(ntz([*early, *rest]))
     assert sorted([*rows_of(begun), *rows_of(feed.found())]) == rows_of(whole)
+
+
+@pytest.mark.parametrize(("rows", "schema", "batch", "make"), [(five_rows(90), FIVE, lambda e: five.timed_log(five.timed(e)), five_log_stream), (seven_rows(90), SEVEN, seven.timed_log, seven_log_stream)], ids=["five", "seven"])
+def test_log_of_a_restarted_stream(spark, tmp_path, rows, schema, batch, make):
+    """Two runs of the stream, and its last batch once more as after a crash: the log equals the batch log."""
+    feed = Feed(spark, tmp_path, schema, make)
+
+    def run():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        append_log(make(source), str(tmp_path / "log"), str(tmp_path / "cp"), once=True).awaitTermination()
+
+    feed.add(rows[1::2])
+    feed.add(rows[::2])
+    run()
+    feed.pass_time([2, 3])
+    run()
+    commits = tmp_path / "cp" / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    (commits / str(last)).unlink()
+    (commits / f".{last}.crc").unlink()
+    run()
+    key = lambda df: sorted(str((r["device_id"], pd.Timestamp(r["at"]), r["log_seq"], r["line"])) for r in df.filter("device_id < 99").collect())
+    whole = batch(spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    assert key(spark.read.parquet(str(tmp_path / "log"))) == key(whole)
