@@ -6,9 +6,9 @@ by k. BANDS bands of ROWS coordinates make candidates: two sets of similarity s
 (1 - s**ROWS)**BANDS, 1e-9 at 0.8, less above. One byte of each coordinate goes along with a set, and pairs that
 agree in too few of them for a link (1e-8) are left out; all others are decided on whole sets.
 
-Links only matter for what they connect. So each set is first compared with one other in some of its bands, in a
-few rounds; then, where a band still holds sets of several components, those outside its largest are compared with
-its other sets by their bytes, in blocks of bounded size, and what is near on whole sets.
+Links only matter for what they connect. So each set is first compared with one of its candidates, then with
+those that are still in other components; and where a band holds sets of several components, those outside
+its largest are compared with its other sets by their bytes, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ U32, U64 = np.uint32, np.uint64
 BANDS, ROWS = 52, 5
 #: Share of coordinates in which a pair must agree to be compared on whole sets.
 AGREE = 0.64
-#: Bands in each of the first rounds, and those rounds.
-STEP, ROUNDS = 8, 3
 #: Shingles whose coordinates are computed at a time: the arrays stay in the processor's cache.
 LOT = 1 << 15
 #: Bytes of partners in a lot; bytes of signatures in a block of sets, and of those that ask.
@@ -227,40 +225,36 @@ def across(members: DataFrame, percent: int, rows: int, every: bool) -> DataFram
 
 
 def label(docs: DataFrame, classes: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
-    """classes(sid, n, k1, k2, bands, bytes) -> Labels of all sets.
-
-    A few bands at a time, each set is compared with one other of its bands that is in another component, the first there: near
-    copies fall together in these rounds. Then the bands that still hold several components are worked on in full."""
-    side = lambda x: classes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bytes").alias(f"b{x}"))
-    sets = classes.select("sid", "n", "k1", "k2")
-    labels = Labels(classes)
-    for first in range(0, ROUNDS * STEP, STEP):
-        marked = classes.select("sid", F.explode(F.slice("bands", first + 1, STEP)).alias("band")).join(labels.table, "sid")
-        centres = marked.groupBy("band").agg(F.min(F.struct("sid", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
-        centres = settle(centres.filter("low <> high").select("band", F.col("c.sid").alias("centre"), F.col("c.root").alias("there")), "minhash-centres")
-        each = marked.join(centres, (marked["band"] == centres["band"]) & (F.col("root") != F.col("there"))).groupBy("sid").agg(F.min("centre").alias("centre"))
-        pairs = each.select(F.col("centre").alias("a"), F.col("sid").alias("b"))
-        near = settle(alike(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "minhash-near")
-        none = near.isEmpty()
-        if not none:
-            labels.add(verify(near, docs, sets, size, percent))
-        release(centres, near)
-        if none:
-            break
+    """classes(sid, n, k1, k2, bands, bytes) -> sid, root for the sets that share a band with another."""
+    marked = classes.select("sid", "n", F.explode("bands").alias("band"))
+    full = settle(marked.groupBy("band").agg(F.min("sid").alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "minhash-bands")
+    held = settle(marked.join(full, "band"), "minhash-held")
+    sets = settle(classes.select("sid", "n", "k1", "k2", "bytes").join(held.select("sid").distinct(), "sid"), "minhash-sets")
+    release(full)
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bytes").alias(f"b{x}"))
+    stars = held.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
+    near = settle(alike(stars.join(side("a"), "a").join(side("b"), "b"), percent), "minhash-near")
+    labels = Labels(sets)
+    first = settle(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "minhash-first")
+    labels.add(verify(first, docs, sets, size, percent))
+    apart = settle(labels.rooted(near).filter("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti"), "minhash-apart")
+    if not apart.isEmpty():
+        labels.add(verify(apart, docs, sets, size, percent))
+    release(first, apart, near)
     for every in (False, True):
         # bands whose sets aren't all in one component, and their largest one
-        marked = classes.select("sid", F.explode("bands").alias("band")).join(labels.table, "sid")
-        counts = marked.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
+        counts = held.join(labels.table, "sid").groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
         top = settle(counts.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band", "top"), "minhash-top")
-        placed = settle(marked.join(top, "band").select("band", "sid", "root", (F.col("root") != F.col("top")).alias("minor")), "minhash-placed")
-        members = settle(placed.join(classes.select("sid", "n", "bytes"), "sid"), "minhash-members")
+        placed = held.select("band", "sid").join(top, "band").join(labels.table, "sid").join(sets.select("sid", "n", "bytes"), "sid")
+        members = settle(placed.select("band", "sid", "n", "bytes", "root", (F.col("root") != F.col("top")).alias("minor")), "minhash-members")
         found = across(members, percent, rows, every)
         none = found.isEmpty()
         if not none:
             labels.add(verify(found, docs, sets, size, percent))
-        release(top, placed, members, found)
+        release(top, members, found)
         if none:
             break
+    release(held, sets)
     return labels.table
 
 
