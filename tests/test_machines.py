@@ -22,6 +22,9 @@ def events(spark, rows, cols="device_id long, ts timestamp_ntz, seq long, button
     return spark.createDataFrame([(1, T0 + dt.timedelta(milliseconds=ms), i, *rest) for i, (ms, *rest) in enumerate(rows)], cols)
 
 
+# The expected transitions, texts, colours and delays below are those of the behaviour that is rebuilt.
+
+
 def test_transition_map():
     moves = {(s, b): five.move(s, b) for s in FIVE_STATES for b in FIVE_BUTTONS}
     changed = {k: v for k, v in moves.items() if k[0] != v}
