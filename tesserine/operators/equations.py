@@ -83,6 +83,13 @@ def run(docs: DataFrame, text=number_text) -> DataFrame:
     return docs.transform(tokenize).transform(chunk).transform(parse).transform(evaluate).transform(lambda d: render(d, text))
 
 
+def run_pieces(pieces: DataFrame, text=number_text) -> DataFrame:
+    """Pieces of one text (`long_text.read_long_text`) -> the rows that `run` gives for the whole text, in order, without
+    doc_id; eq_idx is long."""
+    numbered = chunk(tokenize(pieces)).select((F.col("doc_id") + F.col("eq_idx")).alias("eq_idx"), "chunk")
+    return render(evaluate(parse(numbered)), text)
+
+
 def gate(docs: DataFrame) -> DataFrame:
     """doc_id, n_equations, any_valid: a document without one equation that parses fails."""
     parsed = docs.transform(tokenize).transform(lambda d: chunk(d, outer=True)).transform(parse)

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from tesserine.operators import equations
 from tesserine.sources.inputs import NoValidEquations, resolve_input
+from tesserine.sources.long_text import SPLIT, read_long_text
 
 
 class OutputError(OSError):
@@ -116,8 +117,12 @@ def write_result_file(lines: DataFrame, path: str, order: tuple[str, ...] = ("do
 
 def calculate(spark: SparkSession, argument: str | None, path: str = "output.txt") -> int:
     """The whole run in one job: input, evaluation, gate, result file. Returns the number of lines. Where no equation
-    parses there is an error and no file."""
-    rows = equations.run(resolve_input(spark, argument))  # one text: its rows are in order
+    parses there is an error and no file. A file of more than one split is read by many tasks, after a job that counts
+    its tokens."""
+    if argument is not None and os.path.isfile(argument) and os.path.getsize(argument) > SPLIT:
+        rows = equations.run_pieces(read_long_text(spark, argument))
+    else:
+        rows = equations.run(resolve_input(spark, argument))  # one text: its rows are in order
     parsed = F.coalesce(F.col("err_stage") != "parse", F.lit(True))
     found = write_line_file(rows.select("line", parsed.alias("valid")), os.path.join(os.getcwd(), path))
     if not found["valid"]:
