@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from tesserine.operators import kinematics as kin
 from tesserine.operators import seven_state as seven
 from tesserine.plans import derived as d
 from tesserine.schema import DELAYS_FIVE_MS, FIVE_BUTTONS, FIVE_DECLARED, FIVE_STATES, SEVEN_STATES
+from tesserine.sinks import write_line_file
+from tesserine.sources.long_text import read_long_text
+from tesserine.storage import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,15 +36,17 @@ def query(sql: str | None = None):
 
 _OPERANDS = """
 ops AS (SELECT *, CAST(l_quantity AS BIGINT) AS a, (['+','-','*','/','%','//','^'])[l_linenumber] AS sign, CAST(round(l_discount * 100) AS BIGINT) AS b FROM lineitem)"""
-_DOCS = _OPERANDS + """,
+_TOKENS = _OPERANDS + """,
 docs AS (
   SELECT l_orderkey AS doc_id, string_agg(a || ' ' || sign || ' ' || b, ', ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)
          || CASE WHEN any_value(o_orderstatus) = 'P' THEN ' 1 +' ELSE '' END AS raw
   FROM ops JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey),
-toks AS (SELECT doc_id, list_filter(regexp_split_to_array(raw, '[,\\s\\p{Z}]+'), lambda t: t <> '') AS tokens FROM docs),
-chunks AS (SELECT doc_id, i AS eq_idx, tokens[3 * i + 1 : 3 * i + 3] AS c FROM toks, unnest(range(0, CAST(ceil(len(tokens) / 3.0) AS BIGINT))) AS u(i)),
+toks AS (SELECT doc_id, list_filter(regexp_split_to_array(raw, '[,\\s\\p{Z}]+'), lambda t: t <> '') AS tokens FROM docs)"""
+_CHUNKS = """,
+chunks AS (SELECT doc_id, i::INTEGER AS eq_idx, tokens[3 * i + 1 : 3 * i + 3] AS c FROM toks, unnest(range(0, CAST(ceil(len(tokens) / 3.0) AS BIGINT))) AS u(i))"""
+_PARSED = """,
 parsed AS (
-  SELECT doc_id, CAST(eq_idx AS INTEGER) AS eq_idx, c,
+  SELECT doc_id, eq_idx, c,
     CASE WHEN len(c) <> 3 THEN 'MalformedEquation' WHEN NOT regexp_matches(c[1], '^[0-9]+$') THEN 'InvalidOperand'
          WHEN c[2] NOT IN ('+','-','*','/','%','//') THEN 'InvalidOperator' WHEN NOT regexp_matches(c[3], '^[0-9]+$') THEN 'InvalidOperand' END AS err_kind,
     CASE WHEN len(c) <> 3 THEN 'expected 3 tokens but got ' || len(c) || ': ''' || array_to_string(c, ' ') || ''''
@@ -47,6 +54,7 @@ parsed AS (
          WHEN c[2] NOT IN ('+','-','*','/','%','//') THEN '''' || c[2] || ''' is not a recognized operator'
          WHEN NOT regexp_matches(c[3], '^[0-9]+$') THEN '''' || c[3] || ''' is not a valid number' END AS err_msg
   FROM chunks)"""
+_DOCS = _TOKENS + _CHUNKS + _PARSED
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, len(tokens)::INTEGER AS n_tokens, array_to_string(tokens, '|') AS tokens FROM toks")
@@ -126,10 +134,13 @@ _RESULT = "CASE sign " + " ".join(f"WHEN '{s}' THEN {x}" for s, x in (("+", "a +
 _LINE = f"""{_number_sql('a')} || ' ' || sign || ' ' || {_number_sql('b')} || ' = ' || CASE WHEN sign IN ('/', '%', '//') AND b = 0 THEN 'error: division by zero' ELSE {_number_sql('r')} END"""
 
 
-@query(f"""WITH {_DOCS}, vals AS (SELECT doc_id, eq_idx, c[1]::DOUBLE AS a, c[2] AS sign, c[3]::DOUBLE AS b FROM parsed WHERE err_kind IS NULL),
+_ALL_LINES = f""", vals AS (SELECT doc_id, eq_idx, c[1]::DOUBLE AS a, c[2] AS sign, c[3]::DOUBLE AS b FROM parsed WHERE err_kind IS NULL),
 res AS (SELECT *, CASE WHEN sign IN ('/', '%', '//') AND b = 0 THEN NULL ELSE {_RESULT} END AS r FROM vals)
 SELECT doc_id, eq_idx, 'error: ' || err_msg || ' = error: ' || err_msg AS line FROM parsed WHERE err_kind IS NOT NULL
-UNION ALL SELECT doc_id, eq_idx, {_LINE} AS line FROM res""")
+UNION ALL SELECT doc_id, eq_idx, {_LINE} AS line FROM res"""
+
+
+@query(f"WITH {_DOCS} {_ALL_LINES}")
 def calc_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run: lines of all equations, divisions and zero divisors included, with the text of fractions."""
     return eq.run(d.documents(spark, sf_dir)).select("doc_id", "eq_idx", "line")
@@ -150,6 +161,23 @@ def calc_result_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eq.render(out, number_text).select("l_orderkey", "l_linenumber", "line")
 
 
+_ONE_TEXT = """,
+flat AS (
+  SELECT t, row_number() OVER (ORDER BY doc_id, i) - 1 AS k
+  FROM (SELECT doc_id, unnest(tokens) AS t, unnest(range(len(tokens))) AS i FROM toks)),
+chunks AS (SELECT 0 AS doc_id, k // 3 AS eq_idx, list(t ORDER BY k) AS c FROM flat GROUP BY k // 3)"""
+
+
+@query(f"SELECT eq_idx, line FROM (WITH {_TOKENS}{_ONE_TEXT}{_PARSED} {_ALL_LINES})")
+def calc_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one text, written to one file and read by many tasks; its half equations move all triples that
+    follow."""
+    texts = d.documents(spark, sf_dir).orderBy("doc_id").select(F.col("raw").alias("line"), F.lit(True).alias("valid"))
+    path = f"{shared_dir(spark)}/long-{uuid.uuid4().hex}.txt"
+    write_line_file(texts, path)
+    return eq.run_pieces(read_long_text(spark, path, split=1 << 20)).select("eq_idx", "line")
+
+
 # ---- five-state machine ----
 
 _FIVE_EVENTS = """
