@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.operators import five_state as five
+from tesserine.operators import kinematics as kin
 from tesserine.operators import seven_state as seven
 from tesserine.schema import FIVE_BUTTONS
 from tesserine.sinks import append_log
-from tesserine.streaming.machines import five_log_stream, five_state_stream, seven_log_stream, seven_state_stream
+from tesserine.streaming.machines import five_log_stream, five_state_stream, motion_stream, seven_log_stream, seven_state_stream
 
 T0 = dt.datetime(2024, 1, 1)
 FIVE = "device_id long, ts timestamp, seq long, button string"
@@ -134,3 +135,32 @@ def test_log_of_a_restarted_stream(spark, tmp_path, rows, schema, batch, make):
     key = lambda df: sorted(str((r["device_id"], pd.Timestamp(r["at"]), r["log_seq"], r["line"])) for r in df.filter("device_id < 99").collect())
     whole = batch(spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
     assert key(spark.read.parquet(str(tmp_path / "log"))) == key(whole)
+
+
+def test_motion_frames(spark, tmp_path):
+    """Launches that stop by themselves, by a cancel (one at the time of a frame) and at once; a restart between two
+    frames of a launch. The stream gives the frames of the batch."""
+    ms = lambda n: T0 + dt.timedelta(milliseconds=n)
+    sets = []
+    for device, end in ((1, None), (2, 800), (3, 801), (4, 799), (5, 0), (6, 5000)):
+        for i, name in enumerate(("test", "enable", "ready", "launch")):
+            sets.append((device, ms(10 * device + i), i, name))
+        if end is not None:
+            sets.append((device, ms(10 * device + 3 + end), 9, "lpu_cancel"))
+            for i, name in enumerate(("test", "enable", "ready", "launch")):
+                sets.append((device, ms(20_000 + i), 20 + i, name))
+    feed = Feed(spark, tmp_path, FIVE, lambda e: motion_stream(e, late="0 seconds"))
+    early = [r for r in sets if r[1] < ms(400)]
+    late = [r for r in sets if r[1] >= ms(400)]
+    feed.add(early[::-1])
+    feed.add([(99, ms(500), 0, "enable")])
+    feed.run()
+    some = feed.found().count()
+    feed.add(late[::-1])
+    feed.pass_time([1, 2])
+    feed.run()
+    whole = kin.motion(kin.launches(five.trajectory(spark.createDataFrame(sets, FIVE).withColumn("ts", F.col("ts").cast("timestamp_ntz")))))
+    rows = lambda df: sorted(tuple(r[c] for c in whole.columns) for r in df.collect())
+    got = rows(feed.found())
+    assert got == rows(whole) and 0 < some < len(got)
+    assert {max(r[2] for r in got if r[:2] == (d, 1)) for d in (1, 6)} == {43} and max(r[2] for r in got if r[0] == 2 and r[1] == 1) == 20
