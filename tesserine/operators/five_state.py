@@ -94,7 +94,7 @@ def timed(events: DataFrame) -> DataFrame:
     """One row a press and one an acknowledgement that came due: kind, at, state before and after. Those
     still pending after the last press come at their times."""
     schema = "device_id long, step int, at timestamp_ntz, kind string, name string, state string, next_state string"
-    return scan.timed(events, FIVE_STATES, "IDLE", Timed, ["button"], max(DELAYS_FIVE_MS.values()), schema)
+    return scan.timed(events, FIVE_STATES, "IDLE", Timed, ["button"], schema)
 
 
 def timed_log(path: DataFrame) -> DataFrame:

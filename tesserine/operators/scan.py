@@ -11,11 +11,12 @@ At equal times the smaller seq comes first, null before all.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,6 @@ from pyspark.sql.window import Window
 
 from tesserine.storage import written
 
-#: Events of a device, about, that are worked on as a step of time between whose ends a timed device may be cut.
-TIMED_EVENTS = 2_500
-
 
 def untimed(events: DataFrame) -> DataFrame:
     """The events that no fold and no stream takes."""
@@ -149,98 +147,153 @@ def final(events: DataFrame, states: Sequence[str], start: str, step: Callable[.
     return found.select("device_id", "n_events", F.get(F.array(*map(F.lit, states)), state.cast("int")).alias("state"))
 
 
-def _steps(events: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """events + _block, and those of devices with more than `least` events, which are cut evenly in time (whole seconds)."""
-    second = F.expr("CAST(CAST(ts - TIMESTAMP_NTZ '1970-01-01 00:00:00' AS INTERVAL SECOND) AS BIGINT)")
-    if events.schema["ts"].dataType.simpleString() == "timestamp":
-        second = F.unix_seconds("ts")
-    timed_ = events.withColumn("_second", second)
-    many = timed_.groupBy(F.col("device_id").alias("_device")).agg(F.count(F.lit(1)).alias("_n"), F.min("_second").alias("_lo"), F.max("_second").alias("_hi")).filter(F.col("_n") > least)
-    span = F.greatest((F.col("_hi") - F.col("_lo") + 1) * float(least) / F.col("_n"), F.lit(1.0))
-    joined = timed_.join(many, F.col("device_id").eqNullSafe(F.col("_device")), "left")
-    cut = joined.withColumn("_block", F.coalesce(F.floor((F.col("_second") - F.col("_lo")) / span), F.lit(0)).cast("long"))
-    slim = lambda d: d.select(*events.columns, "_block")
-    return slim(cut), slim(cut.filter(F.col("_n").isNotNull()))
+class _Lanes:
+    """Machines that begin in different configurations and get the same presses; those that meet go on as one."""
 
+    #: Presses between two looks for machines that have met.
+    EVERY = 8
 
-def entries(maps: DataFrame, states: Sequence[str], start: str) -> DataFrame:
-    """device_id, _block, entry (state before its first event), before (rows of earlier blocks), n (its
-    rows), exit (state after its last event)."""
-    at = {s: i for i, s in enumerate(states)}
+    def __init__(self, entries: Sequence[str], opened: Callable[[str], Any]) -> None:
+        self.entries, self.lanes = entries, [opened(e) for e in entries]
+        self.lane_of, self.ahead, self.n, self.presses = list(range(len(entries))), [0] * len(entries), [0] * len(entries), 0
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        now, k, out = start, 0, []
-        for device, place, n, after in rows.sort_values("_block").itertuples(index=False, name=None):
-            i = at[now]
-            out.append((device, place, now, k, int(n[i]), after[i]))
-            now, k = after[i], k + int(n[i])
-        return pd.DataFrame(out, columns=["device_id", "_block", "entry", "before", "n", "exit"])
+    def press(self, *event: Any) -> None:
+        self.n = [n + len(m.press(*event)) for n, m in zip(self.n, self.lanes, strict=True)]
+        self.presses += 1
+        if len(self.lanes) > 1 and self.presses % self.EVERY == 0:
+            self._merge()
 
-    kind = maps.schema["_block"].dataType.simpleString()
-    return maps.select("device_id", "_block", "n", "after").groupBy("device_id").applyInPandas(run, f"device_id long, _block {kind}, entry string, before long, n long, exit string")
+    def _merge(self) -> None:
+        met: dict[tuple, int] = {}
+        to = [met.setdefault((m.state, tuple(m.pending)), len(met)) for m in self.lanes]
+        if len(met) < len(to):
+            kept = [to.index(j) for j in range(len(met))]
+            self.ahead = [a + self.n[i] - self.n[kept[to[i]]] for a, i in zip(self.ahead, self.lane_of, strict=True)]
+            self.lane_of = [to[i] for i in self.lane_of]
+            self.lanes, self.n = [self.lanes[i] for i in kept], [self.n[i] for i in kept]
 
+    def done(self) -> list[tuple]:
+        """entry, exit, rows made: for each configuration that was asked for."""
+        return [(e, _coded(self.lanes[i]), self.n[i] + a) for e, i, a in zip(self.entries, self.lane_of, self.ahead, strict=True)]
 
-def _enter(cut: DataFrame, starts: DataFrame, start: str) -> DataFrame:
-    """Adds entry and before to the events of each block."""
-    found = starts.select(F.col("device_id").alias("_device"), F.col("_block").alias("_at"), "entry", "before")
-    joined = cut.join(found, F.col("device_id").eqNullSafe(F.col("_device")) & (F.col("_block") == F.col("_at")), "left")
-    return joined.withColumn("entry", F.coalesce("entry", F.lit(start))).withColumn("before", F.coalesce("before", F.lit(0))).drop("_device", "_at")
 
+_MICROSECOND = dt.timedelta(microseconds=1)
+_EPOCH = dt.datetime(1970, 1, 1)
 
-def timed(events: DataFrame, states: Sequence[str], start: str, machine: Callable[[str], Any], cols: Sequence[str], delay_ms: int, schema: str) -> DataFrame:
-    """Rows of a machine with delays; `schema` begins with device_id, step. A machine has press(ts, *cols) and
-    rest(), which give rows, and `state`.
 
-    A device is cut where no event comes for the longest delay after the last: nothing is pending there, so
-    blocks are maps between states. A longer run without such a gap is read in batches in order, and state
-    and what is pending are carried from one to the next; no task holds more than a batch of it.
-    """
-    cut, long = _steps(events.select("device_id", "ts", "seq", *cols).filter("ts IS NOT NULL"), TIMED_EVENTS)
-    bounds = long.groupBy("device_id", "_block").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    order = Window.partitionBy("device_id").orderBy("_block")
-    quiet = F.col("lo") >= F.lag("hi").over(order) + F.expr(f"INTERVAL '{delay_ms / 1000:.3f}' SECOND")
-    runs = bounds.withColumn("quiet", F.coalesce(quiet, F.lit(False)).cast("long")).withColumn("_run", F.sum("quiet").over(order))
-    runs = runs.select(F.col("device_id").alias("_device"), F.col("_block").alias("_at"), "_run")
-    same = F.col("device_id").eqNullSafe(F.col("_device")) & (F.col("_block") == F.col("_at"))
-    merged = lambda d, how: d.join(runs, same, how).withColumn("_block", F.coalesce("_run", F.lit(0)).cast("long")).drop("_device", "_at", "_run")
-    ordered = lambda d: d.repartition("device_id", "_block").sortWithinPartitions("device_id", "_block", "ts", "seq")
-    key = lambda r: (None if pd.isna(r[0]) else int(r[0]), int(r[1]))
-
-    def map_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, n = None, [], []
-
-        def done() -> pd.DataFrame:
-            total = [k + len(m.rest()) for k, m in zip(n, held, strict=True)]
-            return pd.DataFrame({"device_id": pd.array([now[0]], "Int64"), "_block": [now[1]], "n": [total], "after": [[m.state for m in held]]})
+def _coded(machine: Any) -> str:
+    """A configuration as text: the state, then time, name and number of the results that are pending, in order."""
+    runs = [(at, name, len(list(same))) for (at, name), same in groupby(machine.pending)]
+    return " ".join([machine.state, *(f"{(at - _EPOCH) // _MICROSECOND} {name} {n}" for at, name, n in runs)])
+
+
+def _opened(machine: Callable[..., Any], code: str) -> Any:
+    state, *rest = code.split(" ")
+    return machine(state, [(_EPOCH + int(at) * _MICROSECOND, name) for at, name, n in zip(rest[::3], rest[1::3], rest[2::3], strict=True) for _ in range(int(n))])
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["device_id"].eqNullSafe(b["device_id"]) & (a["p"] == b["p"])
+
 
+def _headed(laid: DataFrame, heads: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Events by segment (device_id, p) in order, each segment after its row of `heads`, if it has one; only that has no time."""
+    fields = [c for c in heads.columns if c not in ("device_id", "p")]
+    both = laid.unionByName(heads, allowMissingColumns=True).repartition("device_id", "p").sortWithinPartitions("device_id", "p", "ts", "seq", *cols)
+    return both.select("device_id", "p", "ts", *cols, *fields)
+
+
+def _closure(laid: DataFrame, long: DataFrame, states: Sequence[str], start: str, machine: Callable[..., Any], cols: Sequence[str]) -> DataFrame:
+    """device_id, p, entry, exit, n: what each segment that another one follows does to the configurations that it may
+    be entered in. The first round asks for all states with nothing pending (of first segments, for the start);
+    each next one for what the segment before was left in and nobody has asked for yet, until nothing is new."""
+    schema = "device_id long, p int, entry string, exit string, n long"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lanes = None, None
         for batch in batches:
-            for r in batch[["device_id", "_block", "ts", *cols]].itertuples(index=False, name=None):
-                if key(r) != now:
-                    if now:
-                        yield done()
-                    now, held, n = key(r), [machine(s) for s in states], [0] * len(states)
-                n = [k + len(m.press(*r[2:])) for k, m in zip(n, held, strict=True)]
-        if now:
-            yield done()
-
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, k = None, None, 0
-        frame = lambda out: pd.DataFrame(out, columns=names).astype({"device_id": "Int64"})
+            out = []
+            for device, p, ts, *event, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ts is None:
+                    out += [(*now, *x) for x in lanes.done()] if lanes else []
+                    now, lanes = (device, p), _Lanes(entries, lambda code: _opened(machine, code))
+                else:
+                    lanes.press(ts, *event)
+            if out:
+                yield _batch(schema, out)
+        if lanes:
+            yield _batch(schema, [(*now, *x) for x in lanes.done()])
+
+    inner = long.filter("following IS NOT NULL")
+    guesses = F.when(F.col("opens"), F.array(F.lit(start))).otherwise(F.array(*map(F.lit, states)))
+    asked, known = inner.select("device_id", "p", F.explode(guesses).alias("entry")), None
+    while True:
+        heads = asked.groupBy("device_id", "p").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
+        made = written(_headed(laid.join(heads, _same(laid, heads), "left_semi"), heads, cols).mapInArrow(fold, schema), "timed-maps")
+        known = made if known is None else known.union(made)
+        left = made.join(inner, _same(made, inner)).select(made["device_id"], F.col("following").alias("p"), F.col("exit").alias("entry"))
+        left = left.join(inner, _same(left, inner), "left_semi").distinct()
+        asked = written(left.join(known, _same(left, known) & (left["entry"] == known["entry"]), "left_anti"), "timed-asked")
+        if asked.isEmpty():
+            return known
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    names, types = zip(*(f.strip().split(" ") for f in schema.split(",")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+
+
+def timed(events: DataFrame, states: Sequence[str], start: str, machine: Callable[..., Any], cols: Sequence[str], schema: str) -> DataFrame:
+    """Rows of a machine with delays; `schema` begins with device_id, step. A machine is made of a state and what is
+    pending (time, name), has press(ts, *cols) and rest(), which give rows, `state` and `pending`.
+
+    Ranges of events are as in `trajectory`, however dense a device is. A configuration is a state and what is pending,
+    so there is no end of them; but what differs at the beginning of a segment mostly meets within a few delays, and
+    `_closure` folds each segment from those that occur. A device's segments then compose, and each is read once
+    more from the configuration it is entered in. Tasks hold a batch of a segment and its configurations; by device
+    are gathered a few rows for each range it reaches into. Rounds go on while a segment is left in a
+    configuration that is new to the next one: two or three, and one more for each further segment within one delay.
+    """
+    clean = events.withColumn("device_id", F.col("device_id").cast("long")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    laid = written(_ranges(clean, cols).withColumn("p", F.spark_partition_id()), "timed")
+    place = Window.partitionBy("device_id").orderBy("p")
+    segments = laid.groupBy("device_id", "p").agg(F.count(F.lit(1)).alias("n")).select("device_id", "p", F.lead("p").over(place).alias("following"), F.lag("p").over(place).isNull().alias("opens"))
+    long = written(segments.filter("NOT opens OR following IS NOT NULL"), "timed-segments")
+    entered = "device_id long, p int, entry string, before long, ends boolean"
+
+    def compose(found: pa.Table) -> pa.Table:
+        maps: dict[int, dict] = {}
+        for r in found.to_pylist():
+            maps.setdefault(r["p"], {})[r["entry"]] = (r["exit"], r["n"])
+        device, code, k, out = found.column("device_id")[0].as_py(), start, 0, []
+        for p in sorted(maps):
+            out.append((device, p, code, k, p == max(maps)))
+            if p != max(maps):
+                code, n = maps[p][code]
+                k += n
+        return pa.Table.from_batches([_batch(entered, out)])
+
+    known = _closure(laid, long, states, start, machine, cols) if not long.isEmpty() else long.selectExpr("device_id", "p", "'' AS entry", "'' AS exit", "0L AS n").limit(0)
+    heads = known.unionByName(long.select("device_id", "p"), allowMissingColumns=True).groupBy("device_id").applyInArrow(compose, entered)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, k, ends = None, None, 0, False
         for batch in batches:
             out = []
-            for r in batch[["device_id", "_block", "entry", "before", "ts", *cols]].itertuples(index=False, name=None):
-                if key(r) != now:
-                    if held:
-                        out += [(now[0], k + i, *x) for i, x in enumerate(held.rest(), 1)]
-                    now, held, k = key(r), machine(r[2]), int(r[3])
-                made = held.press(*r[4:])
-                out += [(now[0], k + i, *x) for i, x in enumerate(made, 1)]
-                k += len(made)
-            yield frame(out)
-        if held:
-            yield frame([(now[0], k + i, *x) for i, x in enumerate(held.rest(), 1)])
-
-    maps = ordered(merged(long, "inner")).mapInPandas(map_, "device_id long, _block long, n array<long>, after array<string>")
-    return ordered(_enter(merged(cut, "left"), entries(maps, states, start), start)).mapInPandas(rows, schema)
+            for device, p, ts, *event, entry, before, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (device, p) != now:
+                    out += [(now[0], k + i, *x) for i, x in enumerate(held.rest(), 1)] if held and ends else []
+                    now, held, k, ends = (device, p), _opened(machine, start if entry is None else entry), before or 0, last is not False
+                if ts is not None:
+                    made = held.press(ts, *event)
+                    out += [(device, k + i, *x) for i, x in enumerate(made, 1)]
+                    k += len(made)
+            yield _batch(schema, out)
+        if held and ends:
+            yield _batch(schema, [(now[0], k + i, *x) for i, x in enumerate(held.rest(), 1)])
+
+    return _headed(laid, heads, cols).mapInArrow(rows, schema)

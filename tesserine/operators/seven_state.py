@@ -143,7 +143,7 @@ def timed(events: DataFrame) -> DataFrame:
 
 def _timed(events: DataFrame) -> DataFrame:
     schema = "device_id long, step int, at timestamp_ntz, kind string, name string, state string, next_state string, igniter boolean, circuit boolean, arg boolean, was_igniter boolean, was_circuit boolean"
-    return scan.timed(events, CONFIGURATIONS, _code(("IDLE", False, True)), Timed, ["input", "arg"], max(DELAYS_SEVEN_MS.values()), schema)
+    return scan.timed(events, CONFIGURATIONS, _code(("IDLE", False, True)), Timed, ["input", "arg"], schema)
 
 
 def timed_log(events: DataFrame) -> DataFrame:

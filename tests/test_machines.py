@@ -182,9 +182,16 @@ def one_fold(df, machine, cols):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("least", [7, 10_000])
-def test_timed_devices_are_cut_at_gaps(spark, monkeypatch, least):
-    monkeypatch.setattr(scan, "TIMED_EVENTS", least)
+@pytest.fixture
+def shuffle_partitions(spark, request):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+@pytest.mark.parametrize("shuffle_partitions", ["1", "3", "16"], indirect=True)
+def test_timed_ranges_give_the_rows_of_one_fold(spark, shuffle_partitions):
     key = lambda out: sorted(str((r["device_id"], r["step"], pd.Timestamp(r["at"]), *r[3:])) for r in out.collect())
     df = many_presses(spark, FIVE_BUTTONS[:4] * 3 + FIVE_BUTTONS)
     assert key(five.timed(df)) == one_fold(df, five.Timed, ["button"])
@@ -230,9 +237,57 @@ def test_ranges_give_the_rows_of_one_fold(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
-@pytest.mark.parametrize("least", [1, 10_000])
-def test_events_without_a_time_take_no_part(spark, monkeypatch, least):
-    monkeypatch.setattr(scan, "TIMED_EVENTS", least)
+def timed_rows(out):
+    return sorted(str((r["device_id"], r["step"], pd.Timestamp(r["at"]), *r[3:])) for r in out.collect())
+
+
+@pytest.mark.parametrize("shuffle_partitions", ["8"], indirect=True)
+@pytest.mark.parametrize("gap_ms", [100, 0], ids=["dense", "burst"])
+def test_a_timed_device_without_a_gap_is_many_tasks(spark, shuffle_partitions, gap_ms):
+    """An event each 100 ms, and all within one instant: never a time when nothing is pending, several ranges, the rows of one fold."""
+    rng = np.random.default_rng(11)
+    names = FIVE_BUTTONS[:4] * 3 + FIVE_BUTTONS
+    rows = [(7, T0 + dt.timedelta(milliseconds=gap_ms * i), i, names[int(rng.integers(len(names)))]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "device_id long, ts timestamp_ntz, seq long, button string")
+    out = five.timed(df)
+    assert timed_rows(out) == one_fold(df, five.Timed, ["button"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or these few rows would be put together again
+    try:
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = ("igniter", "test", "enable", "ready", "launch") * 3 + ("lp_cancel", "circuit", "full_reset")
+    rows = [(2**60 + 1, *r[1:3], names[int(rng.integers(len(names)))], bool(rng.integers(2))) for r in rows]
+    df = spark.createDataFrame(rows, SEVEN)
+    assert timed_rows(seven._timed(df)) == one_fold(df, lambda: seven.Timed("IDLE/0/1"), ["input", "arg"])
+
+
+def test_lanes_that_meet_keep_their_own_counts():
+    """Each entry's exit and number of rows are those of a fold from it alone, also with results pending at the start."""
+    entries = [*FIVE_STATES, "IDLE 100000 test 3", "ENABLED 250000 ready 1 300000 test 1", "READY 450000 launch 1"]
+    rng, epoch = np.random.default_rng(5), dt.datetime(1970, 1, 1)
+    presses = [(epoch + dt.timedelta(milliseconds=60 * i), FIVE_BUTTONS[int(rng.integers(6))]) for i in range(101)]
+    lanes = scan._Lanes(entries, lambda code: scan._opened(five.Timed, code))
+    for e in presses:
+        lanes.press(*e)
+    alone = []
+    for code in entries:
+        m = scan._opened(five.Timed, code)
+        assert scan._coded(m) == code
+        n = sum(len(m.press(*e)) for e in presses)
+        alone.append((code, scan._coded(m), n))
+    assert lanes.done() == alone and len(lanes.lanes) < len(entries) and len({n for *_, n in alone}) > 1
+
+
+def test_timed_takes_no_events_and_null_devices(spark):
+    none = events(spark, [(0, "test")]).limit(0)
+    assert five.timed(none).count() == 0 and five.timed(none).columns == ["device_id", "step", "at", "kind", "name", "state", "next_state"]
+    df = events(spark, [(0, "test"), (700, "enable")]).withColumn("device_id", F.lit(None).cast("long"))
+    assert [(r["device_id"], r["next_state"]) for r in five.timed(df).orderBy("step").collect()] == [(None, "IDLE"), (None, "CIRCUIT_TESTED"), (None, "ENABLED")]
+
+
+@pytest.mark.parametrize("shuffle_partitions", ["1", "4"], indirect=True)
+def test_events_without_a_time_take_no_part(spark, shuffle_partitions):
     rows = [(0, "test"), (5000, "enable"), (9000, "ready")]
     df = events(spark, rows).union(spark.createDataFrame([(1, None, 9, "test"), (1, None, None, "lpu_cancel")], "device_id long, ts timestamp_ntz, seq long, button string"))
     assert five.timed(df).orderBy("step").collect() == five.timed(events(spark, rows)).orderBy("step").collect()
