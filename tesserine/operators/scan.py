@@ -158,9 +158,12 @@ class _Lanes:
         self.lane_of, self.ahead, self.n, self.presses = list(range(len(entries))), [0] * len(entries), [0] * len(entries), 0
 
     def press(self, *event: Any) -> None:
+        if len(self.lanes) == 1:
+            self.n[0] += len(self.lanes[0].press(*event))
+            return
         self.n = [n + len(m.press(*event)) for n, m in zip(self.n, self.lanes, strict=True)]
         self.presses += 1
-        if len(self.lanes) > 1 and self.presses % self.EVERY == 0:
+        if self.presses % self.EVERY == 0:
             self._merge()
 
     def _merge(self) -> None:
@@ -231,8 +234,7 @@ def _closure(laid: DataFrame, long: DataFrame, states: Sequence[str], start: str
         heads = asked.groupBy("device_id", "p").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
         made = written(_headed(laid.join(heads, _same(laid, heads), "left_semi"), heads, cols).mapInArrow(fold, schema), "timed-maps")
         known = made if known is None else known.union(made)
-        left = made.join(inner, _same(made, inner)).select(made["device_id"], F.col("following").alias("p"), F.col("exit").alias("entry"))
-        left = left.join(inner, _same(left, inner), "left_semi").distinct()
+        left = made.join(inner.filter("followed"), _same(made, inner)).select(made["device_id"], F.col("following").alias("p"), F.col("exit").alias("entry")).distinct()
         asked = written(left.join(known, _same(left, known) & (left["entry"] == known["entry"]), "left_anti"), "timed-asked")
         if asked.isEmpty():
             return known
@@ -261,7 +263,7 @@ def timed(events: DataFrame, states: Sequence[str], start: str, machine: Callabl
     clean = events.withColumn("device_id", F.col("device_id").cast("long")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     laid = written(_ranges(clean, cols).withColumn("p", F.spark_partition_id()), "timed")
     place = Window.partitionBy("device_id").orderBy("p")
-    segments = laid.groupBy("device_id", "p").agg(F.count(F.lit(1)).alias("n")).select("device_id", "p", F.lead("p").over(place).alias("following"), F.lag("p").over(place).isNull().alias("opens"))
+    segments = laid.groupBy("device_id", "p").agg(F.count(F.lit(1)).alias("n")).select("device_id", "p", F.lead("p").over(place).alias("following"), F.lag("p").over(place).isNull().alias("opens"), F.lead("p", 2).over(place).isNotNull().alias("followed"))
     long = written(segments.filter("NOT opens OR following IS NOT NULL"), "timed-segments")
     entered = "device_id long, p int, entry string, before long, ends boolean"
 
