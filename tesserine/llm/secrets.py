@@ -17,6 +17,8 @@ BASE = KINDS[:3]
 #: A value in more different texts than this is a copied example, however few sources they have.
 MAX_REPOSITORIES = 8
 SPAN = "array<struct<start:int,k:int,end:int,value:string>>"
+#: Matches that are put one behind another in a list of their own; lists are then joined once.
+RUN = 64
 
 
 def _found(text: Column, kind: int, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -24,11 +26,12 @@ def _found(text: Column, kind: int, pattern: str, group: int = 0, least: int = 0
 
     split() gives the text between the matches, regexp_extract_all() the matches; the running length
     of both gives the places. Group `group` is the value; values shorter than `least` are dropped after
-    matching, so that a failing match still uses up its characters.
+    matching, so that a failing match still uses up its characters. Lists grow in runs of RUN matches, so that
+    a text with very many of them isn't copied for each.
     """
     between = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+    begun = lambda pos: F.struct(pos.alias("pos"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"])
@@ -39,7 +42,10 @@ def _found(text: Column, kind: int, pattern: str, group: int = 0, least: int = 0
         return F.struct(end.cast("int").alias("pos"), out.cast(SPAN).alias("out"))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / RUN).cast("int")), lambda i: F.slice(pairs, i * RUN + 1, F.lit(RUN)))
+    joined = lambda acc, run: F.concat(acc, F.array(F.aggregate(run, begun(F.element_at(acc, -1)["pos"]), step)))
+    spans = F.aggregate(runs, F.array(begun(F.lit(0))), joined, lambda acc: F.flatten(F.transform(acc, lambda run: run["out"])))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
