@@ -11,6 +11,8 @@ from tesserine.llm.common import settle, table, word_count
 
 #: Hex digits of the sampling hash that make a histogram bucket: 16**4 buckets a source at most.
 BUCKET_DIGITS = 4
+#: Columns that repetitions() adds.
+MADE = ("size", "source_size", "target", "reps")
 
 
 def weigh(sources: DataFrame, weights: Sequence[int] = (3, 1, 2)) -> DataFrame:
@@ -70,10 +72,15 @@ def repetitions(
     A histogram of the order (fixed buckets of the hash) finds the one bucket where the source's words
     end; only that bucket's documents are sorted. Null text: size 0. Null source: a source of its own.
     Equal doc_id: neighbours in the order, the shorter first; null doc_id: by a hash of the text. Empty docs:
-    no rows. Columns of docs with the names added here are replaced, others stay (mix() keeps all).
+    no rows. Columns of docs with the names added here are replaced, others stay, whatever their names (mix() keeps all).
     """
-    made = ["size", "source_size", "target", "reps"]
-    base = docs.drop(*made)
+    kept = [c for c in docs.columns if c.lower() not in MADE]
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in kept)).alias("row"), docs[f"`{doc_id}`"].alias("doc_id"), "text", "source")
+    return _drawn(rows, weights, budget_share, max_epochs, seed).select("row.*", *MADE)
+
+
+def _drawn(base: DataFrame, weights: Sequence[int] = (3, 1, 2), budget_share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", doc_id: str = "doc_id") -> DataFrame:
+    """repetitions() of a table that has no names of its own beside row, doc_id, text and source."""
     sized = base.withColumn("size", word_count(F.col("text"))).withColumn("_ticket", ticket(doc_id, seed))
     sized = sized.withColumn("_bucket", F.substring("_ticket", 1, BUCKET_DIGITS))
     buckets = settle(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("words")), "mix-buckets")
@@ -99,7 +106,7 @@ def repetitions(
     so_far = F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     inside = joined.filter(at_cut).withColumn("_more", (so_far * 2 + F.col("size") < F.col("_need") * 2).cast("int"))
     out = outside.unionByName(inside)
-    return out.withColumn("reps", (F.col("_whole") + F.col("_more")).cast("int")).select(*base.columns, *made)
+    return out.withColumn("reps", (F.col("_whole") + F.col("_more")).cast("int")).select(*base.columns, *MADE)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -107,13 +114,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     names."""
     doc_id = options.get("doc_id", "doc_id")
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), doc_id, "text", "source")
-    drawn = repetitions(rows, **options).filter("reps > 0")
+    drawn = _drawn(rows, **options).filter("reps > 0")
     return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("reps"))).alias("copy")).select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = repetitions(docs)
+    out = _drawn(docs)
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("reps")).cast("long").alias("taken"))
 
 
