@@ -210,15 +210,17 @@ def fit_label_model(fires: np.ndarray, n: np.ndarray, labelled: np.ndarray, star
     return model
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression on soft labels by Newton's method: weights (the last is the bias), mean, scale."""
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+def fit_linear(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression on soft labels by Newton's method: weights (the last is the bias), mean, scale. Row i counts n[i] times."""
+    n = np.ones(len(x)) if n is None else n
+    mean = np.average(x, axis=0, weights=n)
+    scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=n)), 1e-6)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    keep = np.r_[np.full(x.shape[1], ridge * len(x)), 1e-9]
+    keep = np.r_[np.full(x.shape[1], ridge * n.sum()), 1e-9]
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(keep), z.T @ (p - y) + keep * w)
+        step = np.linalg.solve((z * (n * (p * (1 - p) + 1e-9))[:, None]).T @ z + np.diag(keep), z.T @ (n * (p - y)) + keep * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -231,7 +233,8 @@ def score_rows(docs: DataFrame, labels: DataFrame, fit_sample: int = FIT_SAMPLE)
 
     Words and the label model's priors are learned from labels of documents that aren't held out; the
     label model also sees the votes on all other documents. The classifier is fitted to the posteriors of
-    about `fit_sample` labelled rows (all, if they are fewer), picked by a hash of the row. Null or empty
+    about `fit_sample` labelled rows (all, if they are fewer), picked by a hash of the row and counted by what is seen of them,
+    so that a row repeated a million times comes to the driver once. Null or empty
     text scores as a text without any word. Without labels the seeds alone vote, and rows without a
     label are picked. The text is read twice (lexicon, votes); what follows reads a slim table.
     """
@@ -250,12 +253,13 @@ def score_rows(docs: DataFrame, labels: DataFrame, fit_sample: int = FIT_SAMPLE)
     labelled = int(counts[:, 1:].sum())
     pool = slim.join(known, "doc_id", "left_semi") if labelled else slim.filter(~held_out(F.col("doc_id")))
     share = min(1.0, fit_sample / max(labelled or int(counts[:, 0].sum()), 1))
-    picked = pool.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("f", "votes").collect()
+    picked = pool.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).groupBy("f", "votes").agg(F.count(F.lit(1)).alias("n"))
+    picked = picked.orderBy("votes", "f").collect()  # rows that are alike, repeated ones included, are one row with a weight
     linear = F.lit(0.0)
     if picked:
         x = np.array([r["f"] for r in picked], float)
         bits = ((np.array([r["votes"] for r in picked], np.int64)[:, None] >> np.arange(voters)) & 1).astype(float)
-        w, mean, scale = fit_linear(x, model.posterior(bits))
+        w, mean, scale = fit_linear(x, model.posterior(bits), np.array([r["n"] for r in picked], float))
         slope = w[:-1] / scale
         linear = F.lit(float(w[-1] - (slope * mean).sum()))
         for i, s in enumerate(slope.tolist()):

@@ -298,6 +298,24 @@ def test_toxicity_equals_brute_force(spark):
         assert abs(got[k] - score) < 1e-4, (k, got[k], score)
 
 
+def test_linear_fit_counts_rows():
+    rng = np.random.default_rng(2)
+    x, y, n = rng.normal(size=(40, 3)), rng.random(40), rng.integers(1, 50, 40)
+    one, many = toxicity.fit_linear(x, y, n.astype(float)), toxicity.fit_linear(np.repeat(x, n, axis=0), np.repeat(y, n))
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(one, many, strict=True))
+
+
+def test_toxicity_of_a_row_repeated_very_often(spark):
+    """One labelled row many times: it counts as often, is one row of the fit, and has one score."""
+    rows = [(i, f"plain words number {'abcdefgh'[i % 8]} of text") for i in range(40)] + [(100 + i, "you idiot moron scum idiot!!") for i in range(10)]
+    labels = spark.createDataFrame([(k, int(k >= 100)) for k, _ in rows], "doc_id long, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    again = df.filter("doc_id = 3").crossJoin(spark.range(3000).select()).union(df)
+    out = toxicity.score(again, labels).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("a"), F.max("score").alias("b"), F.max("predicted").alias("p")).collect()
+    assert {r["doc_id"]: r["n"] for r in out} == {k: 3001 if k == 3 else 1 for k, _ in rows}
+    assert all(r["a"] == r["b"] and r["p"] == int(r["doc_id"] >= 100) for r in out)
+
+
 # ---- preference pairs ----
 
 
@@ -503,6 +521,15 @@ def test_word_encoder_equals_the_library():
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
 
+def test_repetitions_keep_columns_of_their_own_names(spark):
+    rows = [(i, f"{'w ' * (i % 5 + 1)}", f"s{i % 3}", i, f"t{i}", -i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _bucket long, _ticket string, _cut long")
+    out = mixing.repetitions(docs).collect()
+    assert {(r["doc_id"], r["_bucket"], r["_ticket"], r["_cut"]) for r in out} == {(i, i, f"t{i}", -i) for i in range(60)} and len(out) == 60
+    plain = mixing.repetitions(docs.select("doc_id", "text", "source")).select("doc_id", "size", "target", "reps")
+    assert {tuple(r[c] for c in plain.columns) for r in out} == {tuple(r) for r in plain.collect()}
+
+
 def spans(t):
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
@@ -519,6 +546,14 @@ def test_secrets(spark, hard, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    """More matches than a run holds, at its edges too; failing ones use up characters in between."""
+    for n in (secrets.RUN - 1, secrets.RUN, secrets.RUN + 1, 3 * secrets.RUN, 5000):
+        t = "é ".join(("token=short", f"token: {i:012d}ab", f"{i:016x}")[i % 3] for i in range(n))
+        got = secrets_rows(spark, spark.createDataFrame([(1, t, "s")], "doc_id long, text string, source string"))
+        assert [r["base_sha256"] for r in got] == [hashlib.sha256(spans(t).encode()).hexdigest()]
+
+
 def secrets_rows(spark, df):
     out = secrets.scan(df)
     return out.select("doc_id", F.sha2(secrets._listed(F.col("base")), 256).alias("base_sha256")).collect()
