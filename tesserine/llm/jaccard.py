@@ -63,10 +63,10 @@ def prefix_of(tokens: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
     return prefix if len(prefix) == take else np.concatenate((prefix, tokens[late][: take - len(prefix)]))
 
 
-def parity_sketch(tokens: np.ndarray) -> bytes:
-    """One bit a slot; slots are the low bits of a token, their number the power of two from the set's size on
-    (64 at least), so a narrower sketch is the xor of a wider one's halves."""
-    width = max(64, 1 << (len(tokens) - 1).bit_length())
+def parity_sketch(tokens: np.ndarray, each: int = 1) -> bytes:
+    """One bit a slot; slots are the low bits of a token, their number the power of two from `each` times the set's size
+    on (64 at least), so a narrower sketch is the xor of a wider one's halves."""
+    width = max(64, 1 << (each * len(tokens) - 1).bit_length())
     odd = np.bincount((tokens & U64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 

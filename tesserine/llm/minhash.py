@@ -3,36 +3,38 @@
 Two permutations make all coordinates of a signature. The first scatters a set's shingles over a circle of
 2**32 places; the second ranks the places, and coordinate k is the least rank of the set's places moved on
 by k. BANDS bands of ROWS coordinates make candidates: two sets of similarity s share none with probability
-(1 - s**ROWS)**BANDS, 1e-9 at 0.8, less above. One byte of each coordinate goes along with a set, and pairs that
-agree in too few of them for a link (1e-8) are left out; all others are decided on whole sets.
+(1 - s**ROWS)**BANDS, 1e-9 at 0.8, less above. A parity sketch goes along with a set, and pairs whose sketches
+differ too much for a link are left out, which is exact; all others are decided on whole sets.
 
 Links only matter for what they connect. So each set is first compared with one of its candidates, then with
-those that are still in other components; and where a band holds sets of several components, those outside
-its largest are compared with its other sets by their bytes, in blocks of bounded size.
+those that are still in other components. Where a band holds sets of several components after that, those
+outside its largest are compared with its other sets in blocks of bounded size: first by their sketches, which
+tells the sets that may have a link there, then those on whole sets. A block gives one row for a set at most, and
+no more links than it has components, however many of its pairs are alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm.common import release, row_key, settle, table
 from tesserine.llm.graph import components
-from tesserine.llm.jaccard import sets_by_name, sets_of
+from tesserine.llm.jaccard import Block, close, parity_sketch, sets_by_name, sets_of
 
 U32, U64 = np.uint32, np.uint64
 #: Bands, and coordinates in each, for a threshold of 80 percent.
 BANDS, ROWS = 52, 5
-#: Share of coordinates in which a pair must agree to be compared on whole sets.
-AGREE = 0.64
+#: Slots of a parity sketch for each shingle of a set, at least.
+SLOTS_EACH = 2
 #: Shingles whose coordinates are computed at a time: the arrays stay in the processor's cache.
 LOT = 1 << 15
-#: Bytes of partners in a lot; bytes of signatures in a block of sets, and of those that ask.
+#: Bytes of partners in a lot; bytes of a block of sets, and of those that ask.
 PARTNERS, BLOCK, ASKING = 16 << 20, 8 << 20, 1 << 20
 
 
@@ -81,10 +83,10 @@ def band_names(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """docs(doc_id, k1, k2, text) -> doc_id, k1, k2, n, sid (names the set; null if empty), bands (null for a set that only
-    an equal one can resemble), bytes (of each coordinate)."""
+    """docs(doc_id, k1, k2, text) -> doc_id, k1, k2, n, sid (names the set; null if empty), bands, bytes (of each
+    coordinate), parity (the set's sketch); these are null for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, k1 long, k2 long, n long, sid binary, bands array<long>, bytes binary"
+    schema = f"doc_id {kind}, k1 long, k2 long, n long, sid binary, bands array<long>, bytes binary, parity binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,30 +95,19 @@ def sign(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             made = signatures_of(full, bands * rows)
             low = (made & U32(255)).astype(np.uint8)
             names = band_names(low, bands, rows)
-            at, sids, lists, raws = 0, [], [], []
+            at, sids, lists, raws, parity = 0, [], [], [], []
             for s in sets:
                 sids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 lists.append(names[at] if len(s) else None)
                 raws.append(low[at].tobytes() if len(s) else None)
+                parity.append(parity_sketch(s, SLOTS_EACH) if len(s) else None)
                 at += len(s) > 0
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(raws, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], names=["doc_id", "k1", "k2", "n", "sid", "bands", "bytes"])
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(raws, pa.binary()), pa.array(parity, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], names=["doc_id", "k1", "k2", "n", "sid", "bands", "bytes", "parity"])
 
     return docs.select("doc_id", "k1", "k2", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b, na, nb, ba, bb) -> a, b of those whose sizes and signatures allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= AGREE * len(x) for x, y in zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return pairs.filter(fits).select("a", "b", "ba", "bb").mapInArrow(run, "a binary, b binary")
-
-
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs(a, b), sets(sid, n, k1, k2) -> the pairs that are links: 100 * intersection >= percent * union.
 
@@ -169,71 +160,131 @@ class Labels:
         return pairs.join(of("a"), "a").join(of("b"), "b")
 
 
-def across(members: DataFrame, percent: int, rows: int, every: bool) -> DataFrame:
-    """members(band, sid, n, bytes, root, minor): in each band, its minor sets against the sets of other roots -> pairs (a, b)
-    whose sizes and signatures allow a link: one for each minor set and other root, or `every` one. A pair is found in
-    the first band that it shares and not in the others."""
-    blocks = lambda rows, size: F.ceil(F.sum(F.when(rows, F.octet_length("bytes") + 64)) / F.lit(size)).cast("int")
-    sized = settle(members.groupBy("band").agg(blocks(F.lit(True), BLOCK).alias("nx"), blocks(F.col("minor"), ASKING).alias("ny")), "minhash-blocks")
-    placed = members.join(sized, "band")
+#: What a set brings into a block.
+MEMBER = ["sid", "n", "bytes", "parity", "root"]
+
+
+def place(there: DataFrame, asking: DataFrame, weight: Column, *more: str) -> DataFrame:
+    """The sets of each band, and those of them that ask, both with MEMBER and `more` -> the rows of the band's blocks
+    (x, y): each set that asks meets each set of its band in one of them."""
+    blocks = lambda rows, size, name: rows.groupBy("band").agg(F.ceil(F.sum(weight) / F.lit(size)).cast("int").alias(name))
+    sized = settle(blocks(there, BLOCK, "nx").join(blocks(asking, ASKING, "ny"), "band"), "minhash-blocks")
     of = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["band", "sid", "n", "bytes", "root"]
-    there = placed.select(*cols, of("nx").alias("x"), each("ny").alias("y"), F.lit(False).alias("asks"))
-    asking = placed.filter("minor").select(*cols, each("nx").alias("x"), of("ny").alias("y"), F.lit(True).alias("asks"))
-
-    def compare(band: int, held: list[tuple], asking: list[tuple], out: list[tuple]) -> None:
-        held.sort(key=lambda r: r[1])
-        n, root = np.array([r[1] for r in held]), [r[3] for r in held]
-        grid = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
-        for sid, size, raw, own in asking:
-            lo, hi = np.searchsorted(n, -(-size * percent // 100)), np.searchsorted(n, size * 100 // percent, "right")
-            agree = grid[lo:hi] == np.frombuffer(raw, np.uint8)
-            near = np.flatnonzero(np.count_nonzero(agree, axis=1) >= AGREE * grid.shape[1])
-            shared = agree[near].reshape(len(near), -1, rows).all(axis=2).argmax(axis=1)
-            seen = {own}
-            for i in (lo + near[shared == band]).tolist():
-                if root[i] not in seen:
-                    if not every:
-                        seen.add(root[i])
-                    out.append((sid, held[i][0], root[i]))
+    cols = ["band", *MEMBER, *more]
+    held = there.join(sized, "band").select(*cols, of("nx").alias("x"), each("ny").alias("y"), F.lit(False).alias("asks"))
+    return held.union(asking.join(sized, "band").select(*cols, each("nx").alias("x"), of("ny").alias("y"), F.lit(True).alias("asks")))
+
+
+def in_blocks(placed: DataFrame, compare: Callable[[int, list[tuple], list[tuple]], Iterator[tuple]], schema: str, *more: str) -> DataFrame:
+    """placed(band, x, y, asks, MEMBER, more) -> what `compare` gives for each block: it gets the band, the sets there, and
+    those that ask."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    types = [{"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[k] for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, ([], [])
 
         def done() -> pa.RecordBatch:
-            out: list[tuple] = []
-            if sides[0] and sides[1]:
-                compare(now[0] >> 8 * rows, *sides, out)
+            out = list(compare(now[0], *sides)) if sides[0] and sides[1] else []
             for x in sides:
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in range(3)], names=["asks", "sid", "root"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=list(names))
 
         for batch in batches:
-            for *key, asks, sid, size, raw, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, asks, sid, size, raw, parity, root, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
                     yield done()
                     now = key
-                sides[asks].append((sid, size, raw, root))
+                sides[asks].append((sid, size, raw, parity, root, tokens))
         yield done()
 
-    both = there.union(asking).select("band", "x", "y", "asks", "sid", "n", "bytes", "root")
-    found = both.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(run, "asks binary, sid binary, root binary")
-    if not every:
-        found = found.groupBy("asks", "root").agg(F.min("sid").alias("sid"))
-    return settle(found.select(F.least("asks", "sid").alias("a"), F.greatest("asks", "sid").alias("b")).distinct(), "minhash-across")
+    rows = placed.select("band", "x", "y", "asks", *MEMBER, *more) if more else placed.select("band", "x", "y", "asks", *MEMBER, F.lit(None).cast("binary").alias("tokens"))
+    return rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(run, schema)
+
+
+def partners(band: int, held: list[tuple], asking: list[tuple], percent: int, rows: int) -> Iterator[tuple[tuple, list[int]]]:
+    """Each set that asks, and the places of the sets of other roots whose sketches allow a link with it. A pair is
+    found in the first band that it shares and not in the others."""
+    number: dict[bytes, int] = {}
+    roots = np.array([number.setdefault(r[4], len(number)) for r in held])
+    block = Block(np.array([r[1] for r in held]), [r[3] for r in held], roots)
+    grid = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
+    for ask in sorted(asking, key=lambda r: r[1]):
+        at = block.partners(ask[1], ask[3], number.get(ask[4], -1), percent)
+        if len(at):
+            shared = (grid[at] == np.frombuffer(ask[2], np.uint8)).reshape(len(at), -1, rows).all(axis=2).argmax(axis=1)
+            at = at[shared == band >> 8 * rows]
+        if len(at):
+            yield ask, at.tolist()
+
+
+def may_link(members: DataFrame, percent: int, rows: int) -> DataFrame:
+    """members(band, MEMBER, minor) -> band, sid, asks of the minor sets for which sketches allow a link (asks), and of the
+    sets of other roots that they could link with."""
+
+    def compare(band: int, held: list[tuple], asking: list[tuple]) -> Iterator[tuple]:
+        found = set()
+        for ask, at in partners(band, held, asking, percent, rows):
+            found.update(at)
+            yield band, ask[0], True
+        for i in found:
+            yield band, held[i][0], False
+
+    placed = place(members, members.filter("minor"), F.octet_length("bytes") + F.octet_length("parity") + 64)
+    return settle(in_blocks(placed, compare, "band long, sid binary, asks boolean").distinct(), "minhash-may-link")
+
+
+def links_across(members: DataFrame, asked: DataFrame, docs: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
+    """The sets of `asked`, as may_link gives it, on whole sets -> links (a, b) that connect the components which have any
+    link: a block decides its pairs itself, and gives a link only where those before don't lead to the same."""
+
+    def compare(band: int, held: list[tuple], asking: list[tuple]) -> Iterator[tuple]:
+        tokens = [np.frombuffer(r[5], "<u8") for r in held]
+        known, place_of = np.unique(np.concatenate(tokens), return_inverse=True)
+        places = np.split(place_of, np.cumsum([len(x) for x in tokens])[:-1])
+        mark = np.zeros(len(known), bool)
+        up: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while (y := up.get(x)) is not None:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for ask, at in partners(band, held, asking, percent, rows):
+            own = np.frombuffer(ask[5], "<u8")
+            mine = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            mine = mine[known[mine] == own]
+            mark[mine] = True
+            for i in at:
+                x, y = top(ask[4]), top(held[i][4])
+                if x == y:
+                    continue
+                both = np.count_nonzero(mark[places[i]])
+                if 100 * both >= percent * (len(own) + len(places[i]) - both):
+                    up[x] = y
+                    yield min(ask[0], held[i][0]), max(ask[0], held[i][0])
+            mark[mine] = False
+
+    chosen = lambda side: members.join(asked.filter(side).select("band", "sid"), ["band", "sid"])
+    placed = place(chosen("NOT asks"), chosen("asks"), F.octet_length("bytes") + F.octet_length("parity") + F.col("n") * 8 + 64, "k1", "k2")
+    wanted = settle(placed, "minhash-placed")
+    out = settle(in_blocks(sets_by_name(docs, wanted, size), compare, "a binary, b binary", "tokens").distinct(), "minhash-across")
+    release(wanted)
+    return out
 
 
 def label(docs: DataFrame, classes: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
-    """classes(sid, n, k1, k2, bands, bytes) -> sid, root for the sets that share a band with another."""
+    """classes(sid, n, k1, k2, bands, bytes, parity) -> sid, root for the sets that share a band with another."""
     marked = classes.select("sid", "n", F.explode("bands").alias("band"))
     full = settle(marked.groupBy("band").agg(F.min("sid").alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "minhash-bands")
     held = settle(marked.join(full, "band"), "minhash-held")
-    sets = settle(classes.select("sid", "n", "k1", "k2", "bytes").join(held.select("sid").distinct(), "sid"), "minhash-sets")
+    sets = settle(classes.select("sid", "n", "k1", "k2", "bytes", "parity").join(held.select("sid").distinct(), "sid"), "minhash-sets")
     release(full)
-    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bytes").alias(f"b{x}"))
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     stars = held.filter("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
-    near = settle(alike(stars.join(side("a"), "a").join(side("b"), "b"), percent), "minhash-near")
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    near = settle(close(stars.join(side("a"), "a").join(side("b"), "b").filter(fits), percent), "minhash-near")
     labels = Labels(sets)
     first = settle(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "minhash-first")
     labels.add(verify(first, docs, sets, size, percent))
@@ -241,20 +292,15 @@ def label(docs: DataFrame, classes: DataFrame, size: int, percent: int, rows: in
     if not apart.isEmpty():
         labels.add(verify(apart, docs, sets, size, percent))
     release(first, apart, near)
-    for every in (False, True):
-        # bands whose sets aren't all in one component, and their largest one
-        counts = held.join(labels.table, "sid").groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
-        top = settle(counts.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band", "top"), "minhash-top")
-        placed = held.select("band", "sid").join(top, "band").join(labels.table, "sid").join(sets.select("sid", "n", "bytes"), "sid")
-        members = settle(placed.select("band", "sid", "n", "bytes", "root", (F.col("root") != F.col("top")).alias("minor")), "minhash-members")
-        found = across(members, percent, rows, every)
-        none = found.isEmpty()
-        if not none:
-            labels.add(verify(found, docs, sets, size, percent))
-        release(top, members, found)
-        if none:
-            break
-    release(held, sets)
+    # bands whose sets aren't all in one component, and their largest one
+    counts = held.join(labels.table, "sid").groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
+    top = settle(counts.groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band", "top"), "minhash-top")
+    placed = held.select("band", "sid").join(top, "band").join(labels.table, "sid").join(sets, "sid")
+    members = settle(placed.select("band", *MEMBER, "k1", "k2", (F.col("root") != F.col("top")).alias("minor")), "minhash-members")
+    asked = may_link(members, percent, rows)
+    if not asked.isEmpty():
+        labels.add(links_across(members, asked, docs, size, percent, rows))
+    release(top, members, asked, held, sets)
     return labels.table
 
 
@@ -272,8 +318,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     base = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
     signed = settle(sign(base, size, bands, rows), "minhash-signed")
     some = lambda c: F.first(c).alias(c)
-    merged = signed.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), some("n"), some("bands"), some("bytes"))
-    classes = settle(merged.select("sid", "least", "k.k1", "k.k2", "n", "bands", "bytes"), "minhash-classes")
+    merged = signed.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), some("n"), some("bands"), some("bytes"), some("parity"))
+    classes = settle(merged.select("sid", "least", "k.k1", "k.k2", "n", "bands", "bytes", "parity"), "minhash-classes")
     slim = settle(signed.select("doc_id", "k1", "k2", "n", "sid"), "minhash-rows")
     release(signed)
     labels = label(base, classes, size, percent, rows)

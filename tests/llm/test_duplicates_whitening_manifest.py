@@ -104,6 +104,35 @@ def test_texts_of_common_sentences(spark):
     assert got(table_of(spark, [(*r, "s") for r in rows]), size=2) == clustered(rows, 2, 80)
 
 
+@pytest.mark.parametrize(("changed", "blocks"), [(9, None), (7, None), (7, 20000)])
+def test_alike_but_unlinked_texts_make_no_table_of_pairs(spark, changed, blocks, monkeypatch):
+    """A large group whose pairs are all alike, below 80 percent (9 words changed) or right around it (7): no table has
+    more rows than the sets have bands, although every pair is decided."""
+    rng, base = np.random.default_rng(changed), [f"b{i}" for i in range(200)]
+    rows = []
+    for k in range(170):
+        words = list(base)
+        for at in rng.choice(200, changed, replace=False):
+            words[at] = f"own{k}at{at}"
+        rows.append((k, " ".join(words)))
+    counts, real = collections.defaultdict(int), minhash.settle
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name] = max(counts[name], out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "settle", counted)
+    if blocks:
+        monkeypatch.setattr(minhash, "BLOCK", blocks)
+        monkeypatch.setattr(minhash, "ASKING", blocks)
+    want = clustered(rows, 2, 80)
+    assert len({r[2] for r in want}) > 60
+    assert got(table_of(spark, [(*r, "s") for r in rows]), size=2) == want
+    assert blocks or max(counts.values()) <= minhash.BANDS * len(rows) < len(rows) * (len(rows) - 1) // 2, dict(counts)
+    assert counts["minhash-across"] < len(rows) * minhash.BANDS
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
