@@ -171,41 +171,47 @@ def sets_by_name(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return made.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs(a, b) of set ids, keys(sid, k1, k2) -> the pairs that are links.
+def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """pairs(a, b, a1, a2, b1, b2, ra, rb) of set ids, their row keys and roots -> ra, rb of the pairs that are links.
 
     The partners of a set are dealt to chunks, and the set goes to each of its chunks once, so a set's
     tokens are shipped once for each set that asks for it, not for each pair.
     """
-    sized = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("nc"))
-    dealt = settle(pairs.join(sized, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("nc")).cast("int").alias("chunk")), "jaccard-dealt")
-    asks = dealt.select(F.col("b").alias("sid"), F.col("a").alias("hub"), "chunk", F.lit(False).alias("is_hub"))
-    hubs = dealt.select(F.col("a").alias("sid"), F.col("a").alias("hub"), "chunk", F.lit(True).alias("is_hub")).distinct()
-    rows = sets_by_name(docs, settle(asks.union(hubs).join(keys, "sid"), "jaccard-roles"), size)
+    wide = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CHUNK).select("a", F.ceil(F.col("m") / F.lit(CHUNK)).cast("int").alias("nc")), "jaccard-wide")
+    dealt = pairs.join(wide, "a", "left").withColumn("chunk", F.pmod(F.xxhash64("b"), F.coalesce("nc", F.lit(1))).cast("int"))
+    asks = dealt.select(F.col("a").alias("hub"), "chunk", F.col("b").alias("sid"), F.col("b1").alias("k1"), F.col("b2").alias("k2"), "ra", "rb")
+    hubs = dealt.select(F.col("a").alias("hub"), "chunk", F.col("a").alias("sid"), F.col("a1").alias("k1"), F.col("a2").alias("k2")).distinct()
+    roles = settle(asks.union(hubs.withColumn("ra", F.lit(None).cast("binary")).withColumn("rb", F.lit(None).cast("binary"))), "jaccard-roles")
+    rows = sets_by_name(docs, roles, size)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        hub, kept = g[g["is_hub"]].iloc[0], []
-        own = np.frombuffer(hub["tokens"], "<u8")
-        for sid, raw in zip(g["sid"], g["tokens"], strict=True):
+        is_hub, kept = g["sid"] == g["hub"], []
+        own = np.frombuffer(g[is_hub].iloc[0]["tokens"], "<u8")
+        asking = g[~is_hub]
+        for raw, ra, rb in zip(asking["tokens"], asking["ra"], asking["rb"], strict=True):
             other = np.frombuffer(raw, "<u8")
             both = len(np.intersect1d(own, other, assume_unique=True))
-            if sid != hub["sid"] and 100 * both >= percent * (len(own) + len(other) - both):
-                kept.append(sid)
-        return pd.DataFrame({"a": [hub["sid"]] * len(kept), "b": kept})
+            if 100 * both >= percent * (len(own) + len(other) - both):
+                kept.append((ra, rb))
+        return pd.DataFrame(kept, columns=["a", "b"])
 
-    return settle(rows.groupBy("hub", "chunk").applyInPandas(run, "a binary, b binary"), "jaccard-verified")
+    out = settle(rows.groupBy("hub", "chunk").applyInPandas(run, "a binary, b binary"), "jaccard-verified")
+    release(wide, roles)
+    return out
 
 
 def close(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b, na, nb, pa, pb) of set ids, sizes and sketches -> those whose sketches allow a link."""
+    """pairs(a, b, na, nb, pa, pb, more) of set ids, sizes and sketches -> those whose sketches allow a link: a, b, more."""
+    more = [c for c in pairs.columns if c not in ("a", "b", "na", "nb", "pa", "pb")]
+    out = pairs.select("a", "b", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = most_apart(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
             apart = np.array([_differ(x, y) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)], np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+            yield batch.select(["a", "b", *more]).filter(pa.array(apart <= most))
 
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(run, out.schema)
 
 
 class Block:
@@ -243,35 +249,87 @@ class Block:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def compare_groups(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """members(g, sid, n, parity, minor, root): each minor member of a group against the members of other roots,
-    in blocks of bounded size -> pairs (a, b) whose sketches allow a link: one for each member and root in a
-    block, or every one."""
-    there = members.withColumn("band", band_of(F.col("n"), percent))
-    asking = there.filter("minor").select("g", "sid", "n", "parity", "root", F.explode(near_bands(F.col("n"), percent)).alias("band"))
-    weigh = lambda name, size: F.ceil(F.sum(F.octet_length("parity") + 64) / F.lit(size)).cast("int").alias(name)
-    sized = there.groupBy("g", "band").agg(weigh("nb", BLOCK)).join(asking.groupBy("g", "band").agg(weigh("nm", MINOR)), ["g", "band"])
-    sized = settle(sized, "jaccard-blocks")
+#: What a set brings into a block.
+MEMBER = ["g", "band", "sid", "n", "k1", "k2", "parity", "root"]
+
+
+def place(there: DataFrame, asking: DataFrame, weight: Column, name: str) -> DataFrame:
+    """The sets of each group and band, and those of them that ask, both with MEMBER -> the rows of blocks (x, y) of
+    bounded size: each set that asks meets each set of its group and band in one of them."""
+    weigh = lambda rows, held, asks: rows.select("g", "band", (weight * F.lit(held)).alias("held"), (weight * F.lit(asks)).alias("asks"))
+    sums = weigh(there, 1, 0).union(weigh(asking, 0, 1)).groupBy("g", "band").agg(F.sum("held").alias("held"), F.sum("asks").alias("asks")).filter("held > 0 AND asks > 0")
+    blocks = lambda c, size: F.ceil(F.col(c) / F.lit(size)).cast("int")
+    sized = settle(sums.select("g", "band", blocks("held", BLOCK).alias("nb"), blocks("asks", MINOR).alias("nm")), f"{name}-blocks")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     of = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
-    cols = ["g", "band", "sid", "n", "parity", "root"]
-    major = there.join(sized, ["g", "band"]).select(*cols, of("nb").alias("x"), spread("nm").alias("y"), F.lit(False).alias("asks"))
-    minor = asking.join(sized, ["g", "band"]).select(*cols, spread("nb").alias("x"), of("nm").alias("y"), F.lit(True).alias("asks"))
+    major = there.join(sized, ["g", "band"]).select(*MEMBER, of("nb").alias("x"), spread("nm").alias("y"), F.lit(False).alias("asks"))
+    return major.union(asking.join(sized, ["g", "band"]).select(*MEMBER, spread("nb").alias("x"), of("nm").alias("y"), F.lit(True).alias("asks")))
+
+
+def may_link(members: DataFrame, percent: int) -> DataFrame:
+    """members(g, sid, n, k1, k2, parity, root, minor) -> MEMBER, asks: the minor members of groups for which sketches
+    allow a link (asks), and those of other roots in their groups that they could link with."""
+    there = members.withColumn("band", band_of(F.col("n"), percent)).select(*MEMBER)
+    asking = members.filter("minor").withColumn("band", F.explode(near_bands(F.col("n"), percent))).select(*MEMBER)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held, asking = rows[~rows["asks"]], rows[rows["asks"]]
+        found, met = [], np.zeros(len(held), bool)
+        if len(held) and len(asking):
+            block = Block(held["n"].to_numpy(), held["parity"].tolist(), held["root"].to_numpy())
+            for r in asking.itertuples():
+                at = block.partners(r.n, r.parity, r.root, percent)
+                met[at] = True
+                found.append(len(at) > 0)
+        return pd.concat((held[met], asking[np.array(found, bool)] if found else asking[:0]))[[*MEMBER, "asks"]]
+
+    placed = place(there, asking, F.octet_length("parity") + 64, "jaccard-may-link")
+    kind = placed.select(*MEMBER, "asks").schema
+    return settle(placed.groupBy("g", "band", "x", "y").applyInPandas(run, kind).dropDuplicates(["g", "band", "sid", "asks"]), "jaccard-asked")
+
+
+def links_across(asked: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The sets of `asked`, as may_link gives it, on whole sets -> a, b: roots that links connect. A block decides its pairs
+    itself, and gives a link only where those before don't lead to the same."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held, asking = rows[~rows["asks"]], rows[rows["asks"]]
         out: list[tuple[bytes, bytes]] = []
-        there = rows[~rows["asks"]]
-        sid, root = there["sid"].to_numpy(), there["root"].to_numpy()
-        block = Block(there["n"].to_numpy(), there["parity"].tolist(), root)
-        for r in rows[rows["asks"]].itertuples():
-            seen = set()
-            for i in block.partners(r.n, r.parity, r.root, percent).tolist():
-                if every or root[i] not in seen:
-                    seen.add(root[i])
-                    out.append((min(r.sid, sid[i]), max(r.sid, sid[i])))
+        up: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while (y := up.get(x)) is not None:
+                up[x] = x = up.get(y, y)
+            return x
+
+        if len(held) and len(asking):
+            roots = held["root"].to_numpy()
+            tokens = [np.frombuffer(x, "<u8") for x in held["tokens"]]
+            known, place_of = np.unique(np.concatenate(tokens), return_inverse=True)
+            places = np.split(place_of, np.cumsum([len(x) for x in tokens])[:-1])
+            mark = np.zeros(len(known), bool)
+            block = Block(held["n"].to_numpy(), held["parity"].tolist(), roots)
+            for r in asking.itertuples():
+                own = np.frombuffer(r.tokens, "<u8")
+                mine = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                mine = mine[known[mine] == own]
+                mark[mine] = True
+                for i in block.partners(r.n, r.parity, r.root, percent).tolist():
+                    x, y = top(r.root), top(roots[i])
+                    if x == y:
+                        continue
+                    both = np.count_nonzero(mark[places[i]])
+                    if 100 * both >= percent * (len(own) + len(places[i]) - both):
+                        up[x] = y
+                        out.append((r.root, roots[i]))
+                mark[mine] = False
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return major.union(minor).groupBy("g", "band", "x", "y").applyInPandas(run, "a binary, b binary").distinct()
+    chosen = lambda side: asked.filter(side).select(*MEMBER)
+    wanted = settle(place(chosen("NOT asks"), chosen("asks"), F.octet_length("parity") + F.col("n") * 8 + 64, "jaccard-across"), "jaccard-placed")
+    out = settle(sets_by_name(docs, wanted, size).groupBy("g", "band", "x", "y").applyInPandas(run, "a binary, b binary"), "jaccard-across")
+    release(wanted)
+    return out
 
 
 def band_of(n: Column, percent: int) -> Column:
@@ -308,8 +366,8 @@ def signatures(held: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """classes(v, n, prefix) -> pairs (a, b) of short names that share what links share, and stars (a, b): the
-    members of each frequent signature with one of them."""
+    """classes(v, n, prefix) -> pairs (a, b) of short names that share what links share, and stars (a, b, ...):
+    the members of each frequent signature with one of them."""
     tokens = classes.select("v", "n", F.explode("prefix").alias("t"))
     counts = settle(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-counts")
     held = settle(tokens.join(counts, "t"), "jaccard-held")
@@ -322,51 +380,55 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     pairs = settle(rare_pairs(held, percent).union(stars.filter(fits).select("a", "b")), "jaccard-pairs")
     release(held)
-    return pairs, stars.select("a", "b")
+    return pairs, stars
 
 
 def relabel(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """labels(sid, root), links(a, b) -> labels after the links; only roots that links touch are worked on."""
-    of = lambda c, r: labels.select(F.col("sid").alias(c), F.col("root").alias(r))
-    edges = links.join(of("a", "ra"), "a").join(of("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    moved = components(edges, name).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return settle(labels.join(settle(moved, f"{name}-moved"), "root", "left").select("sid", F.coalesce("to", "root").alias("root")), f"{name}-labels")
+    """labels(sid, root, ...), links(a, b) of roots -> labels after the links; only roots that links touch are worked on."""
+    moved = components(links, name).select(F.col("node").alias("root"), F.col("root").alias("to")).filter("root <> to")
+    rest = [c for c in labels.columns if c != "root"]
+    return settle(labels.join(moved, "root", "left").select(*rest, F.coalesce("to", "root").alias("root")), f"{name}-labels")
 
 
 def label(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """classes(sid, v, n, k1, k2, prefix, parity) -> sid, root: equal for the sets that links connect.
+    """classes(sid, v, n, k1, k2, prefix, parity, least) -> sid, least, root: equal for the sets that links connect.
 
     Each set is first verified with one of its candidates. Then the candidates that are still in different
     components; then, in the groups that frequent signatures connect, the members outside the group's
-    largest component against all others: first one for each member and root, then whatever is left apart.
+    largest component against all others: sketches leave few sets, and these are decided in blocks.
     """
     pairs, stars = candidates(classes, percent)
-    touched = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).union(stars.select(F.col("a").alias("v"))).union(stars.select(F.col("b").alias("v"))).distinct()
-    slim = settle(classes.select("sid", "v", "n", "k1", "k2", "parity").join(touched, "v"), "jaccard-slim")
-    keys = slim.select("sid", "k1", "k2")
-    side = lambda x: slim.select(F.col("v").alias(x), F.col("sid").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), "na", "nb", "pa", "pb").filter("a <> b")
-    near = settle(close(both, percent).distinct(), "jaccard-near")
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    labels = slim.select("sid", F.col("sid").alias("root"))
-    labels = relabel(labels, verify(first, docs, keys, size, percent), "jaccard-first")
+    touched = pairs.union(stars.select("a", "b")).select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    slim = settle(classes.select("sid", "v", "n", "k1", "k2", "parity", "least").join(touched, "v"), "jaccard-slim")
+    side = lambda x: slim.select(F.col("v").alias(f"v{x}"), *(F.col(c).alias(f"{to}{x}") for c, to in (("sid", "s"), ("n", "n"), ("parity", "p"))), F.struct("k1", "k2").alias(f"k{x}"))
+    both = pairs.select(F.col("a").alias("va"), F.col("b").alias("vb")).join(side("a"), "va").join(side("b"), "vb").filter("sa <> sb")
+    less = F.col("sa") < F.col("sb")
+    ends = lambda c, x, y: F.when(less, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}"))
+    keys = [ends("k", x, y)[f"k{i}"].alias(f"{x}{i}") for x, y in (("a", "b"), ("b", "a")) for i in (1, 2)]
+    near = close(both.select(ends("s", "a", "b").alias("a"), ends("s", "b", "a").alias("b"), "na", "nb", "pa", "pb", *keys), percent)
+    near = settle(near.dropDuplicates(["a", "b"]), "jaccard-near")
+    release(pairs)
+    first = near.groupBy("b").agg(F.min(F.struct("a", "a1", "a2")).alias("a"), F.first("b1").alias("b1"), F.first("b2").alias("b2"))
+    first = settle(first.select("a.a", "b", "a.a1", "a.a2", "b1", "b2", F.col("a.a").alias("ra"), F.col("b").alias("rb")), "jaccard-first")
+    labels = relabel(slim.select("sid", "least", F.col("sid").alias("root")), verify(first, docs, size, percent), "jaccard-first")
     of = lambda c, r: labels.select(F.col("sid").alias(c), F.col("root").alias(r))
-    apart = settle(near.join(of("a", "ra"), "a").join(of("b", "rb"), "b").filter("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti"), "jaccard-apart")
+    # of the first pairs those that are no links come again, which is less work than to leave them out
+    apart = settle(near.join(of("a", "ra"), "a").join(of("b", "rb"), "b").filter("ra <> rb"), "jaccard-apart")
+    release(near, first)
     if not apart.isEmpty():
-        labels = relabel(labels, verify(apart, docs, keys, size, percent), "jaccard-second")
+        labels = relabel(labels, verify(apart, docs, size, percent), "jaccard-second")
+    release(apart)
     if stars.isEmpty():
         return labels
     groups = components(stars, "jaccard-groups").select(F.col("node").alias("v"), F.col("root").alias("g"))
-    placed = settle(slim.select("sid", "v", "n", "parity").join(groups, "v").drop("v"), "jaccard-placed")
-    for every in (False, True):
-        now = placed.join(labels, "sid")
-        top = now.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-        top = settle(top.filter("roots > 1").drop("roots"), "jaccard-top")
-        members = settle(now.join(top, "g").withColumn("minor", F.col("root") != F.col("top")), "jaccard-members")
-        found = settle(compare_groups(members, percent, every), "jaccard-found")
-        if found.isEmpty():
-            break
-        labels = relabel(labels, verify(found, docs, keys, size, percent), f"jaccard-{every}")
+    placed = settle(slim.drop("least").join(groups, "v").drop("v").join(labels.drop("least"), "sid"), "jaccard-placed")
+    counts = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m"))
+    top = settle(counts.groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots"), "jaccard-top")
+    members = settle(placed.join(top, "g").withColumn("minor", F.col("root") != F.col("top")).drop("top"), "jaccard-members")
+    asked = may_link(members, percent)
+    if not asked.isEmpty():
+        labels = relabel(labels, links_across(asked, docs, size, percent), "jaccard-third")
+    release(slim, stars, placed, top, members, asked)
     return labels
 
 
@@ -387,9 +449,9 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     rows = settle(fat.select("doc_id", "k1", "k2", "n", "sid"), "jaccard-rows")
     release(fat)
     labels = label(base, classes.filter("parity IS NOT NULL"), size, percent)
-    final = classes.select("sid", "least").join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = final.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settle(final.join(least, "root").select("sid", "component_id"), "jaccard-named")
+    smallest = labels.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = labels.join(smallest, "root").select("sid", "component_id")
+    named = settle(classes.select("sid", "least").join(linked, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id")), "jaccard-named")
     out = rows.join(named, "sid", "left")
     return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -709,6 +709,51 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 100, **{500 + i: 500 for i in range(50)}}
 
 
+def test_components_of_stars_need_no_rounds(spark, monkeypatch):
+    """Each table costs shuffles of as many tasks as the session has partitions, however few edges there are."""
+    made, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name: made.append(name) or settle(df, name))
+    edges = spark.createDataFrame([(100 * i, 100 * i + j) for i in range(20) for j in range(1, 9)], "a long, b long").repartition(5)
+    got = {r["node"]: r["root"] for r in graph.components(edges, "t").collect()}
+    assert got == {100 * i + j: 100 * i for i in range(20) for j in range(9)}
+    assert len(made) <= 2
+
+
+@pytest.mark.parametrize("held", [1, 1 << 16])
+def test_components_over_many_tasks(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
+    rng = np.random.default_rng(11)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(400 + i, 401 + i) for i in range(30)] + [(7, 500 + i) for i in range(60)]
+    want = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in want:
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame([(str(a).zfill(3).encode(), str(b).zfill(3).encode()) for a, b in pairs], "a binary, b binary").repartition(7)
+    got = sorted((bytes(r["node"]), bytes(r["root"])) for r in graph.components(df, "t").collect())
+    assert got == sorted((str(k).zfill(3).encode(), str(v).zfill(3).encode()) for k, v in want.items())
+
+
+def test_jaccard_runs_few_jobs(spark):
+    """A large group of alike texts that aren't all linked: every step of the join has work, and each shuffle is a job."""
+    own = [f"w{i}" for i in range(60)]
+    rng, rows = np.random.default_rng(3), []
+    for i in range(60):
+        text = list(own)
+        for p in rng.choice(60, i % 7, replace=False):
+            text[p] = f"x{i}y{p}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df, 3, 80).collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == components(texts(df), 3, 80)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    assert jobs <= 160, jobs
+
+
 def test_columns_with_clashing_names_keep_their_values(spark):
     """Stages that return documents keep every other column, whatever it is called."""
     names = ["k1", "k2", "_k1", "_k2", "row", "values", "_values", "size", "target", "source_size", "reps", "copy", "_copy", "_bad", "v", "live", "toxic", "l"]
